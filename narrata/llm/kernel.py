@@ -20,6 +20,7 @@ _INV = np.ones(1, np.uint64)
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NOT_SPACE = (~SPACE).astype(np.uint8)
 #: Bytes to themselves, A-Z to a-z.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -62,24 +63,26 @@ def pieces(texts, size: int = PIECE):
 class Words:
     """Words of a list of byte texts.
 
+    A word is a longest run of bytes of one kind other than 0.
+
     buf: all bytes, a line feed after each text; start, end: of each word in buf;
     doc: the index of its text; count: words of each text; first: its first word;
     at: where each text begins in buf.
     """
 
-    def __init__(self, texts: list[bytes], sep: np.ndarray = SPACE, fold: np.ndarray | None = None):
+    def __init__(self, texts: list[bytes], kind: np.ndarray = NOT_SPACE, fold: np.ndarray | None = None):
         self.n = len(texts)
         self.buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         if fold is not None:
             self.buf = fold[self.buf]
         lens = np.fromiter(map(len, texts), np.int64, self.n)
         self.at = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]) if self.n else np.zeros(0, np.int64)
-        inside = np.zeros(len(self.buf) + 2, np.int8)
-        inside[1:-1] = ~sep[self.buf]
-        ends_of_texts = self.at + lens
-        inside[1 + ends_of_texts] = 0
-        edge = np.diff(inside)
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        of = np.zeros(len(self.buf) + 2, np.uint8)
+        of[1:-1] = kind[self.buf]
+        of[1 + self.at + lens] = 0
+        change = of[1:] != of[:-1]
+        self.start = np.flatnonzero(change & (of[1:] > 0))
+        self.end = np.flatnonzero(change & (of[:-1] > 0))
         self.first = np.searchsorted(self.start, self.at)
         self.count = np.diff(np.concatenate([self.first, [len(self.start)]]))
         self.doc = np.repeat(np.arange(self.n), self.count)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrata.llm.op10_secrets import secrets
 from narrata.llm.op1_near import near_dedup
 from narrata.llm.op2_substring import substring_dedup
 from narrata.llm.op7_toxicity import toxicity
+from narrata.llm.op9_decontaminate import contamination
 from narrata.llm.store import table
 
 
@@ -23,10 +25,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op7_toxicity": op7_toxicity,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_secrets": op10_secrets,
 }
 
 SQL = {
