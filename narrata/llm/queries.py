@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from narrata.llm.op10_secrets import secrets
 from narrata.llm.op1_near import near_dedup
 from narrata.llm.op2_substring import substring_dedup
+from narrata.llm.op3_chunks import fingerprints
+from narrata.llm.op4_pieces import pieces_of
+from narrata.llm.op5_licenses import licenses
+from narrata.llm.op6_language import languages
 from narrata.llm.op7_toxicity import toxicity
 from narrata.llm.op9_decontaminate import contamination
 from narrata.llm.store import table
@@ -21,6 +25,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_of(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +56,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_licenses": op5_licenses,
+    "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
