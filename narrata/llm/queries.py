@@ -13,6 +13,7 @@ from narrata.llm.op4_pieces import pieces_of
 from narrata.llm.op5_licenses import licenses
 from narrata.llm.op6_language import languages
 from narrata.llm.op7_toxicity import toxicity
+from narrata.llm.op8_html import main_text
 from narrata.llm.op9_decontaminate import contamination
 from narrata.llm.store import table
 
@@ -45,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_html": op8_html,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
