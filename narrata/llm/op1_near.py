@@ -14,8 +14,8 @@ all emitted:
 2. a bucket whose members are all in one component is done; of the rest, only members
    outside the bucket's largest component are paired with members of other components.
 
-Verification is BayesLSH-like.  A one-bit sketch of the signature is compared first, in
-the join; then signature batches of `BATCH` values are compared one after another, and a
+Verification is BayesLSH-like.  The lowest four bits of all signature values are compared
+first, in the join; then signature batches of `BATCH` values are compared one after another, and a
 pair is dropped as soon as the posterior probability (uniform prior) that its similarity
 reaches the threshold falls below `MISS`.  Survivors are verified exactly on full sets.
 The bands find a pair at the threshold with probability 1 - (1 - t**ROWS)**BANDS
@@ -41,7 +41,7 @@ from narrata.llm.kernel import LOWER, Words, mix, ngram_hash, pieces
 from narrata.llm.store import drop, keep
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, BATCH, MISS = 32, 7, 32, 1e-6
+BANDS, ROWS, BATCH, MISS = 32, 7, 32, 1e-5
 K = BANDS * ROWS
 
 
@@ -88,20 +88,20 @@ def _describe(size: int, k: int):
                 n = np.bincount(doc, minlength=w.n)
                 full = np.flatnonzero(n)
                 d = np.zeros((2, w.n), np.int64)
-                sig, bits = [None] * w.n, np.zeros((4, w.n), np.int64)
+                sig, lanes = [None] * w.n, np.zeros((w.n, k // 16), np.int64)
                 if len(full):
                     starts = np.searchsorted(doc, full)
                     with np.errstate(over="ignore"):
                         for j in (0, 1):
                             d[j, full] = np.add.reduceat(mix(s, 11 + j), starts).view(np.int64)
                     m = signatures(s, starts, k)
-                    packed = np.packbits(np.pad((m & 1).astype(bool), ((0, 0), (0, 256 - k))), axis=1).view(np.int64)
-                    bits[:, full] = packed.T
+                    low = (m & 15).astype(np.uint8)
+                    lanes[full] = (low[:, 0::2] | low[:, 1::2] << 4).view(np.int64)
                     for i, row in zip(full, m):
                         sig[i] = row.tobytes()
                 yield pd.DataFrame({
                     "k": pdf.k.iloc[first : first + w.n].to_numpy(), "n": n.astype(np.int64), "d1": d[0], "d2": d[1],
-                    "b1": bits[0], "b2": bits[1], "b3": bits[2], "b4": bits[3], "sig": sig,
+                    "lanes": list(lanes), "sig": sig,
                 })
 
     return run
@@ -121,9 +121,9 @@ def least_matches(t: float, batch: int, k: int, miss: float) -> list[int]:
     return out
 
 
-def _bit_limit(t: float, k: int, miss: float) -> int:
-    """Most differing bits of k with P(that many or more | similarity t) >= miss."""
-    p, tail = (1 - t) / 2, 0.0
+def _lane_limit(t: float, k: int, miss: float) -> int:
+    """Most differing four-bit values of k with P(that many or more | similarity t) >= miss."""
+    p, tail = (1 - t) * 15 / 16, 0.0
     for d in range(k, -1, -1):
         tail += math.comb(k, d) * p**d * (1 - p) ** (k - d)
         if tail >= miss:
@@ -175,21 +175,30 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     t = percent / 100
     base = docs.select(F.col("doc_id").cast("long").alias("k"), "text")
     every = keep(
-        base.mapInPandas(_describe(shingle, K), "k long, n long, d1 long, d2 long, b1 long, b2 long, b3 long, b4 long, sig binary")
+        base.mapInPandas(_describe(shingle, K), "k long, n long, d1 long, d2 long, lanes array<long>, sig binary")
     )
     some = every.filter("n > 0 and k is not null")
     reps = some.groupBy("d1", "d2").agg(F.min("k").alias("rep"))
     nodes = keep(some.join(reps, ["d1", "d2"]).filter("k = rep").drop("rep", "d1", "d2").dropDuplicates(["k"]))
 
     lane = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    bands = nodes.select(F.explode(lane).alias("bucket"), "k", "n", "b1", "b2", "b3", "b4")
+    bands = nodes.select(F.explode(lane).alias("bucket"), "k", "n", "lanes")
     sizes = nodes.select(F.explode(lane).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     mates = keep(bands.join(sizes, "bucket"))
     central = mates.groupBy("k").agg(F.sum("size").alias("c"))
     texts = keep(base.join(central.select("k"), "k", "left_semi"))
 
-    most = _bit_limit(t, K, MISS)
-    differ = lambda x, y: sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in (1, 2, 3, 4)), F.lit(0))
+    most = _lane_limit(t, K, MISS)
+
+    def differ(x: str, y: str):
+        total = F.lit(0)
+        for i in range(K // 16):
+            v = F.col(f"{x}.lanes")[i].bitwiseXOR(F.col(f"{y}.lanes")[i])
+            v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+            v = v.bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(F.lit(0x1111111111111111))
+            total = total + F.bit_count(v)
+        return total
+
     near = lambda x, y: (differ(x, y) <= most) & (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -202,8 +211,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
         drop(pairs, left)
         return out
 
-    pivots = mates.join(central, "k").groupBy("bucket").agg(F.max(F.struct("c", (-F.col("k")).alias("neg"), "n", "b1", "b2", "b3", "b4")).alias("p"))
-    pivots = pivots.select("bucket", (-F.col("p.neg")).alias("k"), "p.n", "p.b1", "p.b2", "p.b3", "p.b4")
+    pivots = mates.join(central, "k").groupBy("bucket").agg(F.max(F.struct("c", (-F.col("k")).alias("neg"), "n", "lanes")).alias("p"))
+    pivots = pivots.select("bucket", (-F.col("p.neg")).alias("k"), "p.n", "p.lanes")
     stars = mates.alias("x").join(pivots.alias("y"), "bucket").filter((F.col("x.k") != F.col("y.k")) & near("x", "y"))
     links = verified(stars.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")))
 
