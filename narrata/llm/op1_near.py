@@ -239,3 +239,13 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     return out.select(
         F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of `docs` but one document of each class, with all their columns; of equal rows of one id, one stays."""
+    gone = near_dedup(docs, percent).filter(~F.col("kept")).select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if again.limit(1).count():
+        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    return out

@@ -25,6 +25,7 @@ import functools
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,3 +178,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, one_in: int = ERROR_ONE
         found = docs.mapInPandas(search, schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, one_in: int = ERROR_ONE_IN) -> DataFrame:
+    """Rows of `docs` that hold no item, with all their columns."""
+    at = docs.columns.index("text")
+    for items in blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def search(batches, sent=sent):
+            m = _matcher(sent.value, one_in)
+            for batch in batches:
+                yield batch.filter(pa.array([next(m.find(folded(t)), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(search, docs.schema)
+    return docs
