@@ -104,9 +104,11 @@ class Words:
 
 def ngram_hash(words: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the n word hashes that start at each index in `at`."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
     q = np.uint64((0xD6E8FEB86659FD93 + 2 * seed * 0x632BE59BD9B4E019) % 2**64 | 1)
     with np.errstate(over="ignore"):
-        h = np.zeros(max(0, len(words) - n + 1), np.uint64)
+        h = np.zeros(len(words) - n + 1, np.uint64)
         for k in range(n):
             h = h * q + words[k : len(words) - n + 1 + k]
     return mix(h[at], seed)
