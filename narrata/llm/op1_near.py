@@ -12,7 +12,8 @@ all emitted:
 1. each bucket names one pivot, the member that has most bucket mates, and pairs the others
    with it; survivors of verification become links, and links components;
 2. a bucket whose members are all in one component is done; of the rest, only members
-   outside the bucket's largest component are paired with members of other components.
+   outside the bucket's largest component are paired with members of other components, each
+   pair in the first band it shares.
 
 Verification is BayesLSH-like.  The lowest four bits of all signature values are compared
 first, in the join; then signature batches of `BATCH` values are compared one after another, and a
@@ -41,7 +42,7 @@ from narrata.llm.kernel import LOWER, Words, mix, ngram_hash, pieces
 from narrata.llm.store import drop, keep
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, BATCH, MISS = 32, 7, 32, 1e-5
+BANDS, ROWS, BATCH, MISS = 32, 7, 32, 1e-4
 K = BANDS * ROWS
 
 
@@ -181,11 +182,15 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     reps = some.groupBy("d1", "d2").agg(F.min("k").alias("rep"))
     nodes = keep(some.join(reps, ["d1", "d2"]).filter("k = rep").drop("rep", "d1", "d2").dropDuplicates(["k"]))
 
-    lane = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    bands = nodes.select(F.explode(lane).alias("bucket"), "k", "n", "lanes")
-    sizes = nodes.select(F.explode(lane).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    def band(i):
+        return F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)
+    bands = nodes.select(F.posexplode(buckets).alias("band", "bucket"), "k")
+    sizes = nodes.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     mates = keep(bands.join(sizes, "bucket"))
     central = mates.groupBy("k").agg(F.sum("size").alias("c"))
+    known = keep(nodes.join(central, "k").select("k", "n", "c", "lanes", buckets.alias("bands")))
     texts = keep(base.join(central.select("k"), "k", "left_semi"))
 
     most = _lane_limit(t, K, MISS)
@@ -211,23 +216,25 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
         drop(pairs, left)
         return out
 
-    pivots = mates.join(central, "k").groupBy("bucket").agg(F.max(F.struct("c", (-F.col("k")).alias("neg"), "n", "lanes")).alias("p"))
+    near_by = mates.join(known, "k")
+    pivots = near_by.groupBy("bucket").agg(F.max(F.struct("c", (-F.col("k")).alias("neg"), "n", "lanes")).alias("p"))
     pivots = pivots.select("bucket", (-F.col("p.neg")).alias("k"), "p.n", "p.lanes")
-    stars = mates.alias("x").join(pivots.alias("y"), "bucket").filter((F.col("x.k") != F.col("y.k")) & near("x", "y"))
+    stars = near_by.select("bucket", "k", "n", "lanes").alias("x").join(pivots.alias("y"), "bucket").filter((F.col("x.k") != F.col("y.k")) & near("x", "y"))
     links = verified(stars.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")))
 
     comp = keep(components(links))
     placed = keep(mates.join(comp.toDF("k", "component"), "k", "left").withColumn("component", F.coalesce("component", "k")))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("m", "component")).component.alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    split = placed.join(main.select("bucket", "main"), "bucket")
+    split = placed.join(main.select("bucket", "main"), "bucket").join(known.drop("c"), "k")
+    first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
     x, y = split.filter("component <> main").alias("x"), split.alias("y")
     cross = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter(
-        (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.k") < F.col("y.k"))) & near("x", "y")
+        (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.k") < F.col("y.k"))) & near("x", "y") & first_shared
     )
     more = verified(cross.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")))
     final = keep(components(links.unionByName(more)))
-    drop(mates, placed, comp, texts, links, more)
+    drop(mates, known, placed, comp, texts, links, more)
 
     flat = every.select("k", "n", "d1", "d2")
     out = (
