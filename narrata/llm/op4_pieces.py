@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE, CACHED_UNIT = 400_000, 48
+CACHE, CACHED_UNIT = 400_000, 48  # paths in each of two generations, characters of a unit
 INF = float("inf")
 
 
@@ -89,15 +89,19 @@ class Transducer:
         self.arcs = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.longest = max(map(len, self.arcs))
-        self.ends: dict[str, int] = {}  # last character -> length of the longest piece that ends so
+        self.trie: dict = {}  # the piece machine: character -> next state; "" marks an arc's end
         for p in self.arcs:
-            self.ends[p[-1]] = max(self.ends.get(p[-1], 0), len(p))
+            state = self.trie
+            for c in p:
+                state = state.setdefault(c, {})
+            state[""] = {}
         crosses = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.arcs)
         self.units = re.compile(f"(?s).+" if crosses else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.worst = min((s for s, k in zip(self.scores, self.kinds) if k == NORMAL), default=0.0) - 10
-        self.accepted: dict[tuple[str, str], bool] = {}
+        self.accepted: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
 
     def normalised(self, text: str) -> str:
@@ -118,60 +122,101 @@ class Transducer:
 
     def accepts(self, left: str, right: str) -> bool:
         """Does the acceptor have an arc of weight zero for this pair of pieces (left empty: after a break)?"""
-        known = self.accepted.get((left, right))
-        if known is None:
-            known = self.merged(left + right) == [x for x in (left, right) if x]
-            if len(self.accepted) >= 4 * CACHE:
+        row = self.accepted.get(left)
+        if row is None:
+            if self.pairs >= 4 * CACHE:
                 self.accepted.clear()
-            self.accepted[left, right] = known
+                self.pairs = 0
+            row = self.accepted[left] = {}
+        known = row.get(right)
+        if known is None:
+            known = row[right] = self.merged(left + right) == [x for x in (left, right) if x]
+            self.pairs += 1
         return known
 
+    def ends(self, unit: str, at: int) -> list[int]:
+        """Where the arcs that leave position `at` of the unit end, shortest first; a character that is no piece has an arc of its own."""
+        out, state = [], self.trie
+        for j in range(at, len(unit)):
+            state = state.get(unit[j])
+            if state is None:
+                break
+            if "" in state:
+                out.append(j + 1)
+        if not out or out[0] > at + 1:
+            out.insert(0, at + 1)
+        return out
+
+    def bpe_path(self, unit: str) -> list[str]:
+        """Arcs of the one path of weight zero, best-first with the longest arc first.
+
+        At most one accepted path leads to each position, so a position without a way on is dead for good.
+        """
+        n, path, at, dead = len(unit), [], 0, set()
+        tried: list[list[int]] = []  # arcs not yet tried at each position of the path
+        left = self.ends(unit, 0)
+        while at < n:
+            last = path[-1] if path and path[-1] in self.arcs else ""
+            while left:
+                end = left.pop()
+                p = unit[at:end]
+                if end not in dead and (p not in self.arcs or self.accepts(last, p)):
+                    path.append(p)
+                    tried.append(left)
+                    at = end
+                    left = self.ends(unit, at) if at < n else []
+                    break
+            else:
+                dead.add(at)
+                at -= len(path.pop())
+                left = tried.pop()
+        return path
+
+    def unigram_path(self, unit: str) -> list[str]:
+        """Arcs of the path of least weight."""
+        n = len(unit)
+        last: list[str] = [""] * (n + 1)  # the arc into each state on its best path
+        cost = [0.0] + [INF] * n
+        for i in range(n):
+            for j in self.ends(unit, i):
+                p = unit[i:j]
+                k = self.arcs.get(p)
+                w = cost[i] - (self.worst if k is None else self.scores[k])
+                if w < cost[j]:
+                    cost[j], last[j] = w, p
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(last[n])
+        return out[::-1]
+
     def path(self, unit: str) -> tuple[int, ...]:
         """Output labels of the shortest path through unit o normaliser o pieces (o acceptor)."""
-        arcs, n = self.arcs, len(unit)
-        last: list[str | None] = [None] * (n + 1)  # the arc into each state on its best path
-        cost = [0.0] + [INF] * n
-        bpe = self.kind == BPE
-        for i in range(1, n + 1):
-            c = unit[i - 1]
-            for size in range(min(self.ends.get(c, 0), i), 0, -1):
-                j = i - size
-                if cost[j] < INF:
-                    p = unit[j:i]
-                    k = arcs.get(p)
-                    if k is None:
-                        continue
-                    if bpe:
-                        if self.accepts(last[j] if last[j] in arcs else "", p):
-                            cost[i], last[i] = 0.0, p
-                            break
-                    elif cost[j] - self.scores[k] < cost[i]:
-                        cost[i], last[i] = cost[j] - self.scores[k], p
-            if c not in arcs and cost[i - 1] < INF and cost[i - 1] - self.worst < cost[i]:
-                cost[i], last[i] = (0.0 if bpe else cost[i - 1] - self.worst), c
         out: list[int] = []
-        while n:
-            p = last[n]
-            if p in arcs:
-                out.append(arcs[p])
+        for p in self.bpe_path(unit) if self.kind == BPE else self.unigram_path(unit):
+            k = self.arcs.get(p)
+            if k is not None:
+                out.append(k)
             elif self.bytes:
-                out.extend(self.bytes[b] for b in reversed(p.encode("utf-8", "surrogatepass")))
+                out.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
             else:
                 out.append(self.unknown)
-            n -= len(p)
-        return tuple(reversed(out))
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        cache = self.cache
+        known = self.cache.get
         for unit in self.units.findall(self.normalised(text)):
-            ids = cache.get(unit)
+            ids = known(unit)
             if ids is None:
-                ids = self.path(unit)
+                ids = self.older.get(unit)
+                if ids is None:
+                    ids = self.path(unit)
                 if len(unit) <= CACHED_UNIT:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[unit] = ids
+                    if len(self.cache) >= CACHE:
+                        self.older, self.cache = self.cache, {}
+                        known = self.cache.get
+                    self.cache[unit] = ids
             out += ids
         return out
 
