@@ -11,6 +11,7 @@ from narrata import corpus, models
 from narrata.corpus import PRELUDE
 from narrata.functions import text as T
 from narrata.functions import vector as V
+from narrata.operators import analysis as A
 from narrata.operators import consolidate as C
 from narrata.operators import filters as P
 from narrata.operators import graph as G
@@ -569,3 +570,92 @@ def known_names(spark: SparkSession, folder: str) -> DataFrame:
     words = corpus.table(spark, folder, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "))).alias("name"))
     return words.join(names, "name").select("item_id", "name")
 
+
+
+# analyses, claims, telemetry
+
+
+@query("""t0 AS (SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN vec_id || ':0' END AS scene_id, CASE WHEN vec_id % 3 = 1 THEN vec_id END AS direct FROM embeddings)
+SELECT chunk_id, c.chapter_id, universe, series, book_number, chapter_number FROM t0 LEFT JOIN scenes s ON s.scene_id = t0.scene_id LEFT JOIN chapters c ON c.chapter_id = coalesce(s.chapter_id, direct)""")
+def chunk_coordinates(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks find their chapter through a scene, directly, or not at all."""
+    i = F.col("vec_id")
+    chunks = corpus.table(spark, folder, "embeddings").select(i.alias("chunk_id"), F.when(i % 3 == 0, F.concat(i, F.lit(":0"))).alias("scene_id"), F.when(i % 3 == 1, i).alias("chapter_id"))
+    chapters = corpus.chapters(spark, folder).select("chapter_id", "universe", "series", "book_number", "chapter_number", F.lit(1).alias("there"))
+    out = A.chunk_coordinates(chunks, corpus.scenes(spark, folder), chapters)
+    return out.select("chunk_id", F.when(F.col("there") == 1, F.col("chapter_id")).alias("chapter_id"), "universe", "series", "book_number", "chapter_number")
+
+
+@query("""t0 AS (SELECT doc_id AS chunk_id, sha256(text) AS content_hash, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN sha256('old:' || sha256(text)) ELSE sha256('m1:' || sha256(text)) END AS h FROM documents)
+SELECT chunk_id, sha256('m1:' || content_hash) AS expected_hash FROM t0 WHERE h IS NULL OR h <> sha256('m1:' || content_hash)""")
+def chunks_to_embed(spark: SparkSession, folder: str) -> DataFrame:
+    """Incremental selection: no embedding, or one of another model or content."""
+    h = F.sha2("text", 256)
+    d = corpus.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("chunk_id"), h.alias("content_hash"), F.array(F.lit(1.0)).alias("embedding"),
+        F.when(F.col("doc_id") % 4 == 1, T.embedding_hash("old", h)).when(F.col("doc_id") % 4 != 0, T.embedding_hash("m1", h)).alias("embedding_hash"),
+    )
+    return A.to_embed(d, "m1").select("chunk_id", "expected_hash")
+
+
+@query("""t0 AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN user_id END AS previous_id, CASE WHEN event_id % 7 > 0 THEN user_id + 2 END AS next_id,
+CASE event_id % 4 WHEN 0 THEN 'R:temporal.before' WHEN 1 THEN ' During' WHEN 2 THEN 'later' END AS previous_type, CASE WHEN event_id % 3 > 0 THEN 'overlaps' ELSE '' END AS next_type FROM events)
+SELECT event_id, CASE WHEN previous_id IS NOT NULL AND previous_type IS NULL THEN 'MISSING_PREVIOUS' WHEN previous_id IS NOT NULL AND previous_type = 'later' THEN 'INVALID_PREVIOUS' WHEN next_id IS NOT NULL AND next_type = '' THEN 'MISSING_NEXT' END AS problem FROM t0""")
+def triad_problems(spark: SparkSession, folder: str) -> DataFrame:
+    i = F.col("event_id")
+    t = corpus.table(spark, folder, "events").select(
+        i, F.when(i % 5 > 0, F.col("user_id")).alias("previous_id"), F.when(i % 7 > 0, F.col("user_id") + 2).alias("next_id"),
+        F.when(i % 4 == 0, "R:temporal.before").when(i % 4 == 1, " During").when(i % 4 == 2, "later").alias("previous_type"), F.when(i % 3 > 0, "overlaps").otherwise("").alias("next_type"),
+    )
+    return A.validated(t).select("event_id", "problem")
+
+
+@query("""t0 AS (SELECT user_id AS w, event_id AS id, value FROM events WHERE user_id < 40), g AS (SELECT w, id // 2000 AS grp, list(id) AS ids, max(value) / 20 AS confidence FROM t0 GROUP BY 1, 2),
+m AS (SELECT w, grp, confidence, unnest(ids) AS id FROM g WHERE confidence >= 0.75)
+SELECT a.id AS a, b.id AS b, max(a.confidence) AS confidence FROM m a JOIN m b ON a.w = b.w AND a.grp = b.grp AND a.id < b.id WHERE a.id % 5 > 0 AND b.id % 5 > 0 GROUP BY 1, 2""")
+def coreference_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of co-referent mentions from answers by window: confident, allowed, the best confidence."""
+    e = corpus.table(spark, folder, "events").filter("user_id < 40")
+    answers = e.groupBy("user_id", F.floor(F.col("event_id") / 2000)).agg(F.collect_list("event_id").alias("mention_ids"), (F.max("value") / 20).alias("confidence")).withColumnRenamed("user_id", "window")
+    allowed = e.filter("event_id % 5 > 0").select(F.col("user_id").alias("window"), F.col("event_id").alias("id"))
+    return C.coreference(answers.select("window", "mention_ids", "confidence"), allowed)
+
+
+@query("""t0 AS (SELECT l_orderkey AS job_id, count(*) AS attempted, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY 1)
+SELECT job_id, failed = attempted OR (failed >= 2 AND failed * 2 >= attempted) AS fails FROM t0""")
+def window_failures(spark: SparkSession, folder: str) -> DataFrame:
+    g = corpus.table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count("*").alias("attempted"), F.count_if(F.col("l_returnflag") == "R").alias("failed"))
+    return g.select("job_id", C.should_fail(F.col("failed"), F.col("attempted")).alias("fails"))
+
+
+@query("""t0 AS (SELECT l_orderkey AS call_id, l_partkey % 10 AS body, l_linestatus AS side FROM lineitem),
+q AS (SELECT call_id, string_agg(body, ',' ORDER BY body) AS b FROM (SELECT DISTINCT call_id, body FROM t0 WHERE side = 'F') GROUP BY 1), a AS (SELECT call_id, string_agg(body, ',' ORDER BY body) AS b FROM (SELECT DISTINCT call_id, body FROM t0 WHERE side = 'O') GROUP BY 1)
+SELECT o_orderkey AS call_id, coalesce(q.b, '') AS requests, coalesce(a.b, '') AS responses FROM orders LEFT JOIN q ON q.call_id = o_orderkey LEFT JOIN a ON a.call_id = o_orderkey""")
+def call_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Telemetry records with requests and responses gathered."""
+    rows = corpus.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("call_id"), (F.col("l_partkey") % 10).alias("body"), "l_linestatus")
+    calls = corpus.table(spark, folder, "orders").select(F.col("o_orderkey").alias("call_id"))
+    out = J.with_calls(calls, rows.filter("l_linestatus = 'F'"), rows.filter("l_linestatus = 'O'"))
+    return out.select("call_id", F.coalesce(F.array_join("requests", ","), F.lit("")).alias("requests"), F.coalesce(F.array_join("responses", ","), F.lit("")).alias("responses"))
+
+
+@query("""t0 AS (SELECT DISTINCT user_id % 30 AS a, (user_id * 7 + 3) % 30 AS b FROM events WHERE event_type = 'purchase'),
+r AS (SELECT a, b, 1 AS n FROM t0 UNION SELECT r.a, t0.b, n + 1 FROM r JOIN t0 ON r.b = t0.a WHERE n < 6)
+SELECT DISTINCT t0.a AS from_id, t0.b AS to_id FROM t0 JOIN r ON r.a = t0.b AND r.b = t0.a""")
+def edges_with_back_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges on a cycle: a path of at most six edges leads back."""
+    e = corpus.table(spark, folder, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 30).alias("from_id"), ((F.col("user_id") * 7 + 3) % 30).alias("to_id")).distinct()
+    return G.back_paths(e, 6)
+
+
+@query("""t0 AS (SELECT event_id_1, event_id_2, score FROM c WHERE score >= 0.6), e AS (SELECT event_id_1 AS a, event_id_2 AS b FROM t0 UNION ALL SELECT event_id_2, event_id_1 FROM t0),
+r AS (SELECT event_id AS node, event_id AS other FROM ev UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), m AS (SELECT node, min(other) AS book_event_id FROM r GROUP BY 1)
+SELECT book_id, book_event_id, count(*) AS chapter_events, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS members FROM ev JOIN m ON node = event_id GROUP BY 1, 2""")
+def book_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Book events: components of merge decisions."""
+    events = _events(spark, folder).select("book_id", "event_id", F.concat(F.lit("e"), F.col("event_id")).alias("display_name"), F.concat(F.lit("e"), F.col("event_id")).alias("normalized_name"), F.lit("t").alias("event_type"), F.lit(1).alias("mention_count"), F.lit("card").alias("card"))
+    decisions = C.verdicts(event_candidates(spark, folder), events, models.merge_above(0.6))
+    return C.book_events(events, decisions).select("book_id", "book_event_id", "chapter_events", F.array_join("members", ",").alias("members"))
+
+
+SQL["book_events"] = PRELUDE + ", " + _PAIRS.replace("t0", "ev") + ", " + SQL["book_events"].removeprefix(PRELUDE + ", ")
