@@ -162,7 +162,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
                     ok = h.sum(1) > 0
                     yield pd.DataFrame({"doc_id": part.doc_id.to_numpy()[first : first + len(held)], "lang": part.lang.to_numpy()[first : first + len(held)], "x": [v.tobytes() for v in h]})[ok]
 
-    got = rows.filter(u < rate).select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, x binary").toPandas()
+    got = rows.filter(u < rate).select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, x binary").toArrow().to_pandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "doc_id"]).groupby("lang").head(2 * sample)
