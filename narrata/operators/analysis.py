@@ -19,7 +19,7 @@ def normalized_items(c: Column, kind: str) -> Column:
     Concepts and events also need a description.
     """
     items = F.transform(c, lambda x: F.struct(
-        F.coalesce(blank_to_null(x["name"]), clean_aliases(x["aliases"]).getItem(0)).alias("name"), clean_aliases(F.coalesce(x["aliases"], F.array().cast("array<string>"))).alias("aliases"),
+        F.coalesce(blank_to_null(x["name"]), F.get(clean_aliases(x["aliases"]), F.lit(0))).alias("name"), clean_aliases(F.coalesce(x["aliases"], F.array().cast("array<string>"))).alias("aliases"),
         truncate(blank_to_null(x["description"]), LONG).alias("description"), certainty(x["certainty"]).alias("certainty"),
     ))
     strict = kind in ("concept", "event")

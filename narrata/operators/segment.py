@@ -181,7 +181,7 @@ def parse_scenes(c):
 def explode_extractions(analyses: DataFrame, lane_schema: str) -> DataFrame:
     """Mentions of scene analyses (scene_id, payload): JSON array of items to rows with their position; nameless items go."""
     items = analyses.select("scene_id", F.posexplode(F.from_json("payload", f"array<struct<name:string,aliases:array<string>{',' + lane_schema if lane_schema else ''}>>")).alias("extraction_index", "item"))
-    named = F.coalesce(F.nullif(F.trim("item.name"), F.lit("")), F.filter(F.coalesce("item.aliases", F.array().cast("array<string>")), lambda a: F.trim(a) != "").getItem(0))
+    named = F.coalesce(F.nullif(F.trim("item.name"), F.lit("")), F.get(F.filter(F.coalesce("item.aliases", F.array().cast("array<string>")), lambda a: F.trim(a) != ""), F.lit(0)))
     rest = [c.split(":")[0] for c in lane_schema.split(",") if c]
     out = items.select("scene_id", "extraction_index", named.alias("display_name"), "item.aliases", *[f"item.{c}" for c in rest], F.lit("unresolved").alias("resolution_status"))
     return out.filter("display_name is not null")

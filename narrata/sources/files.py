@@ -24,7 +24,7 @@ def read_chapters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rejected(spark: SparkSession, path: str) -> DataFrame:
-    """Files that aren't admitted, and why."""
+    """Files that are not admitted, and why (the reader itself passes over empty files)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     why = F.when(F.col("length") == 0, "EMPTY").when(F.col("length") > MOST_BYTES, "TOO_LARGE").when(~F.lower(name).rlike(r"\.(txt|md)$"), "EXTENSION")

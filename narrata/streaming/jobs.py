@@ -12,28 +12,34 @@ MOVES = {"PENDING": ("TRIGGERED", "SKIPPED"), "TRIGGERED": ("RUNNING", "FAILED",
 OUTPUT = "job_id long, status string, at timestamp, events long, refused long"
 
 
-def _advance(key, batches, state: GroupState):
+def _advance(stale_after_ms: int | None):
     """Applies events in order of time; moves that aren't allowed are counted and refused."""
-    status, at, n, refused = state.get if state.exists else ("PENDING", None, 0, 0)
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"job_id": [key[0]], "status": ["STALE" if status in ("TRIGGERED", "RUNNING") else status], "at": [at], "events": [n], "refused": [refused]})
-        return
-    rows = pd.concat(batches).sort_values(["ts", "event_id"])
-    for ts, to in zip(rows.ts, rows.status):
-        n += 1
-        if to in MOVES.get(status, ()):
-            status, at = to, ts
+
+    def run(key, batches, state: GroupState):
+        status, at, n, refused = state.get if state.exists else ("PENDING", None, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            status = "STALE" if status in ("TRIGGERED", "RUNNING") else status
         else:
-            refused += 1
-    state.update((status, at, n, refused))
-    state.setTimeoutDuration(300_000)
-    yield pd.DataFrame({"job_id": [key[0]], "status": [status], "at": [at], "events": [n], "refused": [refused]})
+            rows = pd.concat(batches).sort_values(["ts", "event_id"])
+            for ts, to in zip(rows.ts, rows.status):
+                n += 1
+                if to in MOVES.get(status, ()):
+                    status, at = to, ts
+                else:
+                    refused += 1
+            state.update((status, at, n, refused))
+            if stale_after_ms:
+                state.setTimeoutDuration(stale_after_ms)
+        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "at": pd.to_datetime([at]), "events": [n], "refused": [refused]})
+
+    return run
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """Status of each job after each micro-batch of events (job_id, event_id, ts, status); works on streams."""
-    return events.groupBy("job_id").applyInPandasWithState(_advance, OUTPUT, "status string, at timestamp, events long, refused long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+def job_states(events: DataFrame, stale_after_ms: int | None = 300_000) -> DataFrame:
+    """Status of each job after each micro-batch of events (job_id, event_id, ts, status); a silent job is STALE after a while."""
+    wait = GroupStateTimeout.ProcessingTimeTimeout if stale_after_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("job_id").applyInPandasWithState(_advance(stale_after_ms), OUTPUT, "status string, at timestamp, events long, refused long", "update", wait)
 
 
 def stage_events(events: DataFrame) -> DataFrame:
@@ -49,11 +55,12 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return rows.groupBy(F.window("ts", size).alias("w"), "status").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "status", "n")
 
 
-def push(states: DataFrame, send, checkpoint: str):
-    """Starts a query that hands every finished job of each micro-batch to send(list of dicts), batch by batch on the driver."""
+def push(states: DataFrame, send, checkpoint: str, once: bool = False):
+    """Starts a query that hands every finished job to send(dict), one by one on the driver; `once` stops after what there is."""
 
     def each(df: DataFrame, _: int) -> None:
         for r in df.filter(F.col("status").isin("COMPLETED", "FAILED", "SKIPPED")).toLocalIterator():
             send(r.asDict())
 
-    return states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).start()
+    writer = states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (writer.trigger(availableNow=True) if once else writer).start()
