@@ -4,8 +4,8 @@ A document's set holds its distinct shingles of five lower-cased (A-Z) words, or
 word sequence if it has fewer.  Two documents are linked if 100 * |intersection| >=
 percent * |union|; classes are the connected components.
 
-How it runs.  One pass hashes every text into a set digest and a MinHash signature
-(`BANDS` x `ROWS` values of 16 bits).  Documents with equal sets collapse to one node.
+How it runs.  One pass hashes every text into a set digest and a MinHash signature (`K` values
+of 16 bits).  Documents with equal sets collapse to one node.
 Nodes that agree on a whole band share a bucket.  Candidate pairs inside buckets are never
 all emitted:
 
@@ -19,8 +19,8 @@ Verification is BayesLSH-like.  The lowest four bits of all signature values are
 first, in the join; then signature batches of `BATCH` values are compared one after another, and a
 pair is dropped as soon as the posterior probability (uniform prior) that its similarity
 reaches the threshold falls below `MISS`.  Survivors are verified exactly on full sets.
-The bands find a pair at the threshold with probability 1 - (1 - t**ROWS)**BANDS
-(4e-6 missed at 0.85), more similar pairs more surely.
+Bands have as many rows as leave at most `UNBANDED` of the pairs at the threshold unfound
+(32 bands of 7 at 0.85, 37 of 6 at 0.8); more similar pairs are found more surely.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; rows
 with a null id are not compared (component null, kept true); rows that share an id count as
@@ -41,9 +41,14 @@ from narrata.llm.components import components
 from narrata.llm.kernel import LOWER, Words, mix, ngram_hash, pieces
 from narrata.llm.store import drop, keep
 
-SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, BATCH, MISS = 32, 7, 32, 1e-4
-K = BANDS * ROWS
+SHINGLE, PERCENT = 5, 80
+K, BATCH, MISS, UNBANDED = 224, 32, 1e-4, 2e-5
+
+
+def banding(t: float, k: int = K, miss: float = UNBANDED) -> tuple[int, int]:
+    """(bands, rows): the most rows at which a pair of similarity t shares no band with probability at most `miss`."""
+    rows = max((r for r in range(1, 17) if (1 - t**r) ** (k // r) <= miss), default=1)
+    return k // rows, rows
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +179,7 @@ def _exact(size: int, percent: int):
 def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
     t = percent / 100
+    n_bands, n_rows = banding(t)
     base = docs.select(F.col("doc_id").cast("long").alias("k"), "text")
     every = keep(
         base.mapInPandas(_describe(shingle, K), "k long, n long, d1 long, d2 long, lanes array<long>, sig binary")
@@ -183,9 +189,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     nodes = keep(some.join(reps, ["d1", "d2"]).filter("k = rep").drop("rep", "d1", "d2").dropDuplicates(["k"]))
 
     def band(i):
-        return F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+        return F.xxhash64(i, F.substring(F.col("sig"), i * (2 * n_rows) + 1, F.lit(2 * n_rows)))
 
-    buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), band)
     bands = nodes.select(F.posexplode(buckets).alias("band", "bucket"), "k")
     sizes = nodes.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     mates = keep(bands.join(sizes, "bucket"))

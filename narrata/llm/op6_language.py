@@ -180,7 +180,7 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for pdf in batches:
             texts = pdf.text.tolist()
             for first, held in pieces(texts):
-                letters = np.array([isinstance(t, str) and _LETTER.search(t) is not None for t in texts[first : first + len(held)]])
+                letters = np.array([isinstance(t, str) and any(m[0].isalpha() for m in _LETTER.finditer(t)) for t in texts[first : first + len(held)]])
                 lang, sure = predict(held, m) if m else (np.full(len(held), "und", object), np.zeros(len(held)))
                 yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[first : first + len(held)].astype("Int64").to_numpy(), "lang_pred": np.where(letters, lang, "und"), "score": np.where(letters, sure, 0.0)})
 

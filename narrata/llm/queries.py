@@ -19,7 +19,7 @@ from narrata.llm.store import table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 from narrata.llm.components import components
-from narrata.llm.op1_near import near_dedup, one_of_each
+from narrata.llm.op1_near import banding, near_dedup, one_of_each
 from narrata.llm.op2_substring import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,7 +39,7 @@ def brute_near(rows, percent=85):
 
 
 def test_near_dedup_matches_brute_force(make_docs, corpus):
-    got = near_dedup(make_docs(corpus)).collect()
+    got = near_dedup(make_docs(corpus), percent=85).collect()
     assert len(got) == len(corpus)
     expected = brute_near(corpus)
     for r in got:
@@ -62,9 +62,10 @@ def test_near_dedup_of_a_large_group(make_docs, prose_of):
         for _ in range(r.randint(0, 12)):
             w[r.randrange(len(w))] = prose_of(r, 1)
         rows.append((i, " ".join(w)))
-    expected = brute_near(rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(make_docs(rows)).collect()} == expected
-    assert len({c for _, c in expected.values()}) > 5
+    for percent in (80, 85):
+        expected = brute_near(rows, percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(make_docs(rows), percent).collect()} == expected
+        assert len({c for _, c in expected.values()}) > 5
 
 
 def test_one_of_each(make_docs):
@@ -120,3 +121,7 @@ def test_components(spark):
     assert got[10] == got[3] == got[1] == 1 and got[9] == got[7] == 7
     assert got[140] == 100 and got[229] == 200 and 5 not in got
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_banding():
+    assert banding(0.85) == (32, 7) and banding(0.8) == (37, 6)

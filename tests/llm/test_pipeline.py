@@ -38,7 +38,7 @@ def test_pipeline(spark, folder):
     texts = dict(rows)
     rejected = {r.doc_id for r in toxicity(docs, spark.read.parquet(f"{d}/labels.parquet")).collect() if r.predicted}
     texts = {i: t for i, t in texts.items() if i not in rejected}
-    classes = brute_near(list(texts.items()))
+    classes = brute_near(list(texts.items()), 80)
     texts = {i: t for i, t in texts.items() if i is None or classes[i][1] == i}
     items = [op9_decontaminate.folded(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     texts = {i: t for i, t in texts.items() if not any(x in op9_decontaminate.folded(t) for x in items)}
