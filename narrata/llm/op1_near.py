@@ -197,7 +197,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     mates = keep(bands.join(sizes, "bucket"))
     central = mates.groupBy("k").agg(F.sum("size").alias("c"))
     known = keep(nodes.join(central, "k").select("k", "n", "c", "lanes", buckets.alias("bands")))
-    texts = keep(base.join(central.select("k"), "k", "left_semi"))
+    texts = keep(base.join(central.select("k").hint("merge"), "k", "left_semi"))  # the same plan at every size
 
     most = _lane_limit(t, K, MISS)
 
