@@ -27,7 +27,7 @@ def chunk_spans(text: str) -> list[tuple[int, int]]:
 
     A boundary scores its weight less a tenth of its distance to the target; equal scores go to
     the larger chunk.  The end of the text wins whenever it is within reach and ten or more
-    characters off the target (as the reference's arithmetic has it).  A rest shorter than the
+    characters off the target (an arithmetic quirk kept on purpose).  A rest shorter than the
     least size is added to the last chunk.
     """
     n = len(text)

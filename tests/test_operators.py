@@ -71,8 +71,8 @@ def test_fusion_counts_repeats(spark):
 
 
 def test_rerank_keeps_scores(spark):
-    rows = spark.createDataFrame([(1, 0.90, 1, ["Kel"]), (2, 0.88, 2, ["VIN", "vin"]), (3, 0.88, 3, [])], "chunk_id int, score double, rank int, names array<string>")
-    out = S.rerank(rows, F.array(F.lit("vin")), F.col("names")).collect()
+    rows = spark.createDataFrame([(1, 0.90, 1, ["Kai"]), (2, 0.88, 2, ["ANA", "ana"]), (3, 0.88, 3, [])], "chunk_id int, score double, rank int, names array<string>")
+    out = S.rerank(rows, F.array(F.lit("ana")), F.col("names")).collect()
     assert [r.chunk_id for r in out] == [2, 1, 3] and out[0].score == 0.88 and out[0].boosted == 0.93
 
 
@@ -149,11 +149,11 @@ def test_edge_requests(spark):
 
 
 def test_consolidation(spark):
-    rows = [("ch", "m1", 0, "Lord Ruler", "lord ruler", ["Rashek"], ["lord ruler", "rashek"], " ", None), ("ch", "m2", 1, "Rashek", "rashek", ["Rashek", "Ruler"], ["rashek"], "cruel", "iron"), ("ch", "m3", 2, "Vin", "vin", [], ["vin"], None, "x")]
+    rows = [("ch", "m1", 0, "Lord Harrow", "lord harrow", ["Teodor"], ["lord harrow", "teodor"], " ", None), ("ch", "m2", 1, "Teodor", "teodor", ["Teodor", "Harrow"], ["teodor"], "cruel", "iron"), ("ch", "m3", 2, "Ana", "ana", [], ["ana"], None, "x")]
     df = spark.createDataFrame(rows, "chapter_id string, id string, rank int, display_name string, normalized_name string, aliases array<string>, keys array<string>, description string, material string")
     df = df.withColumn("type", F.lit(None).cast("string")).withColumn("purpose", F.lit(None).cast("string"))
     got = {r.cluster: r for r in C.consolidate(df, "chapter_id", "object").collect()}
-    assert got["m1"].display_name == "Lord Ruler" and got["m1"].aliases == ["Rashek", "Ruler"] and got["m1"].mention_count == 2
+    assert got["m1"].display_name == "Lord Harrow" and got["m1"].aliases == ["Teodor", "Harrow"] and got["m1"].mention_count == 2
     assert got["m1"].description == "cruel" and got["m1"].material == "iron" and got["m3"].mention_count == 1
 
 
@@ -167,10 +167,10 @@ def test_events(spark):
 
 
 def test_claims_and_writes(spark):
-    claims = spark.createDataFrame([("s", "individual", "vin", "R:loves", "individual", "elend")] * 2 + [("s", "event", "duel", "R:of", "individual", "vin")], "scene_id string, subject_kind string, subject_key string, definition_key string, object_kind string, object_key string")
-    mentions = spark.createDataFrame([("s", "individual", "vin", "m1", 0), ("s", "individual", "vin", "m2", 1), ("s", "event", "duel", "m3", 2)], "scene_id string, kind string, key string, id string, extraction_index int")
+    claims = spark.createDataFrame([("s", "individual", "ana", "R:loves", "individual", "otto")] * 2 + [("s", "event", "duel", "R:of", "individual", "ana")], "scene_id string, subject_kind string, subject_key string, definition_key string, object_kind string, object_key string")
+    mentions = spark.createDataFrame([("s", "individual", "ana", "m1", 0), ("s", "individual", "ana", "m2", 1), ("s", "event", "duel", "m3", 2)], "scene_id string, kind string, key string, id string, extraction_index int")
     got = {(r.subject_key, r.subject_id, r.object_id) for r in C.resolve_claims(claims, mentions).collect()}
-    assert got == {("vin", "m2", None), ("duel", None, "m2")}
+    assert got == {("ana", "m2", None), ("duel", None, "m2")}
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "k string, seq int, v string")
     assert C.upsert_first(rows, ["k"], "seq").first().v == "x" and C.upsert_last(rows, ["k"], "seq").first().v == "y"
     staged = spark.createDataFrame([(1, "s1"), (2, "s2"), (3, None)], "i int, stage_id string")
@@ -230,20 +230,20 @@ def test_answers(spark):
     got = [r[0] for r in df.select(X.parse_scenes(F.col("x"))).collect()]
     assert [s.start_anchor for s in got[0]] == ["It was"] and not got[1] and not got[2]
     assert X.parse_scenes and models.fake_segmentation("a b\n\nc d\n\ne f\n\ng h", 2).count("<scene>") == 2
-    items = spark.createDataFrame([("s", '[{"name":" ","aliases":["","Vin"]},{"name":null},{"name":"Kel","age":"30"}]')], "scene_id string, payload string")
-    assert [(r.extraction_index, r.display_name, r.age) for r in X.explode_extractions(items, "age:string").collect()] == [(0, "Vin", None), (2, "Kel", "30")]
+    items = spark.createDataFrame([("s", '[{"name":" ","aliases":["","Ana"]},{"name":null},{"name":"Kai","age":"30"}]')], "scene_id string, payload string")
+    assert [(r.extraction_index, r.display_name, r.age) for r in X.explode_extractions(items, "age:string").collect()] == [(0, "Ana", None), (2, "Kai", "30")]
 
 
 def test_analysis(spark):
-    df = spark.createDataFrame([([(" Vin ", ["a", " a"], None, "explicit"), (None, None, "d", None)],)], "v array<struct<name:string,aliases:array<string>,description:string,certainty:string>>")
-    assert [x.name for x in df.select(A.normalized_items(F.col("v"), "individual")).first()[0]] == ["Vin"] and not df.select(A.normalized_items(F.col("v"), "event")).first()[0]
-    c = spark.createDataFrame([("vin", "loves", "elend", None, "e" * 600, None), (" ", "x", "y", None, None, None)], "subject string, relation string, object string, description string, evidence string, certainty string")
+    df = spark.createDataFrame([([(" Ana ", ["a", " a"], None, "explicit"), (None, None, "d", None)],)], "v array<struct<name:string,aliases:array<string>,description:string,certainty:string>>")
+    assert [x.name for x in df.select(A.normalized_items(F.col("v"), "individual")).first()[0]] == ["Ana"] and not df.select(A.normalized_items(F.col("v"), "event")).first()[0]
+    c = spark.createDataFrame([("ana", "loves", "otto", None, "e" * 600, None), (" ", "x", "y", None, None, None)], "subject string, relation string, object string, description string, evidence string, certainty string")
     r = A.normalized_claims(c).collect()
     assert len(r) == 1 and r[0].definition_key == "R:loves" and len(r[0].evidence) == 500
     old = spark.createDataFrame([("a", "b", "BEFORE", 0.7)], "from_id string, to_id string, type string, confidence double")
     assert tuple(A.upgraded_edges(old).first()) == ("a", "b", "R:temporal.before", 0.7, "legacy")
-    q = spark.createDataFrame([("Who did Lady Vin meet in Luthadel",)], "q string")
-    assert q.select(A.noun_phrases(F.col("q"), F.array(F.lit("luthadel")))).first()[0] == ["Lady Vin"]
+    q = spark.createDataFrame([("Who did Lady Ana meet in Northport",)], "q string")
+    assert q.select(A.noun_phrases(F.col("q"), F.array(F.lit("northport")))).first()[0] == ["Lady Ana"]
     with pytest.raises(ValueError):
         A.candidate_scope(q)
 
@@ -272,8 +272,8 @@ def test_schemas(spark):
 
 
 def test_library(spark):
-    names = spark.createDataFrame([(" Cosmere ",), ("cosmere",), ("Roshar",), (" ",)], "name string")
-    assert [r.name for r in B.create(names, spark.createDataFrame([("ROSHAR",)], "name string")).collect()] == ["Cosmere"]
+    names = spark.createDataFrame([(" Seven Isles ",), ("seven isles",), ("Vale",), (" ",)], "name string")
+    assert [r.name for r in B.create(names, spark.createDataFrame([("VALE",)], "name string")).collect()] == ["Seven Isles"]
 
 
 def test_merge_candidates(spark):
@@ -286,9 +286,9 @@ def test_merge_candidates(spark):
 def test_ask(spark):
     chunks = spark.createDataFrame([(1, [1.0, 0.0], 10, "U", None, 1, 1, "a quote")], "chunk_id int, embedding array<double>, chapter_id int, universe string, series string, book_number int, chapter_number int, snippet string")
     chapters = spark.createDataFrame([(10, "b", "U", None, 1, 1)], "chapter_id int, book_id string, universe string, series string, book_number int, chapter_number int")
-    people = spark.createDataFrame([(10, "s1", 0, "Vin")], "chapter_id int, scene_id string, scene_index int, display_name string")
+    people = spark.createDataFrame([(10, "s1", 0, "Ana")], "chapter_id int, scene_id string, scene_index int, display_name string")
     asker = R.Asker(spark, chunks, chapters, people, people.limit(0), lambda q: [1.0, 0.0], models.echo)
-    assert asker.ask("Who is the Vin?").text == "Vin: 1 mentions in b"
+    assert asker.ask("Who is the Ana?").text == "Ana: 1 mentions in b"
     assert asker.ask("Who is Nobody?").route == "NARRATIVE_QA" and "a quote" in asker.ask("why?").text
     assert asker.ask("why?", threshold=1.1).status == "NO_EVIDENCE"
     asker.embed = lambda q: 1 / 0
