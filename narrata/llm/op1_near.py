@@ -185,7 +185,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
         base.mapInPandas(_describe(shingle, K), "k long, n long, d1 long, d2 long, lanes array<long>, sig binary")
     )
     some = every.filter("n > 0 and k is not null")
-    reps = some.groupBy("d1", "d2").agg(F.min("k").alias("rep"))
+    reps = keep(some.groupBy("d1", "d2").agg(F.min("k").alias("rep")))  # a table, so that Spark can split the join of a hot digest
     nodes = keep(some.join(reps, ["d1", "d2"]).filter("k = rep").drop("rep", "d1", "d2").dropDuplicates(["k"]))
 
     def band(i):
@@ -193,8 +193,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
 
     buckets = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), band)
     bands = nodes.select(F.posexplode(buckets).alias("band", "bucket"), "k")
-    sizes = nodes.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    mates = keep(bands.join(sizes, "bucket"))
+    sizes = keep(nodes.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    mates = keep(bands.join(sizes.hint("merge"), "bucket"))
     central = mates.groupBy("k").agg(F.sum("size").alias("c"))
     known = keep(nodes.join(central, "k").select("k", "n", "c", "lanes", buckets.alias("bands")))
     texts = keep(base.join(central.select("k").hint("merge"), "k", "left_semi"))  # the same plan at every size

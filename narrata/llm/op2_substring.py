@@ -102,7 +102,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, cells_per_window: int
     shard_bits = min(bits - 8, max(4, math.ceil(math.log2(max(1, total / 6) / SHARD_CELLS))))
     low = bits - shard_bits
 
-    copies = ids.groupBy("mark").agg(F.min("k").alias("least"), F.max("k").alias("most")).filter("least < most")
+    copies = keep(ids.groupBy("mark").agg(F.min("k").alias("least"), F.max("k").alias("most")).filter("least < most"))  # a table: joins of hot digests can be split
     marks = ids.join(copies, "mark").filter("k > least").select("k", "mark").distinct()
     block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block")
     rows = base.select(block, "k", "doc_id", "text", F.lit(None).cast("string").alias("mark")).unionByName(
