@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LEAST, TARGET, MOST = 16, 48, 192
 STRICT, LOOSE = 7, 5  # bits that must be zero below and above the target size
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 10_000  # buckets are streamed: beyond that many they grow
 _GEAR = np.random.default_rng(3).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     total = base.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"]
     if total is None:
         return docs.sparkSession.createDataFrame([], schema)
-    n = max(48, math.ceil(total / bucket_bytes))
+    n = min(MOST_BUCKETS, max(48, math.ceil(total / bucket_bytes)))
     cuts = sorted(set(base.filter("doc_id is not null").approxQuantile("near", [i / n for i in range(1, n)], 1 / (8 * n))))
     if cuts:
         base = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="near", outputCol="part", handleInvalid="keep").transform(base)
@@ -109,12 +109,13 @@ def fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     base = base.select("part", "at", "doc_id", "text")
     # the first row of each bucket visits the bucket before it (the first bucket's visits the last)
     lead = base.groupBy("part").agg(F.min("at").alias("at"))
-    parts = [r["part"] for r in lead.select("part").orderBy("part").collect()]  # as many as buckets
-    before = dict(zip(parts, [parts[-1], *parts[:-1]]))
-    where = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part"))
+    parts = sorted(r["part"] for r in lead.select("part").collect())  # at most MOST_BUCKETS
+    if not parts:
+        return docs.sparkSession.createDataFrame([], schema)
+    before = docs.sparkSession.createDataFrame(list(zip(parts, [parts[-1], *parts[:-1]])), "part double, before double")
     firsts = (
         base.join(F.broadcast(lead), ["part", "at"]).groupBy("part").agg(F.min(F.struct("at", "text", "doc_id")).alias("r"))
-        .select(where.alias("part"), F.lit(1).alias("guest"), "r.at", "r.doc_id", "r.text")
+        .join(F.broadcast(before), "part").select(F.col("before").alias("part"), F.lit(1).alias("guest"), "r.at", "r.doc_id", "r.text")
     )
     rows = base.select("part", F.lit(0).alias("guest"), "at", "doc_id", "text").unionByName(firsts)
     rows = rows.repartition(max(1, len(parts)), "part").sortWithinPartitions("part", "guest", "at", "text")
