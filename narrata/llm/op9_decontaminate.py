@@ -1,7 +1,8 @@
 """Operator 9: benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are folded to lower-case (A-Z) words of letters, digits and non-ASCII
-bytes, joined by single blanks.  An item of n bytes may differ by k = max(1, n // ERROR_ONE_IN)
+Texts and test items are folded to caseless (Unicode) words of letters, digits and non-ASCII
+bytes, joined by single blanks.  A text and its upper-case form fold to the same words, also
+where upper case has other letters (ß and SS, ı and I).  An item of n bytes may differ by k = max(1, n // ERROR_ONE_IN)
 edits.  It is cut into k + 1 pieces: with at most k edits, one piece stands unchanged
 (pigeonhole), at a place that tells where the item would begin.  An Aho-Corasick automaton
 finds the exact piece hits; around each hit, Myers' bit-parallel algorithm finds the least
@@ -37,7 +38,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 o
 
 def folded(text) -> str:
     """The folded words joined by blanks, one character for each byte."""
-    return b" ".join(text.encode("utf-8", "surrogatepass").translate(FOLD).split()).decode("latin-1") if isinstance(text, str) else ""
+    return b" ".join(text.upper().casefold().encode("utf-8", "surrogatepass").translate(FOLD).split()).decode("latin-1") if isinstance(text, str) else ""
 
 
 def budget(n: int, one_in: int = ERROR_ONE_IN) -> int:

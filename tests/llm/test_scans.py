@@ -73,6 +73,22 @@ def test_contamination_matches_brute_force(spark, make_docs, prose_of):
     assert op9_decontaminate.contamination(make_docs(docs), bench.limit(0)).collect() == []
 
 
+def test_upper_case_of_accented_items(spark, make_docs):
+    items = [
+        (1, "señor, ¿cuándo volverá el niño pequeño según el acuñado diseño español? mañana, quizás, después, también allí, aquí o jamás"),
+        (2, "über die größe der straßen müssen schöne vögel fröhlich flöten; ähnliches gehört für gewöhnlich außerhalb verkündet"),
+        (3, "ο σοφός λόγος της ημέρας είναι πάντα ο πιο απλός και ο πιο δύσκολος"),
+        (4, "ışık altında kızın sıcak yastığı sırılsıklam ıslandı, kapı açıldı"),
+        (5, "niño"),
+    ]
+    texts = [t for _, t in items] + [t.upper() for _, t in items] + [t.title() for _, t in items[:2]]
+    docs = [(i, f"xx {t} yy") for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.distance for x in op9_decontaminate.contamination(make_docs(docs), bench).collect()}
+    assert got == {(i, i % 5 + 1): 0 for i in range(10)} | {(10, 1): 0, (11, 2): 0, (0, 5): 0, (5, 5): 0, (10, 5): 0}
+    assert op9_decontaminate.decontaminated(make_docs(docs), bench).count() == 0
+
+
 def test_items_come_in_blocks(spark, prose_of):
     r = random.Random(2)
     bench = spark.createDataFrame([(i, prose_of(r, 10)) for i in range(30)], "item_id long, text string")
