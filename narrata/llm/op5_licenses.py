@@ -2,8 +2,9 @@
 
 Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII bytes.  One automaton
 over the words joined by blanks finds the phrases of licence notices and the tag
-`spdx license identifier`; after a tag, the expression is read from the text itself and
-parsed (shunting-yard: WITH binds tighter than AND, AND tighter than OR; parentheses).
+`spdx license identifier`; after each tag, the expression is read from the text itself, up to
+the end of the line or the next tag, and parsed (shunting-yard: WITH binds tighter than AND,
+AND tighter than OR; parentheses).
 
 Labels: the phrases' labels, `spdx:<id>` of each licence in a well-formed expression,
 `choice` or `joint` if it holds OR or AND, and `exception:<id>` after WITH.  Score: one
@@ -11,8 +12,8 @@ minus the product of (1 - weight) over the distinct labels: 0.5 for a base phras
 another, 0.9 for a well-formed tag.
 
 Defined cases: null or empty texts have no words and no labels (empty strings, score 0,
-null places); a malformed expression (over `MAX_EXPRESSION` characters, unknown operator
-order, unbalanced) gives the label `spdx:invalid`; other columns are ignored.
+null places); a malformed expression (unknown operator order, unbalanced) gives the label
+`spdx:invalid`; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,10 +57,10 @@ MORE = {
     "end user license agreement": "eula",
 }
 TAG = "spdx license identifier"
-MAX_EXPRESSION = 1000
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TAG = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[\x20\t]*:?[\x20\t]*([^\r\n]*)", re.I)
+_TAG = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[\x20\t]*:?[\x20\t]*", re.I)
+_LINE = re.compile(rb"[^\r\n]*")
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+:-]+)")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -114,7 +115,13 @@ def evaluate(postfix: list[str]) -> set[str]:
     for t in postfix:
         if t in _RANK:
             b, a = stack.pop(), stack.pop()
-            stack.append(a | ({"exception:" + x[5:] for x in b} if t == "with" else b | {"choice" if t == "or" else "joint"}))
+            if t == "with":
+                b = {"exception:" + x[5:] for x in b}
+            else:
+                b.add("choice" if t == "or" else "joint")
+            a, b = (a, b) if len(a) >= len(b) else (b, a)
+            a |= b
+            stack.append(a)
         else:
             stack.append({"spdx:" + t})
     return stack[0]
@@ -151,9 +158,9 @@ def scan(text: str | None):
                 tagged = True
     sure = set()
     if tagged:
-        for m in _TAG.finditer(raw):
-            e = m[1].decode("utf-8", "replace")
-            p = parse(e) if len(e) <= MAX_EXPRESSION else parse(e[:MAX_EXPRESSION])
+        tags = [m.span() for m in _TAG.finditer(raw)]
+        for (_, at), (stop, _) in zip(tags, tags[1:] + [(len(raw), None)]):
+            p = parse(_LINE.match(raw, at, stop)[0].decode("utf-8", "replace"))
             sure |= evaluate(p) if p else {"spdx:invalid"}
     miss = 1.0
     for label in base | more | sure:

@@ -110,6 +110,15 @@ def test_expression_labels():
     assert op5_licenses.evaluate(op5_licenses.parse("GPL-2.0-only WITH Classpath-exception-2.0 AND MIT")) == {"spdx:gpl-2.0-only", "exception:classpath-exception-2.0", "spdx:mit", "joint"}
 
 
+def test_every_tag_of_a_line_in_full():
+    tag = "SPDX-License-Identifier:"
+    assert op5_licenses.scan(f"a.c {tag} MIT b.c {tag} GPL-2.0-only end")[5] == "spdx:gpl-2.0-only,spdx:mit"
+    assert op5_licenses.scan(f"{tag} {tag} (MIT OR ISC) {tag} MIT AND {tag} 0BSD\nZlib")[5] == "choice,spdx:0bsd,spdx:invalid,spdx:isc,spdx:mit"
+    ids = [f"LicenseRef-{i}" for i in range(30_000)]
+    for text in (" OR ".join(ids), " OR (".join(ids) + ")" * (len(ids) - 1)):
+        assert set(op5_licenses.scan(f"{tag} {text} end")[5].split(",")) == {"choice", *("spdx:" + i.lower() for i in ids)}
+
+
 def _languages(n, seed=6):
     r = random.Random(seed)
     sounds = {"en": "th wh ing er the and ough", "de": "sch ung ein ich ver ä ß", "fr": "eau oi tion que é è", "es": "ción ñ que os ado ll"}
