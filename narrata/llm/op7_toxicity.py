@@ -12,8 +12,9 @@ fitted on a training fold of its own, gives the score.
 
 Counts come from every labelled training row (crc32(doc_id as text) mod 5 in 1, 2, 3); the
 curve is fitted on at most `CALIBRATE` rows of fold 4, by ascending hash of the id.  The
-model sent to the executors holds at most `MAX_GRAMS` n-grams of 6 bytes, the most frequent
-ones (12 bytes each).
+model holds all n-grams at every size.  Up to `MAX_GRAMS` distinct ones it is fitted on the
+driver and sent to the executors (12 bytes each); beyond that it is fitted as a table, and
+the words of the texts are joined to it.  Both ways compute the same.
 
 Defined cases: null or wordless texts have no evidence (the curve at 0); null labels or ids
 don't train; several labels of one id: the largest counts; with no rows of one class, every
@@ -22,18 +23,20 @@ score is 0.  Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.llm.kernel import LOWER, Words, pieces
-from narrata.llm.store import fold_of, keep
+from narrata.llm.kernel import LOWER, PIECE, Words, pieces
+from narrata.llm.store import drop, fold_of, keep
 
 ORDER, MAX_GRAMS, CALIBRATE = 6, 4_000_000, 50_000
 MIN_COUNT, MARGIN = 3, 4.0
-_PAD = 0x20
+_PAD, _KEY = 0x20, "_op7_text"
 _FULL = np.uint64(2 ** (8 * ORDER) - 1)
 
 
@@ -123,24 +126,111 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> dict | None:
+def count_grams(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """gram, c0, c1: how often each n-gram stands in ordinary and in toxic training rows."""
     rows = docs.filter(fold_of().isin(1, 2, 3)).join(known_labels(labels).hint("merge"), "doc_id").select("toxic", "text")
-    grams = keep(
-        rows.mapInPandas(_count, "gram long, c0 long, c1 long").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    )
-    least, n = 1, grams.count()
-    if n > max_grams:
-        sizes = grams.groupBy(F.least(F.col("c0") + F.col("c1"), F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).toArrow().to_pandas()
-        fit_in = sizes[sizes["count"].cumsum() <= max_grams]
-        least = int(fit_in.c.min()) if len(fit_in) else 100_001
-    got = grams.filter(F.col("c0") + F.col("c1") >= least).toArrow()
+    return keep(rows.mapInPandas(_count, "gram long, c0 long, c1 long").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+
+
+def fit_here(grams: DataFrame) -> dict:
+    """The model as arrays on the driver."""
+    got = grams.toArrow()
     keys, c0, c1 = (got.column(c).to_numpy() for c in ("gram", "c0", "c1"))
-    if not len(keys) or not c0.sum() or not c1.sum():
-        return None
     order = np.argsort(keys.view(np.uint64))
     return fit(keys.view(np.uint64)[order], c0[order].astype(float), c1[order].astype(float))
 
 
+def _ending(n: int):
+    """The last n bytes of an n-gram."""
+    return F.col("gram").bitwiseAND(F.lit(2 ** (8 * n) - 1))
+
+
+def _discounted_table(t: DataFrame, of: dict[str, str]) -> DataFrame:
+    """`t` (gram, under, counts) with the column `of[c]` for each count c: what `_discounted` gives."""
+    once = t.agg(*(F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in of for n in (1, 2))).first()
+    same = Window.partitionBy(F.shiftright("gram", 8))
+    for c, name in of.items():
+        n1, n2 = once[f"{c}_1"], once[f"{c}_2"]
+        d = F.lit(n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
+        total, types = F.sum(c).over(same), F.count_if(F.col(c) > 0).over(same)
+        back = F.when(total > 0, d * types / F.greatest(total, F.lit(1))).otherwise(1.0)
+        t = t.withColumn(name, F.when(F.col(c) > 0, F.col(c) - d).otherwise(0.0) / F.greatest(total, F.lit(1)) + back * F.col("under"))
+    return t
+
+
+def fit_table(grams: DataFrame) -> DataFrame:
+    """gram, llr: what `fit` gives, without collecting the n-grams."""
+    levels = [grams]
+    for k in range(ORDER - 1, 0, -1):
+        levels.append(keep(levels[-1].groupBy(_ending(k).alias("gram")).agg(F.count("*").alias("c"))))
+    p, made = None, levels[1:]
+    for k in range(1, ORDER + 1):
+        t = levels[ORDER - k]
+        if p is None:
+            t = t.withColumn("under", F.lit(1 / 256))
+        else:
+            t = t.withColumn("ending", _ending(k - 1)).join(p.select(F.col("gram").alias("ending"), F.col("p").alias("under")).hint("merge"), "ending").drop("ending")
+        t = keep(t)
+        made.append(t)
+        if k < ORDER:
+            p = _discounted_table(t, {"c": "p"})
+    ratio = _discounted_table(t, {"c0": "p0", "c1": "p1"})
+    out = keep(ratio.filter(F.col("c0") + F.col("c1") >= MIN_COUNT).select("gram", (F.log("p1") - F.log("p0")).cast("float").cast("double").alias("llr")))
+    drop(*made)
+    return out
+
+
+def _words(batches):
+    """Words of each text with their number; long ones go by a digest, which has a blank so that no word is equal to it."""
+    for pdf in batches:
+        for first, held in pieces(pdf.text.tolist()):
+            w = Words(held, fold=LOWER)
+            if not len(w.start):
+                continue
+            h = w.hashes()
+            order = np.lexsort((h, w.doc))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(w.doc[order]) != 0) | (h[order][1:] != h[order][:-1])]))
+            some = order[new]
+            held = [w.buf[a:b].tobytes() for a, b in zip(w.start[some], w.end[some])]
+            word = [x if len(x) <= 32 else hashlib.sha256(x).digest() + b" " for x in held]
+            whole = [None if len(x) <= 32 else x for x in held]
+            yield pd.DataFrame({_KEY: pdf[_KEY].to_numpy()[first + w.doc[some]], "word": word, "whole": whole, "n": np.diff(np.append(new, len(order)))})
+
+
+def _grams_of_words(batches):
+    for pdf in batches:
+        held = [word if whole is None else whole for word, whole in zip(pdf.word, pdf.whole)]
+        piece = np.cumsum([len(x) for x in held]) // PIECE
+        for some in np.split(np.arange(len(held)), np.flatnonzero(np.diff(piece)) + 1) if held else ():
+            which, key = word_grams(Words([held[i] for i in some]), np.arange(len(some)))
+            yield pd.DataFrame({"word": pdf.word.to_numpy()[some[which]], "gram": key.view(np.int64)})
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_KEY, F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
+
+
+def evidence_table(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """Evidence of each text that has words, by a hash of the text: what `evidence` gives, with the model as a table.
+
+    A text that stands in several rows counts that many times above and below the line.
+    """
+    words = keep(_keyed(docs.select("text")).mapInPandas(_words, f"{_KEY} binary, word binary, whole binary, n long"))
+    grams = words.select("word", "whole").distinct().mapInPandas(_grams_of_words, "word binary, gram long")
+    known = grams.join(model.hint("merge"), "gram").groupBy("word").agg(F.sum("llr").alias("e"))
+    e, n = F.coalesce("e", F.lit(0.0)), F.col("n")
+    rows = words.join(known.hint("merge"), "word", "left")
+    out = keep(rows.groupBy(_KEY).agg((F.sum(n * e) / F.sum(n)).alias("evidence"), (F.sum(n * F.greatest(e - MARGIN, F.lit(0.0))) / F.sum(n)).alias("beyond")))
+    drop(words)
+    return out
+
+
+def with_evidence(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """`docs` with the columns evidence and beyond, 0 for texts without words."""
+    rows = _keyed(docs).join(table.hint("merge"), _KEY, "left").drop(_KEY)
+    return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("evidence", "beyond")})
+
+
 def _evidences(texts, model: dict):
     """(index of the first text, evidence) of each piece."""
     for first, held in pieces(texts):
@@ -157,27 +247,38 @@ def calibrate(docs: DataFrame, labels: DataFrame, sent, sample: int = CALIBRATE)
                 yield pd.DataFrame({"doc_id": part.doc_id, "toxic": part.toxic, "evidence": e[0], "beyond": e[1]})
 
     rows = docs.filter(fold_of() == 4).join(known_labels(labels).hint("merge"), "doc_id").select("doc_id", "toxic", "text")
-    got = rows.mapInPandas(run, "doc_id long, toxic int, evidence double, beyond double").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow().to_pandas()
+    if isinstance(sent, DataFrame):
+        rows = with_evidence(rows, sent).drop("text")
+    else:
+        rows = rows.mapInPandas(run, "doc_id long, toxic int, evidence double, beyond double")
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow().to_pandas()
     if got.toxic.nunique() < 2:
         return [0.0, 1.0], -0.5
     return _logistic(got[["evidence", "beyond"]].to_numpy(), got.toxic.to_numpy(float))
 
 
-def fitted(docs: DataFrame, labels: DataFrame):
-    """(broadcast model, slopes, intercept), or None if there is nothing to learn from."""
+def fitted(docs: DataFrame, labels: DataFrame, max_grams: int):
+    """(broadcast model or evidence table of `docs`, slopes, intercept), or None if there is nothing to learn from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = train(docs, labels)
-    if model is None:
+    grams = count_grams(docs, labels)
+    n, *each = grams.agg(F.count("*"), F.sum("c0"), F.sum("c1")).first()
+    if not all(each):
         return None
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    if n <= max_grams:
+        sent = docs.sparkSession.sparkContext.broadcast(fit_here(grams))
+    else:
+        model = fit_table(grams)
+        sent = evidence_table(docs, model)
+        drop(model)
+    drop(grams)
     return sent, *calibrate(docs, labels, sent)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence, beyond for each row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held_out = F.coalesce(fold_of() == 0, F.lit(False)).alias("held_out")
-    got = fitted(docs, labels)
+    got = fitted(docs, labels, max_grams)
     if got is None:
         zero = F.lit(0.0)
         return docs.select("doc_id", held_out, zero.alias("score"), F.lit(0).alias("predicted"), zero.alias("evidence"), zero.alias("beyond"))
@@ -189,16 +290,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[first : first + e.shape[1]].astype("Int64"), "evidence": e[0], "beyond": e[1]})
 
     p = 1 / (1 + F.exp(-(F.lit(slopes[0]) * F.col("evidence") + F.lit(slopes[1]) * F.col("beyond") + F.lit(b))))
-    out = docs.mapInPandas(run, "doc_id long, evidence double, beyond double")
+    out = with_evidence(docs, sent) if isinstance(sent, DataFrame) else docs.mapInPandas(run, "doc_id long, evidence double, beyond double")
     return out.select("doc_id", held_out, p.alias("score"), (p >= 0.5).cast("int").alias("predicted"), "evidence", "beyond")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     """Rows of `docs` that are not predicted toxic, with all their columns."""
-    got = fitted(docs, labels)
+    got = fitted(docs, labels, max_grams)
     if got is None:
         return docs
     sent, slopes, b = got
+    if isinstance(sent, DataFrame):
+        line = sent.select(_KEY, (F.lit(slopes[0]) * F.col("evidence") + F.lit(slopes[1]) * F.col("beyond") + F.lit(b)).alias("_op7_line"))
+        return _keyed(docs).join(line.hint("merge"), _KEY, "left").filter(F.coalesce("_op7_line", F.lit(b)) < 0).drop(_KEY, "_op7_line")
     at = docs.columns.index("text")
 
     def run(batches):

@@ -168,3 +168,28 @@ def test_toxicity(spark, make_docs, prose_of):
     assert sorted(x.doc_id or -1 for x in stays.collect()) == sorted(x.doc_id or -1 for x in got if not x.predicted)
     none = lab.limit(0)
     assert {x.score for x in toxicity(make_docs(rows[:5]), none).collect()} == {0.0} and without_toxic(make_docs(rows[:5]), none).count() == 5
+
+
+def test_toxicity_of_a_model_beyond_one_broadcast(spark, make_docs, prose_of):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(300):
+        w, bad = prose_of(r, r.randint(30, 80)).split(), r.random() < 0.3
+        for j in range(0, len(w), 20) if bad else ():
+            w[j] = "Grumpf" + r.choice(["", "el", "ed", "ing", "y"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    rows += [(5000, None), (5001, " "), (None, "grumpf"), (5002, rows[0][1]), (5003, "grumpfel " * 300 + "grumpf" * 500), (5003, "an the")]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, parts = (toxicity(make_docs(rows), lab, n).collect() for n in (4_000_000, 100))
+
+    def sort(rows):
+        return sorted(((x.doc_id or -1, x.held_out, x.predicted, x.score, x.evidence, x.beyond) for x in rows), key=lambda x: (x[0], x[4]))
+
+    assert len(whole) == len(parts) == len(rows) and len({x.score for x in whole}) > 200
+    for x, y in zip(sort(whole), sort(parts)):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], abs=1e-4)
+    stays = [without_toxic(make_docs(rows), lab, n) for n in (4_000_000, 100)]
+    assert stays[0].columns == stays[1].columns == make_docs([]).columns
+    a, b = (sorted(map(tuple, x.collect()), key=repr) for x in stays)
+    assert a == b and 0 < len(a) < len(rows)
