@@ -115,11 +115,11 @@ d AS (SELECT vec_id AS definition_id, label AS kind, CAST(embedding AS DOUBLE[])
 p AS (SELECT query_id, definition_id, round(1 - list_cosine_similarity(t0.e, d.e), 6) AS distance FROM t0 JOIN d USING (kind)),
 r AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(distance) OVER w <= distance * 1.10, false) AS near_miss FROM p WHERE distance < 0.9 WINDOW w AS (PARTITION BY query_id ORDER BY distance, definition_id))
 SELECT query_id, definition_id, distance, CAST(rank AS INT) AS rank, near_miss FROM r WHERE rank <= 3""")
-def catalog_matches(spark: SparkSession, folder: str) -> DataFrame:
+def catalog_matches(spark: SparkSession, folder: str, asked: str = "vec_id % 3 = 1", known: str = "vec_id % 10 = 0") -> DataFrame:
     """Nearest catalog definitions by cosine distance, and whether the second is nearly as good."""
     e = corpus.table(spark, folder, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    queries = e.filter("vec_id % 3 = 1").select(F.col("vec_id").alias("query_id"), F.col("label").alias("kind"), "embedding")
-    catalog = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("definition_id"), F.col("label").alias("definition_kind"), F.col("embedding").alias("definition_embedding"))
+    queries = e.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("label").alias("kind"), "embedding")
+    catalog = e.filter(known).select(F.col("vec_id").alias("definition_id"), F.col("label").alias("definition_kind"), F.col("embedding").alias("definition_embedding"))
     return S.catalog_matches(queries, catalog, 0.9)
 
 
@@ -130,12 +130,23 @@ n AS (SELECT query_id, arg_min(definition_id, (distance, definition_id)) AS near
 SELECT t0.query_id, t0.definition_key, coalesce(CAST(d.definition_id AS VARCHAR), CAST(near_id AS VARCHAR), 'new:' || min(t0.query_id) OVER (PARTITION BY t0.definition_key)) AS definition_id,
        CASE WHEN d.definition_id IS NOT NULL THEN 'EXACT' WHEN near_id IS NOT NULL THEN 'VECTOR' ELSE 'CREATED' END AS how
 FROM t0 LEFT JOIN d USING (definition_key) LEFT JOIN n ON n.query_id = t0.query_id""")
-def catalog_resolve(spark: SparkSession, folder: str) -> DataFrame:
+def catalog_resolve(spark: SparkSession, folder: str, asked: str = "vec_id % 3 = 1", known: str = "vec_id % 10 = 0") -> DataFrame:
     """Find or create definitions: exact key, vector match, new."""
     e = corpus.table(spark, folder, "embeddings")
-    queries = e.filter("vec_id % 3 = 1").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("R:"), F.col("vec_id") % 40).alias("definition_key"))
-    catalog = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("definition_id"), F.concat(F.lit("R:"), F.col("vec_id")).alias("definition_key"))
-    return C.find_or_create(queries, catalog, catalog_matches(spark, folder))
+    queries = e.filter(asked).select(F.col("vec_id").alias("query_id"), F.concat(F.lit("R:"), F.col("vec_id") % 40).alias("definition_key"))
+    catalog = e.filter(known).select(F.col("vec_id").alias("definition_id"), F.concat(F.lit("R:"), F.col("vec_id")).alias("definition_key"))
+    return C.find_or_create(queries, catalog, catalog_matches(spark, folder, asked, known))
+
+
+@query()
+def all_catalog_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector against every definition."""
+    return catalog_matches(spark, folder, "true", "true")
+
+
+@query()
+def all_catalog_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog_resolve(spark, folder, "true", "true")
 
 
 _FUSED = _HITS + """, v AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, 1 AS b FROM (SELECT * FROM (SELECT * FROM hits ORDER BY score DESC, chunk_id LIMIT 60) WHERE """ + _SHOWN + """ ORDER BY score DESC, chunk_id LIMIT 20)),
@@ -331,11 +342,16 @@ def coreference_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query("""t0 AS (SELECT chapter_id, (scene_index * 37) % 1009 AS start_offset, 5000 AS text_length FROM scenes WHERE scene_index < 20)
 SELECT chapter_id, start_offset, text_length, CAST(row_number() OVER w - 1 AS INT) AS scene_number, coalesce(lead(start_offset) OVER w, text_length) AS end_offset,
 lag(start_offset) OVER w IS NULL AS is_first, lead(start_offset) OVER w IS NULL AS is_last FROM t0 WINDOW w AS (PARTITION BY chapter_id ORDER BY start_offset)""")
-def scene_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    s = corpus.scenes(spark, folder).filter("scene_index < 20").select("chapter_id", (F.col("scene_index") * 37 % 1009).alias("start_offset"), F.lit(5000).alias("text_length"))
+def scene_bounds(spark: SparkSession, folder: str, some: str = "scene_index < 20") -> DataFrame:
+    s = corpus.scenes(spark, folder).filter(some).select("chapter_id", (F.col("scene_index") * 37 % 1009).alias("start_offset"), F.lit(5000).alias("text_length"))
     return L.bounds(s)
 
 
+@query()
+def all_scene_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return scene_bounds(spark, folder, "true")
+
+
 _KINDS = ("before", "after", "meets", "met_by", "overlaps", "overlapped_by", "starts", "started_by", "during", "contains", "finishes", "finished_by", "equals")
 _RELATIONS = "t0 AS (SELECT event_id AS seq, user_id AS from_id, user_id + 1 + event_id % 5 AS to_id, list_extract([" + ", ".join(f"'{k}'" for k in _KINDS) + "], CAST(event_id % 13 + 1 AS INT)) AS kind FROM events)"
 
@@ -382,8 +398,11 @@ k AS (SELECT chapter_id, id, normalized_name AS key FROM t0 UNION ALL SELECT cha
 names AS (SELECT DISTINCT chapter_id, normalized_name, substring(normalized_name, 1, 4) AS stem FROM t0)"""
 
 
-def _mentions(spark: SparkSession, folder: str) -> DataFrame:
-    m = corpus.individuals(spark, folder).filter("scene_index < 3 and length(normalized_name) > 3")
+_SOME = "scene_index < 3 and length(normalized_name) > 3"
+
+
+def _mentions(spark: SparkSession, folder: str, some: str) -> DataFrame:
+    m = corpus.individuals(spark, folder).filter(some)
     return m.select(
         "chapter_id", F.concat_ws("#", "scene_id", "extraction_index").alias("id"), (F.col("scene_index") * 100000 + F.col("extraction_index")).alias("rank"), "display_name", "normalized_name",
         F.array("display_name").alias("aliases"), F.array(F.col("normalized_name"), F.concat(F.substring("normalized_name", 1, 4), F.lit("*"))).alias("keys"),
@@ -393,16 +412,16 @@ def _mentions(spark: SparkSession, folder: str) -> DataFrame:
 @query(_KEYED + """, f AS (SELECT chapter_id, substring(normalized_name, 1, 4) AS stem, arg_min(display_name, (rank, id)) AS display_name, arg_min(normalized_name, (rank, id)) AS normalized_name, count(*) AS mention_count, min(id) AS cluster FROM t0 GROUP BY 1, 2),
 a AS (SELECT chapter_id, stem, string_agg(display_name, ',' ORDER BY r) AS aliases FROM (SELECT chapter_id, substring(normalized_name, 1, 4) AS stem, display_name, min((rank, id)) AS r FROM t0 GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT chapter_id AS scope, cluster, display_name, normalized_name, aliases, mention_count FROM f JOIN a USING (chapter_id, stem)""")
-def chapter_individuals(spark: SparkSession, folder: str) -> DataFrame:
+def chapter_individuals(spark: SparkSession, folder: str, some: str = _SOME) -> DataFrame:
     """Mentions that share a name or a stem become one entity of their chapter (here each cluster is a stem)."""
-    return C.consolidate(_mentions(spark, folder), "chapter_id").select("scope", "cluster", "display_name", "normalized_name", F.array_join("aliases", ",").alias("aliases"), "mention_count")
+    return C.consolidate(_mentions(spark, folder, some), "chapter_id").select("scope", "cluster", "display_name", "normalized_name", F.array_join("aliases", ",").alias("aliases"), "mention_count")
 
 
 @query(_KEYED + """, c AS (SELECT chapter_id, substring(normalized_name, 1, 4) AS stem, count(*) AS mention_count, min(id) AS cluster FROM t0 GROUP BY 1, 2)
 SELECT book_id AS scope, stem, count(*) AS chapters, CAST(sum(mention_count) AS BIGINT) AS mentions FROM c JOIN chapters USING (chapter_id) GROUP BY 1, 2""")
-def book_individuals(spark: SparkSession, folder: str) -> DataFrame:
+def book_individuals(spark: SparkSession, folder: str, some: str = _SOME) -> DataFrame:
     """Chapter entities to book entities by the same keys."""
-    ch = C.consolidate(_mentions(spark, folder), "chapter_id")
+    ch = C.consolidate(_mentions(spark, folder, some), "chapter_id")
     books = corpus.chapters(spark, folder).select(F.col("chapter_id").alias("scope"), "book_id", "chapter_number")
     stem = F.substring("normalized_name", 1, 4)
     rows = ch.join(books, "scope").select(
@@ -414,6 +433,16 @@ def book_individuals(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("scope", "cluster").agg(F.min(stem).alias("stem"), F.count("*").alias("chapters"), F.sum("mention_count").alias("mentions")).drop("cluster")
 
 
+@query()
+def all_chapter_individuals(spark: SparkSession, folder: str) -> DataFrame:
+    return chapter_individuals(spark, folder, "true")
+
+
+@query()
+def all_book_individuals(spark: SparkSession, folder: str) -> DataFrame:
+    return book_individuals(spark, folder, "true")
+
+
 _SAME = """t0 AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND round((1 + list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) / 2, 6) >= 0.68),
 e AS (SELECT a, b FROM t0 UNION ALL SELECT b, a FROM t0),
 r AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a)"""
@@ -530,8 +559,8 @@ def chapter_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def placed_scenes(spark: SparkSession, folder: str) -> DataFrame:
-    """Scene anchors found again in their chapter: the first words of every fifth line, some of them changed."""
-    s = corpus.scenes(spark, folder).filter("scene_index % 5 = 0")
+    """Scene anchors found again in their chapter: the first words of every line, some of them changed."""
+    s = corpus.scenes(spark, folder)
     words = F.array_join(F.slice(F.split("text", " +"), 1, 8), " ")
     anchor = F.when(F.col("scene_index") % 2 == 0, words).otherwise(F.concat(words, F.lit(" elsewhere")))
     anchors = s.groupBy("chapter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("scene_index", anchor.alias("a")))), lambda x: x.a).alias("anchors"))
@@ -564,13 +593,18 @@ def replaced_scope(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""t0 AS (SELECT DISTINCT normalized_name AS name FROM individuals WHERE length(normalized_name) = 7 AND chapter_id < 50)
 SELECT item_id, name FROM benchmark JOIN t0 ON contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || name || ' ')""")
-def known_names(spark: SparkSession, folder: str) -> DataFrame:
+def known_names(spark: SparkSession, folder: str, some: str = "length(normalized_name) = 7 and chapter_id < 50") -> DataFrame:
     """Known names in questions, whole words in any case: an equi-join on words, as names grow with the library."""
-    names = corpus.individuals(spark, folder).filter("length(normalized_name) = 7 and chapter_id < 50").select(F.col("normalized_name").alias("name")).distinct()
+    names = corpus.individuals(spark, folder).filter(some).select(F.col("normalized_name").alias("name")).distinct()
     words = corpus.table(spark, folder, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "))).alias("name"))
     return words.join(names, "name").select("item_id", "name")
 
 
+@query()
+def all_known_names(spark: SparkSession, folder: str) -> DataFrame:
+    return known_names(spark, folder, "true")
+
+
 
 # analyses, claims, telemetry
 
@@ -613,14 +647,19 @@ def triad_problems(spark: SparkSession, folder: str) -> DataFrame:
 @query("""t0 AS (SELECT user_id AS w, event_id AS id, value FROM events WHERE user_id < 40), g AS (SELECT w, id // 2000 AS grp, list(id) AS ids, max(value) / 20 AS confidence FROM t0 GROUP BY 1, 2),
 m AS (SELECT w, grp, confidence, unnest(ids) AS id FROM g WHERE confidence >= 0.75)
 SELECT a.id AS a, b.id AS b, max(a.confidence) AS confidence FROM m a JOIN m b ON a.w = b.w AND a.grp = b.grp AND a.id < b.id WHERE a.id % 5 > 0 AND b.id % 5 > 0 GROUP BY 1, 2""")
-def coreference_links(spark: SparkSession, folder: str) -> DataFrame:
+def coreference_links(spark: SparkSession, folder: str, some: str = "user_id < 40") -> DataFrame:
     """Pairs of co-referent mentions from answers by window: confident, allowed, the best confidence."""
-    e = corpus.table(spark, folder, "events").filter("user_id < 40")
+    e = corpus.table(spark, folder, "events").filter(some)
     answers = e.groupBy("user_id", F.floor(F.col("event_id") / 2000)).agg(F.collect_list("event_id").alias("mention_ids"), (F.max("value") / 20).alias("confidence")).withColumnRenamed("user_id", "window")
     allowed = e.filter("event_id % 5 > 0").select(F.col("user_id").alias("window"), F.col("event_id").alias("id"))
     return C.coreference(answers.select("window", "mention_ids", "confidence"), allowed)
 
 
+@query()
+def all_coreference_links(spark: SparkSession, folder: str) -> DataFrame:
+    return coreference_links(spark, folder, "true")
+
+
 @query("""t0 AS (SELECT l_orderkey AS job_id, count(*) AS attempted, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY 1)
 SELECT job_id, failed = attempted OR (failed >= 2 AND failed * 2 >= attempted) AS fails FROM t0""")
 def window_failures(spark: SparkSession, folder: str) -> DataFrame:
@@ -648,6 +687,14 @@ def edges_with_back_path(spark: SparkSession, folder: str) -> DataFrame:
     return G.back_paths(e, 6)
 
 
+@query()
+def all_edges_with_back_path(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over every user of every event, each a node of its own."""
+    e = corpus.table(spark, folder, "events")
+    n = e.agg(F.max("user_id") + 1).first()[0]
+    return G.back_paths(e.select(F.col("user_id").alias("from_id"), ((F.col("user_id") * 7 + 3) % n).alias("to_id")).distinct(), 6)
+
+
 @query("""t0 AS (SELECT event_id_1, event_id_2, score FROM c WHERE score >= 0.6), e AS (SELECT event_id_1 AS a, event_id_2 AS b FROM t0 UNION ALL SELECT event_id_2, event_id_1 FROM t0),
 r AS (SELECT event_id AS node, event_id AS other FROM ev UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), m AS (SELECT node, min(other) AS book_event_id FROM r GROUP BY 1)
 SELECT book_id, book_event_id, count(*) AS chapter_events, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS members FROM ev JOIN m ON node = event_id GROUP BY 1, 2""")
