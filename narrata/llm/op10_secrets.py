@@ -4,7 +4,7 @@ Base spans come from three fixed patterns (`BASE`), leftmost and non-overlapping
 The field adds spans: it tags tokens (runs of [A-Za-z0-9_+/.-] and non-ASCII bytes, and runs
 of other visible bytes) as outside, begin or inside of a secret, from their shape, their
 neighbours and features of the whole text, decoded by Viterbi.  A tagged span is added
-unless it overlaps a base span.  Spans are code points, end exclusive; a base span is the
+unless it lies within a base span.  Spans are code points, end exclusive; a base span is the
 whole match, with its keyword.
 
 There are no labelled secrets to learn from, so the field is trained on lines from a seeded
@@ -214,7 +214,7 @@ def find(held: list[bytes], field: Crf) -> list[list[tuple[int, int, int]]]:
             i = int(w.doc[j])
             o = base[w.at[i]]
             a, b = int(base[w.start[j]] - o), int(base[w.end[e]] - o)
-            if not any(s < b and a < t for s, k, t in out[i] if k < 3):
+            if not any(s <= a and b <= t for s, k, t in out[i] if k < 3):
                 out[i].append((a, 3, b))
     for spans in out:
         spans.sort()

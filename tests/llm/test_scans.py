@@ -146,6 +146,14 @@ def test_masking(make_docs):
     assert by[2].text is None and by[3].text == "plain words" and by[3].k == "x" and by[None].text == ""
 
 
+def test_secrets_around_base_spans(make_docs):
+    key = "ghp_aB3dE6gH9jK2" + "0123456789abcdef" + "Xy7Zq9Lm4T"
+    (r,) = op10_secrets.secrets(make_docs([(1, f"é see {key} now")])).collect()
+    assert r.base_spans == "hex:21:38" and any(x.startswith("crf:") and int(x.split(":")[1]) <= 6 and int(x.split(":")[2]) >= 6 + len(key) for x in r.spans.split(","))
+    (r,) = op10_secrets.masked(make_docs([(1, f"é see {key} now")])).collect()
+    assert r.text == "é see <SECRET> now"
+
+
 def test_decoding_by_parts_is_viterbi():
     r = np.random.default_rng(3)
     f = Crf(1, 3)
