@@ -172,7 +172,7 @@ def features(found: list[tuple[str, tuple]]) -> np.ndarray:
         linked = 0 if link == 0 else 1 if link < 0.3 else 2 if link < 0.8 else 3
         same = int((area, kind) == prev)
         leaf_id = _LEAF.get(leaf, 0)
-        rows.append((area, leaf_id, kind, flags, size * 4 + linked, (stop * 2 + (HINTS.search(text[:400]) is not None)) * 6 + size, leaf_id * 2 + same, area * len(KINDS) + kind, area * len(AREAS) + outer))
+        rows.append((area, leaf_id, kind, flags, size * 4 + linked, (stop * 2 + (HINTS.search(text) is not None)) * 6 + size, leaf_id * 2 + same, area * len(KINDS) + kind, area * len(AREAS) + outer))
         prev = (area, kind)
     return np.array(rows, np.int64).reshape(-1, len(SIZES)) + OFFSETS[:-1]
 

@@ -172,6 +172,12 @@ def test_decoding_by_parts_is_viterbi():
     assert tuple(f.viterbi(e, np.array([0]), count)) == max(itertools.product(range(3), repeat=5), key=score)
 
 
+def test_telling_words_late_in_a_block():
+    block = op8_html.blocks("<div><p>" + "word " * 120 + "</p></div>")
+    late = op8_html.blocks("<div><p>" + "word " * 119 + "cookies</p></div>")
+    assert len(block) == len(late) == 1 and (op8_html.features(block) != op8_html.features(late)).sum() == 1
+
+
 def test_main_text_of_generated_pages():
     field = op8_html.model()
     same = [op8_html.extract([page], field)[0] == "\n".join(main) for page, main in op8_html.examples(150, seed=31)]
