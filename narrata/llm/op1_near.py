@@ -4,33 +4,42 @@ A document's set holds its distinct shingles of five lower-cased (A-Z) words, or
 word sequence if it has fewer.  Two documents are linked if 100 * |intersection| >=
 percent * |union|; classes are the connected components.
 
-How it runs.  One pass hashes every text into a set digest and a MinHash signature (`K` values
-of 16 bits).  Documents with equal sets collapse to one node.
+How it runs.  One pass over the texts hashes each into a set digest, `bands` bucket hashes and
+a MinHash signature of `K` values of four bits.  Documents with equal sets collapse to one node.
 Nodes that agree on a whole band share a bucket.  Candidate pairs inside buckets are never
 all emitted:
 
 1. each bucket names one pivot, the member that has most bucket mates, and pairs the others
    with it; survivors of verification become links, and links components;
-2. a bucket whose members are all in one component is done; of the rest, only members
-   outside the bucket's largest component are paired with members of other components, each
-   pair in the first band it shares.
-
-Verification is BayesLSH-like.  The lowest four bits of all signature values are compared
-first, in the join; then signature batches of `BATCH` values are compared one after another, and a
-pair is dropped as soon as the posterior probability (uniform prior) that its similarity
-reaches the threshold falls below `MISS`.  Survivors are verified exactly on full sets.
-Bands have as many rows as leave at most `UNBANDED` of the pairs at the threshold unfound
-(32 bands of 7 at 0.85, 37 of 6 at 0.8); more similar pairs are found more surely.
+2. a bucket whose members are all in one component is done.  Each of the rest names the best
+   connected member outside its largest component as a fresh pivot and pairs it with the
+   members of other components; this is repeated up to `ROUNDS` times while links come in;
+3. in buckets that are open even then, members outside the largest component meet those of
+   other components, each pair in the first band it shares.  Bayesian pruning is a part of the join's
+   condition, so only pairs that survive the whole signature leave the join.
+
+Verification is BayesLSH-like: signature values are compared in growing batches (`BATCHES`; `IN_JOIN`
+in step 3), and a pair is dropped as soon as the posterior probability (uniform prior; chance agreement of
+four-bit values counted in) that its similarity reaches the threshold falls below `MISS`.
+Survivors are verified exactly on full sets.  Bands have as many rows as leave at most
+`UNBANDED` of the pairs at the threshold unfound (32 bands of 7 at 0.85, 37 of 6 at 0.8); more
+similar pairs are found more surely.  A pair at the threshold itself is lost by pruning with a
+probability of about len(BATCHES) * MISS.
+
+Step 3 compares (members outside) x (members) of a bucket where no pivot finds links, as in a
+large family of texts that all lie just under the threshold: its rows stay few, its comparisons don't.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; rows
 with a null id are not compared (component null, kept true); rows that share an id count as
-one node; equal texts with different ids are linked.  Other columns are ignored.
+one document that is linked with whatever any of its texts is linked with; repeated rows and
+equal texts with different ids are linked.  Ties between pivots go to the smallest id.  Very
+long texts are whole sets, hashed in one piece.  Other columns are ignored; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 
 import numpy as np
 import pandas as pd
@@ -42,10 +51,12 @@ from narrata.llm.kernel import LOWER, Words, mix, ngram_hash, pieces
 from narrata.llm.store import drop, keep
 
 SHINGLE, PERCENT = 5, 80
-K, BATCH, MISS, UNBANDED = 224, 32, 1e-4, 2e-5
+#: Signature values; of these, values that bands use; bits of each that are compared.
+K, BANDED, BITS = 512, 224, 4
+BATCHES, IN_JOIN, MISS, UNBANDED, ROUNDS = (64, 128, 256, 512), (64, 512), 1e-4, 2e-5, 2
 
 
-def banding(t: float, k: int = K, miss: float = UNBANDED) -> tuple[int, int]:
+def banding(t: float, k: int = BANDED, miss: float = UNBANDED) -> tuple[int, int]:
     """(bands, rows): the most rows at which a pair of similarity t shares no band with probability at most `miss`."""
     rows = max((r for r in range(1, 17) if (1 - t**r) ** (k // r) <= miss), default=1)
     return k // rows, rows
@@ -85,7 +96,18 @@ def signatures(s: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _describe(size: int, k: int):
+def band_hashes(m: np.ndarray, n_bands: int, n_rows: int) -> np.ndarray:
+    """One 64-bit hash of each band of each signature; the number of the band is a part of it."""
+    out = np.empty((len(m), n_bands), np.uint64)
+    for i in range(n_bands):
+        h = np.full(len(m), i + 1, np.uint64)
+        for j in range(n_rows):
+            h = mix(h + m[:, i * n_rows + j], 31)
+        out[:, i] = h
+    return out
+
+
+def _describe(size: int, n_bands: int, n_rows: int):
     def run(batches):
         for pdf in batches:
             for first, held in pieces(pdf.text.tolist()):
@@ -94,32 +116,33 @@ def _describe(size: int, k: int):
                 n = np.bincount(doc, minlength=w.n)
                 full = np.flatnonzero(n)
                 d = np.zeros((2, w.n), np.int64)
-                sig, lanes = [None] * w.n, np.zeros((w.n, k // 16), np.int64)
+                bands, lanes = np.zeros((w.n, n_bands), np.int64), np.zeros((w.n, K * BITS // 64), np.int64)
                 if len(full):
                     starts = np.searchsorted(doc, full)
                     with np.errstate(over="ignore"):
                         for j in (0, 1):
                             d[j, full] = np.add.reduceat(mix(s, 11 + j), starts).view(np.int64)
-                    m = signatures(s, starts, k)
+                        m = signatures(s, starts, K)
+                        bands[full] = band_hashes(m, n_bands, n_rows).view(np.int64)
                     low = (m & 15).astype(np.uint8)
-                    lanes[full] = (low[:, 0::2] | low[:, 1::2] << 4).view(np.int64)
-                    for i, row in zip(full, m):
-                        sig[i] = row.tobytes()
+                    lanes[full] = np.ascontiguousarray(low[:, 0::2] | low[:, 1::2] << 4).view(np.int64)
+                at = slice(first, first + w.n)
                 yield pd.DataFrame({
-                    "k": pdf.k.iloc[first : first + w.n].to_numpy(), "n": n.astype(np.int64), "d1": d[0], "d2": d[1],
-                    "lanes": list(lanes), "sig": sig,
+                    "k": pdf.k.iloc[at].array, "t": pdf.t.iloc[at].to_numpy(), "n": n.astype(np.int64), "d1": d[0], "d2": d[1],
+                    "lanes": list(lanes), "bands": list(bands),
                 })
 
     return run
 
 
-def least_matches(t: float, batch: int, k: int, miss: float) -> list[int]:
+def least_matches(t: float, batches: tuple[int, ...], bits: int, miss: float) -> list[int]:
     """For each number of compared values: fewest matches with posterior P(similarity >= t) >= miss."""
     x = (np.arange(20_000) + 0.5) / 20_000
+    p_match = x + (1 - x) / 2**bits
     out = []
-    for n in range(batch, k + 1, batch):
+    for n in batches:
         for m in range(n + 1):
-            logp = m * np.log(x) + (n - m) * np.log1p(-x)
+            logp = m * np.log(p_match) + (n - m) * np.log1p(-p_match)
             p = np.exp(logp - logp.max())
             if p[x >= t].sum() >= miss * p.sum():
                 break
@@ -127,34 +150,6 @@ def least_matches(t: float, batch: int, k: int, miss: float) -> list[int]:
     return out
 
 
-def _lane_limit(t: float, k: int, miss: float) -> int:
-    """Most differing four-bit values of k with P(that many or more | similarity t) >= miss."""
-    p, tail = (1 - t) * 15 / 16, 0.0
-    for d in range(k, -1, -1):
-        tail += math.comb(k, d) * p**d * (1 - p) ** (k - d)
-        if tail >= miss:
-            return d
-    return k
-
-
-def _bayes(t: float, batch: int, k: int, miss: float):
-    def run(batches):
-        least = least_matches(t, batch, k, miss)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.frombuffer(b"".join(pdf.sa), np.uint16).reshape(-1, k)
-            y = np.frombuffer(b"".join(pdf.sb), np.uint16).reshape(-1, k)
-            alive, seen = np.arange(len(pdf)), np.zeros(len(pdf), np.int64)
-            for i, m in enumerate(least):
-                j = slice(i * batch, (i + 1) * batch)
-                seen = seen + (x[alive, j] == y[alive, j]).sum(1)
-                alive, seen = alive[seen >= m], seen[seen >= m]
-            yield pdf[["a", "b"]].iloc[alive]
-
-    return run
-
-
 def _exact(size: int, percent: int):
     def run(batches):
         for pdf in batches:
@@ -176,75 +171,120 @@ def _exact(size: int, percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
-    t = percent / 100
-    n_bands, n_rows = banding(t)
-    base = docs.select(F.col("doc_id").cast("long").alias("k"), "text")
-    every = keep(
-        base.mapInPandas(_describe(shingle, K), "k long, n long, d1 long, d2 long, lanes array<long>, sig binary")
-    )
-    some = every.filter("n > 0 and k is not null")
-    reps = keep(some.groupBy("d1", "d2").agg(F.min("k").alias("rep")))  # a table, so that Spark can split the join of a hot digest
-    nodes = keep(some.join(reps, ["d1", "d2"]).filter("k = rep").drop("rep", "d1", "d2").dropDuplicates(["k"]))
+def _most_different(percent: int, batches: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(compared values, most of them that may differ) for each batch."""
+    return [(n, n - m) for n, m in zip(batches, least_matches(percent / 100, batches, BITS, MISS))]
+
 
-    def band(i):
-        return F.xxhash64(i, F.substring(F.col("sig"), i * (2 * n_rows) + 1, F.lit(2 * n_rows)))
+def _bayes(percent: int):
+    def run(batches):
+        steps = _most_different(percent, BATCHES)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v = np.bitwise_xor(np.stack(pdf.la), np.stack(pdf.lb)).view(np.uint8)
+            v = (v | v >> 2) & 0x33
+            differs = (v | v >> 1) & 0x11  # one bit for each of the two values of a byte
+            alive, seen, at = np.arange(len(pdf)), np.zeros(len(pdf), np.int64), 0
+            for n, most in steps:
+                seen = seen + np.bitwise_count(differs[alive, at // 2 : n // 2]).sum(1)
+                alive, seen, at = alive[seen <= most], seen[seen <= most], n
+            yield pdf[["a", "b"]].iloc[alive]
+
+    return run
 
-    buckets = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), band)
-    bands = nodes.select(F.posexplode(buckets).alias("band", "bucket"), "k")
-    sizes = keep(nodes.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
-    mates = keep(bands.join(sizes.hint("merge"), "bucket"))
-    central = mates.groupBy("k").agg(F.sum("size").alias("c"))
-    known = keep(nodes.join(central, "k").select("k", "n", "c", "lanes", buckets.alias("bands")))
-    texts = keep(base.join(central.select("k").hint("merge"), "k", "left_semi"))  # the same plan at every size
 
-    most = _lane_limit(t, K, MISS)
+def _may_link(percent: int):
+    """The same test of two rows x, y (n, lanes) as a condition of a join; the sizes must allow a link, too."""
+    each = 64 // BITS
+    ones = F.lit(0x1111111111111111)
 
-    def differ(x: str, y: str):
+    def differ(n: int):
         total = F.lit(0)
-        for i in range(K // 16):
-            v = F.col(f"{x}.lanes")[i].bitwiseXOR(F.col(f"{y}.lanes")[i])
+        for i in range(n // each):
+            v = F.col("x.lanes")[i].bitwiseXOR(F.col("y.lanes")[i])
             v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
-            v = v.bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(F.lit(0x1111111111111111))
-            total = total + F.bit_count(v)
+            total = total + F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(ones))
         return total
 
-    near = lambda x, y: (differ(x, y) <= most) & (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        sig = nodes.select("k", "sig")
-        signed = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-        left = keep(signed.mapInPandas(_bayes(t, BATCH, K, MISS), "a long, b long"))
-        full = left.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        out = keep(full.mapInPandas(_exact(shingle, percent), "a long, b long").distinct())
-        drop(pairs, left)
-        return out
-
-    near_by = mates.join(known, "k")
-    pivots = near_by.groupBy("bucket").agg(F.max(F.struct("c", (-F.col("k")).alias("neg"), "n", "lanes")).alias("p"))
-    pivots = pivots.select("bucket", (-F.col("p.neg")).alias("k"), "p.n", "p.lanes")
-    stars = near_by.select("bucket", "k", "n", "lanes").alias("x").join(pivots.alias("y"), "bucket").filter((F.col("x.k") != F.col("y.k")) & near("x", "y"))
-    links = verified(stars.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")))
-
-    comp = keep(components(links))
-    placed = keep(mates.join(comp.toDF("k", "component"), "k", "left").withColumn("component", F.coalesce("component", "k")))
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("m", "component")).component.alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    split = placed.join(main.select("bucket", "main"), "bucket").join(known.drop("c"), "k")
-    first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
-    x, y = split.filter("component <> main").alias("x"), split.alias("y")
-    cross = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter(
-        (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.k") < F.col("y.k"))) & near("x", "y") & first_shared
+    out = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    for n, most in _most_different(percent, IN_JOIN):
+        out = out & (differ(n) <= most)
+    return out
+
+
+def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
+    n_bands, n_rows = banding(percent / 100)
+    base = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("t"), "text")
+    every = keep(
+        base.mapInPandas(_describe(shingle, n_bands, n_rows), "k long, t long, n long, d1 long, d2 long, lanes array<long>, bands array<long>")
     )
-    more = verified(cross.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")))
-    final = keep(components(links.unionByName(more)))
-    drop(mates, known, placed, comp, texts, links, more)
+    some = every.filter("n > 0 and k is not null")
+    # A node is one text of one id, (k, t), and stands for all rows of its digest.
+    reps = keep(some.groupBy("d1", "d2").agg(F.min(F.struct("k", "t")).alias("u")))  # a table, so that Spark can split the join of a hot digest
+    nodes = some.join(reps, ["d1", "d2"]).filter((F.col("k") == F.col("u.k")) & (F.col("t") == F.col("u.t")))
+    nodes = keep(nodes.select("u", "n", "lanes", "bands").dropDuplicates(["u"]))
+    texts_of_ids = some.groupBy("k").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high").select("k")
+    same_id = keep(some.join(texts_of_ids, "k").join(reps, ["d1", "d2"]).select(F.col("k").alias("a"), F.col("u.k").alias("b")).filter("a <> b").distinct())
+
+    in_bands = nodes.select(F.posexplode("bands").alias("band", "bucket"), "u")
+    sizes = keep(in_bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    mates = keep(in_bands.join(sizes.hint("merge"), "bucket"))
+    known = keep(nodes.join(mates.groupBy("u").agg(F.sum("size").alias("c")), "u"))
+    texts = base.select(F.struct("k", "t").alias("u"), "text").join(known.select("u").hint("merge"), "u", "left_semi")  # the same plan at every size
+    texts = keep(texts.dropDuplicates(["u"]))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b: nodes) that full sets confirm, as ids."""
+        full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), "ta", "tb")
+        return keep(full.mapInPandas(_exact(shingle, percent), "a long, b long").filter("a <> b").distinct())
+
+    def with_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Links between the members of buckets and the buckets' pivots (bucket, p)."""
+        pairs = members.join(pivots, "bucket").filter("u <> p")
+        pairs = keep(pairs.select(F.least("u", "p").alias("a"), F.greatest("u", "p").alias("b")).distinct())
+        a, b = (known.select(F.col("u").alias(c), F.col("n").alias("n" + c), F.col("lanes").alias("l" + c)).hint("merge") for c in "ab")
+        both = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        out = keep(both.select("a", "b", "la", "lb").mapInPandas(_bayes(percent), pairs.schema))
+        found = linked(out)
+        drop(pairs, out)
+        return found
+
+    def placed_in(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components of ids, and members of buckets that several components share."""
+        comp = keep(components(links))  # (node, component)
+        placed = mates.withColumn("k", F.col("u.k")).join(comp.toDF("k", "component"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+        main = parts.groupBy("bucket").agg(F.max(F.struct("m", "component")).component.alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+        return comp, keep(placed.join(main.select("bucket", "main"), "bucket").select("bucket", "band", "u", "component", "main"))
+
+    central = known.select("u", "c")
+    first = mates.join(central, "u").groupBy("bucket").agg(F.max(F.struct("c", (-F.col("u.k")).alias("i"), "u")).u.alias("p"))
+    links = with_pivots(mates.select("bucket", "u"), first).unionByName(same_id)
+    comp, left = placed_in(links)
+    for _ in range(ROUNDS):
+        fresh = left.filter("component <> main").join(central, "u").groupBy("bucket")
+        fresh = fresh.agg(F.max(F.struct("c", (-F.col("u.k")).alias("i"), "u", "component")).alias("p")).select("bucket", "p.u", "p.component")
+        others = left.join(fresh.toDF("bucket", "p", "of"), "bucket").filter("component <> of")
+        more = with_pivots(others.select("bucket", "u"), fresh.select("bucket", F.col("u").alias("p")))
+        if more.isEmpty():
+            break
+        drop(left)
+        comp, left = placed_in(comp.toDF("a", "b").unionByName(more))
+
+    of = left.join(known.select("u", "n", "lanes", "bands"), "u")
+    x, y = of.filter("component <> main").alias("x"), of.alias("y")
+    first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.u") < F.col("y.u"))
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & once & _may_link(percent) & first_shared)
+    cross = keep(cross.select(F.col("x.u").alias("a"), F.col("y.u").alias("b")))
+    final = keep(components(comp.toDF("a", "b").unionByName(linked(cross))))
+    drop(mates, sizes, known, left, texts, cross, same_id)
 
     flat = every.select("k", "n", "d1", "d2")
     out = (
-        flat.filter("n > 0 and k is not null").join(reps, ["d1", "d2"])
+        flat.filter("n > 0 and k is not null").join(reps, ["d1", "d2"]).withColumn("rep", F.col("u.k"))
         .join(final.toDF("rep", "component"), "rep", "left")
         .select("k", "n", F.coalesce("component", "rep").alias("component_id"))
         .unionByName(flat.filter("n = 0 or k is null").select("k", "n", F.col("k").alias("component_id")))
