@@ -4,8 +4,10 @@ A window is `window` consecutive words.  A word goes if some window over it has
 sequence that also starts in a document with a smaller id.  Windows are judged on the
 input.
 
-How it runs.  Texts are dealt into blocks of a bounded size by a hash of their id (one
-shuffle, reused by all three passes over the text):
+How it runs.  Rows that are the same in id and text go through as one and are multiplied again
+at the end.  Texts are dealt into blocks of a bounded size by a hash of id and text (one
+shuffle, reused by all three passes over the text), so that an id that many rows share is
+spread over the blocks:
 
 1. each block makes a partition sketch: the sorted count-min cells of its windows, coded
    as gaps (about two bytes a window), cut into shards of the cell space;
@@ -18,9 +20,15 @@ shuffle, reused by all three passes over the text):
 Whole copies of a text are found first by digest and skip the window passes: if they have
 a full window, all their words go.
 
+The sketch is a count-min sketch of depth one whose counters end at two, with
+`CELLS_PER_WINDOW` cells for each window of the corpus at every size.  A pair of block and
+shard is a row between the passes, so beyond about 1 TB those rows hold few windows each.
+
 Defined cases: a null text has no words; a null id counts as larger than all others; rows
-that share an id are judged one by one and never against each other; fewer words than a
-window: nothing is removed.  Columns other than doc_id and text are ignored.
+that share an id are judged one by one and never against each other; repeated rows have the
+same result each; fewer words than a window: nothing is removed.  A very long text is a block
+of its own and is read whole.  Columns other than doc_id and text are ignored; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -60,7 +68,7 @@ def _sources(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         known = set(zip(marks.k, marks.mark))
         for i in np.flatnonzero(rows.k.isin(set(marks.k)).to_numpy()):
             t = rows.text[i]
-            copy[i] = isinstance(t, str) and (rows.k[i], hashlib.md5(t.encode()).hexdigest()) in known
+            copy[i] = isinstance(t, str) and (rows.k[i], hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()) in known
     return rows, copy
 
 
@@ -94,19 +102,28 @@ def _decode(b: bytes) -> np.ndarray:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, cells_per_window: int = CELLS_PER_WINDOW, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if `texts`, kept_text for each row of `docs` (doc_id, text)."""
-    base = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.col("text"))
-    ids = keep(base.select("k", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("mark"), F.octet_length("text").alias("b")))
+    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.col("text"))
+    ids = keep(base.select("k", md5.alias("mark"), F.octet_length("text").alias("b")))
     total = ids.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()["b"]
     blocks = max(64, math.ceil(total / BLOCK_BYTES))
-    bits = min(40, max(20, math.ceil(math.log2(max(1, total / 6) * cells_per_window))))
+    bits = min(60, max(20, math.ceil(math.log2(max(1, total / 6) * cells_per_window))))  # cells are the first bits of a 64-bit hash
+    block_of = lambda mark: F.pmod(F.xxhash64("k", mark), F.lit(blocks)).cast("int").alias("block")
+    again = keep(ids.groupBy("k", "mark").agg(F.count("*").alias("times")).filter("times > 1"))
+    repeats = not again.isEmpty()
+    if repeats:
+        marked = base.withColumn("again", md5)
+        same = (F.col("k") == F.col("ak")) & (F.col("again") == F.col("mark"))
+        of = again.select(F.col("k").alias("ak"), "mark").hint("merge")
+        one = marked.join(of, same, "left_semi").dropDuplicates(["k", "again"])
+        base = marked.join(of, same, "left_anti").unionByName(one).select("doc_id", "k", "text")
     shard_bits = min(bits - 8, max(4, math.ceil(math.log2(max(1, total / 6) / SHARD_CELLS))))
     low = bits - shard_bits
 
     copies = keep(ids.groupBy("mark").agg(F.min("k").alias("least"), F.max("k").alias("most")).filter("least < most"))  # a table: joins of hot digests can be split
     marks = ids.join(copies, "mark").filter("k > least").select("k", "mark").distinct()
-    block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block")
-    rows = base.select(block, "k", "doc_id", "text", F.lit(None).cast("string").alias("mark")).unionByName(
-        marks.select(block, "k", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "mark")
+    rows = base.select(block_of(md5), "k", "doc_id", "text", F.lit(None).cast("string").alias("mark")).unionByName(
+        marks.select(block_of(F.col("mark")), "k", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "mark")
     )
 
     def sketch(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +154,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, cells_per_window: int
 
     def suspects(pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(said):
-            return pd.DataFrame({"h": [], "g": [], "k": []}).astype({"h": "int64", "g": "int32", "k": "int64"})
+            return pd.DataFrame({"h": [], "g": [], "k": [], "block": []}).astype({"h": "int64", "g": "int32", "k": "int64", "block": "int32"})
         rows_, copy = _sources(pdf)
         cells, _ = _cells(rows_, copy, window, bits)
         said = said.sort_values("shard")
@@ -150,12 +167,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, cells_per_window: int
             i = np.minimum(np.searchsorted(cells, cell), max(0, len(cells) - 1))
             hit = cells[i] == cell if len(cells) else np.zeros(len(cell), bool)
             out.append(pd.DataFrame({"h": h[hit].view(np.int64), "g": g[hit], "k": ks[first + doc[hit]]}).drop_duplicates())
-        return pd.concat(out)
+        return pd.concat(out).assign(block=pdf.block.iloc[0])
 
-    flagged = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(suspects, "h long, g int, k long")
+    flagged = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(suspects, "h long, g int, k long, block int")
     flagged = keep(flagged)
     least = flagged.groupBy("h", "g").agg(F.min("k").alias("least"), F.max("k").alias("most")).filter("least < most")
-    gone = flagged.join(least, ["h", "g"]).filter("k > least").select(block, "k", "h", "g")
+    gone = flagged.join(least, ["h", "g"]).filter("k > least").select("block", "k", "h", "g")
 
     def remove(pdf: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
         rows_, copy = _sources(pdf)
@@ -184,11 +201,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, cells_per_window: int
                     np.add.at(cover, s + window, -1)
                     kept = list(itertools.compress(words, (np.cumsum(cover[:n]) == 0).tolist()))
                 joined = b" ".join(kept)
-                out.append((rows_.doc_id[first + i], n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if texts else None))
-        pdf = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                mark = hashlib.md5(raw[:-1]).hexdigest() if repeats else None
+                out.append((rows_.doc_id[first + i], n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace") if texts else None, mark))
+        pdf = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "mark"])
         return pdf.astype({"doc_id": "Int64"})
 
     out = rows.groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(
-        remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+        remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, mark string"
     )
-    return out if texts else out.drop("kept_text")
+    if repeats:
+        out = out.withColumn("k", F.coalesce("doc_id", F.lit(LAST))).join(again.hint("merge"), ["k", "mark"], "left")
+        out = out.withColumn("one", F.explode(F.array_repeat(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts)
