@@ -8,30 +8,38 @@ edit moves only the chunks near it.  The fingerprint lists the text's distinct c
 over the bytes of the smaller chunk set.
 
 The edited text of a row needs the text of its neighbour in descending order of ids.  Rows
-are dealt by ranges of ids into buckets (one shuffle), sorted, and streamed; each bucket also
-receives, as a guest, the first row of the next bucket.
+are dealt by ranges of ids into buckets of about `BUCKET_BYTES` at every size of the table (one
+shuffle), sorted, and streamed; each bucket also receives, as a guest, the first row of the
+next bucket.  Quantiles cut the ids into at most `PARTS` ranges; each range is cut evenly into
+as many buckets as its share of the bytes needs.  An id that fills whole ranges by itself, and
+the rows without an id, are cut by a hash of the text.
 
 Defined cases: null texts are empty; the fingerprint of an empty text is empty, two empty
 fingerprints have likeness 1, an empty and a full one 0; rows with a null id come last; rows
-that share an id follow one another by text; a single row is its own neighbour; other
-columns are ignored.
+that share an id follow one another by a hash of the text, then by text; repeated rows each
+have a result; a single row is its own neighbour; a very long text is one row of its bucket and
+is cut whole; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.llm.store import keep
+
 LEAST, TARGET, MOST = 16, 48, 192
 STRICT, LOOSE = 7, 5  # bits that must be zero below and above the target size
-BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 10_000  # buckets are streamed: beyond that many they grow
+BUCKET_BYTES, PARTS = 64_000_000, 2048
+EXACT = 2**53  # ids beyond it aren't told apart as doubles
 _GEAR = np.random.default_rng(3).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -92,45 +100,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def bucketed(docs: DataFrame, total: int, nulls: float, least: float, most: float, bucket_bytes: int) -> DataFrame:
+    """`docs` (at, h, ...) with part and sub: the bucket of a row; buckets in order of (part, sub) follow the order of (at, h).
+
+    total: bytes of text; nulls: share of the rows without an id; least, most: outer values of near.
+    """
+    spark = docs.sparkSession
+    n = min(PARTS, max(48, math.ceil(total / bucket_bytes)))
+    each = max(1, math.ceil(total / (n * bucket_bytes)))  # buckets in a range
+    cuts = docs.filter("at is not null").approxQuantile("near", [i / n for i in range(1, n)], 1 / (8 * n))
+    often = Counter(cuts)  # a cut that comes again and again is an id with many rows
+    edges = sorted(often)
+    if edges:
+        docs = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="near", outputCol="part", handleInvalid="keep").transform(docs)
+    else:
+        docs = docs.withColumn("part", F.lit(0.0))
+    docs = docs.withColumn("part", F.when(F.col("at").isNull(), F.lit(len(edges) + 1)).otherwise(F.col("part").cast("int")))
+    ranges = [(i, lo, hi, often[lo] * each if often[lo] > 1 and abs(lo) < EXACT else 1) for i, (lo, hi) in enumerate(zip([least - 1, *edges], [*edges, most + 1]))]
+    ranges.append((len(edges) + 1, 0.0, 0.0, max(1, math.ceil(n * each * nulls))))
+    # at most PARTS + 1 rows
+    docs = docs.join(F.broadcast(spark.createDataFrame(ranges, "part int, lo double, hi double, many int")), "part")
+    by_hash = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("many"))
+    by_id = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("near") - F.col("lo")) / (F.col("hi") - F.col("lo")) * each)).otherwise(0)
+    alone = F.col("at").isNull() | ((F.col("many") > 1) & (F.col("near") == F.col("lo")))
+    sub = F.when(alone, F.least(by_hash, F.col("many") - 1)).otherwise(F.col("many") + F.least(by_id, F.lit(each - 1)))
+    return docs.withColumn("sub", sub.cast("long")).drop("lo", "hi", "many")
+
+
 def fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of `docs` (doc_id, text)."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("at", F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1))).withColumn("near", F.col("at").cast("double"))
-    total = base.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"]
-    if total is None:
+    base = base.withColumn("at", F.bitwise_not("doc_id")).withColumn("near", F.col("at").cast("double")).withColumn("h", F.xxhash64("text"))
+    total, n, known, least, most = base.agg(F.sum(F.octet_length("text")), F.count("*"), F.count("doc_id"), F.min("near"), F.max("near")).first()
+    if not n:
         return docs.sparkSession.createDataFrame([], schema)
-    n = min(MOST_BUCKETS, max(48, math.ceil(total / bucket_bytes)))
-    cuts = sorted(set(base.filter("doc_id is not null").approxQuantile("near", [i / n for i in range(1, n)], 1 / (8 * n))))
-    if cuts:
-        base = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="near", outputCol="part", handleInvalid="keep").transform(base)
-    else:
-        base = base.withColumn("part", F.lit(0.0))
-    base = base.select("part", "at", "doc_id", "text")
+    base = bucketed(base, total, 1 - known / n, least or 0.0, most or 0.0, bucket_bytes).select("part", "sub", "at", "h", "doc_id", "text")
     # the first row of each bucket visits the bucket before it (the first bucket's visits the last)
-    lead = base.groupBy("part").agg(F.min("at").alias("at"))
-    parts = sorted(r["part"] for r in lead.select("part").collect())  # at most MOST_BUCKETS
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    before = docs.sparkSession.createDataFrame(list(zip(parts, [parts[-1], *parts[:-1]])), "part double, before double")
-    firsts = (
-        base.join(F.broadcast(lead), ["part", "at"]).groupBy("part").agg(F.min(F.struct("at", "text", "doc_id")).alias("r"))
-        .join(F.broadcast(before), "part").select(F.col("before").alias("part"), F.lit(1).alias("guest"), "r.at", "r.doc_id", "r.text")
+    lead = base.groupBy("part", "sub").agg(F.min(F.struct("at", "h")).alias("first"))
+    before = Window.orderBy("part", "sub")  # one row for each bucket
+    lead = lead.withColumn("to", F.lag(F.struct("part", "sub")).over(before))
+    lead = keep(lead.withColumn("to", F.coalesce("to", F.max(F.struct("part", "sub")).over(Window.partitionBy()))))
+    firsts = (  # some 50 bytes are broadcast for each bucket of 64 MB
+        base.join(F.broadcast(lead.withColumnRenamed("part", "p").withColumnRenamed("sub", "s")), (F.col("part") == F.col("p")) & (F.col("sub") == F.col("s")) & F.col("at").eqNullSafe(F.col("first.at")) & (F.col("h") == F.col("first.h")))
+        .groupBy("to").agg(F.min(F.struct("text", "at", "h", "doc_id")).alias("r"))
+        .select("to.part", "to.sub", F.lit(1).alias("guest"), "r.at", "r.h", "r.doc_id", "r.text")
     )
-    rows = base.select("part", F.lit(0).alias("guest"), "at", "doc_id", "text").unionByName(firsts)
-    rows = rows.repartition(max(1, len(parts)), "part").sortWithinPartitions("part", "guest", "at", "text")
+    rows = base.select("part", "sub", F.lit(0).alias("guest"), "at", "h", "doc_id", "text").unionByName(firsts)
+    rows = rows.repartitionByRange(lead.count(), "part", "sub").sortWithinPartitions("part", "sub", "guest", "at", "h", "text")
 
     def run(batches):
         held, out = None, []  # the row before, with its chunks
         for pdf in batches:
-            for part, guest, doc, text in zip(pdf.part, pdf.guest, pdf.doc_id.astype("Int64"), pdf.text):
+            for bucket, guest, doc, text in zip(zip(pdf.part, pdf["sub"]), pdf.guest, pdf.doc_id.astype("Int64"), pdf.text):
                 c = chunks(text)
-                if held is not None and held[0] == part:
+                if held is not None and held[0] == bucket:
                     _, d, t, own = held
                     e = edited(t, text)
                     ec = chunks(e)
                     out.append((d, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(own), fingerprint(ec), likeness(own, ec), likeness(own, c)))
-                held = None if guest else (part, doc, text, c)
+                held = None if guest else (bucket, doc, text, c)
                 if len(out) >= 500:
                     yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
                     out = []
