@@ -114,6 +114,13 @@ def escape_xml(c: Column) -> Column:
     return c
 
 
+def unescape_xml(c: Column) -> Column:
+    """The five named entities, decoded once."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def confidence(c: Column) -> Column:
     """Into [0, 1]; null, NaN and infinities become 0."""
     c = c.cast("double")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: texts that a model is given at once.
+BATCH = 32
 Embed = Callable[[str], list[float]]
 Generate = Callable[[str, str], str]
 
@@ -23,16 +25,25 @@ def fake_embedding(text: str | None, size: int = 128) -> list[float]:
     return (v / np.linalg.norm(v)).tolist()
 
 
-def embedding(c: Column, embed_batch=None, size: int = 128) -> Column:
-    """Embeddings of a text column; embed_batch takes a list of texts and returns as many vectors of `size`."""
+def embedding(c: Column, embed_batch=None, size: int = 128, batch_size: int = BATCH) -> Column:
+    """Embeddings of a text column; embed_batch takes at most `batch_size` texts and returns as many vectors of `size`.
+
+    Blank texts are not sent and have no embedding.
+    """
     batch = embed_batch or (lambda texts: [fake_embedding(t, size) for t in texts])
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        out = batch(s.tolist())
-        if len(out) != len(s) or any(len(v) != size for v in out):
-            raise ValueError("the model returned another number or size of vectors")
-        return pd.Series(out)
+        sent = [i for i, t in enumerate(s) if isinstance(t, str) and t.strip()]
+        out: list = [None] * len(s)
+        for i in range(0, len(sent), batch_size):
+            part = sent[i : i + batch_size]
+            got = batch([s.iloc[j] for j in part])
+            if len(got) != len(part) or any(len(v) != size for v in got):
+                raise ValueError("the model returned another number or size of vectors")
+            for j, v in zip(part, got):
+                out[j] = v
+        return pd.Series(out, dtype=object)
 
     return run(c)
 

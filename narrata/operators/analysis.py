@@ -69,10 +69,14 @@ def definitions(catalog: DataFrame, signatures: DataFrame, variants: DataFrame)
     return catalog.join(s, "definition_id", "left").join(v, "definition_id", "left")
 
 
-def to_embed(chunks: DataFrame, model: str) -> DataFrame:
-    """Chunks without an embedding, or with one of another model or content."""
-    expected = embedding_hash(model, F.col("content_hash"))
-    return chunks.withColumn("expected_hash", expected).filter(F.col("embedding").isNull() | F.col("embedding_hash").isNull() | (F.col("embedding_hash") != F.col("expected_hash")))
+def to_embed(rows: DataFrame, model: str, content: str = "content_hash", dimensions: int | None = None) -> DataFrame:
+    """Rows without an embedding, or with one of another model or content; with `dimensions` also those whose vector has another size.
+
+    content: the column that the embedding's hash is made of (a chunk's hash, an event's card); blank content is left out.
+    """
+    rows = rows.withColumn("expected_hash", embedding_hash(model, F.col(content))).filter(blank_to_null(F.col(content)).isNotNull())
+    old = F.col("embedding").isNull() | F.col("embedding_hash").isNull() | (F.col("embedding_hash") != F.col("expected_hash"))
+    return rows.filter(old | (F.size("embedding") != dimensions) if dimensions else old)
 
 
 def embed_distinct(rows: DataFrame, text: str, embed) -> DataFrame:
@@ -108,3 +112,25 @@ def linked_either_way(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs (a, b) between which an edge runs in either direction."""
     both = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))).distinct()
     return pairs.join(both, ["a", "b"], "left_semi")
+
+
+def linked_counts(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, n): how many edges run from a to b, for each of the pairs."""
+    n = edges.groupBy(F.col("from_id").alias("a"), F.col("to_id").alias("b")).agg(F.count("*").alias("n"))
+    return pairs.select("a", "b").distinct().join(n, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def records_of(records: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """(record_id, key, there): does each record belong to each owner it is asked for? records: record_id and the owner's key."""
+    have = records.select("record_id", key).distinct().withColumn("there", F.lit(True))
+    return owners.select("record_id", key).distinct().join(have, ["record_id", key], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def repeated_claims(claims: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("scene_id", "subject", "definition_key", "object")) -> DataFrame:
+    """Claims that are there already with the same content."""
+    return claims.join(known.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def rerun_scope(chapters: DataFrame, chapter_id=None, book_id=None, universe=None) -> DataFrame:
+    """Chapters that a rerun of candidate generation covers: one chapter, the chapters of a book, or those of a universe."""
+    return candidate_scope(chapters, chapter_id, book_id, universe).select("chapter_id", "book_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.functions.text import blank_to_null
+from narrata.functions.text import blank_to_null, name_keys
 from narrata.operators.graph import clusters, min_labels
 
 #: Lanes and the attributes an entity of the lane carries.
@@ -47,15 +47,62 @@ def consolidate(mentions: DataFrame, scope: str, lane: str = "individual") -> Da
     )
 
 
+def resolvable(mentions: DataFrame) -> DataFrame:
+    """Mentions (display_name, normalized_name, aliases) with their keys; those without any name are left out."""
+    keys = name_keys(F.coalesce(blank_to_null(F.col("normalized_name")), F.col("display_name")), F.col("aliases"))
+    return mentions.withColumn("keys", keys).filter(F.size("keys") > 0)
+
+
+def chapter_entities(mentions: DataFrame, lane: str = "individual") -> DataFrame:
+    """One lane's entities of every chapter, from mentions (chapter_id, id, rank, names, aliases, attributes of the lane)."""
+    out = consolidate(resolvable(mentions), "chapter_id", lane).withColumnRenamed("scope", "chapter_id")
+    return out.withColumn("id", F.concat_ws("/", F.col("chapter_id").cast("string"), F.col("cluster").cast("string")))
+
+
+def book_entities(entities: DataFrame, chapters: DataFrame, lane: str = "individual") -> DataFrame:
+    """One lane's entities of every book, from chapter entities and chapters (chapter_id, book_id).
+
+    Members are in order of name, display name, chapter and id; the first of them names the
+    entity, is its representative, and gives the chapter in which it was first seen.
+    """
+    rank = F.struct(F.col("normalized_name").isNull(), "normalized_name", F.col("display_name").isNull(), "display_name", "chapter_id")
+    rows = resolvable(entities.drop("cluster").join(chapters.select("chapter_id", "book_id"), "chapter_id")).withColumn("rank", rank)
+    out = consolidate(rows, "book_id", lane)
+    first = rows.select(F.col("id").alias("representative_id"), F.col("chapter_id").alias("first_seen_chapter_id"))
+    return out.withColumnsRenamed({"scope": "book_id", "mention_count": "chapter_count"}).join(first, "representative_id")
+
+
+def refers_to(members: DataFrame, scope: str) -> DataFrame:
+    """(item, cluster): which entity of a scope (book or chapter) each member (scope, id, names) belongs to."""
+    keyed = resolvable(members)
+    return clusters(keyed.select(F.col(scope).alias("scope"), F.col("id").alias("item"), "keys")).select("scope", "item", "cluster")
+
+
+def linked_mentions(mentions: DataFrame, links: DataFrame, scope: str) -> DataFrame:
+    """Mentions with the entity they refer to and their status: `resolved` where there is a link (scope, item, cluster), else `unresolved`."""
+    to = links.select(F.col("scope").alias(scope), F.col("item").alias("id"), F.col("cluster").alias("entity"))
+    return mentions.drop("resolution_status").join(to, [scope, "id"], "left").withColumn("resolution_status", F.when(F.col("entity").isNotNull(), "resolved").otherwise("unresolved"))
+
+
+def guarded(requests: DataFrame, scopes: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """What consolidation of each requested scope (key) says before it starts: MISSING, EMPTY or READY, with its number of members."""
+    there = scopes.select(key).distinct().withColumn("there", F.lit(True))
+    n = members.groupBy(key).agg(F.count("*").alias("members"))
+    rows = requests.select(key).distinct().join(there, key, "left").join(n, key, "left")
+    count = F.coalesce("members", F.lit(0)).cast("long")
+    return rows.select(key, F.when(F.col("there").isNull(), "MISSING").when(count == 0, "EMPTY").otherwise("READY").alias("state"), F.when(F.col("there").isNotNull(), count).otherwise(F.lit(0).cast("long")).alias("members"))
+
+
 def coreference(responses: DataFrame, allowed: DataFrame, confidence: float = MERGE_CONFIDENCE) -> DataFrame:
     """Same-event links (a, b, confidence) of responses (window, mention_ids, confidence): members of the window only, best confidence.
 
     Groups come from a model that reads three scenes, so pairs of a group are bounded by the window.
     """
-    rows = responses.filter(F.col("confidence") >= confidence).withColumn("group", F.monotonically_increasing_id())
+    rows = responses.filter(F.col("confidence") >= confidence).withColumn("group", F.sha2(F.concat_ws(",", F.array_sort("mention_ids").cast("array<string>")), 256))
+    rows = rows.groupBy("window", "group").agg(F.max("confidence").alias("confidence"), F.first("mention_ids").alias("mention_ids"))
     one = rows.select("group", "window", "confidence", F.explode(F.array_distinct("mention_ids")).alias("id")).join(allowed.select("window", "id"), ["window", "id"], "left_semi")
-    two = one.select("group", F.col("id").alias("b"))
-    return one.join(two, "group").filter("id < b").groupBy(F.col("id").alias("a"), "b").agg(F.max("confidence").alias("confidence"))
+    two = one.select("window", "group", F.col("id").alias("b"))
+    return one.join(two, ["window", "group"]).filter("id < b").groupBy(F.col("id").alias("a"), "b").agg(F.max("confidence").alias("confidence"))
 
 
 def event_entities(mentions: DataFrame, links: DataFrame, max_hops: int | None = 10) -> DataFrame:
@@ -124,6 +171,26 @@ def rewrite_scope(seeds: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(touched, "book_event_id", "left_semi").select("event_id").unionByName(seeds.select("event_id")).distinct()
 
 
+def rewrite_book_events(chapter_id, chapter_events: DataFrame, decisions: DataFrame, links: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Book events and links (event_id, book_event_id) after the events of one chapter were consolidated.
+
+    Seeds are the chapter's events and both ends of its decisions.  The scope that is written anew
+    holds every chapter event of a book event that a seed refers to.  Its links go, its clusters
+    become book events, links outside it stay, and book events that nothing refers to any more are dropped.
+    chapter_events, decisions: as for `book_events`, with chapter_id; existing: book_event_id and what `book_events` gives.
+    """
+    own = chapter_events.filter(F.col("chapter_id") == chapter_id).select("event_id")
+    ends = decisions.select(F.explode(F.array("event_id_1", "event_id_2")).alias("event_id"))
+    scope = rewrite_scope(own.unionByName(ends).distinct().join(chapter_events.select("event_id"), "event_id", "left_semi"), links)
+    inside = chapter_events.join(scope, "event_id", "left_semi")
+    both = decisions.join(scope.withColumnRenamed("event_id", "event_id_1"), "event_id_1", "left_semi").join(scope.withColumnRenamed("event_id", "event_id_2"), "event_id_2", "left_semi")
+    fresh = book_events(inside, both)
+    kept = links.join(scope, "event_id", "left_anti").select("event_id", "book_event_id")
+    new_links = kept.unionByName(fresh.select(F.explode("members").alias("event_id"), "book_event_id"))
+    stay = existing.join(kept.select("book_event_id"), "book_event_id", "left_semi").join(fresh.select("book_event_id"), "book_event_id", "left_anti")
+    return stay.select(fresh.columns).unionByName(fresh), new_links
+
+
 def resolve_claims(claims: DataFrame, mentions: DataFrame) -> DataFrame:
     """Relation claims, once for each (scene, subject, relation, object), with both ends' mention ids; events are not linked.
 
@@ -135,8 +202,13 @@ def resolve_claims(claims: DataFrame, mentions: DataFrame) -> DataFrame:
     return one.join(end("subject"), ["scene_id", "subject_kind", "subject_key"], "left").join(end("object"), ["scene_id", "object_kind", "object_key"], "left")
 
 
-def find_or_create(queries: DataFrame, catalog: DataFrame, matches: DataFrame) -> DataFrame:
-    """Definition of each query: exact key, else best vector match, else a new one, made once for each key by its first query."""
+def find_or_create(queries: DataFrame, catalog: DataFrame, matches: DataFrame, enabled: bool = True) -> DataFrame:
+    """Definition of each query: exact key, else best vector match, else a new one, made once for each key by its first query.
+
+    A catalog that is switched off refuses the call.
+    """
+    if not enabled:
+        raise RuntimeError("the relation catalog is disabled")
     best = matches.filter("rank = 1").select("query_id", F.col("definition_id").alias("near_id"))
     exact = catalog.select("definition_key", F.col("definition_id").alias("exact_id"))
     rows = queries.join(exact, "definition_key", "left").join(best, "query_id", "left")
@@ -146,6 +218,26 @@ def find_or_create(queries: DataFrame, catalog: DataFrame, matches: DataFrame) -
     return rows.select("query_id", "definition_key", F.coalesce(F.col("exact_id").cast("string"), F.col("near_id").cast("string"), new).alias("definition_id"), how.alias("how"))
 
 
+def touched(catalog: DataFrame, resolved: DataFrame, now) -> DataFrame:
+    """The catalog (definition_id, last_seen_at) after queries were resolved: definitions that were found are seen now."""
+    seen = resolved.filter("how <> 'CREATED'").select(F.col("definition_id").alias("seen")).distinct()
+    rows = catalog.join(seen, F.col("definition_id").cast("string") == F.col("seen"), "left")
+    return rows.withColumn("last_seen_at", F.when(F.col("seen").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("last_seen_at"))).drop("seen")
+
+
+def granted_claims(held: DataFrame, asked: DataFrame, now, stale_minutes: int = 30) -> DataFrame:
+    """Claims after a round of requests (book_id, lane, token, claimed_at): one holder for each book and lane.
+
+    A claim that is held and not stale stays; else the earliest request gets it, the smallest
+    token of equals.  Claims without a time or a lane are dropped.
+    """
+    at = F.lit(now).cast("timestamp")
+    good = held.filter("book_id is not null and lane is not null and claimed_at is not null").filter(F.col("claimed_at") >= at - F.make_dt_interval(mins=F.lit(stale_minutes)))
+    free = asked.join(good.select("book_id", "lane"), ["book_id", "lane"], "left_anti")
+    won = free.groupBy("book_id", "lane").agg(F.min(F.struct("claimed_at", "token")).alias("r")).select("book_id", "lane", "r.token", "r.claimed_at")
+    return good.select("book_id", "lane", "token", "claimed_at").unionByName(won)
+
+
 def replace_scope(current: DataFrame, fresh: DataFrame, scope: str) -> DataFrame:
     """Rows of the scopes that `fresh` covers are replaced; others stay."""
     return current.join(fresh.select(scope).distinct(), scope, "left_anti").unionByName(fresh)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import heapq
 import shutil
 import tempfile
@@ -12,15 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _own_dir() -> str:
+    d = tempfile.mkdtemp(prefix="narrata-")
+    atexit.register(shutil.rmtree, d, True)
+    return d
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed to the folder that the session names; a folder of this process only where none is named."""
+    """`df` checkpointed to the folder that the session names; a folder of this process only in a local session that names none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         d = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not d:
-            d = tempfile.mkdtemp(prefix="narrata-")
-            atexit.register(shutil.rmtree, d, True)
-        sc.setCheckpointDir(d)
+        if not d and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(d or _own_dir())
     return df.checkpoint()
 
 
@@ -28,9 +35,12 @@ def min_labels(edges: DataFrame, nodes: DataFrame, max_hops: int | None = None)
     """(node, component): smallest node id reached over undirected edges (a, b), within max_hops or in full.
 
     Without a bound, labels also jump along labels, so rounds grow with the logarithm of the
-    diameter.  Each round is checkpointed to the shared folder; minima are partial aggregates.
+    diameter.  The edges are made once, and each round is checkpointed to the shared folder; minima
+    are partial aggregates.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    once = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    once = cut(once)
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = nodes.select("node", F.col("node").alias("component"))
     rounds = 0
     while max_hops is None or rounds < max_hops:
@@ -64,7 +74,8 @@ def topological(scenes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
     """Adds `position` to scenes (scope, scene_id, chapter_rank, scene_index) by edges (scope, from_id, to_id).
 
     Kahn's algorithm with priority (chapter rank, scene index, id); what lies on a cycle follows
-    in that order.  One scope (a chapter or a book) is one task.
+    in that order.  The order is sequential within a scope, so one scope (a chapter or a book: up to some hundred
+    thousand scenes) is one task, and scopes run side by side.
     """
 
     def order(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -115,3 +126,22 @@ def back_paths(edges: DataFrame, most: int) -> DataFrame:
             break
         seen = seen.unionByName(frontier)
     return found.distinct()
+
+
+def path_counts(pairs: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(from_id, to_id, paths): walks of one to `most` edges from the end of each pair back to its start, by length; pairs without one are left out.
+
+    Walks are counted, not listed: each round joins the counts of the round before with the edges
+    and sums them, so rows stay within pairs times nodes.
+    """
+    step = edges.select(F.col("from_id").alias("x"), F.col("to_id").alias("y")).distinct()
+    pairs = pairs.select("from_id", "to_id").distinct()
+    front = pairs.select("from_id", "to_id", F.col("to_id").alias("at"), F.lit(1).cast("decimal(38,0)").alias("n"))
+    found = None
+    for _ in range(most):
+        front = cut(front.join(step, front["at"] == step.x).groupBy("from_id", "to_id", F.col("y").alias("at")).agg(F.sum("n").cast("decimal(38,0)").alias("n")))
+        back = front.filter("at = from_id").select("from_id", "to_id", "n")
+        found = back if found is None else found.unionByName(back)
+        if front.isEmpty():
+            break
+    return found.groupBy("from_id", "to_id").agg(F.sum("n").cast("long").alias("paths"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from narrata.functions.vector import distance, literal, similarity
 from narrata.operators.filters import Filters, Visibility, apply_filters, visible
 
 OVERSAMPLE, RRF, BOOST = 3, 60, 0.05
+TILE = 2048  # vectors on each side of one matrix product
 
 
 def scored(chunks: DataFrame, query: list[float]) -> DataFrame:
@@ -39,17 +42,76 @@ def rerank(results: DataFrame, entities: Column, names: Column, boost: float = B
     return results.withColumn("boosted", F.round(F.col("score") + F.lit(boost) * hits, 6)).orderBy(F.desc("boosted"), F.asc("rank"))
 
 
-def neighbours(events: DataFrame, k: int = 8, floor: float = 0.70) -> DataFrame:
-    """(source, target, score): each event's best k events of the same book, other chapter, at or above the floor.
+def similar_pairs(items: DataFrame, floor: float, k: int | None = None, tile: int = TILE) -> DataFrame:
+    """(scope, source, target, score) of items (scope, id, kind, embedding) of one scope and different kinds, score at or above the floor.
 
-    The join is on the book; with k * OVERSAMPLE candidates counted over the whole book first.
+    A scope of n items is dealt into about n / `tile` tiles by a hash of the id.  Every unordered
+    pair of tiles is one task's work: a matrix product of two blocks of bounded size, from which only pairs above
+    the floor leave, and with `k` only the best k of each item, in both directions.  Without k
+    each pair comes once (source < target).  An item whose kind is null meets every other item;
+    vectors of another dimension or without length meet none.
     """
-    a = events.select(F.col("event_id").alias("source"), "book_id", F.col("chapter_id").alias("ca"), F.col("embedding").alias("ea"))
-    b = events.select(F.col("event_id").alias("target"), "book_id", F.col("chapter_id").alias("cb"), F.col("embedding").alias("eb"))
-    pairs = a.join(b, "book_id").filter((F.col("source") != F.col("target")) & (F.col("ca") != F.col("cb")))
-    pairs = pairs.withColumn("score", F.round(similarity(F.col("ea"), F.col("eb")), 6)).filter(F.col("score") >= floor)
+    id_type = items.schema["id"].dataType.simpleString()
+    scope_type = items.schema["scope"].dataType.simpleString()
+    rows = items.filter("scope is not null and id is not null and embedding is not null").withColumn("size", F.size("embedding"))
+    counts = rows.groupBy("scope", "size").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    rows = rows.join(counts, ["scope", "size"]).select("scope", "size", "id", F.col("kind").cast("string").alias("kind"), "embedding", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("own"), "tiles")
+    left = rows.select("*", F.explode(F.sequence("own", F.col("tiles") - 1)).alias("other")).drop("tiles")
+    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns if c != "tiles"], F.explode(F.sequence(F.lit(0), "own")).alias("r_other"))
+
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        v = np.stack(pdf.embedding).astype(float)
+        length = np.linalg.norm(v, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return v / length[:, None]
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        b = b.rename(columns=lambda c: c.removeprefix("r_"))
+        if len(a) and len(b):
+            a, b = a.sort_values("id", ignore_index=True), b.sort_values("id", ignore_index=True)
+            score = np.round((1 + unit(a) @ unit(b).T) / 2, 6)
+            ia, ib = a.id.to_numpy(), b.id.to_numpy()
+            ka, kb = pd.factorize(pd.concat([a.kind, b.kind]))[0][: len(a)], pd.factorize(pd.concat([a.kind, b.kind]))[0][len(a) :]
+            good = (score >= floor) & (ia[:, None] != ib) & ((ka[:, None] != kb) | (ka[:, None] < 0))
+            if a.own.iloc[0] == b.own.iloc[0]:
+                good &= ia[:, None] < ib
+            for s, x, y, ok in ((score, ia, ib, good), (score.T, ib, ia, good.T)) if k else ((score, ia, ib, good),):
+                if k and ok.shape[1] > k:
+                    best = np.argsort(np.where(ok, -s, np.inf), axis=1, kind="stable")[:, :k]
+                    r, c = np.repeat(np.arange(len(s)), k), best.ravel()
+                    r, c = r[ok[r, c]], c[ok[r, c]]
+                else:
+                    r, c = np.nonzero(ok)
+                out.append(pd.DataFrame({"scope": a["scope"].iloc[0], "source": x[r], "target": y[c], "score": s[r, c]}))
+        return pd.concat(out) if out else pd.DataFrame({"scope": [], "source": [], "target": [], "score": []})
+
+    met = left.groupBy("scope", "size", "own", "other").cogroup(right.groupBy("r_scope", "r_size", "r_other", "r_own")).applyInPandas(meet, f"scope {scope_type}, source {id_type}, target {id_type}, score double")
+    if not k:
+        return met.select("scope", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "score")
     best = Window.partitionBy("source").orderBy(F.desc("score"), "target")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("book_id", "source", "target", "score")
+    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
+
+
+def neighbours(events: DataFrame, k: int = 8, floor: float = 0.70, dimensions: int | None = None, mode: str = "exact") -> DataFrame:
+    """(book_id, source, target, score): each event's best k events of the same book, other chapter, at or above the floor.
+
+    `exact` compares within the book.  `oversample` does as an index without filters: the k * OVERSAMPLE
+    nearest events of all books, the event itself among them, of which those of the book and of other chapters stay.  With
+    `dimensions`, events whose vector has another size are skipped.
+    """
+    if dimensions:
+        events = events.filter(F.size("embedding") == dimensions)
+    if mode == "exact":
+        rows = similar_pairs(events.select(F.col("book_id").alias("scope"), F.col("event_id").alias("id"), F.col("chapter_id").alias("kind"), "embedding").filter("kind is not null"), floor, k)
+        return rows.select(F.col("scope").alias("book_id"), "source", "target", "score")
+    if mode != "oversample":
+        raise ValueError(f"unknown mode {mode}")
+    near = similar_pairs(events.select(F.lit(0).alias("scope"), F.col("event_id").alias("id"), F.lit(None).cast("string").alias("kind"), "embedding"), 0.0, k * OVERSAMPLE - 1)
+    at = lambda name: events.select(F.col("event_id").alias(name), F.col("book_id").alias(name + "_book"), F.col("chapter_id").alias(name + "_chapter"))
+    rows = near.join(at("source"), "source").join(at("target"), "target").filter(f"source_book = target_book and source_chapter <> target_chapter and score >= {floor}")
+    best = Window.partitionBy("source").orderBy(F.desc("score"), "target")
+    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("source_book").alias("book_id"), "source", "target", "score")
 
 
 def canonical_pairs(pairs: DataFrame, *by: str) -> DataFrame:
@@ -60,7 +122,7 @@ def canonical_pairs(pairs: DataFrame, *by: str) -> DataFrame:
 def cap_pairs(pairs: DataFrame, most: int = 3) -> DataFrame:
     """Greedy by descending score within each book: a pair stays while both ends have fewer than `most` pairs.
 
-    Sequential by nature, so a book's pairs (at most k for each event) go to one task.
+    Sequential by nature, so a book's pairs (at most k for each event, some 30 bytes each) go to one task; books run side by side.
     """
 
     def greedy(pdf):
@@ -107,3 +169,9 @@ def catalog_matches(queries: DataFrame, catalog: DataFrame, threshold: float = 0
     w = Window.partitionBy("query_id").orderBy("distance", "definition_id")
     pairs = pairs.withColumn("rank", F.row_number().over(w)).withColumn("near_miss", F.coalesce(F.lead("distance").over(w) <= F.col("distance") * 1.10, F.lit(False)))
     return pairs.filter(F.col("rank") <= top).select("query_id", "definition_id", "distance", "rank", "near_miss")
+
+
+def available(entities: DataFrame) -> DataFrame:
+    """One row: how many rows there are, how many have a vector, and whether a search can find anything."""
+    n = F.count("embedding")
+    return entities.agg(F.count("*").alias("entities"), n.alias("embedded"), (n > 0).alias("available"))

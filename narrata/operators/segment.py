@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.functions.text import chunk_text
+from narrata.functions.text import chunk_text, tokens, unescape_xml
 
 #: Sizes in characters, weights of boundaries.
 SINGLE, TARGET, LEAST, MOST, OVERLAP = 1500, 800, 400, 1200, 200
@@ -160,6 +160,60 @@ def place(texts: DataFrame) -> DataFrame:
     return texts.select("chapter_id", "text", "anchors").mapInPandas(run, f"chapter_id {kind}, scene_index int, start_offset long, end_offset long, tier string")
 
 
+def placement_errors(placed: DataFrame) -> DataFrame:
+    """(chapter_id, asked, placed, error) for each chapter of `place`: NO_SCENES if no anchor was found, DROPPED if some were not, INVALID if a scene has no length; else null."""
+    bad = F.count_if(F.col("end_offset") <= F.col("start_offset"))
+    rows = placed.groupBy("chapter_id").agg(F.count("*").alias("asked"), F.count("start_offset").alias("placed"), bad.alias("bad"))
+    error = F.when(F.col("placed") == 0, "NO_SCENES").when(F.col("bad") > 0, "INVALID").when(F.col("placed") < F.col("asked"), "DROPPED")
+    return rows.select("chapter_id", "asked", "placed", error.alias("error"))
+
+
+def segments(texts: DataFrame, budget: int) -> DataFrame:
+    """(chapter_id, segment, start, text): texts (chapter_id, text) cut into pieces of at most about `budget` tokens."""
+    kind = texts.schema["chapter_id"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(c, i, a, t[a:b]) for c, t, n in zip(pdf.chapter_id, pdf.text, pdf.n) if t for i, (a, b) in enumerate(segment_spans(t, int(n), budget))]
+            yield pd.DataFrame(rows, columns=["chapter_id", "segment", "start", "text"])
+
+    return texts.select("chapter_id", "text", tokens(F.col("text")).alias("n")).mapInPandas(run, f"chapter_id {kind}, segment int, start long, text string")
+
+
+def detect_scenes(texts: DataFrame, segmenter, budget: int, attempts: int = 4) -> DataFrame:
+    """Scenes of chapters (chapter_id, text), from segments through a model's answers to bounds in the text.
+
+    segmenter(text, temperature) returns an answer in XML; an error or an answer without scenes is
+    tried again with a rising temperature.  Anchors of all segments of a chapter are placed in one go, in order.
+    """
+    def ask(s: pd.Series) -> pd.Series:
+        def one(t: str) -> str:
+            for i in range(attempts):
+                try:
+                    answer = segmenter(t, 0.2 * i)
+                except Exception:  # the model's own errors; the last attempt's is the answer's
+                    answer = ""
+                if "<scene" in answer:
+                    return answer
+            return ""
+
+        return s.map(one)
+
+    answers = segments(texts, budget).withColumn("scenes", parse_scenes(F.pandas_udf(ask, "string")(F.col("text"))))
+    flat = answers.select("chapter_id", "segment", F.posexplode("scenes").alias("at", "scene"))
+    anchors = flat.groupBy("chapter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "at", F.col("scene.start_anchor").alias("a")))), lambda x: x.a).alias("anchors"))
+    return place(texts.select("chapter_id", "text").join(anchors, "chapter_id", "left"))
+
+
+def chunk_scenes(scenes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Chunks of scenes (scene_id, text, start_offset) with offsets in the chapter; scenes that `known` chunks (scene_id) cover already are skipped."""
+    if known is not None:
+        scenes = scenes.join(known.select("scene_id").distinct(), "scene_id", "left_anti")
+    at = scenes.select("scene_id", "start_offset")
+    out = chunk(scenes.select("scene_id", "text"), "scene_id").join(at, "scene_id")
+    return out.withColumns({"start": F.col("start") + F.col("start_offset"), "end": F.col("end") + F.col("start_offset")}).drop("start_offset")
+
+
 def scene_slice(text, start, end):
     """Text of a scene, its bounds clamped into the text."""
     a = F.greatest(F.lit(0), F.least(start, F.length(text)))
@@ -170,7 +224,7 @@ def scene_slice(text, start, end):
 def parse_scenes(c):
     """Scenes of a segmentation answer (XML, perhaps in a code fence): array of structs; incomplete ones are dropped, malformed text gives none."""
     clean = F.regexp_replace(F.regexp_replace(c, r"^\s*```[a-z]*\s*|\s*```\s*$", ""), r"(?s)^[^<]*", "")
-    field = lambda x, name: F.nullif(F.trim(F.regexp_extract(x, f"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
+    field = lambda x, name: F.nullif(F.trim(unescape_xml(F.regexp_extract(x, f"(?s)<{name}>(.*?)</{name}>", 1))), F.lit(""))
     scenes = F.transform(
         F.regexp_extract_all(clean, F.lit(r"(?s)(<scene\b.*?</scene>)"), F.lit(1)),
         lambda x: F.struct(field(x, "index").try_cast("int").alias("index"), field(x, "start_anchor").alias("start_anchor"), field(x, "context_summary").alias("context_summary"), field(x, "break_reason").alias("break_reason")),

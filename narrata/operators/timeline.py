@@ -96,29 +96,105 @@ def edge_requests(analyses: DataFrame) -> DataFrame:
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One unordered pair in order of arrival: agreeing types stay, an enclosure beats an overlap, other conflicts are ambiguous."""
+    """The requests of one unordered pair in order of arrival, see `_reconciled`."""
     overlap, during = PREFIX + "overlaps", PREFIX + "during"
-    state, clashes = None, 0
+    state: dict = {}  # direction -> (type, certainty)
+    out, clashes = [], 0
     for r in pdf.sort_values("seq").itertuples(index=False):
-        if state is None:
-            state = r
-            continue
-        same_way = (state.from_id, state.to_id) == (r.from_id, r.to_id)
-        kinds = {state.temporal_type, r.temporal_type}
-        if same_way and len(kinds) == 1:
-            state = r
-        elif kinds == {overlap} or kinds == {overlap, during}:
-            state = r if r.temporal_type == during or state.temporal_type == overlap else state
+        way, new = (r.from_id, r.to_id), r.temporal_type
+        have = state.get(way) or state.get(way[::-1])
+        old = have[0] if have else None
+        raw = state.get((r.raw_from, r.raw_to))
+        if raw and raw[0] == during and r.raw_type == PREFIX + "contains":
+            kept = None
+        elif old is None or old == new or (old == overlap and new == during):
+            kept = new
         else:
+            kept = old if (old, new) == (during, overlap) else None
+        if kept is None:
             clashes += 1
-    return pd.DataFrame([{"from_id": state.from_id, "to_id": state.to_id, "temporal_type": state.temporal_type, "certainty": state.certainty, "ambiguous": clashes}])
+            out.append((*way, new, r.certainty, 0, old, r.seq))
+        else:
+            state[way] = (kept, r.certainty)
+    out += [(*way, kind, sure, clashes, None, None) for way, (kind, sure) in state.items()]
+    return pd.DataFrame(out, columns=["from_id", "to_id", "temporal_type", "certainty", "ambiguous", "existing_type", "seq"]).astype({"seq": "Int64"})
 
 
-def reconcile(requests: DataFrame) -> DataFrame:
-    """One temporal edge for each unordered pair of scenes from requests (from_id, to_id, temporal_type, certainty, seq).
+def _reconciled(requests: DataFrame) -> DataFrame:
+    """Edges and, with `seq`, refused requests.
 
-    `ambiguous` counts the requests that contradicted the edge; they don't change it.
+    Types are compared whatever their direction: an equal type or none takes the incoming edge, an
+    enclosure beats an overlap, and what contradicts is refused, as is `contains` where `during` stands in the same
+    direction.  An accepted edge is written in its own direction, so a pair may have one each way.
     """
-    rows = canonical(requests).withColumn("a", F.least("from_id", "to_id")).withColumn("b", F.greatest("from_id", "to_id"))
+    raw = requests.withColumns({"raw_from": F.col("from_id"), "raw_to": F.col("to_id"), "raw_type": F.concat(F.lit(PREFIX), _base(F.col("temporal_type")))})
+    rows = canonical(raw).withColumn("a", F.least("from_id", "to_id")).withColumn("b", F.greatest("from_id", "to_id"))
     ids = requests.schema["from_id"].dataType.simpleString()
-    return rows.groupBy("a", "b").applyInPandas(_fold, f"from_id {ids}, to_id {ids}, temporal_type string, certainty string, ambiguous long")
+    return rows.groupBy("a", "b").applyInPandas(_fold, f"from_id {ids}, to_id {ids}, temporal_type string, certainty string, ambiguous long, existing_type string, seq long")
+
+
+def reconcile(requests: DataFrame) -> DataFrame:
+    """Temporal edges from requests (from_id, to_id, temporal_type, certainty, seq), reconciled for each unordered pair of scenes.
+
+    `ambiguous` counts the requests of the pair that contradicted; they don't change an edge.
+    """
+    return _reconciled(requests).filter("seq is null").drop("seq", "existing_type")
+
+
+def ambiguous_relations(requests: DataFrame) -> DataFrame:
+    """The refused requests, in canonical form, with the type that stood against each."""
+    return _reconciled(requests).filter("seq is not null").select("seq", "from_id", "to_id", F.col("temporal_type").alias("incoming_type"), "existing_type", "certainty")
+
+
+def later(edges: DataFrame, event_id) -> DataFrame:
+    """Events that follow one along an edge."""
+    return edges.filter(F.col("from_id") == event_id).select(F.col("to_id").alias("id")).distinct()
+
+
+def earlier(edges: DataFrame, event_id) -> DataFrame:
+    """Events that one follows along an edge."""
+    return edges.filter(F.col("to_id") == event_id).select(F.col("from_id").alias("id")).distinct()
+
+
+def neighbours_of(edges: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, later, earlier): for each of `events` (id), how many events follow it along an edge and how many it follows."""
+    e = edges.select("from_id", "to_id").distinct()
+    out, into = e.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("later")), e.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("earlier"))
+    rows = events.select("id").distinct().join(out, "id", "left").join(into, "id", "left")
+    return rows.select("id", F.coalesce("later", F.lit(0)).cast("long").alias("later"), F.coalesce("earlier", F.lit(0)).cast("long").alias("earlier"))
+
+
+def scene_events(scenes: DataFrame, chapter_id=None, label: str = "Event") -> DataFrame:
+    """Scenes that carry a label (labels: array), of one chapter if it is given, in order of chapter and scene index."""
+    rows = scenes.filter(F.array_contains("labels", label))
+    if chapter_id is not None:
+        rows = rows.filter(F.col("chapter_id") == chapter_id)
+    return rows.orderBy("chapter_id", "scene_index")
+
+
+def edge_counts(scenes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chapter_id, edges): edges that leave the scenes of each chapter."""
+    n = edges.groupBy(F.col("from_id").alias("scene_id")).agg(F.count("*").alias("n"))
+    return scenes.select("chapter_id", "scene_id").join(n, "scene_id", "left").groupBy("chapter_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
+
+
+def structure(chapters: DataFrame, scenes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, name, n): counts that tell whether a library is whole: chapters and scenes, chapters without scenes, scenes without a chapter, edges by type."""
+    count = lambda df, what: df.agg(F.lit(what).alias("what"), F.lit(None).cast("string").alias("name"), F.count("*").alias("n"))
+    of = scenes.select("chapter_id")
+    parts = [
+        count(chapters, "chapters"), count(scenes, "scenes"), count(chapters.join(of, "chapter_id", "left_anti"), "empty chapters"),
+        count(scenes.join(chapters.select("chapter_id"), "chapter_id", "left_anti"), "orphan scenes"),
+        edges.groupBy(F.col("temporal_type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "name", "n"),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def boundary_pairs(scenes: DataFrame) -> DataFrame:
+    """(book_id, chapter_number, last_scene, next_chapter, first_scene) of adjacent chapters that both have scenes."""
+    ends = scenes.groupBy("book_id", "chapter_number").agg(F.max_by("scene_id", "scene_index").alias("last_scene"), F.min_by("scene_id", "scene_index").alias("first_scene"))
+    following = ends.select("book_id", F.col("chapter_number").alias("next_chapter"), (F.col("chapter_number") - 1).alias("chapter_number"), "first_scene")
+    return ends.drop("first_scene").join(following, ["book_id", "chapter_number"])

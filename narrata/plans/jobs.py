@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from narrata.operators.filters import TERMINAL
 
 
-def summaries(stages: DataFrame, last_step) -> DataFrame:
+def summaries(stages: DataFrame, last_step, order: tuple | None = None) -> DataFrame:
     """job_id, status, progress_percent, completed_at from stages (job_id, step, status, triggered_at).
 
     COMPLETE if the last step is done; else FAILED if any failed; else the first step that isn't
-    over; else COMPLETE.  Progress is whole percents, -1 if failed.
+    over; else COMPLETE.  Progress is whole percents, -1 if failed.  Steps come in their own order,
+    or in the declared one if `order` lists them (steps that it doesn't list come last).
     """
     over = F.col("status").isin(*TERMINAL)
+    rank = F.col("step")
+    if order:
+        place = F.array_position(F.array(*map(F.lit, order)), F.col("step"))
+        rank = F.when(place > 0, place).otherwise(len(order) + 1)
     done = F.max((F.col("step") == last_step) & (F.col("status") == "COMPLETED"))
     g = stages.groupBy("job_id").agg(
-        done.alias("done"), F.bool_or(F.col("status") == "FAILED").alias("failed"), F.min(F.when(~over, F.col("step"))).alias("open"),
+        done.alias("done"), F.bool_or(F.col("status") == "FAILED").alias("failed"), F.min_by("step", F.when(~over, rank)).alias("open"),
         F.count_if(over).alias("ended"), F.count("*").alias("total"), F.max(F.when(F.col("step") == last_step, F.col("triggered_at"))).alias("last_at"), F.max("triggered_at").alias("any_at"),
     )
     status = F.when(F.col("done"), F.lit("COMPLETE")).when(F.col("failed"), "FAILED").when(F.col("open").isNotNull(), F.col("open").cast("string")).otherwise("COMPLETE")
@@ -30,6 +35,17 @@ def page(jobs: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     return jobs.orderBy(F.desc_nulls_last("created_at"), "job_id").offset(offset).limit(limit)
 
 
+def page_of(jobs: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page with the total of all jobs and whether more follow; an empty page of a full list has no rows."""
+    total = jobs.agg(F.count("*").alias("total"))  # one row
+    return page(jobs, limit, offset).join(F.broadcast(total), how="cross").withColumn("has_more", F.lit(limit + offset) < F.col("total"))
+
+
+def details(stages: DataFrame, order: tuple) -> DataFrame:
+    """The stages of each job in declared order, with their place: job_id, place, step, status, attempts."""
+    return stages.select("job_id", F.array_position(F.array(*map(F.lit, order)), F.col("step")).cast("int").alias("place"), "step", "status", "attempts")
+
+
 def by_status(jobs: DataFrame, status: str | None) -> DataFrame:
     """Jobs with a status, or the ACTIVE ones; other names are refused."""
     if status is None:

@@ -39,3 +39,11 @@ def write_scope(df: DataFrame, path: str, *by: str) -> None:
 def read_catalog(spark: SparkSession, path: str | None = None, **jdbc) -> DataFrame:
     """The definition catalog from Parquet, or from a database with JDBC options."""
     return spark.read.parquet(path) if path else spark.read.format("jdbc").options(**jdbc).load()
+
+
+def write_catalog(catalog: DataFrame, path: str | None = None, **jdbc) -> None:
+    """The whole catalog to Parquet, or appended to a database with JDBC options."""
+    if path:
+        catalog.write.mode("overwrite").parquet(path)
+    else:
+        catalog.write.format("jdbc").mode("append").options(**jdbc).save()

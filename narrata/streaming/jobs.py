@@ -55,12 +55,35 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return rows.groupBy(F.window("ts", size).alias("w"), "status").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "status", "n")
 
 
-def push(states: DataFrame, send, checkpoint: str, once: bool = False):
-    """Starts a query that hands every finished job to send(dict), one by one on the driver; `once` stops after what there is."""
+def push(states: DataFrame, send, checkpoint: str, once: bool = False, alive=None):
+    """Starts a query that hands finished jobs to a sink on the driver; `once` stops after what there is.
+
+    send(dict) gets one job after another, as they stream in from the executors: a live feed has
+    one connection.  alive() is called for a micro-batch without finished jobs, so that the connection stays open.
+    """
 
     def each(df: DataFrame, _: int) -> None:
+        sent = False
         for r in df.filter(F.col("status").isin("COMPLETED", "FAILED", "SKIPPED")).toLocalIterator():
             send(r.asDict())
+            sent = True
+        if alive and not sent:
+            alive()
+
+    writer = states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def push_from_executors(states: DataFrame, connect, checkpoint: str, once: bool = False):
+    """As `push`, but every task sends its own jobs: connect() is called once a partition and returns a function that takes a dict."""
+
+    def part(rows) -> None:
+        send = connect()
+        for r in rows:
+            send(r.asDict())
+
+    def each(df: DataFrame, _: int) -> None:
+        df.filter(F.col("status").isin("COMPLETED", "FAILED", "SKIPPED")).foreachPartition(part)
 
     writer = states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if once else writer).start()
