@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from narrata import corpus, models
 from narrata.corpus import PRELUDE
 from narrata.functions import text as T
-from narrata.functions import vector as V
 from narrata.operators import analysis as A
 from narrata.operators import consolidate as C
 from narrata.operators import filters as P
@@ -105,48 +104,48 @@ def event_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return S.canonical_pairs(S.neighbours(_events(spark, folder), 8, 0.55), "book_id")
 
 
-@query()
+@query(_PAIRS + """, k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, event_id_1, event_id_2) AS n FROM c),
+g AS (SELECT DISTINCT book_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS event_id_1, CAST(NULL AS BIGINT) AS event_id_2, CAST(NULL AS DOUBLE) AS score, false AS ok FROM c
+UNION ALL SELECT book_id, n, CASE WHEN ok THEN used || [event_id_1, event_id_2] ELSE used END, event_id_1, event_id_2, score, ok FROM (
+  SELECT k.*, g.used, len(list_filter(g.used, lambda x: x = k.event_id_1)) < 3 AND len(list_filter(g.used, lambda x: x = k.event_id_2)) < 3 AS ok FROM g JOIN k ON k.book_id = g.book_id AND k.n = g.n + 1))
+SELECT book_id, event_id_1, event_id_2, score FROM g WHERE ok""")
 def capped_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy by score: a pair stays while both its ends have fewer than three."""
     return S.cap_pairs(event_candidates(spark, folder), 3)
 
 
-@query("""t0 AS (SELECT vec_id AS query_id, label AS kind, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 3 = 1),
-d AS (SELECT vec_id AS definition_id, label AS kind, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 0),
+@query("""t0 AS (SELECT vec_id AS query_id, label AS kind, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT vec_id AS definition_id, label AS kind, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT query_id, definition_id, round(1 - list_cosine_similarity(t0.e, d.e), 6) AS distance FROM t0 JOIN d USING (kind)),
 r AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(distance) OVER w <= distance * 1.10, false) AS near_miss FROM p WHERE distance < 0.9 WINDOW w AS (PARTITION BY query_id ORDER BY distance, definition_id))
 SELECT query_id, definition_id, distance, CAST(rank AS INT) AS rank, near_miss FROM r WHERE rank <= 3""")
-def catalog_matches(spark: SparkSession, folder: str, asked: str = "vec_id % 3 = 1", known: str = "vec_id % 10 = 0") -> DataFrame:
-    """Nearest catalog definitions by cosine distance, and whether the second is nearly as good."""
+def catalog_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest catalog definitions of every hundredth vector by cosine distance, and whether the second is nearly as good."""
     e = corpus.table(spark, folder, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    queries = e.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("label").alias("kind"), "embedding")
-    catalog = e.filter(known).select(F.col("vec_id").alias("definition_id"), F.col("label").alias("definition_kind"), F.col("embedding").alias("definition_embedding"))
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("kind"), "embedding")
+    catalog = e.select(F.col("vec_id").alias("definition_id"), F.col("label").alias("definition_kind"), F.col("embedding").alias("definition_embedding"))
     return S.catalog_matches(queries, catalog, 0.9)
 
 
-@query("""t0 AS (SELECT vec_id AS query_id, 'R:' || (vec_id % 40) AS definition_key, label AS kind, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 3 = 1),
-d AS (SELECT vec_id AS definition_id, 'R:' || vec_id AS definition_key, label AS kind, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 0),
+_ASKED = "CASE WHEN vec_id % 300 <> 100 THEN label END"
+
+
+@query(f"""t0 AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 300 = 0 THEN 'R:' || (vec_id + 1) ELSE 'Q:' || vec_id % 7 END AS definition_key, {_ASKED} AS kind, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT vec_id AS definition_id, 'R:' || vec_id AS definition_key, label AS kind, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT query_id, definition_id, round(1 - list_cosine_similarity(t0.e, d.e), 6) AS distance FROM t0 JOIN d USING (kind)),
 n AS (SELECT query_id, arg_min(definition_id, (distance, definition_id)) AS near_id FROM p WHERE distance < 0.9 GROUP BY 1)
 SELECT t0.query_id, t0.definition_key, coalesce(CAST(d.definition_id AS VARCHAR), CAST(near_id AS VARCHAR), 'new:' || min(t0.query_id) OVER (PARTITION BY t0.definition_key)) AS definition_id,
        CASE WHEN d.definition_id IS NOT NULL THEN 'EXACT' WHEN near_id IS NOT NULL THEN 'VECTOR' ELSE 'CREATED' END AS how
 FROM t0 LEFT JOIN d USING (definition_key) LEFT JOIN n ON n.query_id = t0.query_id""")
-def catalog_resolve(spark: SparkSession, folder: str, asked: str = "vec_id % 3 = 1", known: str = "vec_id % 10 = 0") -> DataFrame:
-    """Find or create definitions: exact key, vector match, new."""
-    e = corpus.table(spark, folder, "embeddings")
-    queries = e.filter(asked).select(F.col("vec_id").alias("query_id"), F.concat(F.lit("R:"), F.col("vec_id") % 40).alias("definition_key"))
-    catalog = e.filter(known).select(F.col("vec_id").alias("definition_id"), F.concat(F.lit("R:"), F.col("vec_id")).alias("definition_key"))
-    return C.find_or_create(queries, catalog, catalog_matches(spark, folder, asked, known))
-
-
-@query()
-def all_catalog_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Every vector against every definition."""
-    return catalog_matches(spark, folder, "true", "true")
-
-
-@query()
-def all_catalog_resolve(spark: SparkSession, folder: str) -> DataFrame:
-    return catalog_resolve(spark, folder, "true", "true")
+def catalog_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    """Find or create definitions: exact key, vector match, new (some questions are of a kind that the catalog lacks)."""
+    i = F.col("vec_id")
+    e = corpus.table(spark, folder, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    queries = e.filter(i % 100 == 0).select(
+        i.alias("query_id"), F.when(i % 300 == 0, F.concat(F.lit("R:"), i + 1)).otherwise(F.concat(F.lit("Q:"), i % 7)).alias("definition_key"), F.expr(_ASKED).alias("kind"), "embedding"
+    )
+    catalog = e.select(i.alias("definition_id"), F.concat(F.lit("R:"), i).alias("definition_key"), F.col("label").alias("definition_kind"), F.col("embedding").alias("definition_embedding"))
+    return C.find_or_create(queries.select("query_id", "definition_key"), catalog.select("definition_id", "definition_key"), S.catalog_matches(queries, catalog, 0.9))
 
 
 _FUSED = _HITS + """, v AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, 1 AS b FROM (SELECT * FROM (SELECT * FROM hits ORDER BY score DESC, chunk_id LIMIT 60) WHERE """ + _SHOWN + """ ORDER BY score DESC, chunk_id LIMIT 20)),
@@ -339,19 +338,14 @@ def coreference_windows(spark: SparkSession, folder: str) -> DataFrame:
     return L.windows(corpus.scenes(spark, folder)).withColumn("scene_ids", F.array_join("scene_ids", ","))
 
 
-@query("""t0 AS (SELECT chapter_id, (scene_index * 37) % 1009 AS start_offset, 5000 AS text_length FROM scenes WHERE scene_index < 20)
+@query("""t0 AS (SELECT chapter_id, (scene_index * 37) % 1009 AS start_offset, 5000 AS text_length FROM scenes)
 SELECT chapter_id, start_offset, text_length, CAST(row_number() OVER w - 1 AS INT) AS scene_number, coalesce(lead(start_offset) OVER w, text_length) AS end_offset,
 lag(start_offset) OVER w IS NULL AS is_first, lead(start_offset) OVER w IS NULL AS is_last FROM t0 WINDOW w AS (PARTITION BY chapter_id ORDER BY start_offset)""")
-def scene_bounds(spark: SparkSession, folder: str, some: str = "scene_index < 20") -> DataFrame:
-    s = corpus.scenes(spark, folder).filter(some).select("chapter_id", (F.col("scene_index") * 37 % 1009).alias("start_offset"), F.lit(5000).alias("text_length"))
+def scene_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    s = corpus.scenes(spark, folder).select("chapter_id", (F.col("scene_index") * 37 % 1009).alias("start_offset"), F.lit(5000).alias("text_length"))
     return L.bounds(s)
 
 
-@query()
-def all_scene_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    return scene_bounds(spark, folder, "true")
-
-
 _KINDS = ("before", "after", "meets", "met_by", "overlaps", "overlapped_by", "starts", "started_by", "during", "contains", "finishes", "finished_by", "equals")
 _RELATIONS = "t0 AS (SELECT event_id AS seq, user_id AS from_id, user_id + 1 + event_id % 5 AS to_id, list_extract([" + ", ".join(f"'{k}'" for k in _KINDS) + "], CAST(event_id % 13 + 1 AS INT)) AS kind FROM events)"
 
@@ -368,18 +362,47 @@ def canonical_relations(spark: SparkSession, folder: str) -> DataFrame:
     return L.canonical(_relations(spark, folder)).drop("certainty")
 
 
-@query()
+_FOLDED = _RELATIONS + """, q AS (SELECT *, least(from_id, to_id) AS a, greatest(from_id, to_id) AS b, kind IN ('after', 'met_by', 'overlapped_by', 'started_by', 'contains', 'finished_by') AS swap,
+  CASE WHEN kind IN ('before', 'after', 'meets', 'met_by') THEN 'before' WHEN kind LIKE 'overlap%' OR kind = 'equals' THEN 'overlaps' WHEN kind LIKE 'start%' THEN 'starts' WHEN kind IN ('during', 'contains') THEN 'during' ELSE 'finishes' END AS t FROM t0),
+w AS (SELECT *, (from_id = a) <> swap AS up, row_number() OVER (PARTITION BY a, b ORDER BY seq) AS n FROM q),
+f AS (SELECT DISTINCT a, b, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS d, 0 AS clashes, CAST(NULL AS BIGINT) AS seq, false AS up, CAST(NULL AS VARCHAR) AS t, CAST(NULL AS VARCHAR) AS old, false AS refused FROM w
+UNION ALL SELECT a, b, n, CASE WHEN kept IS NOT NULL AND up THEN kept ELSE u END, CASE WHEN kept IS NOT NULL AND NOT up THEN kept ELSE d END, clashes + CAST(kept IS NULL AS INT), seq, up, t, old, kept IS NULL FROM (
+  SELECT *, CASE WHEN kind = 'contains' AND coalesce(CASE WHEN from_id = a THEN u ELSE d END, '') = 'during' THEN NULL WHEN old IS NULL OR old = t OR (old = 'overlaps' AND t = 'during') THEN t WHEN old = 'during' AND t = 'overlaps' THEN old END AS kept FROM (
+    SELECT w.*, f.u, f.d, f.clashes, CASE WHEN w.up THEN coalesce(f.u, f.d) ELSE coalesce(f.d, f.u) END AS old FROM f JOIN w ON w.a = f.a AND w.b = f.b AND w.n = f.n + 1)))"""
+
+
+@query(_FOLDED + """, l AS (SELECT a, b, arg_max({'u': u, 'd': d, 'c': clashes}, n) AS s FROM f GROUP BY 1, 2)
+SELECT a AS from_id, b AS to_id, 'R:temporal.' || s.u AS temporal_type, 'Explicit' AS certainty, CAST(s.c AS BIGINT) AS ambiguous FROM l WHERE s.u IS NOT NULL
+UNION ALL SELECT b, a, 'R:temporal.' || s.d, 'Explicit', CAST(s.c AS BIGINT) FROM l WHERE s.d IS NOT NULL""")
 def reconciled_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """One edge each way at most for each pair, from requests in order of arrival."""
     return L.reconcile(_relations(spark, folder))
 
 
-@query()
+@query(_FOLDED + """ SELECT seq, CASE WHEN up THEN a ELSE b END AS from_id, CASE WHEN up THEN b ELSE a END AS to_id, 'R:temporal.' || t AS incoming_type, 'R:temporal.' || old AS existing_type, 'Explicit' AS certainty FROM f WHERE refused""")
+def ambiguous_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that contradicted what stood there."""
+    return L.ambiguous_relations(_relations(spark, folder))
+
+
+@query("""t0 AS (SELECT book_id, chapter_number, chapter_id, scene_index, scene_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_number, scene_index) AS prio FROM scenes JOIN chapters USING (chapter_id)),
+x AS (SELECT book_id, prio, lead(prio) OVER (PARTITION BY chapter_id ORDER BY scene_index) AS after, scene_index, chapter_id FROM t0),
+y AS (SELECT book_id, chapter_number, arg_min(prio, scene_index) AS head, arg_max(prio, scene_index) AS tail FROM t0 GROUP BY 1, 2),
+e AS (SELECT book_id, prio AS f, after AS t FROM x WHERE after IS NOT NULL UNION ALL SELECT p.book_id, p.tail, q.head FROM y p JOIN y q ON p.book_id = q.book_id AND q.chapter_number = p.chapter_number + 1),
+b AS (SELECT e.book_id, f, t, (chapter_id * 7 + scene_index) % 11 = 0 AS back, scene_index = 0 AS opens FROM e JOIN t0 ON t0.book_id = e.book_id AND t0.prio = e.f),
+d AS (SELECT DISTINCT book_id, CASE WHEN back THEN t ELSE f END AS f, CASE WHEN back THEN f ELSE t END AS t FROM b WHERE back OR opens),
+w AS (SELECT t0.book_id, t0.prio, coalesce(list(d.f) FILTER (d.f IS NOT NULL), []) AS waits FROM t0 LEFT JOIN d ON d.book_id = t0.book_id AND d.t = t0.prio GROUP BY 1, 2),
+r AS (SELECT DISTINCT book_id, CAST([] AS BIGINT[]) AS done FROM t0 UNION ALL SELECT r.book_id, list_append(r.done, min(w.prio)) FROM r JOIN w ON w.book_id = r.book_id AND NOT list_contains(r.done, w.prio) AND list_has_all(r.done, w.waits) GROUP BY r.book_id, r.done),
+l AS (SELECT book_id, arg_max(done, len(done)) AS done FROM r GROUP BY 1)
+SELECT t0.book_id, scene_id, chapter_number AS chapter_rank, scene_index, CAST(CASE WHEN list_contains(done, prio) THEN list_position(done, prio) - 1
+  ELSE len(done) + row_number() OVER (PARTITION BY t0.book_id, list_contains(done, prio) ORDER BY prio) - 1 END AS BIGINT) AS position FROM t0 JOIN l ON l.book_id = t0.book_id""")
 def story_order(spark: SparkSession, folder: str) -> DataFrame:
     """Scenes of each book in story order: reading order with some edges turned round."""
     placed = _placed(spark, folder).select("book_id", "scene_id", F.col("chapter_number").alias("chapter_rank"), "scene_index")
-    edges = L.reading_edges(_placed(spark, folder)).withColumn("back", F.pmod(F.xxhash64("from_id"), F.lit(11)) == 0)
-    edges = edges.select("book_id", F.when(F.col("back"), F.col("to_id")).otherwise(F.col("from_id")).alias("from_id"), F.when(F.col("back"), F.col("from_id")).otherwise(F.col("to_id")).alias("to_id")).filter(F.col("back") | F.col("from_id").endswith(":0"))
-    return G.topological(placed, edges, "book_id")
+    at = F.split("from_id", ":")
+    edges = L.reading_edges(_placed(spark, folder)).withColumn("back", (F.get(at, F.lit(0)).cast("long") * 7 + F.get(at, F.lit(1)).cast("long")) % 11 == 0)
+    edges = edges.select("book_id", F.when(F.col("back"), F.col("to_id")).otherwise(F.col("from_id")).alias("from_id"), F.when(F.col("back"), F.col("from_id")).otherwise(F.col("to_id")).alias("to_id"), "back", (F.get(at, F.lit(1)) == "0").alias("opens"))
+    return G.topological(placed, edges.filter("back or opens").select("book_id", "from_id", "to_id"), "book_id")
 
 
 @query("""t0 AS (SELECT DISTINCT user_id AS from_id, user_id + 1 AS to_id FROM events WHERE event_type = 'view'), s AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0 OR event_type = 'click' AND user_id % 3 = 0)
@@ -393,16 +416,13 @@ def induced_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 # consolidation
 
-_KEYED = """t0 AS (SELECT chapter_id, scene_id || '#' || extraction_index AS id, scene_index * 100000 + extraction_index AS rank, display_name, normalized_name FROM individuals WHERE scene_index < 3 AND length(normalized_name) > 3),
+_KEYED = """t0 AS (SELECT chapter_id, scene_id || '#' || extraction_index AS id, scene_index * 100000 + extraction_index AS rank, display_name, normalized_name FROM individuals),
 k AS (SELECT chapter_id, id, normalized_name AS key FROM t0 UNION ALL SELECT chapter_id, id, substring(normalized_name, 1, 4) || '*' FROM t0),
 names AS (SELECT DISTINCT chapter_id, normalized_name, substring(normalized_name, 1, 4) AS stem FROM t0)"""
 
 
-_SOME = "scene_index < 3 and length(normalized_name) > 3"
-
-
-def _mentions(spark: SparkSession, folder: str, some: str) -> DataFrame:
-    m = corpus.individuals(spark, folder).filter(some)
+def _mentions(spark: SparkSession, folder: str) -> DataFrame:
+    m = corpus.individuals(spark, folder)
     return m.select(
         "chapter_id", F.concat_ws("#", "scene_id", "extraction_index").alias("id"), (F.col("scene_index") * 100000 + F.col("extraction_index")).alias("rank"), "display_name", "normalized_name",
         F.array("display_name").alias("aliases"), F.array(F.col("normalized_name"), F.concat(F.substring("normalized_name", 1, 4), F.lit("*"))).alias("keys"),
@@ -412,16 +432,16 @@ def _mentions(spark: SparkSession, folder: str, some: str) -> DataFrame:
 @query(_KEYED + """, f AS (SELECT chapter_id, substring(normalized_name, 1, 4) AS stem, arg_min(display_name, (rank, id)) AS display_name, arg_min(normalized_name, (rank, id)) AS normalized_name, count(*) AS mention_count, min(id) AS cluster FROM t0 GROUP BY 1, 2),
 a AS (SELECT chapter_id, stem, string_agg(display_name, ',' ORDER BY r) AS aliases FROM (SELECT chapter_id, substring(normalized_name, 1, 4) AS stem, display_name, min((rank, id)) AS r FROM t0 GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT chapter_id AS scope, cluster, display_name, normalized_name, aliases, mention_count FROM f JOIN a USING (chapter_id, stem)""")
-def chapter_individuals(spark: SparkSession, folder: str, some: str = _SOME) -> DataFrame:
+def chapter_individuals(spark: SparkSession, folder: str) -> DataFrame:
     """Mentions that share a name or a stem become one entity of their chapter (here each cluster is a stem)."""
-    return C.consolidate(_mentions(spark, folder, some), "chapter_id").select("scope", "cluster", "display_name", "normalized_name", F.array_join("aliases", ",").alias("aliases"), "mention_count")
+    return C.consolidate(_mentions(spark, folder), "chapter_id").select("scope", "cluster", "display_name", "normalized_name", F.array_join("aliases", ",").alias("aliases"), "mention_count")
 
 
 @query(_KEYED + """, c AS (SELECT chapter_id, substring(normalized_name, 1, 4) AS stem, count(*) AS mention_count, min(id) AS cluster FROM t0 GROUP BY 1, 2)
 SELECT book_id AS scope, stem, count(*) AS chapters, CAST(sum(mention_count) AS BIGINT) AS mentions FROM c JOIN chapters USING (chapter_id) GROUP BY 1, 2""")
-def book_individuals(spark: SparkSession, folder: str, some: str = _SOME) -> DataFrame:
+def book_individuals(spark: SparkSession, folder: str) -> DataFrame:
     """Chapter entities to book entities by the same keys."""
-    ch = C.consolidate(_mentions(spark, folder, some), "chapter_id")
+    ch = C.consolidate(_mentions(spark, folder), "chapter_id")
     books = corpus.chapters(spark, folder).select(F.col("chapter_id").alias("scope"), "book_id", "chapter_number")
     stem = F.substring("normalized_name", 1, 4)
     rows = ch.join(books, "scope").select(
@@ -433,16 +453,6 @@ def book_individuals(spark: SparkSession, folder: str, some: str = _SOME) -> Dat
     return joined.groupBy("scope", "cluster").agg(F.min(stem).alias("stem"), F.count("*").alias("chapters"), F.sum("mention_count").alias("mentions")).drop("cluster")
 
 
-@query()
-def all_chapter_individuals(spark: SparkSession, folder: str) -> DataFrame:
-    return chapter_individuals(spark, folder, "true")
-
-
-@query()
-def all_book_individuals(spark: SparkSession, folder: str) -> DataFrame:
-    return book_individuals(spark, folder, "true")
-
-
 _SAME = """t0 AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND round((1 + list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) / 2, 6) >= 0.68),
 e AS (SELECT a, b FROM t0 UNION ALL SELECT b, a FROM t0),
 r AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a)"""
@@ -451,10 +461,9 @@ r AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node
 @query(_SAME + " SELECT node, min(other) AS component FROM r GROUP BY node")
 def same_event_components(spark: SparkSession, folder: str) -> DataFrame:
     """Components of links between similar events of one label; the smallest id names a component."""
-    e = corpus.table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    a, b = e.toDF("a", "label", "va"), e.toDF("b", "label", "vb")
-    links = a.join(b, "label").filter("a < b").filter(F.round(V.similarity(F.col("va"), F.col("vb")), 6) >= 0.68).select("a", "b")
-    return G.min_labels(links, e.select(F.col("vec_id").alias("node")))
+    e = corpus.table(spark, folder, "embeddings").select(F.col("label").alias("scope"), F.col("vec_id").alias("id"), F.lit(None).cast("string").alias("kind"), "embedding")
+    links = S.similar_pairs(e, 0.68).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return G.min_labels(links, e.select(F.col("id").alias("node")))
 
 
 @query("""t0 AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
@@ -468,7 +477,17 @@ def event_histograms(spark: SparkSession, folder: str) -> DataFrame:
     return mode.join(bars, "user_id")
 
 
-@query()
+@query(f"""t0 AS (SELECT chunk_id % 7 AS chapter_id, chunk_id AS id, 'Event ' || label AS display_name, 'event ' || label AS normalized_name, universe AS event_type, series,
+  nullif({_TRIM.format("substring(snippet, 1, 20)")}, '') AS evidence, nullif({_TRIM.format("substring(snippet, 1, 12)")}, '') AS description, CASE chunk_id % 2 WHEN 0 THEN 'during' ELSE 'before' END AS relation FROM chunks WHERE chapter_id IS NOT NULL),
+g AS (SELECT chapter_id, display_name, normalized_name, min(id) AS component, count(*) AS mention_count,
+  list_sort(list_distinct(list(series) FILTER (series IS NOT NULL) || [display_name, normalized_name])) AS aliases, coalesce(list_sort(list_distinct(list(event_type) FILTER (event_type IS NOT NULL))), []) AS event_types,
+  coalesce(list_sort(list_distinct(list(evidence) FILTER (evidence IS NOT NULL)))[1:4], []) AS evidence FROM t0 GROUP BY 1, 2, 3),
+y AS (SELECT chapter_id, display_name, arg_min(event_type, (-n, event_type)) AS event_type FROM (SELECT chapter_id, display_name, event_type, count(*) AS n FROM t0 WHERE event_type IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+h AS (SELECT chapter_id, display_name, string_agg(relation || '=' || n, ', ' ORDER BY relation || '=' || n) AS relations FROM (SELECT chapter_id, display_name, relation, count(*) AS n FROM t0 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+s AS (SELECT chapter_id, display_name, list(description ORDER BY i)[1:4] AS descriptions FROM (SELECT chapter_id, display_name, description, min(id) AS i FROM t0 WHERE description IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT chapter_id, component, g.display_name, normalized_name, event_type, mention_count, array_to_string(aliases, '|') AS aliases, array_to_string(event_types, '|') AS event_types, array_to_string(evidence, '|') AS evidence,
+  array_to_string(coalesce(descriptions, []), '|') AS descriptions, relations, concat_ws(chr(10), '# ' || g.display_name, 'type: ' || event_type, 'aliases: ' || array_to_string(aliases, ', '), 'relations: ' || relations, CASE WHEN len(descriptions) > 0 THEN '- ' || array_to_string(descriptions, chr(10) || '- ') END) AS card
+FROM g LEFT JOIN y USING (chapter_id, display_name) LEFT JOIN h USING (chapter_id, display_name) LEFT JOIN s USING (chapter_id, display_name)""")
 def chapter_events(spark: SparkSession, folder: str) -> DataFrame:
     """Event entities with aliases, evidence and cards from co-reference links."""
     c = corpus.chunks(spark, folder).filter("chapter_id is not null")
@@ -477,7 +496,7 @@ def chapter_events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("universe").alias("event_type"), F.array(F.col("series")).alias("aliases"), F.substring("snippet", 1, 20).alias("evidence"), F.substring("snippet", 1, 12).alias("description"), F.element_at(F.array(F.lit("during"), F.lit("before")), (F.col("chunk_id") % 2 + 1).cast("int")).alias("relation"),
     )
     links = m.groupBy("chapter_id", "display_name").agg(F.min("id").alias("a")).join(m, ["chapter_id", "display_name"]).select("a", F.col("id").alias("b"))
-    return C.event_entities(m, links)
+    return C.event_entities(m, links).withColumns({c: F.array_join(c, "|") for c in ("aliases", "event_types", "evidence", "descriptions")})
 
 
 @query("""SELECT vec_id % 2 = 0 AS even, count(*) FILTER (embedding IS NOT NULL) AS embedded FROM embeddings GROUP BY 1""", prelude=False)
@@ -591,21 +610,15 @@ def replaced_scope(spark: SparkSession, folder: str) -> DataFrame:
     return C.replace_scope(current, fresh, "chapter_id")
 
 
-@query("""t0 AS (SELECT DISTINCT normalized_name AS name FROM individuals WHERE length(normalized_name) = 7 AND chapter_id < 50)
+@query("""t0 AS (SELECT DISTINCT normalized_name AS name FROM individuals)
 SELECT item_id, name FROM benchmark JOIN t0 ON contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || name || ' ')""")
-def known_names(spark: SparkSession, folder: str, some: str = "length(normalized_name) = 7 and chapter_id < 50") -> DataFrame:
+def known_names(spark: SparkSession, folder: str) -> DataFrame:
     """Known names in questions, whole words in any case: an equi-join on words, as names grow with the library."""
-    names = corpus.individuals(spark, folder).filter(some).select(F.col("normalized_name").alias("name")).distinct()
+    names = corpus.individuals(spark, folder).select(F.col("normalized_name").alias("name")).distinct()
     words = corpus.table(spark, folder, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "))).alias("name"))
     return words.join(names, "name").select("item_id", "name")
 
 
-@query()
-def all_known_names(spark: SparkSession, folder: str) -> DataFrame:
-    return known_names(spark, folder, "true")
-
-
-
 # analyses, claims, telemetry
 
 
@@ -644,22 +657,17 @@ def triad_problems(spark: SparkSession, folder: str) -> DataFrame:
     return A.validated(t).select("event_id", "problem")
 
 
-@query("""t0 AS (SELECT user_id AS w, event_id AS id, value FROM events WHERE user_id < 40), g AS (SELECT w, id // 2000 AS grp, list(id) AS ids, max(value) / 20 AS confidence FROM t0 GROUP BY 1, 2),
+@query("""t0 AS (SELECT user_id AS w, event_id AS id, value FROM events), g AS (SELECT w, id // 2000 AS grp, list(id) AS ids, max(value) / 20 AS confidence FROM t0 GROUP BY 1, 2),
 m AS (SELECT w, grp, confidence, unnest(ids) AS id FROM g WHERE confidence >= 0.75)
 SELECT a.id AS a, b.id AS b, max(a.confidence) AS confidence FROM m a JOIN m b ON a.w = b.w AND a.grp = b.grp AND a.id < b.id WHERE a.id % 5 > 0 AND b.id % 5 > 0 GROUP BY 1, 2""")
-def coreference_links(spark: SparkSession, folder: str, some: str = "user_id < 40") -> DataFrame:
+def coreference_links(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of co-referent mentions from answers by window: confident, allowed, the best confidence."""
-    e = corpus.table(spark, folder, "events").filter(some)
+    e = corpus.table(spark, folder, "events")
     answers = e.groupBy("user_id", F.floor(F.col("event_id") / 2000)).agg(F.collect_list("event_id").alias("mention_ids"), (F.max("value") / 20).alias("confidence")).withColumnRenamed("user_id", "window")
     allowed = e.filter("event_id % 5 > 0").select(F.col("user_id").alias("window"), F.col("event_id").alias("id"))
     return C.coreference(answers.select("window", "mention_ids", "confidence"), allowed)
 
 
-@query()
-def all_coreference_links(spark: SparkSession, folder: str) -> DataFrame:
-    return coreference_links(spark, folder, "true")
-
-
 @query("""t0 AS (SELECT l_orderkey AS job_id, count(*) AS attempted, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY 1)
 SELECT job_id, failed = attempted OR (failed >= 2 AND failed * 2 >= attempted) AS fails FROM t0""")
 def window_failures(spark: SparkSession, folder: str) -> DataFrame:
@@ -678,21 +686,29 @@ def call_records(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("call_id", F.coalesce(F.array_join("requests", ","), F.lit("")).alias("requests"), F.coalesce(F.array_join("responses", ","), F.lit("")).alias("responses"))
 
 
-@query("""t0 AS (SELECT DISTINCT user_id % 30 AS a, (user_id * 7 + 3) % 30 AS b FROM events WHERE event_type = 'purchase'),
-r AS (SELECT a, b, 1 AS n FROM t0 UNION SELECT r.a, t0.b, n + 1 FROM r JOIN t0 ON r.b = t0.a WHERE n < 6)
-SELECT DISTINCT t0.a AS from_id, t0.b AS to_id FROM t0 JOIN r ON r.a = t0.b AND r.b = t0.a""")
-def edges_with_back_path(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges on a cycle: a path of at most six edges leads back."""
-    e = corpus.table(spark, folder, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 30).alias("from_id"), ((F.col("user_id") * 7 + 3) % 30).alias("to_id")).distinct()
-    return G.back_paths(e, 6)
+_RING = "m AS (SELECT max(user_id) + 1 AS n FROM events), t0 AS (SELECT DISTINCT user_id AS a, (user_id * 7 + 3) % n AS b FROM events, m)"
 
 
-@query()
-def all_edges_with_back_path(spark: SparkSession, folder: str) -> DataFrame:
-    """The same over every user of every event, each a node of its own."""
+def _ring(spark: SparkSession, folder: str) -> DataFrame:
     e = corpus.table(spark, folder, "events")
     n = e.agg(F.max("user_id") + 1).first()[0]
-    return G.back_paths(e.select(F.col("user_id").alias("from_id"), ((F.col("user_id") * 7 + 3) % n).alias("to_id")).distinct(), 6)
+    return e.select(F.col("user_id").alias("from_id"), ((F.col("user_id") * 7 + 3) % n).alias("to_id")).distinct()
+
+
+@query(PRELUDE + ", " + _RING + """, r AS (SELECT a, b, 1 AS n FROM t0 UNION SELECT r.a, t0.b, n + 1 FROM r JOIN t0 ON r.b = t0.a WHERE n < 6)
+SELECT DISTINCT t0.a AS from_id, t0.b AS to_id FROM t0 JOIN r ON r.a = t0.b AND r.b = t0.a""", prelude=False)
+def edges_with_back_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges on a cycle: a path of at most six edges leads back. Every user of every event is a node."""
+    return G.back_paths(_ring(spark, folder), 6)
+
+
+@query(PRELUDE + ", " + _RING + """, e AS (SELECT a, b FROM t0 UNION SELECT a, (b + 1) % n FROM t0, m), r AS (SELECT a AS f, b AS t, b AS pos, CAST(1 AS BIGINT) AS c, 0 AS k FROM t0
+UNION ALL SELECT f, t, e.b, CAST(sum(c) AS BIGINT), k + 1 FROM r JOIN e ON e.a = pos WHERE k < 6 GROUP BY f, t, e.b, k) SELECT f AS from_id, t AS to_id, CAST(sum(c) AS BIGINT) AS paths FROM r WHERE k > 0 AND pos = f GROUP BY 1, 2""", prelude=False)
+def back_path_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many walks of at most six edges lead back, for each edge of a graph."""
+    e = _ring(spark, folder)
+    n = corpus.table(spark, folder, "events").agg(F.max("user_id") + 1).first()[0]
+    return G.path_counts(e, e.unionByName(e.select("from_id", ((F.col("to_id") + 1) % n).alias("to_id"))), 6)
 
 
 @query("""t0 AS (SELECT event_id_1, event_id_2, score FROM c WHERE score >= 0.6), e AS (SELECT event_id_1 AS a, event_id_2 AS b FROM t0 UNION ALL SELECT event_id_2, event_id_1 FROM t0),

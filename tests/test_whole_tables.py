@@ -7,7 +7,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from narrata import corpus, queries
+from narrata.operators import search as S
 
 R = random.Random(3)
 NAMES = ["Al", "Eder", "Ederin", "Mara", "Marabel", "Josefin", "Bo", "Quillon"]
@@ -38,7 +41,7 @@ def mentions():
 def test_names(spark, folder):
     names = {n for _, n in mentions()}
     expected = {(i, w) for i, t in ITEMS for w in re.findall("[a-z0-9]+", t.lower()) if w in names}
-    got = [(r.item_id, r.name) for r in queries.all_known_names(spark, folder).collect()]
+    got = [(r.item_id, r.name) for r in queries.known_names(spark, folder).collect()]
     assert len(got) == len(set(got)) and set(got) == expected and (1, "al") in expected
 
 
@@ -47,7 +50,7 @@ def test_scenes(spark, folder):
     for i, _ in DOCS:
         at = sorted(j * 37 % 1009 for c, j, _ in scenes() if c == i)
         expected += [(i, n, a, b) for n, (a, b) in enumerate(zip(at, at[1:] + [5000]))]
-    got = [(r.chapter_id, r.scene_number, r.start_offset, r.end_offset) for r in queries.all_scene_bounds(spark, folder).collect()]
+    got = [(r.chapter_id, r.scene_number, r.start_offset, r.end_offset) for r in queries.scene_bounds(spark, folder).collect()]
     assert sorted(got) == sorted(expected)
     placed = Counter(r.chapter_id for r in queries.placed_scenes(spark, folder).collect())
     assert placed == Counter(i for i, _, _ in scenes())
@@ -55,14 +58,14 @@ def test_scenes(spark, folder):
 
 def test_individuals(spark, folder):
     by = Counter((i, n[:4]) for i, n in mentions())
-    got = {(r.scope, r.normalized_name[:4]): r.mention_count for r in queries.all_chapter_individuals(spark, folder).collect()}
+    got = {(r.scope, r.normalized_name[:4]): r.mention_count for r in queries.chapter_individuals(spark, folder).collect()}
     assert got == by
     book = {r.chapter_id: r.book_id for r in corpus.chapters(spark, folder).collect()}
     chapters, total = Counter(), Counter()
     for (i, stem), n in by.items():
         chapters[book[i], stem] += 1
         total[book[i], stem] += n
-    rows = queries.all_book_individuals(spark, folder).collect()
+    rows = queries.book_individuals(spark, folder).collect()
     assert {(r.scope, r.stem): (r.chapters, r.mentions) for r in rows} == {k: (n, total[k]) for k, n in chapters.items()}
 
 
@@ -74,7 +77,7 @@ def test_links(spark, folder):
     for rows in groups.values():
         if (best := max(v for _, v in rows) / 20) >= 0.75:
             expected |= {(a, b): best for a, _ in rows for b, _ in rows if a < b and a % 5 and b % 5}
-    assert {(r.a, r.b): r.confidence for r in queries.all_coreference_links(spark, folder).collect()} == expected and any(a % 97 >= 40 for a, _ in expected)
+    assert {(r.a, r.b): r.confidence for r in queries.coreference_links(spark, folder).collect()} == expected and any(a % 97 >= 40 for a, _ in expected)
 
 
 def test_catalog(spark, folder):
@@ -83,12 +86,15 @@ def test_catalog(spark, folder):
     for i, (k, v) in unit.items():
         near = sorted((round(1 - float(v @ w), 6) + 0.0, j) for j, (kind, w) in unit.items() if kind == k)
         expected[i] = [j for d, j in near if d < 0.9][:3]
+    e = corpus.table(spark, folder, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    catalog = e.select(F.col("vec_id").alias("definition_id"), F.col("label").alias("definition_kind"), F.col("embedding").alias("definition_embedding"))
     got = defaultdict(list)
-    for r in sorted(queries.all_catalog_matches(spark, folder).collect(), key=lambda r: r["rank"]):
+    for r in sorted(S.catalog_matches(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("kind"), "embedding"), catalog, 0.9).collect(), key=lambda r: r["rank"]):
         got[r.query_id].append(r.definition_id)
     assert got == expected
-    rows = queries.all_catalog_resolve(spark, folder).collect()
-    assert {(r.query_id, r.definition_id, r.how) for r in rows} == {(i, str(i % 40), "EXACT") for i in unit} and len(rows) == len(unit)
+    few = [r.definition_id for r in sorted(queries.catalog_matches(spark, folder).collect(), key=lambda r: r["rank"])]
+    assert few == expected[0]
+    assert [(r.query_id, r.definition_id, r.how) for r in queries.catalog_resolve(spark, folder).collect()] == [(0, "1", "EXACT")]
 
 
 def test_back_paths(spark, folder):
@@ -99,4 +105,4 @@ def test_back_paths(spark, folder):
             at = step[at]
             if at == a:
                 expected.add((a, b))
-    assert {tuple(r) for r in queries.all_edges_with_back_path(spark, folder).select("from_id", "to_id").collect()} == expected
+    assert {tuple(r) for r in queries.edges_with_back_path(spark, folder).select("from_id", "to_id").collect()} == expected
