@@ -10,8 +10,11 @@ In a block, character references are decoded (once), runs of white space become
 and ends are trimmed; main blocks are joined by line feeds in page order.
 
 Defined cases: a null, empty or textless page has an empty text; markup that is cut off or
-not closed is read as far as it goes; `<br>` is white space within its block.  Whole pages are
-read.  page_id and url are carried, other columns ignored.
+not closed is read as far as it goes: a script, style or other element of raw text runs to the
+end of the page, any other element ends with its parent, and an embedded object hides its content only
+if it has an end tag.  `<br>` is white space within its block.  Whole pages are read, of any
+length; repeated rows are read one by one; of equal scores Viterbi takes the label "not main".
+page_id and url are carried, other columns ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,13 +34,14 @@ from narrata.llm.crf import Crf
 
 _SPLIT = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|template|svg|math|iframe|noembed|noframes|object|audio|video|canvas|title|textarea|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(script|style|iframe|noembed|noframes|title|textarea|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\b[^>]*>|\Z)|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
-#: Element names by what they do.
+#: Element names by what they do.  HIDDEN: what stands between start and end tag isn't shown.
+HIDDEN = frozenset("template svg object audio video canvas annotation annotation-xml datalist".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("option legend caption td th tr tbody thead tfoot summary".split())
@@ -65,6 +70,7 @@ KINDS = ("none", *NAMES)
 _NAMED = {w: i + 1 for i, words in enumerate(NAMES.values()) for w in words.split()}
 #: Words of texts that are about the page rather than of it.
 HINTS = re.compile(r"©|\b(?:copyright|cookies?|subscribe|newsletter|advertisement|sponsored|sign up|log ?in|all rights reserved|privacy|share|read more|comments?|repl(?:y|ies)|menu|home|contact|click)\b", re.I)
+_HIDING = "\0"  # on the stack of open elements: one that hides its content
 _AREA, _LEAF = {t: i for i, t in enumerate(AREAS)}, {t: i for i, t in enumerate(LEAVES)}
 SIZES = (len(AREAS), len(LEAVES), len(KINDS), 2**6, 6 * 4, 2 * 2 * 6, len(LEAVES) * 2, len(AREAS) * len(KINDS), len(AREAS) * len(AREAS))
 OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
@@ -82,13 +88,48 @@ def _kind(attrs: str) -> int:
     return found
 
 
+def hiding(tokens: list[re.Match]) -> set[int]:
+    """Numbers of the start and end tags of HIDDEN elements that have both; the outermost of nested ones alone.
+
+    A start tag that is empty (`/>`), or whose end tag is missing where its parent ends, hides nothing.
+    """
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    pairs = []
+    for number, m in enumerate(tokens):
+        if m[3] is None:
+            continue
+        tag = m[3].lower()
+        if not m[2]:
+            if tag not in VOID and not m[5]:
+                stack.append((tag, number))
+                opened[tag] += 1
+        elif opened[tag]:
+            while True:
+                name, start = stack.pop()
+                opened[name] -= 1
+                if name == tag:
+                    break
+            if tag in HIDDEN:
+                pairs.append((start, number))
+    out, last = set(), -1
+    for start, end in sorted(pairs):
+        if start > last:
+            out |= {start, end}
+            last = end
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, tuple]]:
     """(text, (leaf, area, outer area, kind, flags, share of linked characters, ends a sentence)) of each leaf block."""
+    tokens = list(_SPLIT.finditer(page))
+    hides = hiding(tokens)
     stack: list[tuple[str, int]] = []
     out: list[tuple[str, tuple]] = []
     parts: list[str] = []
     linked = 0
     links = 0
+    hidden = 0
 
     def flush() -> None:
         nonlocal linked
@@ -108,17 +149,23 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
 
     def take(text: str) -> None:
         nonlocal linked
+        if hidden:
+            return
         parts.append(text)
         if links:
             linked += len(text)
 
     def close(i: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
+        for t, _ in stack[i:]:
+            opened[t] -= 1
         links -= sum(t == "a" for t, _ in stack[i:])
+        hidden -= sum(t == _HIDING for t, _ in stack[i:])
         del stack[i:]
 
     at = 0
-    for m in _SPLIT.finditer(page):
+    opened: Counter[str] = Counter()
+    for number, m in enumerate(tokens):
         if m.start() > at:
             take(page[at : m.start()])
         at = m.end()
@@ -126,18 +173,28 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in HIDDEN:
+            if m[2] and opened[_HIDING] and number in hides:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == _HIDING))
+            elif not m[2] and number in hides:
+                stack.append((_HIDING, 0))
+                opened[_HIDING] += 1
+                hidden += 1
+            continue
+        if hidden:
+            continue
         block = tag in BLOCKS
         if block:
             flush()
         elif tag == "br":
             take(" ")
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     close(i)
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     close(i)
@@ -156,6 +213,7 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
                 close(cut)
         if tag not in VOID and not m[5]:
             stack.append((tag, _kind(m[4]) if m[4] else 0))
+            opened[tag] += 1
             links += tag == "a"
     rest = page[at:]
     if rest and not re.match(r"<[a-zA-Z/!?]", rest):
