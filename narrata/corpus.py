@@ -17,10 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters with their number; the snippet is cut before the window, so that whole texts pass it only for those who read them."""
     book = Window.partitionBy("universe", "series", "book_number").orderBy("chapter_id")
     return table(spark, folder, "documents").select(
         F.col("doc_id").alias("chapter_id"), F.col("lang").alias("universe"), F.when(F.col("source") != "src0", F.col("source")).alias("series"),
-        (F.col("doc_id") % 3 + 1).cast("int").alias("book_number"), "text",
+        (F.col("doc_id") % 3 + 1).cast("int").alias("book_number"), "text", F.substring("text", 1, 400).alias("snippet"),
     ).withColumn("chapter_number", F.row_number().over(book)).withColumn(
         "book_id", F.concat_ws("/", "universe", F.coalesce("series", F.lit("-")), F.col("book_number").cast("string"))
     )
@@ -44,7 +45,7 @@ def locations(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Embedded chunks with their chapter's coordinates where there is a chapter."""
-    c = chapters(spark, folder).select("chapter_id", "universe", "series", "book_number", "chapter_number", "book_id", F.substring("text", 1, 400).alias("snippet"))
+    c = chapters(spark, folder).select("chapter_id", "universe", "series", "book_number", "chapter_number", "book_id", "snippet")
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     return e.join(c, e.chunk_id == c.chapter_id, "left")
 
