@@ -3,9 +3,9 @@
 Two interpolated Kneser-Ney models of order `ORDER` over the bytes of lower-cased (A-Z)
 words, one of toxic and one of ordinary text.  Only the highest order is counted by class;
 all lower orders are continuation counts of both classes together, so an expression that
-is rare in either class backs off to the same distribution in both; n-grams seen fewer than
-`MIN_COUNT` times are left to that shared back-off and say nothing.  A word's evidence is
-the difference of its two log-likelihoods.  A text has two length-normalised figures: the
+is rare in either class backs off to the same distribution in both; of an n-gram that was never
+seen, the two classes' own weights of that back-off remain, and if its context is new too,
+nothing.  A word's evidence is the difference of its two log-likelihoods.  A text has two length-normalised figures: the
 mean evidence of its words, and the mean of what each word has beyond `MARGIN` (the plain
 mean alone drowns a few insults in the noise of many words).  A logistic curve over both,
 fitted on a training fold of its own, gives the score.
@@ -18,7 +18,9 @@ the words of the texts are joined to it.  Both ways compute the same.
 
 Defined cases: null or wordless texts have no evidence (the curve at 0); null labels or ids
 don't train; several labels of one id: the largest counts; with no rows of one class, every
-score is 0.  Other columns are ignored.
+score is 0; repeated rows are scored one by one; equal scores make no difference, as nothing is
+ranked but the sample (by hash, then id).  Very long texts are whole.  Other columns are ignored;
+an empty table of documents gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from narrata.llm.kernel import LOWER, PIECE, Words, pieces
 from narrata.llm.store import drop, fold_of, keep
 
 ORDER, MAX_GRAMS, CALIBRATE = 6, 4_000_000, 50_000
-MIN_COUNT, MARGIN = 3, 4.0
+MARGIN = 6.0
 _PAD, _KEY = 0x20, "_op7_text"
 _FULL = np.uint64(2 ** (8 * ORDER) - 1)
 
@@ -68,18 +70,18 @@ def _count(batches):
                 yield pd.DataFrame({"gram": keys.view(np.int64), "c0": zero if toxic else n, "c1": n if toxic else zero})
 
 
-def _discounted(keys: np.ndarray, c: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """P(last byte | context) of each key: absolute discounting of the counts c, interpolated with `lower`."""
-    _, where = np.unique(keys >> np.uint64(8), return_inverse=True)
+def _discounted(keys: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(last byte | context) of each key: absolute discounting of the counts c, interpolated with `lower`; the contexts and their weights of `lower`."""
+    contexts, where = np.unique(keys >> np.uint64(8), return_inverse=True)
     n1, n2 = (c == 1).sum(), (c == 2).sum()
     d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     total, types = np.bincount(where, c), np.bincount(where, c > 0)
     back = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
-    return np.maximum(c - d * (c > 0), 0) / np.maximum(total, 1)[where] + back[where] * lower
+    return np.maximum(c - d * (c > 0), 0) / np.maximum(total, 1)[where] + back[where] * lower, contexts, back
 
 
 def fit(keys: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> dict:
-    """Log-likelihood ratio that each n-gram adds."""
+    """Log-likelihood ratio that each n-gram adds, and that each context adds to n-grams that were never seen."""
     low, levels = keys, [keys]
     for k in range(ORDER - 1, 0, -1):
         low = np.unique(low & np.uint64(2 ** (8 * k) - 1))
@@ -89,11 +91,11 @@ def fit(keys: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> dict:
         own, above = levels[ORDER - k], levels[ORDER - k - 1]
         c = np.bincount(np.searchsorted(own, above & np.uint64(2 ** (8 * k) - 1)), minlength=len(own)).astype(float)
         under = np.full(len(own), 1 / 256) if p is None else p[np.searchsorted(levels[ORDER - k + 1], own & np.uint64(2 ** (8 * (k - 1)) - 1))]
-        p = _discounted(own, c, under)
+        p, _, _ = _discounted(own, c, under)
     under = p[np.searchsorted(levels[1], keys & np.uint64(2 ** (8 * (ORDER - 1)) - 1))]
-    llr = np.log(_discounted(keys, c1, under)) - np.log(_discounted(keys, c0, under))
-    some = c0 + c1 >= MIN_COUNT
-    return {"keys": keys[some], "llr": llr[some].astype(np.float32)}
+    (p1, contexts, back1), (p0, _, back0) = _discounted(keys, c1, under), _discounted(keys, c0, under)
+    ratio = lambda x, y: (np.log(x) - np.log(y)).astype(np.float32)
+    return {"keys": keys, "llr": ratio(p1, p0), "contexts": contexts, "unseen": ratio(back1, back0)}
 
 
 def evidence(w: Words, model: dict) -> np.ndarray:
@@ -104,7 +106,9 @@ def evidence(w: Words, model: dict) -> np.ndarray:
     which, key = word_grams(w, first)
     keys, where = np.unique(key, return_inverse=True)
     i = np.minimum(np.searchsorted(model["keys"], keys), len(model["keys"]) - 1)
-    llr = np.where(model["keys"][i] == keys, model["llr"][i], 0)
+    j = np.minimum(np.searchsorted(model["contexts"], keys >> np.uint64(8)), len(model["contexts"]) - 1)
+    llr = np.where(model["contexts"][j] == keys >> np.uint64(8), model["unseen"][j], 0)
+    llr = np.where(model["keys"][i] == keys, model["llr"][i], llr)
     of_word = np.bincount(which, llr[where], len(first))[back]
     return np.stack([np.bincount(w.doc, x, w.n) for x in (of_word, np.maximum(of_word - MARGIN, 0))]) / np.maximum(w.count, 1)
 
@@ -145,21 +149,27 @@ def _ending(n: int):
     return F.col("gram").bitwiseAND(F.lit(2 ** (8 * n) - 1))
 
 
-def _discounted_table(t: DataFrame, of: dict[str, str]) -> DataFrame:
+def _discounts(t: DataFrame, counts) -> dict[str, float]:
+    once = t.agg(*(F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in counts for n in (1, 2))).first()
+    return {c: once[f"{c}_1"] / (once[f"{c}_1"] + 2 * once[f"{c}_2"]) if once[f"{c}_1"] and once[f"{c}_2"] else 0.5 for c in counts}
+
+
+def _back(d: float, total, types):
+    return F.when(total > 0, d * types / F.greatest(total, F.lit(1))).otherwise(1.0)
+
+
+def _discounted_table(t: DataFrame, of: dict[str, str], discounts: dict[str, float]) -> DataFrame:
     """`t` (gram, under, counts) with the column `of[c]` for each count c: what `_discounted` gives."""
-    once = t.agg(*(F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in of for n in (1, 2))).first()
     same = Window.partitionBy(F.shiftright("gram", 8))
     for c, name in of.items():
-        n1, n2 = once[f"{c}_1"], once[f"{c}_2"]
-        d = F.lit(n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
+        d = discounts[c]
         total, types = F.sum(c).over(same), F.count_if(F.col(c) > 0).over(same)
-        back = F.when(total > 0, d * types / F.greatest(total, F.lit(1))).otherwise(1.0)
-        t = t.withColumn(name, F.when(F.col(c) > 0, F.col(c) - d).otherwise(0.0) / F.greatest(total, F.lit(1)) + back * F.col("under"))
+        t = t.withColumn(name, F.when(F.col(c) > 0, F.col(c) - d).otherwise(0.0) / F.greatest(total, F.lit(1)) + _back(d, total, types) * F.col("under"))
     return t
 
 
-def fit_table(grams: DataFrame) -> DataFrame:
-    """gram, llr: what `fit` gives, without collecting the n-grams."""
+def fit_table(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, llr) and (context, unseen): what `fit` gives, without collecting the n-grams."""
     levels = [grams]
     for k in range(ORDER - 1, 0, -1):
         levels.append(keep(levels[-1].groupBy(_ending(k).alias("gram")).agg(F.count("*").alias("c"))))
@@ -173,11 +183,15 @@ def fit_table(grams: DataFrame) -> DataFrame:
         t = keep(t)
         made.append(t)
         if k < ORDER:
-            p = _discounted_table(t, {"c": "p"})
-    ratio = _discounted_table(t, {"c0": "p0", "c1": "p1"})
-    out = keep(ratio.filter(F.col("c0") + F.col("c1") >= MIN_COUNT).select("gram", (F.log("p1") - F.log("p0")).cast("float").cast("double").alias("llr")))
+            p = _discounted_table(t, {"c": "p"}, _discounts(t, ["c"]))
+    ratio = lambda x, y: (F.log(x) - F.log(y)).cast("float").cast("double")
+    d = _discounts(t, ["c0", "c1"])
+    seen = keep(_discounted_table(t, {"c0": "p0", "c1": "p1"}, d).select("gram", ratio("p1", "p0").alias("llr")))
+    back = lambda c: _back(d[c], F.sum(c), F.count_if(F.col(c) > 0)).alias(c)
+    contexts = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(back("c0"), back("c1"))
+    contexts = keep(contexts.select("context", ratio("c1", "c0").alias("unseen")))
     drop(*made)
-    return out
+    return seen, contexts
 
 
 def _words(batches):
@@ -210,14 +224,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(_KEY, F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
 
 
-def evidence_table(docs: DataFrame, model: DataFrame) -> DataFrame:
+def evidence_table(docs: DataFrame, model: DataFrame, contexts: DataFrame) -> DataFrame:
     """Evidence of each text that has words, by a hash of the text: what `evidence` gives, with the model as a table.
 
     A text that stands in several rows counts that many times above and below the line.
     """
     words = keep(_keyed(docs.select("text")).mapInPandas(_words, f"{_KEY} binary, word binary, whole binary, n long"))
     grams = words.select("word", "whole").distinct().mapInPandas(_grams_of_words, "word binary, gram long")
-    known = grams.join(model.hint("merge"), "gram").groupBy("word").agg(F.sum("llr").alias("e"))
+    known = grams.join(model.hint("merge"), "gram", "left").withColumn("context", F.shiftright("gram", 8)).join(contexts.hint("merge"), "context", "left")
+    known = known.groupBy("word").agg(F.sum(F.coalesce("llr", "unseen", F.lit(0.0))).alias("e"))
     e, n = F.coalesce("e", F.lit(0.0)), F.col("n")
     rows = words.join(known.hint("merge"), "word", "left")
     out = keep(rows.groupBy(_KEY).agg((F.sum(n * e) / F.sum(n)).alias("evidence"), (F.sum(n * F.greatest(e - MARGIN, F.lit(0.0))) / F.sum(n)).alias("beyond")))
@@ -268,8 +283,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_grams: int):
         sent = docs.sparkSession.sparkContext.broadcast(fit_here(grams))
     else:
         model = fit_table(grams)
-        sent = evidence_table(docs, model)
-        drop(model)
+        sent = evidence_table(docs, *model)
+        drop(*model)
     drop(grams)
     return sent, *calibrate(docs, labels, sent)
 
