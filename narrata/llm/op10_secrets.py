@@ -11,8 +11,10 @@ There are no labelled secrets to learn from, so the field is trained on lines fr
 generator (`examples`): invented prose with secrets of common kinds, and with numbers,
 addresses, identifiers and paths that aren't secrets.
 
-Defined cases: a null or empty text has no spans (hash of the empty string); ids and other
-columns are carried or ignored.
+Defined cases: a null or empty text has no spans (hash of the empty string); spans that start
+together come in the order of the kinds; where labels score alike Viterbi takes the first (outside); repeated rows are scanned
+one by one; very long texts are read whole, piece by piece; ids and other columns are carried or
+ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ another, 0.9 for a well-formed tag.
 
 Defined cases: null or empty texts have no words and no labels (empty strings, score 0,
 null places); a malformed expression (unknown operator order, unbalanced) gives the label
-`spdx:invalid`; other columns are ignored.
+`spdx:invalid`.  Labels are sets, so phrases that start at one place all count and their order makes no
+difference; repeated rows are scanned one by one; very long texts and expressions are read whole;
+other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ count.  Families are a fixed table; a language that isn't listed is a family of
 
 Defined cases: a null text, or one without a letter, gives `und` with score 0; with nothing
 to learn from all rows give `und`; one language only: that one.  Rows with a null id are
-predicted, never learned from, and not held out.  Other columns are ignored.
+predicted, never learned from, and not held out.  Votes and margins that are equal too go to the
+language that comes first by name; repeated rows are predicted one by one, and each counts in the sample.  Very long texts are read
+whole, piece by piece.  Other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

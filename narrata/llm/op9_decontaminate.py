@@ -16,8 +16,10 @@ end (of the earliest best stretch, bytes of the folded text, end exclusive).
 
 Defined cases: null or wordless texts and items match nothing; items with a null id are not
 searched; equal items each match; rows that share a doc_id are searched one by one.  Items
-shorter than `MIN_BYTES` after folding match only whole and unchanged, between word borders.
-Other columns are ignored.
+shorter than `MIN_BYTES` after folding match only whole and unchanged, between word borders.  Of
+equal distances the stretch that begins first is reported, then the shortest.  Texts of any length are searched whole.
+Other columns are ignored; empty tables give an empty one.  Beyond `BLOCK_BYTES` of items, each further
+block reads the documents once more.
 """
 
 from __future__ import annotations

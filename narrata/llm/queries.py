@@ -58,6 +58,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_fingerprints that SQL can state."""
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def license_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_licenses that SQL can state."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_secrets that SQL can state."""
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -69,6 +84,9 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "edited_texts": edited_texts,
+    "license_bases": license_bases,
+    "secret_counts": secret_counts,
 }
 
 SQL = {
@@ -96,4 +114,18 @@ k AS (SELECT words.doc_id, count(*) AS n, coalesce(string_agg(word, ' ' ORDER BY
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    "edited_texts": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) // 3 AS k, coalesce(lead(t) OVER w, first_value(t) OVER w) AS u FROM t WINDOW w AS (ORDER BY doc_id DESC))
+SELECT doc_id, length(t) AS n_chars, sha256(substring(t, 1, length(t) - k) || substring(u, 1, k)) AS edited_sha256 FROM n""",
+    "license_bases": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+h AS (SELECT doc_id, len(ws) AS n, list_filter(generate_series(1, len(ws)), lambda i: ws[i] = 'mit' AND ws[i + 1] = 'license') AS m, list_filter(generate_series(1, len(ws)), lambda i: ws[i] = 'apache' AND ws[i + 1] = 'license') AS a,
+             list_filter(generate_series(1, len(ws)), lambda i: ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license') AS g FROM w)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(m) + len(a) + len(g) AS BIGINT) AS n_base, CAST(list_min(m || a || g) - 1 AS BIGINT) AS first_word, CAST(list_max(m || a || g) - 1 AS BIGINT) AS last_word,
+       concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM h""",
+    "secret_counts": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex FROM t""",
 }
