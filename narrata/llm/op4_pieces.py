@@ -1,25 +1,34 @@
 """Operator 4: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model file and composed with each input:
+Three machines are compiled from a model file:
 
-- the normaliser writes the dummy prefix and turns blanks into U+2581;
-- the piece machine has an arc for every piece at every position it matches, and, for a
-  character that is no piece, the chain of its byte pieces;
-- for byte-pair models, a two-piece acceptor of weight zero for pairs that byte-pair merging
-  would leave as they are, and infinite otherwise.  A segmentation all of whose neighbouring
-  pairs are accepted is the merged one, so the only path of finite weight is the library's
-  result.  Unigram models have the negative scores as weights and no acceptor.
+- the normaliser: a blank is read and U+2581 written, any other character is written as read;
+  its first arc reads nothing and writes the dummy prefix;
+- the pieces: a trie that reads a piece's characters and writes its id, and the byte machine,
+  which reads a character that is no piece and writes the ids of its bytes;
+- the acceptor of neighbouring pieces, for byte-pair models: weight zero for two pieces that
+  byte-pair merging leaves apart, infinite for others.  Unigram models have none; there the negative scores are
+  weights of the pieces' arcs.
 
-The result is the shortest path in the tropical semiring (min, +).  No piece holds U+2581
-after another character (checked at compilation; else texts are taken whole), so the path
-through a text is the concatenation of the paths through its blank-led units, and paths of
-short units are kept in a bounded cache.
+Normaliser and pieces are composed once (`compose`).  The composed machine is then composed
+with each input: its arcs over the input's positions are a lattice, and the result is the
+shortest path through it in the tropical semiring (min, +), with the acceptor's weights added between
+neighbouring arcs.  A segmentation all of whose neighbouring pairs are accepted is the merged one,
+so a byte-pair lattice has one path of finite weight to each position, and its states
+need no more memory than the piece before.
+
+Whether a pair is accepted is read from the two pieces' own merge trees (`Merges`), not by merging the input.
+
+No piece holds U+2581 after another character (checked at compilation; else texts are taken
+whole), so the path through a text is the concatenation of the paths through its blank-led
+units, and paths of short units are kept in a bounded cache.
 
 Decoding reads the path's output side: pieces to characters, byte pieces to bytes (invalid
 sequences to U+FFFD), U+2581 to blanks, without the dummy prefix.
 
 Defined cases: null and empty texts encode to no ids and decode to the empty string; a text
-that holds U+2581 itself decodes with blanks there, as in the library.  Models with a
+that holds U+2581 itself decodes with blanks there, as in the library; repeated rows are
+encoded one by one; very long texts and units are whole; an empty table gives an empty one.  Models with a
 character map, white-space removal or user-defined pieces are refused.
 """
 
@@ -37,7 +46,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE, CACHED_UNIT = 400_000, 48  # paths in each of two generations, characters of a unit
+CACHE, CACHED_UNIT = 250_000, 48  # paths in each of two generations, characters of a unit
 INF = float("inf")
 
 
@@ -66,6 +75,93 @@ def _fields(b: bytes):
             yield key >> 3, b[i - n : i]
 
 
+class Merges:
+    """Merge trees of the pieces of a byte-pair model, and the acceptor of neighbouring pieces."""
+
+    def __init__(self, arcs: dict[str, int], scores: list[float]):
+        self.arcs, self.scores = arcs, scores
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.times: dict[str, float] = {}
+        self.rims: dict[tuple[str, int], list[tuple[str, float]]] = {}
+
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that the last merge of a piece joins; None for one character and for what merging never yields."""
+        if piece not in self.halves:
+            parts, last = list(piece), None
+            while len(parts) > 1:
+                found = [(-self.scores[j], i) for i in range(len(parts) - 1) if (j := self.arcs.get(parts[i] + parts[i + 1])) is not None]
+                if not found:
+                    break
+                i = min(found)[1]
+                last = parts[i], parts[i + 1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.halves[piece] = last if len(parts) == 1 else None
+        return self.halves[piece]
+
+    def time(self, piece: str) -> float:
+        """When merging has made a piece: the greatest negative score in its tree."""
+        if piece not in self.times:
+            halves = self.split(piece)
+            self.times[piece] = max(-self.scores[self.arcs[piece]], *map(self.time, halves)) if halves else -INF
+        return self.times[piece]
+
+    def rim(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """What stands at one side of a piece (0 left, 1 right) while it is being made, and when each is used up; innermost first."""
+        key = piece, side
+        if key not in self.rims:
+            out, until = [(piece, INF)], self.split(piece)
+            while until:
+                whole = out[-1][0]
+                out.append((until[side], self.time(whole)))
+                until = self.split(until[side])
+            self.rims[key] = out[::-1]
+        return self.rims[key]
+
+    def apart(self, left: str, right: str) -> bool:
+        """Does merging leave the border between two pieces? A merge across it must never come before both of its parts are used up.
+
+        Of merges with equal scores the leftmost comes first.
+        """
+        if any(len(p) > 1 and self.split(p) is None for p in (left, right)):
+            return False
+        a, b = self.rim(left, 1), self.rim(right, 0)
+        i = j = 0
+        while True:
+            (x, x_until), (y, y_until) = a[i], b[j]
+            k = self.arcs.get(x + y)
+            if k is not None and -self.scores[k] < x_until and -self.scores[k] <= y_until:
+                return False
+            if x_until == y_until == INF:
+                return True
+            if x_until <= y_until:
+                i += 1
+            else:
+                j += 1
+
+
+def compose(normaliser: dict[str, str], trie: dict) -> tuple[dict, int]:
+    """The machine that reads what the normaliser reads and writes what the pieces write.
+
+    normaliser: characters that it rewrites (all others pass as they are).  trie: nested maps from
+    a character to the next state, None to the id that is written there.  A state of the
+    result is a pair: a map from a character to the next state, and the id, -1 for none.
+    """
+    read: dict[str, list[str]] = {}
+    for c, written in normaliser.items():
+        read.setdefault(written, []).append(c)
+    start: tuple[dict, int] = ({}, trie.get(None, -1))
+    todo = [(trie, start[0])]
+    while todo:
+        state, arcs = todo.pop()
+        for c, following in state.items():
+            if c is not None:
+                target: tuple[dict, int] = ({}, following.get(None, -1))
+                for x in (*([] if c in normaliser else [c]), *read.get(c, ())):
+                    arcs[x] = target
+                todo.append((following, target[0]))
+    return start
+
+
 class Transducer:
     def __init__(self, model: bytes):
         self.pieces, self.kinds, self.kind = [], [], UNIGRAM
@@ -89,39 +185,27 @@ class Transducer:
         self.arcs = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.trie: dict = {}  # the piece machine: character -> next state; "" marks an arc's end
-        for p in self.arcs:
-            state = self.trie
+        trie: dict = {}
+        for p, k in self.arcs.items():
+            state = trie
             for c in p:
                 state = state.setdefault(c, {})
-            state[""] = {}
+            state[None] = k
+        self.machine = compose({" ": BLANK}, trie)
         crosses = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.arcs)
-        self.units = re.compile(f"(?s).+" if crosses else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self.worst = min((s for s, k in zip(self.scores, self.kinds) if k == NORMAL), default=0.0) - 10
-        self.accepted: dict[str, dict[str, bool]] = {}
+        self.units = re.compile("(?s).+" if crosses else f"[ {BLANK}]*[^ {BLANK}]+|[ {BLANK}]+")
+        worst = min((s for s, k in zip(self.scores, self.kinds) if k == NORMAL), default=0.0) - 10
+        self.weight = [0.0 if self.kind == BPE else -s for s in self.scores]
+        self.other = 0.0 if self.kind == BPE else -worst  # weight of a character that is no piece
+        self.merges = Merges(self.arcs, self.scores) if self.kind == BPE else None
+        self.accepted: dict[int, dict[int, bool]] = {}
         self.pairs = 0
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
 
-    def normalised(self, text: str) -> str:
-        return (BLANK if self.prefix and text else "") + text.replace(" ", BLANK)
-
-    def merged(self, text: str) -> list[str]:
-        """Byte-pair merging: again and again the best-scored adjacent pair, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = -INF, -1
-            for i in range(len(parts) - 1):
-                j = self.arcs.get(parts[i] + parts[i + 1])
-                if j is not None and self.scores[j] > best:
-                    best, at = self.scores[j], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def accepts(self, left: str, right: str) -> bool:
-        """Does the acceptor have an arc of weight zero for this pair of pieces (left empty: after a break)?"""
+    def accepts(self, left: int, right: int) -> bool:
+        """Has the acceptor an arc of weight zero for these two pieces?"""
         row = self.accepted.get(left)
         if row is None:
             if self.pairs >= 4 * CACHE:
@@ -130,83 +214,59 @@ class Transducer:
             row = self.accepted[left] = {}
         known = row.get(right)
         if known is None:
-            known = row[right] = self.merged(left + right) == [x for x in (left, right) if x]
+            known = row[right] = self.merges.apart(self.pieces[left], self.pieces[right])
             self.pairs += 1
         return known
 
-    def ends(self, unit: str, at: int) -> list[int]:
-        """Where the arcs that leave position `at` of the unit end, shortest first; a character that is no piece has an arc of its own."""
-        out, state = [], self.trie
-        for j in range(at, len(unit)):
-            state = state.get(unit[j])
-            if state is None:
-                break
-            if "" in state:
-                out.append(j + 1)
-        if not out or out[0] > at + 1:
-            out.insert(0, at + 1)
-        return out
-
-    def bpe_path(self, unit: str) -> list[str]:
-        """Arcs of the one path of weight zero, best-first with the longest arc first.
+    def path(self, unit: str) -> tuple[int, ...]:
+        """Output labels of the shortest path through the lattice of a unit, which is the machine composed with the input.
 
-        At most one accepted path leads to each position, so a position without a way on is dead for good.
+        The lattice is made from left to right, only where a path of finite weight arrives.
         """
-        n, path, at, dead = len(unit), [], 0, set()
-        tried: list[list[int]] = []  # arcs not yet tried at each position of the path
-        left = self.ends(unit, 0)
-        while at < n:
-            last = path[-1] if path and path[-1] in self.arcs else ""
-            while left:
-                end = left.pop()
-                p = unit[at:end]
-                if end not in dead and (p not in self.arcs or self.accepts(last, p)):
-                    path.append(p)
-                    tried.append(left)
-                    at = end
-                    left = self.ends(unit, at) if at < n else []
+        n, start, weight, accepted, bpe = len(unit), self.machine[0], self.weight, self.accepted, self.merges is not None
+        cost: list[float] = [0.0] + [INF] * n
+        into: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # the arc on the best path to each position: where it begins, its piece
+        for at in range(n):
+            here = cost[at]
+            if here == INF:
+                continue
+            last = into[at][1] if bpe else -1
+            near = accepted.get(last) or {}
+            arcs, end, alone = start, at, True
+            for c in unit[at:]:
+                state = arcs.get(c)
+                if state is None:
                     break
-            else:
-                dead.add(at)
-                at -= len(path.pop())
-                left = tried.pop()
-        return path
-
-    def unigram_path(self, unit: str) -> list[str]:
-        """Arcs of the path of least weight."""
-        n = len(unit)
-        last: list[str] = [""] * (n + 1)  # the arc into each state on its best path
-        cost = [0.0] + [INF] * n
-        for i in range(n):
-            for j in self.ends(unit, i):
-                p = unit[i:j]
-                k = self.arcs.get(p)
-                w = cost[i] - (self.worst if k is None else self.scores[k])
-                if w < cost[j]:
-                    cost[j], last[j] = w, p
-        out = []
+                arcs, piece = state
+                end += 1
+                if piece >= 0:
+                    if end == at + 1:
+                        alone = False
+                    w = here + weight[piece]
+                    if w < cost[end]:
+                        ok = last < 0 or near.get(piece)
+                        if ok or (ok is None and self.accepts(last, piece)):
+                            cost[end], into[end] = w, (at, piece)
+            if alone and here + self.other < cost[at + 1]:  # a character that is no piece goes through the byte machine
+                cost[at + 1], into[at + 1] = here + self.other, (at, -1)
+        out: list[list[int]] = []
         while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
-
-    def path(self, unit: str) -> tuple[int, ...]:
-        """Output labels of the shortest path through unit o normaliser o pieces (o acceptor)."""
-        out: list[int] = []
-        for p in self.bpe_path(unit) if self.kind == BPE else self.unigram_path(unit):
-            k = self.arcs.get(p)
-            if k is not None:
-                out.append(k)
+            at, piece = into[n]
+            if piece >= 0:
+                out.append([piece])
             elif self.bytes:
-                out.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
+                out.append([self.bytes[b] for b in unit[at:n].replace(" ", BLANK).encode("utf-8", "surrogatepass")])
             else:
-                out.append(self.unknown)
-        return tuple(out)
+                out.append([self.unknown])
+            n = at
+        return tuple(k for part in reversed(out) for k in part)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known = self.cache.get
-        for unit in self.units.findall(self.normalised(text)):
+        if self.prefix and text:
+            text = " " + text  # the normaliser's first arc
+        for unit in self.units.findall(text):
             ids = known(unit)
             if ids is None:
                 ids = self.older.get(unit)
