@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.llm.op10_secrets import secrets
+from narrata.llm.op11_divergence import divergence
+from narrata.llm.op12_negatives import hard_negatives
 from narrata.llm.op1_near import near_dedup
 from narrata.llm.op2_substring import substring_dedup
 from narrata.llm.op3_chunks import fingerprints
@@ -58,6 +60,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3_fingerprints that SQL can state."""
     return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -84,6 +94,8 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
     "edited_texts": edited_texts,
     "license_bases": license_bases,
     "secret_counts": secret_counts,
@@ -114,6 +126,30 @@ k AS (SELECT words.doc_id, count(*) AS n, coalesce(string_agg(word, ' ' ORDER BY
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT lang, source, r, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM c GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+o AS (SELECT c.lang, c.source, c.term, count(*) AS n FROM c JOIN k ON c.lang = k.lang AND c.term = k.term GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, sum(n) AS n FROM o GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(o.n, 0) + 5)) // (coalesce(t.n, 0) + 5 * v.v) AS p,
+             1 + (CAST(1000000000 AS HUGEINT) * (k.n + 5)) // (v.n + 5 * v.v) AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x QUALIFY part = 'pair' OR rank <= 50""",
+    "op12_hard_negatives": r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT s.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY s.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3""",
     "edited_texts": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, length(t) // 3 AS k, coalesce(lead(t) OVER w, first_value(t) OVER w) AS u FROM t WINDOW w AS (ORDER BY doc_id DESC))
