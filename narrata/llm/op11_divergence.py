@@ -16,9 +16,9 @@ How it runs.
 1. Each task counts the terms of its texts into one radix trie over UTF-8 bytes for each language; a
    leaf has the number of documents and a counter for each source.  A trie that reaches `LEAVES`
    counters goes out and a new one begins, so memory is bounded and nothing is dropped.
-2. Tries leave as subtrees: one front-coded row for each prefix of `CUT` bytes.  Rows of a prefix are
-   merged in two steps (first some tasks' tries at a time, then all), so that a prefix which every task has
-   is not read by one task alone.  Merged tries lose the terms below `MIN_DOCS` and are kept.
+2. Tries leave as subtrees: one front-coded row for each prefix of `CUT` bytes.  Rows are merged in two
+   steps, by prefix and some tasks' tries at a time, then by ranges of prefixes, so that a prefix which
+   every task has is not merged by one task alone.  Merged ranges lose the terms below `MIN_DOCS` and are kept.
 3. V and N are sums over the merged rows; p and f are exact integers (long division in steps of
    1,000, exact up to 9e15 occurrences).
 4. Each task walks its merged tries in byte order, that is in UTF-8 order of the terms.  Pairs:
@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from narrata.llm.store import keep
 
 MIN_DOCS, TOP = 30, 50
-#: Counters of a task's tries before they go out; bytes of a prefix; sources of a tile; bytes of text between two insertions.
-LEAVES, CUT, TILE, PIECE = 400_000, 3, 256, 8_000_000
+#: Counters of a task's tries before they go out; bytes of a prefix; counters of a merged row; sources of a tile; bytes of a long text's pieces.
+LEAVES, CUT, RANGE, TILE, PIECE = 400_000, 3, 20_000, 256, 8_000_000
 
 #: Bytes outside terms to spaces, A-Z to a-z.
 _FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -185,13 +185,40 @@ def _count(limit: int):
     return run
 
 
-def _merge(least: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie()
-        for code, numbers, sources in zip(pdf.code, pdf.numbers, pdf.sources):
-            trie.merge(code, numbers, sources)
-        code, numbers, sources = coded(leaf for leaf in trie.walk() if leaf[1] >= least)
-        return pd.DataFrame([(key[0], key[1], code, numbers, sources)] if numbers else [], columns=_NAMES)
+def _merge(least: int, span: int):
+    """Merges rows that come sorted by language and prefix.  Terms below `least` documents go; neighbouring prefixes share a row of up to `span` counters (0: none do)."""
+
+    def run(batches):
+        key, trie, held, n, out = None, Trie(), [], 0, []
+
+        def close() -> None:
+            nonlocal held, n
+            if held:
+                out.append((key[0], held[0][0][:CUT], *coded(held)))
+            held, n = [], 0
+
+        def end(fresh) -> None:
+            """The rows of a prefix are over."""
+            nonlocal n
+            leaves = [leaf for leaf in trie.walk() if leaf[1] >= least]
+            held.extend(leaves)
+            n += trie.leaves
+            if n >= span or fresh is None or fresh[0] != key[0]:
+                close()
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if (row.lang, row.prefix) != key:
+                    if key is not None:
+                        end((row.lang, row.prefix))
+                    key, trie = (row.lang, row.prefix), Trie()
+                    if len(out) >= 1000:
+                        yield pd.DataFrame(out, columns=_NAMES)
+                        out.clear()
+                trie.merge(row.code, row.numbers, row.sources)
+        if key is not None:
+            end(None)
+            yield pd.DataFrame(out, columns=_NAMES)
 
     return run
 
@@ -296,8 +323,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, leaves
     base = docs.select(blank("lang"), blank("source"), blank("text"))
     partial = keep(base.mapInPandas(_count(leaves), PREFIXES).withColumn("task", F.spark_partition_id()))
     some = F.pmod("task", F.lit(max(1, round(partial.select("task").distinct().count() ** 0.5))))
-    merged = partial.groupBy("lang", "prefix", some.alias("some")).applyInPandas(_merge(0), PREFIXES)
-    merged = keep(merged.groupBy("lang", "prefix").applyInPandas(_merge(min_docs), PREFIXES))
+    first = partial.repartition("lang", "prefix", some).sortWithinPartitions("lang", "prefix").select(_NAMES).mapInPandas(_merge(0, 0), PREFIXES)
+    merged = keep(first.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInPandas(_merge(min_docs, RANGE), PREFIXES))
 
     numbers = merged.mapInPandas(_totals, "lang string, source string, n long").groupBy("lang", "source").agg(F.sum("n").alias("n"))
     numbers = keep(numbers)
