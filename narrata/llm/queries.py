@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from narrata.llm.op10_secrets import secrets
 from narrata.llm.op11_divergence import divergence
 from narrata.llm.op12_negatives import hard_negatives
+from narrata.llm.op13_suffixes import suffix_dedup
 from narrata.llm.op1_near import near_dedup
 from narrata.llm.op2_substring import substring_dedup
 from narrata.llm.op3_chunks import fingerprints
@@ -68,6 +69,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3_fingerprints that SQL can state."""
     return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -96,6 +101,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_source_divergence": op11_source_divergence,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_dedup": op13_suffix_dedup,
     "edited_texts": edited_texts,
     "license_bases": license_bases,
     "secret_counts": secret_counts,
@@ -150,6 +156,18 @@ s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_
 p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
 SELECT s.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY s.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
 FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3""",
+    "op13_suffix_dedup": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, unnest(generate_series(0, length(x) // 2 - 200)) AS i, x FROM t WHERE length(x) >= 400),
+m AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS m FROM w),
+b AS (SELECT r, i FROM m WHERE m IN (SELECT m FROM m GROUP BY m HAVING count(*) > 1)),
+f AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 OR lag(i) OVER (PARTITION BY r ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM b),
+n AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM f),
+s AS (SELECT r, k, min(i) AS a, max(i) + 200 AS z FROM n GROUP BY r, k),
+g AS (SELECT r, k, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY k), 0) AS before FROM s),
+o AS (SELECT g.r, sum(z - a) AS gone, count(*) AS n, max(z) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) AS kept FROM g JOIN t ON g.r = t.r GROUP BY g.r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM t LEFT JOIN o ON t.r = o.r""",
     "edited_texts": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, length(t) // 3 AS k, coalesce(lead(t) OVER w, first_value(t) OVER w) AS u FROM t WINDOW w AS (ORDER BY doc_id DESC))
