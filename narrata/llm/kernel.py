@@ -10,6 +10,9 @@ size of a partition: a piece holds about `PIECE` bytes, or one longer text.
 
 from __future__ import annotations
 
+import contextlib
+import gc
+
 import numpy as np
 
 PIECE = 2_000_000
@@ -112,3 +115,24 @@ def ngram_hash(words: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.n
         for k in range(n):
             h = h * q + words[k : len(words) - n + 1 + k]
     return mix(h[at], seed)
+
+
+def common(x: bytes, y: bytes, at: int = 0) -> int:
+    """Length of the common prefix of x and y, of which `at` bytes are known."""
+    n = min(len(x), len(y))
+    if at < n and x[at] != y[at]:
+        return at
+    differ = int.from_bytes(x[at:n]) ^ int.from_bytes(y[at:n])
+    return n - (differ.bit_length() + 7) // 8 if differ else n
+
+
+@contextlib.contextmanager
+def acyclic():
+    """Python's search for reference cycles off: it would look through millions of small containers without any again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

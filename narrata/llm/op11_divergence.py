@@ -16,9 +16,9 @@ How it runs.
 1. Each task counts the terms of its texts into one radix trie over UTF-8 bytes for each language; a
    leaf has the number of documents and a counter for each source.  A trie that reaches `LEAVES`
    counters goes out and a new one begins, so memory is bounded and nothing is dropped.
-2. Tries leave as subtrees: one front-coded row for each prefix of `CUT` bytes.  Rows are merged in two
-   steps, by prefix and some tasks' tries at a time, then by ranges of prefixes, so that a prefix which
-   every task has is not merged by one task alone.  Merged ranges lose the terms below `MIN_DOCS` and are kept.
+2. Tries leave as subtrees: one front-coded row for each prefix of `CUT` bytes.  Rows are dealt out by ranges of
+   prefixes and merged in order, one prefix's trie at a time, so that a task holds no more than a prefix has terms.
+   Merged ranges lose the terms below `MIN_DOCS` and are kept.
 3. V and N are sums over the merged rows; p and f are exact integers (long division in steps of
    1,000, exact up to 9e15 occurrences).
 4. Each task walks its merged tries in byte order, that is in UTF-8 order of the terms.  Pairs:
@@ -44,6 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.llm.kernel import acyclic, common
 from narrata.llm.store import keep
 
 MIN_DOCS, TOP = 30, 50
@@ -60,34 +61,41 @@ class Trie:
     def __init__(self):
         self.root: list = [{}, 0, None]
         self.leaves = 0
+        #: The nodes passed by the last term with their depths; terms mostly come in order and go on from there.
+        self.last, self.path = b"", [(0, self.root)]
 
     def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
-        node, at = self.root, 0
+        """Adds to a term's leaf; `counts` may become the leaf's own."""
+        path, known = self.path, common(self.last, term)
+        while path[-1][0] > known:
+            path.pop()
+        (at, node), self.last = path[-1], term
         while at < len(term):
             edge = node[0].get(term[at])
             if edge is None:
                 fresh = [{}, 0, None]
                 node[0][term[at]] = (term[at:], fresh)
-                node = fresh
-                break
-            label, child = edge
-            if term.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            n = next((i for i, (x, y) in enumerate(zip(label, term[at:])) if x != y), min(len(label), len(term) - at))
-            middle = [{label[n]: (label[n:], child)}, 0, None]
-            node[0][term[at]] = (label[:n], middle)
-            node, at = middle, at + n
+                node, at = fresh, len(term)
+            else:
+                label, child = edge
+                if term.startswith(label, at):
+                    node, at = child, at + len(label)
+                else:
+                    n = common(label, term[at:])
+                    middle = [{label[n]: (label[n:], child)}, 0, None]
+                    node[0][term[at]] = (label[:n], middle)
+                    node, at = middle, at + n
+            path.append((at, node))
         node[1] += docs
-        if node[2] is None:
-            node[2] = {}
         own = node[2]
+        if own is None:
+            node[2] = counts
+            self.leaves += len(counts)
+            return
+        before = len(own)
         for source, n in counts.items():
-            if source in own:
-                own[source] += n
-            else:
-                own[source] = n
-                self.leaves += 1
+            own[source] = own.get(source, 0) + n
+        self.leaves += len(own) - before
 
     def walk(self):
         """(term, documents, counters) in byte order."""
@@ -107,15 +115,15 @@ def coded(leaves) -> tuple[bytes, bytes, list[str]]:
     """Front-coded leaves: new bytes of each term; (shared bytes, new bytes, documents, counters, (source, count)...) as longs; the sources."""
     code, numbers, index, before = [], [], {}, b""
     for term, docs, counts in leaves:
-        n = 0
-        for x, y in zip(before, term):
-            if x != y:
-                break
-            n += 1
+        n = min(len(before), len(term))
+        if before[:n] != term[:n]:
+            n -= ((int.from_bytes(before[:n]) ^ int.from_bytes(term[:n])).bit_length() + 7) // 8
         code.append(term[n:])
+        for source in counts:
+            if source not in index:
+                index[source] = len(index)
         numbers += (n, len(term) - n, docs, len(counts))
-        for source, count in counts.items():
-            numbers += (index.setdefault(source, len(index)), count)
+        numbers += [x for source, count in counts.items() for x in (index[source], count)]
         before = term
     return b"".join(code), np.array(numbers, np.int64).tobytes(), list(index)
 
@@ -175,8 +183,8 @@ def _count(limit: int):
                     for term, n in total.items():
                         counts[term][source] = n
                 trie = tries[lang]
-                for term, own in counts.items():
-                    trie.add(term, docs[term], own)
+                for term in sorted(counts):
+                    trie.add(term, docs[term], counts[term])
                 if trie.leaves >= limit:
                     yield _subtrees(lang, tries.pop(lang))
         for lang, trie in tries.items():
@@ -186,7 +194,7 @@ def _count(limit: int):
 
 
 def _merge(least: int, span: int):
-    """Merges rows that come sorted by language and prefix.  Terms below `least` documents go; neighbouring prefixes share a row of up to `span` counters (0: none do)."""
+    """Merges rows that come sorted by language and prefix.  Terms below `least` documents go; neighbouring prefixes share a row of up to `span` counters."""
 
     def run(batches):
         key, trie, held, n, out = None, Trie(), [], 0, []
@@ -317,16 +325,20 @@ def add_pairs(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         m[i, : b.shape[1]] += np.abs(b - a[:, i : i + 1]).sum(0)
 
 
+def _quietly(f, batches):
+    with acyclic():
+        yield from f(batches)
+
+
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, leaves: int = LEAVES, tile: int = TILE) -> DataFrame:
     """lang, source, part, item, value, rank; see the module."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    quiet = lambda f: lambda batches: _quietly(f, batches)
     base = docs.select(blank("lang"), blank("source"), blank("text"))
-    partial = keep(base.mapInPandas(_count(leaves), PREFIXES).withColumn("task", F.spark_partition_id()))
-    some = F.pmod("task", F.lit(max(1, round(partial.select("task").distinct().count() ** 0.5))))
-    first = partial.repartition("lang", "prefix", some).sortWithinPartitions("lang", "prefix").select(_NAMES).mapInPandas(_merge(0, 0), PREFIXES)
-    merged = keep(first.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInPandas(_merge(min_docs, RANGE), PREFIXES))
+    partial = keep(base.mapInPandas(quiet(_count(leaves)), PREFIXES))  # a table: ranges are found by a look at it
+    merged = keep(partial.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInPandas(quiet(_merge(min_docs, RANGE)), PREFIXES))
 
-    numbers = merged.mapInPandas(_totals, "lang string, source string, n long").groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    numbers = merged.mapInPandas(quiet(_totals), "lang string, source string, n long").groupBy("lang", "source").agg(F.sum("n").alias("n"))
     numbers = keep(numbers)
     groups = base.groupBy("lang", "source").agg(F.count("*").alias("rows"))
     groups = keep(groups.join(numbers.filter("source is not null"), ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n")))
@@ -334,7 +346,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, leaves
     lists = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("g"), F.sum("n").alias("n"))  # names and one number each: no texts
     stats = lists.join(v, "lang").select("lang", "v", "n", F.col("g.source").alias("all"), F.col("g.n").alias("ns"))
     partial_rows = merged.join(stats.hint("merge"), "lang").select("lang", "prefix", "code", "numbers", "sources", "v", "n", "all", "ns")
-    found = partial_rows.mapInPandas(_walk(top, tile), "lang string, source string, part string, item string, value long")
+    found = partial_rows.mapInPandas(quiet(_walk(top, tile)), "lang string, source string, part string, item string, value long")
     found = keep(found)
 
     one_way = found.filter("part = 'pair' and source <> item").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

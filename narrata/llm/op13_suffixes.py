@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.llm import kernel
-from narrata.llm.kernel import mix
+from narrata.llm.kernel import acyclic, common, mix
 from narrata.llm.store import keep
 
 LENGTH, HEAD = 200, 50
@@ -140,15 +140,6 @@ def _apart(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 21, (place >> 11) & 1023, (place >> 1) & 1023
 
 
-def common(x: bytes, y: bytes, at: int) -> int:
-    """Length of the common prefix of x and y, of which `at` bytes are known."""
-    n = min(len(x), len(y))
-    if at < n and x[at] != y[at]:
-        return at
-    differ = int.from_bytes(x[at:n]) ^ int.from_bytes(y[at:n])
-    return n - (differ.bit_length() + 7) // 8 if differ else n
-
-
 def front_coded(keys: list[bytes]) -> tuple[list[int], bytes]:
     """Bytes that each key shares with the one before it, and the rest of all."""
     shared, rest, before = [], [], b""
@@ -287,7 +278,8 @@ def _merge(length: int, head: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         runs = [_decoded(*x) for x in zip(pdf.pack, pdf.n, pdf.numbers, pdf.rest, pdf.lefts)]
-        keys, shared, more = zip(*LoserTree(runs))
+        with acyclic():
+            keys, shared, more = zip(*LoserTree(runs))
         lefts, packs, places, many = zip(*more)
         hit = repeated(list(keys), list(shared), list(lefts), length, head)
         hit[np.array(many, bool)] = False

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from narrata.llm import op13_suffixes
-from narrata.llm.op13_suffixes import LoserTree, anchors, common, front_coded, suffix_dedup
+from narrata.llm.kernel import common
+from narrata.llm.op13_suffixes import LoserTree, anchors, front_coded, suffix_dedup
 
 
 def plain(rows, length=200):
