@@ -7,6 +7,7 @@ import functools
 import heapq
 import shutil
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,21 +22,27 @@ def _own_dir() -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed to the folder that the session names; a folder of this process only in a local session that names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        d = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not d and sc.master != "local" and not sc.master.startswith("local["):
+    """`df` written to the folder that the session names and read back; a folder of this process only in a local session that names none.
+
+    A written table has its real size, so the planner's estimates don't multiply over the rounds of a loop.
+    """
+    spark = df.sparkSession
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(d or _own_dir())
-    return df.checkpoint()
+        d = _own_dir()
+    path = f"{d.rstrip('/')}/narrata-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def min_labels(edges: DataFrame, nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(node, component): smallest node id reached over undirected edges (a, b), within max_hops or in full.
 
     Without a bound, labels also jump along labels, so rounds grow with the logarithm of the
-    diameter.  The edges are made once, and each round is checkpointed to the shared folder; minima
+    diameter.  The edges are made once, and each round is written to the shared folder; minima
     are partial aggregates.
     """
     once = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
@@ -128,18 +135,72 @@ def back_paths(edges: DataFrame, most: int) -> DataFrame:
     return found.distinct()
 
 
+def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, least): the smallest node from which each node is reached along edges (a, b), itself included.
+
+    What reaches my label reaches me, so labels jump along labels; a long chain takes few rounds.
+    """
+    label = nodes.select("node", F.col("node").alias("least"))
+    while True:
+        heard = edges.join(label, edges.a == label.node).groupBy("b").agg(F.min("least").alias("m"))
+        new = label.join(heard, label.node == heard.b, "left").select("node", F.least("least", F.coalesce("m", "least")).alias("least"), F.col("least").alias("old"))
+        jump = new.select(F.col("node").alias("j"), F.col("least").alias("further"))
+        new = cut(new.join(jump, new.least == jump.j).select("node", F.col("further").alias("least"), "old"))
+        label = new.select("node", "least")
+        if new.filter("least <> old").isEmpty():
+            return label
+
+
+def strong_components(edges: DataFrame, trims: int = 3) -> DataFrame:
+    """(node, component): nodes of directed edges (from_id, to_id) that lie on a cycle; two share a component (its smallest node) exactly if each leads to the other.
+
+    Each round cuts off nodes without a way in or out, then gives every node the smallest node that reaches it.
+    A component has one such label, and within it the smallest node is reached from those that
+    belong to it.  Found components and edges between labels go; the rest is the next round.
+    """
+    loops = edges.filter("from_id = to_id").select(F.col("from_id").alias("node")).distinct()
+    left = cut(edges.filter("from_id <> to_id").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct())
+    found = None
+    while True:
+        for _ in range(trims):
+            before = left.count()
+            into, out = left.select(F.col("b").alias("x")).distinct(), left.select(F.col("a").alias("x")).distinct()
+            left = cut(left.join(into, left.a == into.x, "left_semi").join(out, left.b == out.x, "left_semi"))
+            if left.count() == before:
+                break
+        if left.isEmpty():
+            break
+        nodes = cut(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
+        colour = _least_reaching(left, nodes)
+        of_a, of_b = colour.toDF("a", "ca"), colour.toDF("b", "cb")
+        within = cut(left.join(of_a, "a").join(of_b, "b").filter("ca = cb").select("a", "b"))
+        reached = _least_reaching(within.select(F.col("b").alias("a"), F.col("a").alias("b")), nodes)
+        own = cut(colour.join(reached.toDF("node", "back"), "node").filter("least = back").select("node", F.col("least").alias("component")))
+        alone = own.groupBy("component").agg(F.count("*").alias("n")).filter("n = 1").select("component")
+        several = own.join(alone, "component", "left_anti").select("node", "component")
+        found = several if found is None else found.unionByName(several)
+        left = cut(within.join(own.select(F.col("node").alias("a")), "a", "left_anti").join(own.select(F.col("node").alias("b")), "b", "left_anti"))
+    alone = loops.select("node", F.col("node").alias("component"))
+    return alone if found is None else found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
+
+
 def path_counts(pairs: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(from_id, to_id, paths): walks of one to `most` edges from the end of each pair back to its start, by length; pairs without one are left out.
+    """(from_id, to_id, paths): paths of one to `most` edges from the end of each pair back to its start that use no edge twice; pairs without one are left out.
 
-    Walks are counted, not listed: each round joins the counts of the round before with the edges
-    and sums them, so rows stay within pairs times nodes.
+    Such a path and its pair close a cycle, so only edges within one strong component of edges and pairs are
+    walked.  Paths that have used the same edges and stand at the same node are one row with a count.
     """
-    step = edges.select(F.col("from_id").alias("x"), F.col("to_id").alias("y")).distinct()
     pairs = pairs.select("from_id", "to_id").distinct()
-    front = pairs.select("from_id", "to_id", F.col("to_id").alias("at"), F.lit(1).cast("decimal(38,0)").alias("n"))
+    edges = edges.select("from_id", "to_id").distinct()
+    comp = cut(strong_components(edges.unionByName(pairs)))
+    step = edges.join(comp.toDF("from_id", "ca"), "from_id").join(comp.toDF("to_id", "cb"), "to_id").filter("ca = cb")
+    step = cut(step.select(F.col("from_id").alias("x"), F.col("to_id").alias("y"), F.monotonically_increasing_id().alias("edge")))
+    inside = pairs.join(comp.toDF("from_id", "ca"), "from_id").join(comp.toDF("to_id", "cb"), "to_id").filter("ca = cb")
+    front = inside.select("from_id", "to_id", F.col("to_id").alias("at"), F.array().cast("array<long>").alias("used"), F.lit(1).cast("decimal(38,0)").alias("n"))
     found = None
     for _ in range(most):
-        front = cut(front.join(step, front["at"] == step.x).groupBy("from_id", "to_id", F.col("y").alias("at")).agg(F.sum("n").cast("decimal(38,0)").alias("n")))
+        onward = front.join(step, front["at"] == step.x).filter("not array_contains(used, edge)")
+        front = cut(onward.groupBy("from_id", "to_id", F.col("y").alias("at"), F.array_sort(F.array_append("used", F.col("edge"))).alias("used")).agg(F.sum("n").cast("decimal(38,0)").alias("n")))
         back = front.filter("at = from_id").select("from_id", "to_id", "n")
         found = back if found is None else found.unionByName(back)
         if front.isEmpty():

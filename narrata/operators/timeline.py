@@ -97,35 +97,36 @@ def edge_requests(analyses: DataFrame) -> DataFrame:
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     """The requests of one unordered pair in order of arrival, see `_reconciled`."""
-    overlap, during = PREFIX + "overlaps", PREFIX + "during"
-    state: dict = {}  # direction -> (type, certainty)
-    out, clashes = [], 0
+    overlap, during, contains = PREFIX + "overlaps", PREFIX + "during", PREFIX + "contains"
+    way, old, sure = None, None, None  # the pair's one edge
+    refused: dict = {}  # direction -> last refused request
+    clashes = 0
     for r in pdf.sort_values("seq").itertuples(index=False):
-        way, new = (r.from_id, r.to_id), r.temporal_type
-        have = state.get(way) or state.get(way[::-1])
-        old = have[0] if have else None
-        raw = state.get((r.raw_from, r.raw_to))
-        if raw and raw[0] == during and r.raw_type == PREFIX + "contains":
-            kept = None
-        elif old is None or old == new or (old == overlap and new == during):
-            kept = new
-        else:
-            kept = old if (old, new) == (during, overlap) else None
-        if kept is None:
+        asked, new = (r.from_id, r.to_id), r.temporal_type
+        raw = (r.raw_from, r.raw_to)
+        if way == raw and old == during and r.raw_type == contains:
             clashes += 1
-            out.append((*way, new, r.certainty, 0, old, r.seq))
+            refused[raw] = (contains, r.certainty, old, r.seq)
+        elif old is None or new is None or old == new or (old, new) == (overlap, during):
+            way, old, sure = asked, new, r.certainty
+        elif (old, new) == (during, overlap):
+            way, sure = asked, r.certainty
         else:
-            state[way] = (kept, r.certainty)
-    out += [(*way, kind, sure, clashes, None, None) for way, (kind, sure) in state.items()]
+            clashes += 1
+            refused[asked] = (new, r.certainty, old, r.seq)
+    out = [(*at, kind, certainty, 0, existing, seq) for at, (kind, certainty, existing, seq) in refused.items()]
+    if way is not None:
+        out.append((*way, old, sure, clashes, None, None))
     return pd.DataFrame(out, columns=["from_id", "to_id", "temporal_type", "certainty", "ambiguous", "existing_type", "seq"]).astype({"seq": "Int64"})
 
 
 def _reconciled(requests: DataFrame) -> DataFrame:
-    """Edges and, with `seq`, refused requests.
+    """The edge of each unordered pair and, with `seq`, its refused requests.
 
-    Types are compared whatever their direction: an equal type or none takes the incoming edge, an
-    enclosure beats an overlap, and what contradicts is refused, as is `contains` where `during` stands in the same
-    direction.  An accepted edge is written in its own direction, so a pair may have one each way.
+    A pair has one edge.  Types are compared whatever their direction: an equal type or none replaces the
+    edge by the incoming one, in its direction; an enclosure beats an overlap and an overlap turns an enclosure
+    round but leaves it one; what contradicts is refused, as is `contains` where `during` stands in the same
+    direction.  Of the refused requests of a direction the last stays.
     """
     raw = requests.withColumns({"raw_from": F.col("from_id"), "raw_to": F.col("to_id"), "raw_type": F.concat(F.lit(PREFIX), _base(F.col("temporal_type")))})
     rows = canonical(raw).withColumn("a", F.least("from_id", "to_id")).withColumn("b", F.greatest("from_id", "to_id"))
@@ -134,15 +135,15 @@ def _reconciled(requests: DataFrame) -> DataFrame:
 
 
 def reconcile(requests: DataFrame) -> DataFrame:
-    """Temporal edges from requests (from_id, to_id, temporal_type, certainty, seq), reconciled for each unordered pair of scenes.
+    """One temporal edge for each unordered pair of scenes from requests (from_id, to_id, temporal_type, certainty, seq).
 
-    `ambiguous` counts the requests of the pair that contradicted; they don't change an edge.
+    `ambiguous` counts the requests of the pair that contradicted; they don't change the edge.
     """
     return _reconciled(requests).filter("seq is null").drop("seq", "existing_type")
 
 
 def ambiguous_relations(requests: DataFrame) -> DataFrame:
-    """The refused requests, in canonical form, with the type that stood against each."""
+    """The last refused request of each direction of a pair, with the type that stood against it."""
     return _reconciled(requests).filter("seq is not null").select("seq", "from_id", "to_id", F.col("temporal_type").alias("incoming_type"), "existing_type", "certainty")
 
 

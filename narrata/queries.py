@@ -364,24 +364,24 @@ def canonical_relations(spark: SparkSession, folder: str) -> DataFrame:
 
 _FOLDED = _RELATIONS + """, q AS (SELECT *, least(from_id, to_id) AS a, greatest(from_id, to_id) AS b, kind IN ('after', 'met_by', 'overlapped_by', 'started_by', 'contains', 'finished_by') AS swap,
   CASE WHEN kind IN ('before', 'after', 'meets', 'met_by') THEN 'before' WHEN kind LIKE 'overlap%' OR kind = 'equals' THEN 'overlaps' WHEN kind LIKE 'start%' THEN 'starts' WHEN kind IN ('during', 'contains') THEN 'during' ELSE 'finishes' END AS t FROM t0),
-w AS (SELECT *, (from_id = a) <> swap AS up, row_number() OVER (PARTITION BY a, b ORDER BY seq) AS n FROM q),
-f AS (SELECT DISTINCT a, b, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS d, 0 AS clashes, CAST(NULL AS BIGINT) AS seq, false AS up, CAST(NULL AS VARCHAR) AS t, CAST(NULL AS VARCHAR) AS old, false AS refused FROM w
-UNION ALL SELECT a, b, n, CASE WHEN kept IS NOT NULL AND up THEN kept ELSE u END, CASE WHEN kept IS NOT NULL AND NOT up THEN kept ELSE d END, clashes + CAST(kept IS NULL AS INT), seq, up, t, old, kept IS NULL FROM (
-  SELECT *, CASE WHEN kind = 'contains' AND coalesce(CASE WHEN from_id = a THEN u ELSE d END, '') = 'during' THEN NULL WHEN old IS NULL OR old = t OR (old = 'overlaps' AND t = 'during') THEN t WHEN old = 'during' AND t = 'overlaps' THEN old END AS kept FROM (
-    SELECT w.*, f.u, f.d, f.clashes, CASE WHEN w.up THEN coalesce(f.u, f.d) ELSE coalesce(f.d, f.u) END AS old FROM f JOIN w ON w.a = f.a AND w.b = f.b AND w.n = f.n + 1)))"""
+w AS (SELECT *, from_id = a AS raw_up, (from_id = a) <> swap AS up, row_number() OVER (PARTITION BY a, b ORDER BY seq) AS n FROM q),
+f AS (SELECT DISTINCT a, b, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS have, CAST(NULL AS BOOLEAN) AS way, 0 AS clashes, CAST(NULL AS BIGINT) AS seq, false AS up, CAST(NULL AS VARCHAR) AS t, CAST(NULL AS VARCHAR) AS old, false AS refused FROM w
+UNION ALL SELECT a, b, n, coalesce(kept, have), CASE WHEN kept IS NULL THEN way ELSE up END, clashes + CAST(kept IS NULL AS INT), seq, CASE WHEN inside THEN raw_up ELSE up END, CASE WHEN inside THEN 'contains' ELSE t END, have, kept IS NULL FROM (
+  SELECT *, CASE WHEN inside THEN NULL WHEN have IS NULL OR have = t OR (have = 'overlaps' AND t = 'during') THEN t WHEN have = 'during' AND t = 'overlaps' THEN have END AS kept FROM (
+    SELECT w.*, f.have, f.way, f.clashes, coalesce(w.kind = 'contains' AND f.have = 'during' AND f.way = w.raw_up, false) AS inside FROM f JOIN w ON w.a = f.a AND w.b = f.b AND w.n = f.n + 1)))"""
 
 
-@query(_FOLDED + """, l AS (SELECT a, b, arg_max({'u': u, 'd': d, 'c': clashes}, n) AS s FROM f GROUP BY 1, 2)
-SELECT a AS from_id, b AS to_id, 'R:temporal.' || s.u AS temporal_type, 'Explicit' AS certainty, CAST(s.c AS BIGINT) AS ambiguous FROM l WHERE s.u IS NOT NULL
-UNION ALL SELECT b, a, 'R:temporal.' || s.d, 'Explicit', CAST(s.c AS BIGINT) FROM l WHERE s.d IS NOT NULL""")
+@query(_FOLDED + """, l AS (SELECT a, b, arg_max({'t': have, 'w': way, 'c': clashes}, n) AS s FROM f GROUP BY 1, 2)
+SELECT CASE WHEN s.w THEN a ELSE b END AS from_id, CASE WHEN s.w THEN b ELSE a END AS to_id, 'R:temporal.' || s.t AS temporal_type, 'Explicit' AS certainty, CAST(s.c AS BIGINT) AS ambiguous FROM l""")
 def reconciled_relations(spark: SparkSession, folder: str) -> DataFrame:
-    """One edge each way at most for each pair, from requests in order of arrival."""
+    """One edge for each pair, from requests in order of arrival."""
     return L.reconcile(_relations(spark, folder))
 
 
-@query(_FOLDED + """ SELECT seq, CASE WHEN up THEN a ELSE b END AS from_id, CASE WHEN up THEN b ELSE a END AS to_id, 'R:temporal.' || t AS incoming_type, 'R:temporal.' || old AS existing_type, 'Explicit' AS certainty FROM f WHERE refused""")
+@query(_FOLDED + """ SELECT seq, CASE WHEN up THEN a ELSE b END AS from_id, CASE WHEN up THEN b ELSE a END AS to_id, 'R:temporal.' || t AS incoming_type, 'R:temporal.' || old AS existing_type, 'Explicit' AS certainty FROM f
+WHERE refused QUALIFY row_number() OVER (PARTITION BY a, b, up ORDER BY seq DESC) = 1""")
 def ambiguous_relations(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests that contradicted what stood there."""
+    """The last request of each direction that contradicted what stood there."""
     return L.ambiguous_relations(_relations(spark, folder))
 
 
@@ -702,15 +702,34 @@ def edges_with_back_path(spark: SparkSession, folder: str) -> DataFrame:
     return G.back_paths(_ring(spark, folder), 6)
 
 
-@query(PRELUDE + ", " + _RING + """, e AS (SELECT a, b FROM t0 UNION SELECT a, (b + 1) % n FROM t0, m), r AS (SELECT a AS f, b AS t, b AS pos, CAST(1 AS BIGINT) AS c, 0 AS k FROM t0
-UNION ALL SELECT f, t, e.b, CAST(sum(c) AS BIGINT), k + 1 FROM r JOIN e ON e.a = pos WHERE k < 6 GROUP BY f, t, e.b, k) SELECT f AS from_id, t AS to_id, CAST(sum(c) AS BIGINT) AS paths FROM r WHERE k > 0 AND pos = f GROUP BY 1, 2""", prelude=False)
+@query(PRELUDE + ", " + _RING + """, e AS (SELECT a, b, a * 1000000 + b AS id FROM (SELECT a, b FROM t0 UNION SELECT a, (b + 1) % n FROM t0, m)),
+r AS (SELECT a AS f, b AS t, b AS pos, CAST([] AS BIGINT[]) AS used FROM t0 UNION ALL SELECT f, t, e.b, list_append(used, e.id) FROM r JOIN e ON e.a = pos WHERE len(used) < 6 AND NOT list_contains(used, e.id))
+SELECT f AS from_id, t AS to_id, count(*) AS paths FROM r WHERE len(used) > 0 AND pos = f GROUP BY 1, 2""", prelude=False)
 def back_path_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """How many walks of at most six edges lead back, for each edge of a graph."""
+    """How many paths of at most six edges, none twice, lead back, for each edge of a graph."""
     e = _ring(spark, folder)
     n = corpus.table(spark, folder, "events").agg(F.max("user_id") + 1).first()[0]
     return G.path_counts(e, e.unionByName(e.select("from_id", ((F.col("to_id") + 1) % n).alias("to_id"))), 6)
 
 
+@query("""WITH RECURSIVE m AS (SELECT max(user_id) + 1 AS n FROM events),
+e AS (SELECT DISTINCT CASE event_type WHEN 'error' THEN user_id + 2 * n ELSE user_id + CASE WHEN event_type = 'purchase' THEN 3 + event_id % 3 ELSE 0 END * n END AS a,
+  CASE event_type WHEN 'view' THEN (user_id * 7 + event_id % 4) % n WHEN 'signup' THEN user_id + n WHEN 'error' THEN user_id WHEN 'purchase' THEN user_id + (3 + (event_id + 1) % 3) * n ELSE user_id END AS b FROM events, m WHERE event_type <> 'click' OR event_id % 7 = 0),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.b = y.a AND x.a = y.b GROUP BY x.a""", prelude=False)
+def cycle_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Strong components of a graph of all events: one web, rings of three, nodes that lead in or out of the web, loops."""
+    e = corpus.table(spark, folder, "events")
+    n = e.agg(F.max("user_id") + 1).first()[0]
+    u, i, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
+    is_ = lambda x: kind == x
+    edges = e.filter(~is_("click") | (i % 7 == 0)).select(
+        F.when(is_("error"), u + 2 * n).when(is_("purchase"), u + (3 + i % 3) * n).otherwise(u).alias("from_id"),
+        F.when(is_("view"), (u * 7 + i % 4) % n).when(is_("signup"), u + n).when(is_("purchase"), u + (3 + (i + 1) % 3) * n).otherwise(u).alias("to_id"),
+    )
+    return G.strong_components(edges)
+
+
 @query("""t0 AS (SELECT event_id_1, event_id_2, score FROM c WHERE score >= 0.6), e AS (SELECT event_id_1 AS a, event_id_2 AS b FROM t0 UNION ALL SELECT event_id_2, event_id_1 FROM t0),
 r AS (SELECT event_id AS node, event_id AS other FROM ev UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), m AS (SELECT node, min(other) AS book_event_id FROM r GROUP BY 1)
 SELECT book_id, book_event_id, count(*) AS chapter_events, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS members FROM ev JOIN m ON node = event_id GROUP BY 1, 2""")
