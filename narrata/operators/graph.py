@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,19 +21,24 @@ def _own_dir() -> str:
     return d
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that the session names and read back; a folder of this process only in a local session that names none.
-
-    A written table has its real size, so the planner's estimates don't multiply over the rounds of a loop.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below the one that the session names; one of this process only in a local session that names none."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = _own_dir()
-    path = f"{d.rstrip('/')}/narrata-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{d.rstrip('/')}/narrata-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back.
+
+    A written table has its real size, so the planner's estimates don't multiply over the rounds of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

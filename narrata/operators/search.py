@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from narrata.functions.vector import distance, literal, similarity
 from narrata.operators.filters import Filters, Visibility, apply_filters, visible
+from narrata.operators.index import Index, build, search
 
 OVERSAMPLE, RRF, BOOST = 3, 60, 0.05
 TILE = 2048  # vectors on each side of one matrix product
@@ -96,8 +97,8 @@ def similar_pairs(items: DataFrame, floor: float, k: int | None = None, tile: in
 def neighbours(events: DataFrame, k: int = 8, floor: float = 0.70, dimensions: int | None = None, mode: str = "exact") -> DataFrame:
     """(book_id, source, target, score): each event's best k events of the same book, other chapter, at or above the floor.
 
-    `exact` compares within the book.  `oversample` does as an index without filters: the k * OVERSAMPLE
-    nearest events of all books, the event itself among them, of which those of the book and of other chapters stay.  With
+    `exact` compares within the book.  `oversample` asks an index without filters: of the k * OVERSAMPLE
+    nearest events of all books, the event itself among them, those of the book and of other chapters stay.  With
     `dimensions`, events whose vector has another size are skipped.
     """
     if dimensions:
@@ -107,13 +108,28 @@ def neighbours(events: DataFrame, k: int = 8, floor: float = 0.70, dimensions: i
         return rows.select(F.col("scope").alias("book_id"), "source", "target", "score")
     if mode != "oversample":
         raise ValueError(f"unknown mode {mode}")
-    near = similar_pairs(events.select(F.lit(0).alias("scope"), F.col("event_id").alias("id"), F.lit(None).cast("string").alias("kind"), "embedding"), 0.0, k * OVERSAMPLE - 1)
+    index = build(events.select(F.col("event_id").alias("id"), "embedding"))
+    return neighbours_indexed(index, events, events, k, floor)
+
+
+def neighbours_indexed(index: Index, events: DataFrame, asked: DataFrame, k: int = 8, floor: float = 0.70, probes: int | None = None) -> DataFrame:
+    """(book_id, source, target, score) for the events `asked`: of the k * OVERSAMPLE nearest events that the index (id: event_id) finds, itself among them, those of the book and other chapters."""
+    near = search(index, asked.select(F.col("event_id").alias("query"), "embedding").dropDuplicates(["query"]), k * OVERSAMPLE, probes).filter("query <> id")
+    best = Window.partitionBy("source").orderBy(F.desc("score"), "target")
+    near = near.select(F.col("query").alias("source"), F.col("id").alias("target"), "score").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") < k * OVERSAMPLE).drop("rank")
     at = lambda name: events.select(F.col("event_id").alias(name), F.col("book_id").alias(name + "_book"), F.col("chapter_id").alias(name + "_chapter"))
     rows = near.join(at("source"), "source").join(at("target"), "target").filter(f"source_book = target_book and source_chapter <> target_chapter and score >= {floor}")
-    best = Window.partitionBy("source").orderBy(F.desc("score"), "target")
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("source_book").alias("book_id"), "source", "target", "score")
 
 
+def visible_indexed(index: Index, chunks: DataFrame, queries: DataFrame, k: int, visibility: Visibility | None = None, probes: int | None = None) -> DataFrame:
+    """(query, chunk_id, score, rank): `semantic_search` in its oversampling mode for a table of queries (query, embedding), by an index (id: chunk_id)."""
+    near = search(index, queries, k * OVERSAMPLE, probes).filter("score > 0").select("query", F.col("id").alias("chunk_id"), "score")
+    rows = near.join(chunks.drop("embedding"), "chunk_id").filter(visible(visibility))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "chunk_id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "chunk_id", "score", "rank")
+
+
 def canonical_pairs(pairs: DataFrame, *by: str) -> DataFrame:
     """One row for each unordered pair with the best score: event_id_1 < event_id_2."""
     return pairs.groupBy(*by, F.least("source", "target").alias("event_id_1"), F.greatest("source", "target").alias("event_id_2")).agg(F.max("score").alias("score"))

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from narrata import more_queries, queries  # noqa: F401  the first registers with the second
+from narrata import further_queries, more_queries, queries  # noqa: F401  the first two register with the last
 
 FOLDER = os.environ.get("NARRATA_TABLES", "/root/testdata/sf0.001")
 
