@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata import corpus
+from narrata.operators import graph as G
 from narrata.operators import index as V
+from narrata.operators import names as N
 from narrata.operators import search as S
+from narrata.more_queries import _CHAIN, _chain
+from narrata.plans import questions as Q
 from narrata.queries import _SHOWN, OPEN_READER, _events, query
+from narrata.streaming import jobs as streams
+from narrata.streaming import timers
 
 _NEAR = "t0 AS (SELECT a.chunk_id AS query, b.*, round((1 + list_cosine_similarity(a.embedding, b.embedding)) / 2, 6) AS score FROM chunks a JOIN chunks b ON a.chunk_id % 100 = 0)"
 
@@ -42,3 +50,90 @@ def event_neighbours_indexed(spark: SparkSession, folder: str) -> DataFrame:
     events = _events(spark, folder)
     index = V.build(events.select(F.col("event_id").alias("id"), "embedding"))
     return S.neighbours_indexed(index, events, events.filter("event_id % 100 = 0"), 8, 0.55, V.probes_for(index, 24))
+
+
+# questions: an opening and the first name of a benchmark item; its vector is that of the chunk of that number, and every 17th has none
+
+_OPENINGS = ("Who is ", "tell me about ", "Why did ", "where was ", "Describe ", "")
+_PLACES = _CHAIN.replace("t0", "l0").replace("ce AS", "lce AS").replace("FROM ce ", "FROM lce ").replace("be AS", "lbe AS").replace("be.", "lbe.").replace("JOIN be ", "JOIN lbe ").replace("ch AS", "lch AS").replace(
+    "FROM individuals", "FROM (SELECT *, 0 AS extraction_index FROM locations)")
+_QUESTIONS = _CHAIN + ", " + _PLACES + f""", q AS (SELECT b.item_id AS question_id, list_extract({list(_OPENINGS)}, CAST(b.item_id % 6 + 1 AS INT)) || w || '?!' AS question, b.item_id % 6 IN (0, 1, 3, 4) AS looks,
+  CASE WHEN b.item_id % 6 = 2 THEN 'why did ' ELSE '' END || lower(w) AS name, lower(w) AS w, CASE WHEN b.item_id % 17 <> 3 THEN e.embedding END AS v FROM (SELECT item_id, coalesce(nullif(regexp_extract(text, '[A-Z][a-z]+'), ''), 'Nobody') AS w FROM benchmark) b LEFT JOIN chunks e ON e.chunk_id = b.item_id),
+seen AS (SELECT chapter_id FROM chapters WHERE {_SHOWN}),
+pe AS (SELECT normalized_name AS name, book_id, book_entity, display_name, count(*) AS n FROM ch WHERE chapter_id IN (FROM seen) GROUP BY ALL), le AS (SELECT normalized_name AS name, book_id, book_entity, display_name, count(*) AS n FROM lch WHERE chapter_id IN (FROM seen) GROUP BY ALL),
+lp AS (SELECT question_id, display_name, n, row_number() OVER (PARTITION BY question_id ORDER BY book_id, book_entity) AS r FROM q JOIN pe USING (name) WHERE looks QUALIFY r <= 20),
+ll AS (SELECT question_id, display_name, n, row_number() OVER (PARTITION BY question_id ORDER BY book_id, book_entity) AS r FROM q JOIN le USING (name) WHERE looks AND question_id NOT IN (SELECT question_id FROM lp) QUALIFY r <= 20),
+lk AS (SELECT * FROM lp UNION ALL SELECT * FROM ll), rest AS (SELECT * FROM q WHERE question_id NOT IN (SELECT question_id FROM lk)),
+s3 AS (SELECT question_id, c.*, round((1 + list_cosine_similarity(v, c.embedding)) / 2, 6) AS score FROM rest JOIN chunks c ON v IS NOT NULL), """
+_OVER = "o AS (SELECT * FROM s3 WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= {n}), v0 AS (SELECT question_id, chunk_id, chapter_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS r FROM o WHERE {shown} QUALIFY r <= {k})"
+_ANSWERED = """ SELECT question_id, 'ENTITY_LOOKUP' AS route, 'OK' AS status, CAST(r AS INT) AS rank, display_name AS item, CAST(n AS DOUBLE) AS score FROM lk UNION ALL
+SELECT rest.question_id, 'NARRATIVE_QA', CASE WHEN r IS NOT NULL THEN CASE WHEN v IS NULL THEN 'DEGRADED' ELSE 'OK' END WHEN v IS NULL THEN 'SEARCH_FAILED' ELSE 'NO_EVIDENCE' END, CAST(r AS INT), CAST(chunk_id AS VARCHAR), score FROM rest LEFT JOIN best USING (question_id)"""
+
+
+def _answers(spark: SparkSession, folder: str, **options) -> DataFrame:
+    chunks = corpus.chunks(spark, folder)
+    b = corpus.table(spark, folder, "benchmark")
+    opening = F.element_at(F.array(*[F.lit(x) for x in _OPENINGS]), (F.col("item_id") % 6 + 1).cast("int"))
+    name = F.coalesce(F.nullif(F.regexp_extract("text", "[A-Z][a-z]+", 0), F.lit("")), F.lit("Nobody"))
+    vectors = chunks.select(F.col("chunk_id").alias("item_id"), "embedding")
+    asked = b.select("item_id", F.concat(opening, name, F.lit("?!")).alias("question")).join(vectors, "item_id", "left")
+    asked = asked.select(F.col("item_id").alias("question_id"), "question", F.when(F.col("item_id") % 17 != 3, F.col("embedding")).alias("embedding"))
+    people, places = _chain(spark, folder), _chain(spark, folder, "location")
+    out = Q.answers(asked, _chunk_index(spark, folder), chunks, corpus.chapters(spark, folder), people, places, corpus.individuals(spark, folder), visibility=OPEN_READER, **options)
+    return out.select("question_id", "route", "status", "rank", "item", "score")
+
+
+@query(_QUESTIONS + _OVER.format(n=15, k=5, shown=_SHOWN) + """, h AS (SELECT question_id, chapter_id, count(DISTINCT lower(display_name)) AS hits FROM (SELECT DISTINCT question_id, chapter_id, question FROM v0 JOIN rest USING (question_id)) JOIN individuals USING (chapter_id)
+  WHERE list_contains(regexp_extract_all(lower(question), '[a-z0-9]+'), lower(display_name)) GROUP BY 1, 2),
+b0 AS (SELECT question_id, chunk_id, r AS was, round(score + 0.05 * coalesce(hits, 0), 6) AS score FROM v0 LEFT JOIN h USING (question_id, chapter_id) WHERE score >= 0.52),
+best AS (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, was) AS r FROM b0)""" + _ANSWERED)
+def asked_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """All questions of the benchmark table in one plan: lookups through the entity chain, the rest by vector and names."""
+    return _answers(spark, folder, threshold=0.52)
+
+
+@query(_QUESTIONS + _OVER.format(n=60, k=20, shown=_SHOWN) + f""", pl AS (SELECT DISTINCT normalized_name AS name, chapter_id FROM ch),
+g AS (SELECT name, chunk_id, row_number() OVER (PARTITION BY name ORDER BY chunk_id) AS r FROM chunks JOIN pl USING (chapter_id) WHERE {_SHOWN} QUALIFY r <= 20),
+u AS (SELECT question_id, chunk_id, r, r AS own FROM v0 UNION ALL SELECT question_id, chunk_id, r, NULL FROM rest JOIN g USING (name)),
+f AS (SELECT question_id, chunk_id, CAST(round(sum(1.0 / (60 + r)), 9) AS DOUBLE) AS score, count(*) AS n, min(r) AS first, min(own) AS own FROM u GROUP BY 1, 2),
+best AS (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, n DESC, first, own NULLS LAST, chunk_id) AS r FROM f QUALIFY r <= 5)""" + _ANSWERED)
+def asked_questions_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the graph branch; a question whose vector failed is answered by it alone."""
+    return _answers(spark, folder, hybrid=True)
+
+
+# names of several words: the first one to four words of every scene
+
+
+_WORDS = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+@query(f"""t0 AS (SELECT scene_id AS item, {_WORDS.format('text')} AS ws, 1 + (chapter_id + scene_index) % 4 AS n FROM scenes), k AS (SELECT DISTINCT array_to_string(ws[1:n], ' ') AS name FROM t0 WHERE len(ws) >= n),
+p AS (SELECT item, ws, unnest(generate_series(1, len(ws))) AS i FROM t0), g AS (SELECT item, i, m, array_to_string(ws[i:i + m - 1], ' ') AS name FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(ws))
+SELECT item, name, CAST(i - 1 AS INT) AS first_word, CAST(i + m - 2 AS INT) AS last_word FROM g JOIN k USING (name)""")
+def known_name_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every place of every known name of one to four words (what scenes open with) in all scenes."""
+    scenes = corpus.scenes(spark, folder)
+    ws, n = N.words(F.col("text")), (1 + (F.col("chapter_id") + F.col("scene_index")) % 4).cast("int")
+    names = scenes.select(ws.alias("ws"), n.alias("n")).filter("size(ws) >= n").select(F.array_join(F.slice("ws", F.lit(1), F.col("n")), " ").alias("name")).distinct()
+    return N.name_hits(scenes.select(F.col("scene_id").alias("item"), "text"), names)
+
+
+# streams
+
+
+@query("""WITH RECURSIVE t0 AS (SELECT user_id AS job_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE event_type WHEN 'signup' THEN 'TRIGGERED' WHEN 'view' THEN 'RUNNING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'SKIPPED' END AS t FROM events),
+f AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, 'PENDING' AS status, CAST(NULL AS TIMESTAMP) AS seen, CAST(0 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS lapses FROM t0
+UNION ALL SELECT job_id, n, CASE WHEN ok THEN t ELSE now END, ts, refused + CAST(NOT ok AS BIGINT), lapses + CAST(lapsed AS BIGINT) FROM (
+  SELECT *, coalesce((now = 'PENDING' AND t IN ('TRIGGERED', 'SKIPPED')) OR (now = 'TRIGGERED' AND t IN ('RUNNING', 'FAILED', 'TRIGGERED')) OR (now = 'RUNNING' AND t IN ('COMPLETED', 'SKIPPED', 'FAILED', 'TRIGGERED')), false) AS ok FROM (
+    SELECT *, CASE WHEN lapsed THEN 'PENDING' ELSE status END AS now FROM (
+      SELECT f.job_id, t0.n, t0.ts, t0.t, f.status, f.refused, f.lapses, coalesce(f.status IN ('TRIGGERED', 'RUNNING') AND t0.ts > f.seen + INTERVAL 2 DAY, false) AS lapsed FROM f JOIN t0 ON t0.job_id = f.job_id AND t0.n = f.n + 1)))),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1), w AS (SELECT *, status IN ('TRIGGERED', 'RUNNING') AND epoch_ms(seen) + 172800001 <= (SELECT epoch_ms(max(ts)) FROM events) AS gone FROM l)
+SELECT job_id, CASE WHEN gone THEN 'STALE' ELSE status END AS status, seen, n AS events, refused, lapses + CAST(gone AS BIGINT) AS lapses FROM w""", prelude=False)
+def replayed_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream of all events, run to its end: state of every stage, what was refused, how often it lapsed; timers make silent ones stale after two days."""
+    path = f"{folder}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a pattern: the table is a file or a folder
+    events = streams.stage_events(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = timers.replay(events, f"{G.shared_folder(spark)}/{uuid.uuid4().hex}", 2 * 24 * 3_600_000)
+    return out.withColumn("seen", F.col("seen").cast("timestamp_ntz"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
+import time
+from collections import OrderedDict
 from collections.abc import Callable
 
 import numpy as np
@@ -12,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: texts that a model is given at once.
-BATCH = 32
+#: Texts that a model is given at once; entries of a worker's cache of vectors and the seconds that they last.
+BATCH, CACHED, FRESH = 32, 1024, 300
 Embed = Callable[[str], list[float]]
 Generate = Callable[[str, str], str]
 
@@ -25,25 +28,63 @@ def fake_embedding(text: str | None, size: int = 128) -> list[float]:
     return (v / np.linalg.norm(v)).tolist()
 
 
-def embedding(c: Column, embed_batch=None, size: int = 128, batch_size: int = BATCH) -> Column:
+class Recent:
+    """At most `size` entries, none older than `seconds`; the one used longest ago goes first."""
+
+    def __init__(self, size: int = CACHED, seconds: float = FRESH, clock: Callable[[], float] = time.monotonic):
+        self.size, self.seconds, self.clock = size, seconds, clock
+        self.entries: OrderedDict = OrderedDict()
+
+    def get(self, key):
+        entry = self.entries.get(key)
+        if entry is None:
+            return None
+        if self.clock() - entry[1] >= self.seconds:
+            del self.entries[key]
+            return None
+        self.entries.move_to_end(key)
+        return entry[0]
+
+    def put(self, key, value) -> None:
+        self.entries[key] = (value, self.clock())
+        self.entries.move_to_end(key)
+        while len(self.entries) > self.size:
+            self.entries.popitem(last=False)
+
+
+@functools.cache
+def worker_cache(name: str) -> Recent:
+    """This process's cache of a model; executors keep theirs between the batches and tasks of a worker."""
+    return Recent()
+
+
+def vectors_of(texts, batch, size: int, batch_size: int = BATCH, cache: Recent | None = None) -> list:
+    """Vectors of texts (blank ones: None); each distinct text that the cache lacks is sent once."""
+    texts = [t if isinstance(t, str) and t.strip() else None for t in texts]
+    have = {t: v for t in set(texts) if t is not None and cache is not None and (v := cache.get(t)) is not None}
+    sent = [t for t in dict.fromkeys(texts) if t is not None and t not in have]
+    for i in range(0, len(sent), batch_size):
+        part = sent[i : i + batch_size]
+        got = batch(part)
+        if len(got) != len(part) or any(len(v) != size for v in got):
+            raise ValueError("the model returned another number or size of vectors")
+        for t, v in zip(part, got):
+            have[t] = v
+            if cache is not None:
+                cache.put(t, v)
+    return [have.get(t) for t in texts]
+
+
+def embedding(c: Column, embed_batch=None, size: int = 128, batch_size: int = BATCH, cache: str | None = None) -> Column:
     """Embeddings of a text column; embed_batch takes at most `batch_size` texts and returns as many vectors of `size`.
 
-    Blank texts are not sent and have no embedding.
+    Blank texts are not sent and have no embedding.  With `cache`, the model's name, workers keep recent vectors.
     """
     batch = embed_batch or (lambda texts: [fake_embedding(t, size) for t in texts])
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        sent = [i for i, t in enumerate(s) if isinstance(t, str) and t.strip()]
-        out: list = [None] * len(s)
-        for i in range(0, len(sent), batch_size):
-            part = sent[i : i + batch_size]
-            got = batch([s.iloc[j] for j in part])
-            if len(got) != len(part) or any(len(v) != size for v in got):
-                raise ValueError("the model returned another number or size of vectors")
-            for j, v in zip(part, got):
-                out[j] = v
-        return pd.Series(out, dtype=object)
+        return pd.Series(vectors_of(s.tolist(), batch, size, batch_size, worker_cache(cache) if cache else None), dtype=object)
 
     return run(c)
 

@@ -74,9 +74,9 @@ _CHAIN = _lane_sql("individual") + """, ch AS (SELECT be.book_id, be.cluster AS
   FROM t0 JOIN chapters c ON c.chapter_id = t0.chapter_id JOIN be ON be.book_id = c.book_id AND be.stem = t0.stem)"""
 
 
-def _chain(spark: SparkSession, folder: str) -> DataFrame:
-    mentions = _lane(spark, folder, "individual")
-    entities, books = _books(spark, folder, "individual")
+def _chain(spark: SparkSession, folder: str, lane: str = "individual") -> DataFrame:
+    mentions = _lane(spark, folder, lane)
+    entities, books = _books(spark, folder, lane)
     of = corpus.chapters(spark, folder).select("chapter_id", "book_id")
     return R.entity_chain(mentions, C.refers_to(mentions, "chapter_id"), C.refers_to(entities.join(of, "chapter_id"), "book_id"), books)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 from narrata.functions.vector import distance, literal, similarity
 from narrata.operators.filters import Filters, Visibility, apply_filters, visible
+from narrata.operators.graph import cut
 from narrata.operators.index import Index, build, search
 
+logger = logging.getLogger(__name__)
 OVERSAMPLE, RRF, BOOST = 3, 60, 0.05
 TILE = 2048  # vectors on each side of one matrix product
 
@@ -136,21 +140,33 @@ def canonical_pairs(pairs: DataFrame, *by: str) -> DataFrame:
 
 
 def cap_pairs(pairs: DataFrame, most: int = 3) -> DataFrame:
-    """Greedy by descending score within each book: a pair stays while both ends have fewer than `most` pairs.
+    """Greedy by descending score, then ids, within each book: a pair stays while both ends have fewer than `most` pairs.
 
-    Sequential by nature, so a book's pairs (at most k for each event, some 30 bytes each) go to one task; books run side by side.
+    Rounds of locally best pairs give what the sequential walk gives: a pair that is among the first open ones of both its ends, as
+    many as these may still take, stays whatever becomes of the others; pairs of an end that is full go.  The best open pair
+    always stays, so the rounds end; each is two shuffles by an event, and no task holds a book.
     """
-
-    def greedy(pdf):
-        used, stays = {}, []
-        for a, b in zip(pdf.sort_values(["score", "event_id_1", "event_id_2"], ascending=[False, True, True], inplace=True) or pdf.event_id_1, pdf.event_id_2):
-            ok = used.get(a, 0) < most and used.get(b, 0) < most
-            stays.append(ok)
-            if ok:
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-        return pdf[stays]
-
-    return pairs.groupBy("book_id").applyInPandas(greedy, pairs.schema)
+    order = ["book_id", F.desc("score"), "event_id_1", "event_id_2"]
+    both = F.explode(F.array("event_id_1", "event_id_2")).alias("end")
+    kept, rest, rounds = None, cut(pairs.withColumn("pair", F.struct("book_id", "event_id_1", "event_id_2"))), 0
+    taken = rest.select("book_id", both).limit(0).withColumn("taken", F.lit(0).cast("long"))
+    while not rest.isEmpty():
+        place = F.row_number().over(Window.partitionBy("book_id", "end").orderBy(*order[1:]))
+        ends = rest.select("book_id", "score", "event_id_1", "event_id_2", "pair", both).withColumn("place", place)
+        ends = ends.join(taken, ["book_id", "end"], "left").withColumn("fits", F.col("place") <= most - F.coalesce("taken", F.lit(0)))
+        stays = cut(ends.groupBy("pair").agg(F.bool_and("fits").alias("stays")).filter("stays").select("pair"))
+        new = cut(rest.join(stays, "pair", "left_semi"))
+        kept = new if kept is None else kept.unionByName(new)
+        counts = new.select("book_id", both).groupBy("book_id", "end").agg(F.count("*").alias("more"))
+        taken = cut(taken.join(counts, ["book_id", "end"], "full").select("book_id", "end", (F.coalesce("taken", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("taken")))
+        full = taken.filter(F.col("taken") >= most).select("book_id", "end")
+        rest = rest.join(stays, "pair", "left_anti")
+        for c in ("event_id_1", "event_id_2"):
+            rest = rest.join(full.withColumnRenamed("end", c), ["book_id", c], "left_anti")
+        rest = cut(rest.select(*pairs.columns, "pair"))
+        rounds += 1
+        logger.info("cap_pairs: round %d done", rounds)
+    return pairs.limit(0) if kept is None else kept.select(pairs.columns)
 
 
 def fuse(branches: dict[str, DataFrame], k: int, first: str = "vector") -> DataFrame:
