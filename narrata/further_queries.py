@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata import corpus
+from narrata.operators import consolidate as C
 from narrata.operators import graph as G
 from narrata.operators import index as V
 from narrata.operators import names as N
 from narrata.operators import search as S
-from narrata.more_queries import _CHAIN, _chain
+from narrata.more_queries import _CHAIN, _books, _chain, _lane_of, _lane_sql
 from narrata.plans import questions as Q
 from narrata.queries import _SHOWN, OPEN_READER, _events, query
 from narrata.streaming import jobs as streams
@@ -137,3 +138,26 @@ def replayed_stages(spark: SparkSession, folder: str) -> DataFrame:
     events = streams.stage_events(stream).withColumn("ts", F.col("ts").cast("timestamp"))
     out = timers.replay(events, f"{G.shared_folder(spark)}/{uuid.uuid4().hex}", 2 * 24 * 3_600_000)
     return out.withColumn("seen", F.col("seen").cast("timestamp_ntz"))
+
+
+# lanes after some chapters changed: every tenth loses half of its mentions, and a third of the rest has another name
+
+_CHANGED = """FROM (SELECT * REPLACE (CASE WHEN chapter_id % 10 = 3 AND extraction_index % 3 = 0 THEN substring(display_name, 1, 2) || 'ix' ELSE display_name END AS display_name,
+  CASE WHEN chapter_id % 10 = 3 AND extraction_index % 3 = 0 THEN lower(substring(display_name, 1, 2) || 'ix') ELSE normalized_name END AS normalized_name) FROM individuals WHERE chapter_id % 10 <> 3 OR extraction_index % 2 = 0)"""
+
+
+@query(_lane_sql("individual").replace("FROM individuals", _CHANGED) + " SELECT book_id, chapter_count, first_seen_chapter_id, cluster, display_name, normalized_name FROM be")
+def lane_after_change(spark: SparkSession, folder: str) -> DataFrame:
+    """Book individuals kept up after chapters changed: what was touched anew, the rest as it stood; equal to building all anew."""
+    chapters = corpus.chapters(spark, folder).select("chapter_id", "book_id")
+    entities, books = _books(spark, folder, "individual")
+    entities = G.cut(entities)
+    own = C.refers_to(entities.join(chapters, "chapter_id"), "book_id").select(F.col("scope").alias("book_id"), F.col("item").alias("id"), F.col("cluster").alias("book_entity"))
+    members = entities.join(own, "id")
+    new = F.concat(F.substring("display_name", 1, 2), F.lit("ix"))
+    mentions = corpus.individuals(spark, folder).filter("chapter_id % 10 = 3 and extraction_index % 2 = 0")
+    mentions = mentions.withColumn("display_name", F.when(F.col("extraction_index") % 3 == 0, new).otherwise(F.col("display_name"))).withColumn("normalized_name", F.lower("display_name"))
+    fresh = C.chapter_entities(_lane_of(mentions, "individual"))
+    changed = chapters.filter("chapter_id % 10 = 3").select("chapter_id")
+    kept, rewritten = C.book_entities_after(changed, members, fresh, chapters, books)
+    return kept.unionByName(rewritten).select("book_id", "chapter_count", "first_seen_chapter_id", "cluster", "display_name", "normalized_name")

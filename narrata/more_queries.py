@@ -42,6 +42,10 @@ be AS (SELECT book_id, stem, min(chapter_id || '/' || cluster) AS cluster, arg_m
 
 def _lane(spark: SparkSession, folder: str, lane: str) -> DataFrame:
     m = corpus.locations(spark, folder).withColumn("extraction_index", F.lit(0)) if lane == "location" else corpus.individuals(spark, folder)
+    return _lane_of(m, lane)
+
+
+def _lane_of(m: DataFrame, lane: str) -> DataFrame:
     return m.select(
         "chapter_id", "scene_id", "scene_index", F.concat_ws("#", "scene_id", "extraction_index").alias("id"), (F.col("scene_index") * 100000 + F.col("extraction_index")).alias("rank"), "display_name", "normalized_name",
         F.array(F.substring("display_name", 1, 4)).alias("aliases"), *[F.expr(e).alias(a) for a, e in _ATTRIBUTES[lane].items()],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions.text import blank_to_null, name_keys
-from narrata.operators.graph import clusters, min_labels
+from narrata.operators.graph import clusters, cut, min_labels
 
 #: Lanes and the attributes an entity of the lane carries.
 LANES = {
@@ -72,6 +72,25 @@ def book_entities(entities: DataFrame, chapters: DataFrame, lane: str = "individ
     return out.withColumnsRenamed({"scope": "book_id", "mention_count": "chapter_count"}).join(first, "representative_id")
 
 
+def book_entities_after(changed: DataFrame, members: DataFrame, fresh: DataFrame, chapters: DataFrame, books: DataFrame, lane: str = "individual") -> tuple[DataFrame, DataFrame]:
+    """(kept, rewritten) book entities of a lane after some chapters (changed: chapter_id) were consolidated anew.
+
+    members: the chapter entities so far with the book_id and the book_entity that each refers to; fresh: the chapter entities
+    that the changed chapters have now.  Touched are the book entities that a changed chapter was part of, and those that share a
+    key with a fresh entity of their book.  Nothing else can split or join, so only these are built again, from their
+    members in other chapters and the fresh ones; kept and rewritten together are what building all anew gives.
+    """
+    old = resolvable(members)
+    asked = resolvable(fresh).join(chapters.select("chapter_id", "book_id"), "chapter_id").select("book_id", F.explode("keys").alias("key")).distinct()
+    meets = old.select("book_id", "book_entity", F.explode("keys").alias("key")).join(asked, ["book_id", "key"], "left_semi").select("book_id", "book_entity")
+    was = old.join(changed.select("chapter_id"), "chapter_id", "left_semi").select("book_id", "book_entity")
+    touched = cut(meets.unionByName(was).distinct())
+    others = old.join(changed.select("chapter_id"), "chapter_id", "left_anti").join(touched, ["book_id", "book_entity"], "left_semi")
+    inside = others.select(fresh.columns).unionByName(fresh)
+    kept = books.join(touched.withColumnRenamed("book_entity", "cluster"), ["book_id", "cluster"], "left_anti").select(books.columns)
+    return kept, book_entities(inside, chapters, lane).select(books.columns)
+
+
 def refers_to(members: DataFrame, scope: str) -> DataFrame:
     """(item, cluster): which entity of a scope (book or chapter) each member (scope, id, names) belongs to."""
     keyed = resolvable(members)

@@ -73,13 +73,19 @@ def min_labels(edges: DataFrame, nodes: DataFrame, max_hops: int | None = None)
 def clusters(items: DataFrame) -> DataFrame:
     """(scope, item, cluster) of items (scope, item, keys): items that share a key, transitively, within a scope.
 
-    cluster is the smallest item; items without keys are left out.
+    cluster is the smallest item; items without keys are left out.  Items of the same keys collapse first, so the
+    rounds run over distinct sets of keys, each standing for its smallest item.
     """
-    exploded = items.select("scope", "item", F.explode("keys").alias("key")).distinct()
-    first = exploded.groupBy("scope", "key").agg(F.min("item").alias("b"))
-    edges = exploded.join(first, ["scope", "key"]).select(F.struct("scope", "item").alias("a"), F.struct("scope", F.col("b").alias("item")).alias("b"))
-    out = min_labels(edges, exploded.select(F.struct("scope", "item").alias("node")).distinct())
-    return out.select("node.scope", "node.item", F.col("component.item").alias("cluster"))
+    keyed = items.groupBy("scope", "item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys")).filter("size(keys) > 0")
+    keyed = cut(keyed.select("scope", "item", "keys"))
+    sets = cut(keyed.groupBy("scope", "keys").agg(F.min("item").alias("rep")))
+    exploded = sets.select("scope", "rep", F.explode("keys").alias("key"))
+    first = exploded.groupBy("scope", "key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    edges = exploded.join(first, ["scope", "key"]).select(F.struct("scope", F.col("rep").alias("item")).alias("a"), F.struct("scope", F.col("b").alias("item")).alias("b")).filter("a <> b")
+    ends = cut(edges.distinct())
+    nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
+    linked = min_labels(ends, nodes).select("node.scope", F.col("node.item").alias("rep"), F.col("component.item").alias("cluster"))
+    return keyed.join(sets, ["scope", "keys"]).join(linked, ["scope", "rep"], "left").select("scope", "item", F.coalesce("cluster", "rep").alias("cluster"))
 
 
 def topological(scenes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:

@@ -385,24 +385,17 @@ def ambiguous_relations(spark: SparkSession, folder: str) -> DataFrame:
     return L.ambiguous_relations(_relations(spark, folder))
 
 
-@query("""t0 AS (SELECT book_id, chapter_number, chapter_id, scene_index, scene_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_number, scene_index) AS prio FROM scenes JOIN chapters USING (chapter_id)),
-x AS (SELECT book_id, prio, lead(prio) OVER (PARTITION BY chapter_id ORDER BY scene_index) AS after, scene_index, chapter_id FROM t0),
-y AS (SELECT book_id, chapter_number, arg_min(prio, scene_index) AS head, arg_max(prio, scene_index) AS tail FROM t0 GROUP BY 1, 2),
-e AS (SELECT book_id, prio AS f, after AS t FROM x WHERE after IS NOT NULL UNION ALL SELECT p.book_id, p.tail, q.head FROM y p JOIN y q ON p.book_id = q.book_id AND q.chapter_number = p.chapter_number + 1),
-b AS (SELECT e.book_id, f, t, (chapter_id * 7 + scene_index) % 11 = 0 AS back, scene_index = 0 AS opens FROM e JOIN t0 ON t0.book_id = e.book_id AND t0.prio = e.f),
-d AS (SELECT DISTINCT book_id, CASE WHEN back THEN t ELSE f END AS f, CASE WHEN back THEN f ELSE t END AS t FROM b WHERE back OR opens),
-w AS (SELECT t0.book_id, t0.prio, coalesce(list(d.f) FILTER (d.f IS NOT NULL), []) AS waits FROM t0 LEFT JOIN d ON d.book_id = t0.book_id AND d.t = t0.prio GROUP BY 1, 2),
-r AS (SELECT DISTINCT book_id, CAST([] AS BIGINT[]) AS done FROM t0 UNION ALL SELECT r.book_id, list_append(r.done, min(w.prio)) FROM r JOIN w ON w.book_id = r.book_id AND NOT list_contains(r.done, w.prio) AND list_has_all(r.done, w.waits) GROUP BY r.book_id, r.done),
-l AS (SELECT book_id, arg_max(done, len(done)) AS done FROM r GROUP BY 1)
-SELECT t0.book_id, scene_id, chapter_number AS chapter_rank, scene_index, CAST(CASE WHEN list_contains(done, prio) THEN list_position(done, prio) - 1
-  ELSE len(done) + row_number() OVER (PARTITION BY t0.book_id, list_contains(done, prio) ORDER BY prio) - 1 END AS BIGINT) AS position FROM t0 JOIN l ON l.book_id = t0.book_id""")
+@query()
 def story_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Scenes of each book in story order: reading order with some edges turned round."""
+    """Scenes of each book in story order: all edges of the reading order, some of them turned round.
+
+    No SQL: an order in which each step depends on all before is too slow there; `tests/test_engine.py` compares with a plain version.
+    """
     placed = _placed(spark, folder).select("book_id", "scene_id", F.col("chapter_number").alias("chapter_rank"), "scene_index")
     at = F.split("from_id", ":")
     edges = L.reading_edges(_placed(spark, folder)).withColumn("back", (F.get(at, F.lit(0)).cast("long") * 7 + F.get(at, F.lit(1)).cast("long")) % 11 == 0)
-    edges = edges.select("book_id", F.when(F.col("back"), F.col("to_id")).otherwise(F.col("from_id")).alias("from_id"), F.when(F.col("back"), F.col("from_id")).otherwise(F.col("to_id")).alias("to_id"), "back", (F.get(at, F.lit(1)) == "0").alias("opens"))
-    return G.topological(placed, edges.filter("back or opens").select("book_id", "from_id", "to_id"), "book_id")
+    edges = edges.select("book_id", F.when(F.col("back"), F.col("to_id")).otherwise(F.col("from_id")).alias("from_id"), F.when(F.col("back"), F.col("from_id")).otherwise(F.col("to_id")).alias("to_id"))
+    return G.topological(placed, edges, "book_id")
 
 
 @query("""t0 AS (SELECT DISTINCT user_id AS from_id, user_id + 1 AS to_id FROM events WHERE event_type = 'view'), s AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0 OR event_type = 'click' AND user_id % 3 = 0)

@@ -353,3 +353,17 @@ def test_paths_use_no_edge_twice(spark):
         got = {(r.from_id, r.to_id): r.paths for r in G.path_counts(spark.createDataFrame(pairs, "from_id long, to_id long"), df, most).collect()}
         assert got == {p: n for p in pairs if (n := trails(p[1], p[0], frozenset(), most))}
     assert trails(2, 1, frozenset(), 6) == 2
+
+
+def test_story_order_equals_a_plain_version(spark):
+    r = random.Random(12)
+    scenes = [(b, f"{b}{i:02}", i // 5, i % 5) for b in "xy" for i in range(40)]
+    edges = [(b, *r.sample([s for k, s, *_ in scenes if k == b], 2)) for b in "xy" for _ in range(45)]
+    got = {x.scene_id: x.position for x in G.topological(spark.createDataFrame(scenes, "book_id string, scene_id string, chapter_rank int, scene_index int"), spark.createDataFrame(edges, "book_id string, from_id string, to_id string"), "book_id").collect()}
+    for book in "xy":
+        left, done = sorted((c, i, s) for b, s, c, i in scenes if b == book), []
+        while ready := [x for x in left if not any(t == x[2] and f not in done for b, f, t in edges if b == book)]:
+            done.append(ready[0][2])
+            left.remove(ready[0])
+        done += [x[2] for x in left]
+        assert {s: i for i, s in enumerate(done)} == {s: p for s, p in got.items() if s[0] == book}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from narrata import models
+from narrata.operators import consolidate as C
 from narrata.operators import index as V
 from narrata.operators import names as N
 from narrata.operators import search as S
@@ -158,3 +159,24 @@ def test_catalog_inserts_what_is_absent(spark, tmp_path):
         failing.write.format("catalog").options(**options).mode("append").save()
     assert read() == expected and sqlite3.connect(path).execute("SELECT count(*) FROM definitions_staged").fetchone() == (0,)
     assert spark.read.format("catalog").options(numPartitions="3", **options).load().rdd.getNumPartitions() == 3
+
+
+def test_upkeep_rewrites_what_was_touched(spark):
+    r = random.Random(5)
+    name = lambda: "".join(r.choices("ab", k=3))
+    make = lambda rows: spark.createDataFrame(rows, "chapter_id long, id string, rank int, display_name string, normalized_name string, aliases array<string>")
+    rows = [(c, f"{c}-{i}", i, (n := name() + ("" if c % 4 else "x" * c)), n, [name()] if r.random() < 0.4 else []) for c in range(12) for i in range(4)]
+    changed = [3, 7]
+    later = [x for x in rows if x[0] not in changed or x[2] != 1] + [(3, "3-9", 9, "aab", "aab", ["zzz"])]
+    chapters = spark.createDataFrame([(c, f"b{c % 3}") for c in range(12)], "chapter_id long, book_id string")
+    entities = C.chapter_entities(make(rows))
+    own = C.refers_to(entities.join(chapters, "chapter_id"), "book_id")
+    members = entities.join(own.select(own["scope"].alias("book_id"), own["item"].alias("id"), own["cluster"].alias("book_entity")), "id")
+    books = C.book_entities(entities, chapters)
+    fresh = C.chapter_entities(make([x for x in later if x[0] in changed]))
+    kept, new = C.book_entities_after(spark.createDataFrame([(c,) for c in changed], "chapter_id long"), members, fresh, chapters, books)
+    whole = C.book_entities(C.chapter_entities(make(later)), chapters).select(books.columns)
+    rewritten = new.collect()
+    assert sorted(map(repr, [*kept.collect(), *rewritten])) == sorted(map(repr, whole.collect()))
+    # Chapters 3 and 7 lie in books 0 and 1; the third book and names that nothing touches are not written.
+    assert {x.book_id for x in rewritten} <= {"b0", "b1"} and 0 < len(rewritten) < len(whole.filter("book_id <> 'b2'").collect())
