@@ -90,23 +90,91 @@ def segment_spans(text: str, tokens: int, budget: int) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], n]))
 
 
+def distances_to(a: str):
+    """A function of b: the edit distance of a and b if it is at most `most`, else None; one machine word of any length holds a column."""
+    size, places = len(a), {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << size) - 1, 1 << max(0, size - 1)
+
+    def within(b: str, most: int) -> int | None:
+        if abs(size - len(b)) > most:
+            return None
+        if not size:
+            return len(b)
+        up, down, score, left = full, 0, size, len(b)
+        for c in b:
+            same = places.get(c, 0)
+            vertical = same | down
+            across = (((same & up) + up) ^ up) | same
+            more, less = (down | ~(across | up)) & full, up & across
+            if more & top:
+                score += 1
+            elif less & top:
+                score -= 1
+            left -= 1
+            if score - left > most:
+                return None
+            more = more << 1 | 1
+            up = (less << 1 | ~(vertical | more)) & full
+            down = more & vertical & full
+        return score if score <= most else None
+
+    return within
+
+
 def distance_within(a: str, b: str, most: int) -> int | None:
-    """Levenshtein distance if it is at most `most`."""
-    if abs(len(a) - len(b)) > most:
+    """The edit distance of a and b if it is at most `most`, else None."""
+    return distances_to(a)(b, most)
+
+
+class Placed:
+    """A text whose words are found by one index, made when the first anchor needs it and shared by all."""
+
+    def __init__(self, text: str):
+        self.text, self.tokens = text, None
+
+    def words(self) -> tuple[list[int], list[str], dict[str, list[int]]]:
+        if self.tokens is None:
+            found = [(m.start(), m.group()) for m in re.finditer(r"\S+", self.text)]
+            self.starts, self.tokens, self.where = [at for at, _ in found], [w for _, w in found], {}
+            for i, w in enumerate(self.tokens):
+                self.where.setdefault(w, []).append(i)
+        return self.starts, self.tokens, self.where
+
+    def beginning(self, words: list[str], after: int, before: int) -> int | None:
+        """Where the longest beginning of five or more of the words, but not all, stands exactly once; any space lies between words.
+
+        The first word may end a longer one and the last may begin one; hits of a beginning don't overlap.
+        """
+        starts, tokens, where = self.words()
+        runs = []  # where it begins, token, words that follow each other from there
+        for j in where.get(words[1], ()):  # the second of five or more words stands alone
+            i = j - 1
+            at = starts[i] + len(tokens[i]) - len(words[0]) if i >= 0 else -1
+            if at < after or not tokens[i].endswith(words[0]):
+                continue
+            n = 2
+            while n < len(words) and i + n < len(tokens) and tokens[i + n] == words[n]:
+                n += 1
+            n += n < len(words) and i + n < len(tokens) and tokens[i + n].startswith(words[n])
+            runs.append((at, i, n))
+        for n in range(len(words) - 1, 4, -1):
+            hits, clear = [], after
+            for at, i, reach in runs:
+                end = starts[i + n - 1] + len(words[n - 1]) if reach >= n else before + 1
+                if at >= clear and end <= before:
+                    hits.append(at)
+                    clear = end
+            if len(hits) == 1:
+                return hits[0]
         return None
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
-        if min(new) > most:
-            return None
-        row = new
-    return row[-1] if row[-1] <= most else None
 
 
-def locate(text: str, anchor: str, after: int = 0, before: int | None = None) -> tuple[int, str] | None:
+def locate(text: str | Placed, anchor: str, after: int = 0, before: int | None = None) -> tuple[int, str] | None:
     """Where an anchor stands in text[after:before], and the tier that found it: exact, spacing, trimmed or fuzzy."""
+    index = text if isinstance(text, Placed) else Placed(text)
+    text = index.text
     before = len(text) if before is None else before
     anchor = anchor.strip()
     if not anchor:
@@ -118,10 +186,9 @@ def locate(text: str, anchor: str, after: int = 0, before: int | None = None) ->
     m = re.compile(r"\s+".join(map(re.escape, words))).search(text, after, before)
     if m:
         return m.start(), "spacing"
-    for n in range(len(words) - 1, 4, -1):
-        hits = [m.start() for m in re.compile(r"\s+".join(map(re.escape, words[:n]))).finditer(text, after, before)]
-        if len(hits) == 1:
-            return hits[0], "trimmed"
+    hit = index.beginning(words, after, before) if len(words) > 5 else None
+    if hit is not None:
+        return hit, "trimmed"
     size, best = len(anchor), None
     spots: set[int] = set()  # with at most 3 edits one of 4 pieces stands unchanged, at most 3 places off
     for i in range(4):
@@ -130,8 +197,9 @@ def locate(text: str, anchor: str, after: int = 0, before: int | None = None) ->
         while a < b and hit >= 0:
             spots.update(range(hit - a - 3, hit - a + 4))
             hit = text.find(anchor[a:b], hit + 1, before)
+    within = distances_to(anchor)
     for at in sorted(x for x in spots if after <= x <= before - size):
-        d = distance_within(anchor, text[at : at + size], 3)
+        d = within(text[at : at + size], 3)
         if d is not None and 1 - d / size >= 0.85 and (best is None or d < best[0]):
             best = (d, at)
     return (best[1], "fuzzy") if best else None
@@ -146,9 +214,9 @@ def place(texts: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for chapter, text, anchors in zip(pdf.chapter_id, pdf.text, pdf.anchors):
-                after, found = 0, []
+                after, found, index = 0, [], Placed(text or "")
                 for i, a in enumerate(anchors if anchors is not None else []):
-                    hit = locate(text or "", a or "", after)
+                    hit = locate(index, a or "", after)
                     found.append((i, *(hit or (None, "missing"))))
                     after = hit[0] + 1 if hit else after
                 starts = [s for _, s, _ in found if s is not None]

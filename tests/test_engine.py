@@ -367,3 +367,43 @@ def test_story_order_equals_a_plain_version(spark):
             left.remove(ready[0])
         done += [x[2] for x in left]
         assert {s: i for i, s in enumerate(done)} == {s: p for s, p in got.items() if s[0] == book}
+
+
+def test_beginnings_and_distances_equal_plain_versions():
+    r = random.Random(13)
+    for _ in range(1500):
+        words = ["a", "ab", "b", "ba", "c."]
+        text = "".join(r.choice(words) + r.choice([" ", "  ", "\n", " ", "\u2003"]) for _ in range(r.randint(0, 40)))
+        asked = [r.choice(words) for _ in range(r.randint(6, 9))]
+        after = r.randint(0, 10)
+        before = r.randint(after, max(after, len(text)))
+        expected = None
+        for n in range(len(asked) - 1, 4, -1):
+            hits = [m.start() for m in re.compile(r"\s+".join(map(re.escape, asked[:n]))).finditer(text, after, before)]
+            if len(hits) == 1:
+                expected = hits[0]
+                break
+        assert X.Placed(text).beginning(asked, after, before) == expected
+        a, b = ("".join(r.choices("abc", k=r.randint(0, 9))) for _ in "ab")
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        assert X.distance_within(a, b, 3) == (row[-1] if row[-1] <= 3 else None)
+
+
+def test_anchors_of_a_long_text_share_one_index():
+    import time
+
+    r = random.Random(14)
+    text = " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(60_000))
+    spots = [m.start() for m in re.finditer(" ", text)][::300]
+    anchors = [" ".join(text[s:].split(None, 9)[:8]) + " elsewhere" for s in spots[:150]]
+    began, after, index = time.process_time(), 0, X.Placed(text)
+    for s, a in zip(spots, anchors):
+        hit = X.locate(index, a, after)
+        assert hit == (s + 1, "trimmed")
+        after = hit[0] + 1
+    assert time.process_time() - began < 3
