@@ -171,14 +171,16 @@ def _exact(size: int, percent: int):
     return run
 
 
+@functools.cache
 def _most_different(percent: int, batches: tuple[int, ...]) -> list[tuple[int, int]]:
-    """(compared values, most of them that may differ) for each batch."""
+    """(compared values, most of them that may differ) for each batch; the driver works it out, tasks get it."""
     return [(n, n - m) for n, m in zip(batches, least_matches(percent / 100, batches, BITS, MISS))]
 
 
 def _bayes(percent: int):
+    steps = _most_different(percent, BATCHES)
+
     def run(batches):
-        steps = _most_different(percent, BATCHES)
         for pdf in batches:
             if not len(pdf):
                 continue
