@@ -12,6 +12,7 @@ from narrata.operators import consolidate as C
 from narrata.operators import graph as G
 from narrata.operators import index as V
 from narrata.operators import names as N
+from narrata.operators import phrases as H
 from narrata.operators import search as S
 from narrata.more_queries import _CHAIN, _books, _chain, _lane_of, _lane_sql
 from narrata.plans import questions as Q
@@ -161,3 +162,23 @@ def lane_after_change(spark: SparkSession, folder: str) -> DataFrame:
     changed = chapters.filter("chapter_id % 10 = 3").select("chapter_id")
     kept, rewritten = C.book_entities_after(changed, members, fresh, chapters, books)
     return kept.unionByName(rewritten).select("book_id", "chapter_count", "first_seen_chapter_id", "cluster", "display_name", "normalized_name")
+
+
+# phrases: the grammar over tags that a rule both engines can state gives; the fitted tagger is tested on held-out sentences
+
+_TAG = "CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'P' WHEN w IN ('the', 'that', 'this', 'an', 'a') THEN 'D' WHEN w IN ('of', 'in', 'on', 'for', 'to') THEN 'I' WHEN w LIKE '%ing' OR w LIKE '%er' THEN 'A' WHEN w LIKE '%es' OR w LIKE '%ed' THEN 'V' WHEN regexp_matches(w, '^[a-z]') THEN 'N' ELSE 'X' END"
+
+
+@query(f"""WITH t0 AS (SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '{H.WORD.replace("'", "''")}'), lambda w: {_TAG} || '/' || w), ' ') || ' ' AS line FROM benchmark),
+p AS (SELECT item_id, regexp_extract_all(line, '{H.PHRASE}', 1) AS ps FROM t0)
+SELECT item_id, CAST(i - 1 AS INT) AS n, trim(regexp_replace(ps[i], '(^| )[A-Z]/', '\\1', 'g')) AS phrase FROM (SELECT item_id, ps, unnest(generate_series(1, len(ps))) AS i FROM p)""", prelude=False)
+def question_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Noun phrases of benchmark texts by the grammar."""
+    low = lambda w, *ends: F.expr("false") if not ends else w.endswith(ends[0]) | low(w, *ends[1:])
+
+    def tag(w):
+        kind = F.when(w.rlike("^[A-Z]"), "P").when(w.isin("the", "that", "this", "an", "a"), "D").when(w.isin("of", "in", "on", "for", "to"), "I")
+        return F.concat(kind.when(low(w, "ing", "er"), "A").when(low(w, "es", "ed"), "V").when(w.rlike("^[a-z]"), "N").otherwise("X"), F.lit("/"), w)
+
+    words = F.regexp_extract_all("text", F.lit(H.WORD), F.lit(0))
+    return corpus.table(spark, folder, "benchmark").select("item_id", F.posexplode(H.phrases(F.transform(words, tag))).alias("n", "phrase"))

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from narrata import models
+from narrata.operators import analysis as A
 from narrata.operators import consolidate as C
 from narrata.operators import index as V
 from narrata.operators import names as N
+from narrata.operators import phrases as H
 from narrata.operators import search as S
 from narrata.plans import questions as Q
 from narrata.sources.catalog import CatalogSource
@@ -180,3 +182,33 @@ def test_upkeep_rewrites_what_was_touched(spark):
     assert sorted(map(repr, [*kept.collect(), *rewritten])) == sorted(map(repr, whole.collect()))
     # Chapters 3 and 7 lie in books 0 and 1; the third book and names that nothing touches are not written.
     assert {x.book_id for x in rewritten} <= {"b0", "b1"} and 0 < len(rewritten) < len(whole.filter("book_id <> 'b2'").collect())
+
+
+def labelled(seed, n):
+    """Sentences with words that are a noun or a verb, or a name or a noun, by their place."""
+    r = random.Random(seed)
+    nouns, verbs, names = ["dog", "tower", "river", "watch", "run", "guard"], ["watch", "run", "guard", "sees", "opened"], ["Mara", "Oslo", "River", "Tarn"]
+    adjectives = ["old", "silver", "broken", "strange", "small"]
+    out = []
+    for _ in range(n):
+        np = lambda: [(r.choice(["the", "a"]), "D")] + [(r.choice(adjectives), "A")] * r.randint(0, 1) + [(r.choice(nouns), "N")] if r.random() < 0.7 else [(r.choice(names), "P")]
+        s = [*np(), (r.choice(verbs), "V"), *np()] + ([("near", "I"), *np()] if r.random() < 0.5 else []) + [(r.choice("?."), "X")]
+        if r.random() < 0.3:
+            s = [("did", "V"), *s]
+        out.append(([w for w, _ in s], [t for _, t in s]))
+    return out
+
+
+def test_tagger_on_held_out_sentences(spark):
+    tagger = H.fit(spark.createDataFrame(labelled(1, 400), "words array<string>, tags array<string>"))
+    pairs = [(x, y) for words, tags in labelled(2, 200) for x, y in zip(tagger.tag(words), tags)]
+    assert sum(x == y for x, y in pairs) / len(pairs) >= 0.95
+    df = spark.createDataFrame([("Did the old guard watch Mara near a silver tower?", ["the guard"]), (None, []), ("?!", [])], "q string, known array<string>")
+    got = [r[0] for r in df.select(A.noun_phrases(F.col("q"), F.col("known"), H.tagged_by(tagger))).collect()]
+    assert got == [["old guard", "Mara", "silver tower"], [], []]
+
+
+def test_phrase_grammar(spark):
+    rows = [(["D/the", "A/big", "N/dog", "V/ran", "P/Mara", "P/Oslo", "I/to", "M/two", "N/towns"],), (["A/alone", "V/is"],), ([],), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t array<string>").select(H.phrases(F.col("t"))).collect()]
+    assert got == [["big dog", "Mara Oslo", "two towns"], [], [], []]
