@@ -41,7 +41,7 @@ _SPLIT = re.compile(
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Element names by what they do.  HIDDEN: what stands between start and end tag isn't shown.
-HIDDEN = frozenset("template svg object audio video canvas annotation annotation-xml datalist".split())
+HIDDEN = frozenset("template svg object audio video canvas annotation annotation-xml datalist button select option optgroup label".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("option legend caption td th tr tbody thead tfoot summary".split())
@@ -72,7 +72,7 @@ _NAMED = {w: i + 1 for i, words in enumerate(NAMES.values()) for w in words.spli
 HINTS = re.compile(r"©|\b(?:copyright|cookies?|subscribe|newsletter|advertisement|sponsored|sign up|log ?in|all rights reserved|privacy|share|read more|comments?|repl(?:y|ies)|menu|home|contact|click)\b", re.I)
 _HIDING = "\0"  # on the stack of open elements: one that hides its content
 _AREA, _LEAF = {t: i for i, t in enumerate(AREAS)}, {t: i for i, t in enumerate(LEAVES)}
-SIZES = (len(AREAS), len(LEAVES), len(KINDS), 2**6, 6 * 4, 2 * 2 * 6, len(LEAVES) * 2, len(AREAS) * len(KINDS), len(AREAS) * len(AREAS))
+SIZES = (len(AREAS), len(LEAVES), len(KINDS), 2**7, 6 * 4, 2 * 2 * 6, len(LEAVES) * 2, len(AREAS) * len(KINDS), len(AREAS) * len(AREAS))
 OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
 
 
@@ -135,13 +135,14 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            leaf = next((t for t, _ in reversed(stack) if t in _LEAF and t != "span"), "other")
+            leaf, own = next(((t, k) for t, k in reversed(stack) if t in _LEAF and t != "span"), ("other", 0))
             areas = [_AREA[t] for t, _ in stack if t in _AREA]
             kinds = [k for _, k in stack if k]
             bad = [k for k in kinds if k > 1]
             flags = (
                 bool(areas and 1 in areas) | bool(2 in areas) << 1 | bool({3, 4, 5, 6, 7, 8, 9, 10} & set(areas)) << 2
                 | bool(bad) << 3 | bool(1 in kinds) << 4 | (sum(a == 1 for a in areas) > 1) << 5
+                | (len(bad) == 1 and own > 1) << 6
             )
             out.append((text, (leaf, areas[-1] if areas else 0, areas[-2] if len(areas) > 1 else 0, bad[-1] if bad else (kinds[-1] if kinds else 0), flags, min(1.0, linked / len(text)), text[-1] in ".!?:;\"”»…)")))
         parts.clear()
@@ -235,8 +236,8 @@ def features(found: list[tuple[str, tuple]]) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, len(SIZES)) + OFFSETS[:-1]
 
 
-def examples(n: int = 500, seed: int = 8):
-    """(html, main text blocks) of n generated pages."""
+def examples(n: int = 500, seed: int = 8, odd: float = 0.0):
+    """(html, main text blocks) of n generated pages; a share `odd` of the main parts is called as if it were something else."""
     r = random.Random(seed)
     syllables = ["an", "the", "re", "tion", "er", "on", "st", "li", "ma", "que", "ung", "ció", "eau", "ver", "é", "so", "ti", "pa"]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
@@ -245,6 +246,15 @@ def examples(n: int = 500, seed: int = 8):
     prose = lambda: " ".join(sentence() for _ in range(r.randint(1, 7)))
     cls = lambda kind: r.choice(["class", "id"]) + '="' + r.choice(NAMES[kind].split()[:6]) + r.choice(["", "-box", " wide", "-" + word()]) + '"'
 
+    def named(t: str) -> str:
+        """Main text whose element, or the element around it, is called as if it were something else."""
+        kind = r.choice(list(NAMES)[1:])
+        w = r.choice(NAMES[kind].split())
+        name = r.choice(["class", "id"]) + '="' + r.choice(["{}", "{}", "article-{}", "{}-" + word(), word() + "-{}"]).format(w) + '"'
+        if r.random() < 0.35:
+            return f"<div {name}>{t}</div>"
+        return re.sub(r"^<(p|div|h2)>", rf"<\1 {name}>", t)
+
     def navigation() -> str:
         items = "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(r.randint(2, 9)))
         return r.choice([f"<nav><ul>{items}</ul></nav>", f"<div {cls('nav')}><ul>{items}</ul></div>", f"<nav {cls('nav')}>{items}</nav>", f'<ul {cls("nav")}>{items}</ul>'])
@@ -304,7 +314,7 @@ def examples(n: int = 500, seed: int = 8):
                 main.append(title)
         for _ in range(r.choice([1, 2, 4, 6, 9, 14])):
             markup, texts = part()
-            body.append(markup)
+            body.append(named(markup) if r.random() < odd else markup)
             main += texts
             if r.random() < 0.12:
                 body.append(junk(True))
@@ -325,7 +335,7 @@ def examples(n: int = 500, seed: int = 8):
 @functools.cache
 def model() -> Crf:
     sequences = []
-    for page, main in examples():
+    for page, main in examples(700, odd=0.12):
         found, y, i = blocks(page), [], 0
         for text, _ in found:
             hit = i < len(main) and text == main[i]

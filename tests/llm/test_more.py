@@ -294,3 +294,24 @@ def test_tables_can_be_cleared(spark):
     store.clear(spark)
     with pytest.raises(Exception):
         spark.read.parquet(kept._narrata_path).count()
+
+
+ODD = "<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article><h1>Title here</h1><p>It was a long morning in the old town and nobody spoke of the harbour.</p>{}<p>The story of the mill went on for many years after that, as everyone knows.</p></article><footer>&copy; The paper</footer></body></html>"
+
+
+def test_class_words_are_evidence_not_verdicts():
+    field = op8_html.model()
+    kept = {
+        '<p id="warning">Do not eat the mushrooms, they are poisonous.</p>': "Do not eat the mushrooms, they are poisonous.",
+        '<div class="more"><p>The story goes on for a long while in the next valley.</p></div>': "The story goes on for a long while in the next valley.",
+        '<p class="article-header">A lead paragraph that tells what is to come in the text.</p>': "A lead paragraph that tells what is to come in the text.",
+    }
+    for markup, text in kept.items():
+        assert text in op8_html.extract([ODD.format(markup)], field)[0].split("\n")
+
+
+def test_form_controls_are_no_text_wherever_they_stand():
+    field = op8_html.model()
+    plain = op8_html.extract([ODD.format("")], field)[0]
+    for markup in ("<select><option>alpha<option>beta</select>", "<button>Share this</button>", "<label>Search</label>", "<textarea>write here</textarea>", "<div><select><optgroup label=x><option>alpha</option></optgroup></select></div>"):
+        assert op8_html.extract([ODD.format(markup)], field)[0] == plain
