@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrata import corpus
+from narrata.functions import text as T
+from narrata.more_queries import _CHAIN, _books, _chain, _lane_of, _lane_sql
+from narrata.operators import analysis as A
 from narrata.operators import consolidate as C
 from narrata.operators import graph as G
 from narrata.operators import index as V
 from narrata.operators import names as N
 from narrata.operators import phrases as H
 from narrata.operators import search as S
-from narrata.more_queries import _CHAIN, _books, _chain, _lane_of, _lane_sql
+from narrata.operators import timeline as L
 from narrata.plans import questions as Q
 from narrata.queries import _SHOWN, OPEN_READER, _events, query
 from narrata.streaming import jobs as streams
@@ -182,3 +185,48 @@ def question_phrases(spark: SparkSession, folder: str) -> DataFrame:
 
     words = F.regexp_extract_all("text", F.lit(H.WORD), F.lit(0))
     return corpus.table(spark, folder, "benchmark").select("item_id", F.posexplode(H.phrases(F.transform(words, tag))).alias("n", "phrase"))
+
+
+# lists, orders, scopes
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id AS f, user_id + 1 + event_id % 5 AS t FROM events), v AS (SELECT f AS id, -(f % 7) AS place FROM e UNION SELECT t, -(t % 7) FROM e),
+r AS (SELECT f AS id, 'later' AS direction, t AS other FROM e UNION ALL SELECT t, 'earlier', f FROM e)
+SELECT r.id, direction, CAST(row_number() OVER (PARTITION BY r.id, direction ORDER BY place, other) AS INT) AS n, other FROM r JOIN v ON v.id = other""", prelude=False)
+def event_neighbour_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """What follows each event and what it follows, in the order of a place that events have."""
+    e = corpus.table(spark, folder, "events").select(F.col("user_id").alias("from_id"), (F.col("user_id") + 1 + F.col("event_id") % 5).alias("to_id"))
+    ids = e.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    return L.neighbour_lists(e, ids.withColumn("place", -(F.col("id") % 7)), ["place"])
+
+
+@query("""t0 AS (SELECT vec_id AS chunk_id, vec_id % 5 || ':' || vec_id % 3 AS scene_id, vec_id * 31 % 17 AS chunk_number FROM embeddings)
+SELECT chunk_id, scene_index, chunk_number, CAST(row_number() OVER (ORDER BY scene_index, chunk_number, chunk_id) AS INT) AS n FROM t0 JOIN scenes USING (scene_id) WHERE chapter_id = 3""")
+def chapter_chunk_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of a chapter through its scenes, numbered in order."""
+    i = F.col("vec_id")
+    chunks = corpus.table(spark, folder, "embeddings").select(i.alias("chunk_id"), F.concat_ws(":", i % 5, i % 3).alias("scene_id"), (i * 31 % 17).alias("chunk_number"))
+    rows = A.ordered_chunks(chunks, corpus.scenes(spark, folder), 3)
+    return rows.select("chunk_id", "scene_index", "chunk_number", F.row_number().over(Window.orderBy("scene_index", "chunk_number", "chunk_id")).alias("n"))
+
+
+@query("""WITH t0 AS (SELECT conv_id, turn, list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) AS a FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(a, lambda x, i: x <> '' AND list_position(a, x) = i), '|') AS aliases FROM t0""", prelude=False)
+def clean_alias_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Aliases trimmed, without blanks and repeats, in order."""
+    return corpus.table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(T.clean_aliases(F.split("text", ",")), "|").alias("aliases"))
+
+
+@query("""SELECT DISTINCT chapter_id, book_id, 'universe' AS scope FROM chapters WHERE universe = 'en' UNION ALL SELECT DISTINCT chapter_id, book_id, 'book' FROM chapters WHERE book_id = 'en/src1/2' UNION ALL SELECT DISTINCT chapter_id, book_id, 'chapter' FROM chapters WHERE chapter_id = 12""")
+def rerun_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters that a rerun of candidate generation covers, by each kind of scope."""
+    c = corpus.chapters(spark, folder)
+    parts = [A.rerun_scope(c, **{k: v}).withColumn("scope", F.lit(name)) for name, k, v in (("universe", "universe", "en"), ("book", "book_id", "en/src1/2"), ("chapter", "chapter_id", 12))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT conv_id, turn, [CAST(length(text) AS DOUBLE), CAST(strpos(text, 'e') AS DOUBLE)] AS embedding FROM conversations""", prelude=False)
+def embedded_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Each distinct text embedded once (here: by a stand-in that SQL can state), the vector given to all of its rows."""
+    rows = corpus.table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    return A.embed_distinct(rows, "text", lambda c: F.array(F.length(c).cast("double"), F.instr(c, "e").cast("double"))).select("conv_id", "turn", "embedding")

@@ -165,6 +165,15 @@ def neighbours_of(edges: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("later", F.lit(0)).cast("long").alias("later"), F.coalesce("earlier", F.lit(0)).cast("long").alias("earlier"))
 
 
+def neighbour_lists(edges: DataFrame, events: DataFrame, order: list[str]) -> DataFrame:
+    """(id, direction, n, other): the events that follow each of `events` (id and the columns of `order`) along an edge, and those that it follows, in that order, then by id."""
+    e = edges.select("from_id", "to_id").distinct()
+    rows = e.select(F.col("from_id").alias("id"), F.lit("later").alias("direction"), F.col("to_id").alias("other")).unionByName(e.select(F.col("to_id").alias("id"), F.lit("earlier").alias("direction"), F.col("from_id").alias("other")))
+    rows = rows.join(events.select("id"), "id", "left_semi").join(events.select(F.col("id").alias("other"), *order), "other", "left")
+    n = F.row_number().over(Window.partitionBy("id", "direction").orderBy(*[F.asc_nulls_last(c) for c in order], "other"))
+    return rows.withColumn("n", n).select("id", "direction", "n", "other")
+
+
 def scene_events(scenes: DataFrame, chapter_id=None, label: str = "Event") -> DataFrame:
     """Scenes that carry a label (labels: array), of one chapter if it is given, in order of chapter and scene index."""
     rows = scenes.filter(F.array_contains("labels", label))
