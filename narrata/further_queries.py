@@ -11,6 +11,7 @@ from narrata import corpus
 from narrata.functions import text as T
 from narrata.more_queries import _CHAIN, _books, _chain, _lane_of, _lane_sql
 from narrata.operators import analysis as A
+from narrata.operators import answers as M
 from narrata.operators import consolidate as C
 from narrata.operators import graph as G
 from narrata.operators import index as V
@@ -19,7 +20,7 @@ from narrata.operators import phrases as H
 from narrata.operators import search as S
 from narrata.operators import timeline as L
 from narrata.plans import questions as Q
-from narrata.queries import _SHOWN, OPEN_READER, _events, query
+from narrata.queries import _SHOWN, OPEN_READER, _events, _placed, query
 from narrata.streaming import jobs as streams
 from narrata.streaming import timers
 
@@ -230,3 +231,25 @@ def embedded_once(spark: SparkSession, folder: str) -> DataFrame:
     """Each distinct text embedded once (here: by a stand-in that SQL can state), the vector given to all of its rows."""
     rows = corpus.table(spark, folder, "conversations").select("conv_id", "turn", "text")
     return A.embed_distinct(rows, "text", lambda c: F.array(F.length(c).cast("double"), F.instr(c, "e").cast("double"))).select("conv_id", "turn", "embedding")
+
+
+# model answers, by the stand-ins
+
+
+@query("""t0 AS (SELECT scene_id, text, lag(scene_id) OVER w AS p, lead(scene_id) OVER w AS n FROM scenes JOIN (SELECT chapter_id, book_id, chapter_number FROM chapters) USING (chapter_id) WINDOW w AS (PARTITION BY book_id ORDER BY chapter_number, scene_index))
+SELECT scene_id AS current_id, CAST(len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS INT) AS individuals, CASE WHEN p IS NOT NULL THEN 'R:temporal.before' END AS previous_type, CASE WHEN n IS NOT NULL THEN 'R:temporal.before' END AS next_type, CAST(NULL AS VARCHAR) AS problem FROM t0""")
+def analysed_scenes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scene analysed with its neighbours by the model's stand-in, parsed, cleaned and validated."""
+    out = M.scene_analyses(L.triads(_placed(spark, folder)), corpus.scenes(spark, folder).select("scene_id", "text"))
+    return out.select("current_id", F.size("individuals").alias("individuals"), "previous_type", "next_type", "problem")
+
+
+@query("""t0 AS (SELECT chapter_id, scene_id, row_number() OVER (PARTITION BY chapter_id ORDER BY scene_index) AS r, count(*) OVER (PARTITION BY chapter_id) AS m FROM scenes),
+w AS (SELECT a.chapter_id, a.r AS win, b.scene_id FROM t0 a JOIN t0 b ON a.chapter_id = b.chapter_id AND b.r BETWEEN a.r AND a.r + 2 WHERE a.r + 2 <= a.m OR (a.m < 3 AND a.r = 1)),
+x AS (SELECT chapter_id, win, w.scene_id || '#' || extraction_index AS id, normalized_name FROM w JOIN (SELECT scene_id, extraction_index, normalized_name FROM individuals) USING (scene_id))
+SELECT DISTINCT a.id AS a, b.id AS b, CAST(0.9 AS DOUBLE) AS confidence FROM x a JOIN x b ON a.chapter_id = b.chapter_id AND a.win = b.win AND a.normalized_name = b.normalized_name AND a.id < b.id""")
+def coreferent_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions that the model's stand-in takes for one, window by window, as links."""
+    windows = L.windows(corpus.scenes(spark, folder)).select(F.concat_ws("/", "chapter_id", "window").alias("window"), "scene_ids")
+    mentions = corpus.individuals(spark, folder).select("scene_id", F.concat_ws("#", "scene_id", "extraction_index").alias("id"), F.col("display_name").alias("name"))
+    return C.coreference(*M.coreference_answers(windows, mentions))

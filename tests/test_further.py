@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from narrata import models
 from narrata.operators import analysis as A
+from narrata.operators import answers as M
 from narrata.operators import consolidate as C
 from narrata.operators import index as V
 from narrata.operators import names as N
@@ -212,3 +213,21 @@ def test_phrase_grammar(spark):
     rows = [(["D/the", "A/big", "N/dog", "V/ran", "P/Mara", "P/Oslo", "I/to", "M/two", "N/towns"],), (["A/alone", "V/is"],), ([],), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t array<string>").select(H.phrases(F.col("t"))).collect()]
     assert got == [["big dog", "Mara Oslo", "two towns"], [], [], []]
+
+
+def test_analyses_of_a_model_that_fails_or_babbles(spark):
+    def generate(previous, current, following):
+        if current == "fails":
+            raise RuntimeError("no answer")
+        if current == "babbles":
+            return "not json"
+        if current == "half":
+            return '{"individuals": [{"name": " ", "aliases": ["", " Bo "]}, {"name": null}], "next": {"type": "later"}}'
+        return models.fake_triad(previous, current, following)
+
+    scenes = spark.createDataFrame([("s1", "Ann met Bo"), ("s2", "fails"), ("s3", "babbles"), ("s4", "half"), ("s5", "half")], "scene_id string, text string")
+    triads = spark.createDataFrame([(None, "s1", "s2"), ("s1", "s2", "s3"), ("s2", "s3", "s4"), (None, "s4", "s5"), ("s4", "s5", None)], "previous_id string, current_id string, next_id string")
+    got = {r.current_id: r for r in M.scene_analyses(triads, scenes, generate, 2).collect()}
+    assert {k: r.problem for k, r in got.items()} == {"s1": None, "s2": "FAILED", "s3": "UNREADABLE", "s4": "INVALID_NEXT", "s5": "MISSING_PREVIOUS"}
+    assert [x.name for x in got["s1"].individuals] == ["Ann", "Bo"] and got["s1"].next_type == "R:temporal.before" and got["s1"].previous_type is None
+    assert [x.name for x in got["s4"].individuals] == ["Bo"]
