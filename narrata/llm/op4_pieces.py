@@ -27,9 +27,11 @@ Decoding reads the path's output side: pieces to characters, byte pieces to byte
 sequences to U+FFFD), U+2581 to blanks, without the dummy prefix.
 
 Defined cases: null and empty texts encode to no ids and decode to the empty string; a text
-that holds U+2581 itself decodes with blanks there, as in the library; repeated rows are
-encoded one by one; very long texts and units are whole; an empty table gives an empty one.  Models with a
-character map, white-space removal or user-defined pieces are refused.
+that holds U+2581 itself decodes with blanks there, as in the library; a null id is carried through; repeated rows are
+encoded one by one; of paths of equal weight the one whose piece reached its end first stays (for
+byte-pair models the acceptor leaves one path only); very long texts and units are whole; other columns are
+ignored; an empty table gives an empty one.  Models with a character map, white-space removal or user-defined pieces are
+refused.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ the words of the texts are joined to it.  Both ways compute the same.
 
 Defined cases: null or wordless texts have no evidence (the curve at 0); null labels or ids
 don't train; several labels of one id: the largest counts; with no rows of one class, every
-score is 0.  Other columns are ignored.
+score is 0.  Repeated rows train and are scored one by one, and equal texts have equal scores; a very long text is read
+whole, in pieces of a batch; a score of exactly 0.5 is predicted toxic.  Other columns are ignored; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations

@@ -54,3 +54,14 @@ def test_pipeline(spark, folder):
         assert r.lossless and r.n_ids == len(r.ids) and (r.n_ids > 0) == bool(t)
         assert not [s for s in op10_secrets.find([t.encode()], op10_secrets.model())[0] if s[1] == 0]
     assert not {1000, 1109, 1200, 1203} & set(texts) and {1300, 1301, 1302, None} <= set(texts)
+
+
+def test_empty_tables_and_repeated_rows(spark, make_docs, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    again = "some words that stand here twice over"
+    make_docs([(1, again), (1, again), (2, None), (None, ""), (None, "")]).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_ids > 0) for r in out) == [(0, False), (0, False), (1, True), (2, False)]
+    make_docs([]).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
