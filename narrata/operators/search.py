@@ -52,17 +52,22 @@ def similar_pairs(items: DataFrame, floor: float, k: int | None = None, tile: in
 
     A scope of n items is dealt into about n / `tile` tiles by a hash of the id.  Every unordered
     pair of tiles is one task's work: a matrix product of two blocks of bounded size, from which only pairs above
-    the floor leave, and with `k` only the best k of each item, in both directions.  Without k
+    the floor leave, and with `k` only the best k of each item, in both directions.  Scopes of one tile share a task,
+    some four tiles' items at a time.  Without k
     each pair comes once (source < target).  An item whose kind is null meets every other item;
     vectors of another dimension or without length meet none.
     """
     id_type = items.schema["id"].dataType.simpleString()
     scope_type = items.schema["scope"].dataType.simpleString()
     rows = items.filter("scope is not null and id is not null and embedding is not null").withColumn("size", F.size("embedding"))
-    counts = rows.groupBy("scope", "size").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    counts = cut(rows.groupBy("scope", "size").agg(F.count("*").alias("n"))).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    packs = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // (4 * tile)))
     rows = rows.join(counts, ["scope", "size"]).select("scope", "size", "id", F.col("kind").cast("string").alias("kind"), "embedding", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("own"), "tiles")
-    left = rows.select("*", F.explode(F.sequence("own", F.col("tiles") - 1)).alias("other")).drop("tiles")
-    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns if c != "tiles"], F.explode(F.sequence(F.lit(0), "own")).alias("r_other"))
+    # One task's work: a pair of tiles, or some scopes of one tile each.
+    work = lambda own, other: F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("scope", "size"), F.lit(packs))).otherwise(F.xxhash64("scope", "size", own, other))
+    left = rows.select("*", F.explode(F.sequence("own", F.col("tiles") - 1)).alias("other")).withColumn("work", work("own", "other")).drop("tiles")
+    right = rows.select("*", F.explode(F.sequence(F.lit(0), "own")).alias("other")).withColumn("work", work("other", "own")).drop("tiles")
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
 
     def unit(pdf: pd.DataFrame) -> np.ndarray:
         v = np.stack(pdf.embedding).astype(float)
@@ -70,28 +75,33 @@ def similar_pairs(items: DataFrame, floor: float, k: int | None = None, tile: in
         with np.errstate(invalid="ignore", divide="ignore"):
             return v / length[:, None]
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> list[pd.DataFrame]:
         out = []
+        a, b = a.sort_values("id", ignore_index=True), b.sort_values("id", ignore_index=True)
+        score = np.round((1 + unit(a) @ unit(b).T) / 2, 6)
+        ia, ib = a.id.to_numpy(), b.id.to_numpy()
+        kinds = pd.factorize(pd.concat([a.kind, b.kind]))[0]
+        ka, kb = kinds[: len(a)], kinds[len(a) :]
+        good = (score >= floor) & (ia[:, None] != ib) & ((ka[:, None] != kb) | (ka[:, None] < 0))
+        if a.own.iloc[0] == b.own.iloc[0]:
+            good &= ia[:, None] < ib
+        for s, x, y, ok in ((score, ia, ib, good), (score.T, ib, ia, good.T)) if k else ((score, ia, ib, good),):
+            if k and ok.shape[1] > k:
+                best = np.argsort(np.where(ok, -s, np.inf), axis=1, kind="stable")[:, :k]
+                r, c = np.repeat(np.arange(len(s)), k), best.ravel()
+                r, c = r[ok[r, c]], c[ok[r, c]]
+            else:
+                r, c = np.nonzero(ok)
+            out.append(pd.DataFrame({"scope": a["scope"].iloc[0], "source": x[r], "target": y[c], "score": s[r, c]}))
+        return out
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.rename(columns=lambda c: c.removeprefix("r_"))
-        if len(a) and len(b):
-            a, b = a.sort_values("id", ignore_index=True), b.sort_values("id", ignore_index=True)
-            score = np.round((1 + unit(a) @ unit(b).T) / 2, 6)
-            ia, ib = a.id.to_numpy(), b.id.to_numpy()
-            ka, kb = pd.factorize(pd.concat([a.kind, b.kind]))[0][: len(a)], pd.factorize(pd.concat([a.kind, b.kind]))[0][len(a) :]
-            good = (score >= floor) & (ia[:, None] != ib) & ((ka[:, None] != kb) | (ka[:, None] < 0))
-            if a.own.iloc[0] == b.own.iloc[0]:
-                good &= ia[:, None] < ib
-            for s, x, y, ok in ((score, ia, ib, good), (score.T, ib, ia, good.T)) if k else ((score, ia, ib, good),):
-                if k and ok.shape[1] > k:
-                    best = np.argsort(np.where(ok, -s, np.inf), axis=1, kind="stable")[:, :k]
-                    r, c = np.repeat(np.arange(len(s)), k), best.ravel()
-                    r, c = r[ok[r, c]], c[ok[r, c]]
-                else:
-                    r, c = np.nonzero(ok)
-                out.append(pd.DataFrame({"scope": a["scope"].iloc[0], "source": x[r], "target": y[c], "score": s[r, c]}))
+        others = dict(list(b.groupby(["scope", "size", "other", "own"]))) if len(b) else {}
+        out = [x for key, part in (a.groupby(["scope", "size", "own", "other"]) if len(a) else ()) if key in others for x in pair(part, others[key])]
         return pd.concat(out) if out else pd.DataFrame({"scope": [], "source": [], "target": [], "score": []})
 
-    met = left.groupBy("scope", "size", "own", "other").cogroup(right.groupBy("r_scope", "r_size", "r_other", "r_own")).applyInPandas(meet, f"scope {scope_type}, source {id_type}, target {id_type}, score double")
+    met = left.groupBy("work").cogroup(right.groupBy("r_work")).applyInPandas(meet, f"scope {scope_type}, source {id_type}, target {id_type}, score double")
     if not k:
         return met.select("scope", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "score")
     best = Window.partitionBy("source").orderBy(F.desc("score"), "target")

@@ -7,7 +7,8 @@
 `driver` is a module of Python's database interface that executors have; `database` is what its connect() takes.  Reading is
 split into ranges of an integer column.  Writing inserts rows whose key is absent: tasks put theirs into a staging table under the
 write's own number, and the commit, one transaction on the driver, moves from each key the smallest row that the catalog lacks.  A write
-that fails, or a task that is tried again, leaves nothing in the catalog.
+that fails, or a task that is tried again, leaves nothing in the catalog; rows that a task stages after its write was given up
+stay staged under a number that no commit uses.
 
 Defined cases: a null key is never inserted; of several new rows with one key the first in column order stays; an empty
 table is read as no rows and written without effect; columns that the option does not name are an error of the writer.

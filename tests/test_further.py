@@ -160,7 +160,9 @@ def test_catalog_inserts_what_is_absent(spark, tmp_path):
     failing = failing.withColumn("note", F.when(F.col("definition_id") == 13, F.raise_error(F.lit("broken"))).otherwise(F.col("note")))
     with pytest.raises(Exception, match="broken"):
         failing.write.format("catalog").options(**options).mode("append").save()
-    assert read() == expected and sqlite3.connect(path).execute("SELECT count(*) FROM definitions_staged").fetchone() == (0,)
+    assert read() == expected
+    new.limit(1).write.format("catalog").options(**options).mode("append").save()  # what a late task may have staged stays out of later commits
+    assert read() == expected
     assert spark.read.format("catalog").options(numPartitions="3", **options).load().rdd.getNumPartitions() == 3
 
 
