@@ -4,12 +4,14 @@ Texts and test items are folded to caseless (Unicode) words of letters, digits a
 bytes, joined by single blanks.  A text and its upper-case form fold to the same words, also
 where upper case has other letters (ß and SS, ı and I).  An item of n bytes may differ by k = max(1, n // ERROR_ONE_IN)
 edits.  It is cut into k + 1 pieces: with at most k edits, one piece stands unchanged
-(pigeonhole), at a place that tells where the item would begin.  An Aho-Corasick automaton
-finds the exact piece hits; around each hit, Myers' bit-parallel algorithm finds the least
-edit distance of the item to any stretch of the text.
+(pigeonhole), at a place that tells where the item would begin.  Piece hits are found by the hash of
+the `width` bytes with which each piece begins: all places of a batch of texts are hashed at once, a bit table
+lets few of them through to a search in the sorted hashes, and a hit counts only if the whole piece stands there.
+Around each hit, Myers' bit-parallel algorithm finds the least edit distance of the item to any stretch of the text.
 
-Items are a stated query set: they go to the executors in blocks of at most `BLOCK_BYTES`,
-so that neither a broadcast nor an automaton grows with the benchmark.
+Items are a stated query set: they go to the executors in blocks of at most `BLOCK_BYTES`, so that no
+broadcast grows with the benchmark.  A block needs about twice its own size in hashes and no automaton; bit masks
+are made for an item only when it is hit.  Items of one block need one scan of the documents.
 
 Result: one row per document and matched item: doc_id, item_id, distance (least), start and
 end (of the earliest best stretch, bytes of the folded text, end exclusive).
@@ -26,13 +28,18 @@ from __future__ import annotations
 
 import functools
 
-import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ERROR_ONE_IN, MIN_BYTES, BLOCK_BYTES = 20, 24, 1_000_000
+from narrata.llm.kernel import PIECE, mix
+
+ERROR_ONE_IN, MIN_BYTES, BLOCK_BYTES = 20, 24, 16_000_000
+#: Bytes of a piece that are hashed, at most; places that are hashed at once.
+WIDTH, SLAB = 16, 1 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes to themselves in lower case; all that isn't a letter, a digit or non-ASCII to a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -101,47 +108,99 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
+def _hashes(buf: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each stretch of `width` bytes: polynomials, whose widths are doubled."""
+    if len(buf) < width:
+        return np.zeros(0, np.uint64)
+    h, size, power = buf.astype(np.uint64), 1, _BASE
+    with np.errstate(over="ignore"):
+        for bit in bin(width)[3:]:
+            h = h[:-size] * power + h[size:]
+            size, power = 2 * size, power * power
+            if bit == "1":
+                h = h[:-1] * _BASE + buf[size:]
+                size, power = size + 1, power * _BASE
+    return mix(h)
+
+
 class Matcher:
-    """The automaton of one block of items: (item_id, folded text)."""
+    """Pieces of one block of items, (item_id, folded text), as sorted hashes; short items as a map."""
 
     def __init__(self, items: list[tuple[int, str]], one_in: int):
-        self.items, pieces = items, {}
+        self.items = items
+        self.budget = [budget(len(t), one_in) for _, t in items]
+        self.short: dict[str, list[int]] = {}
+        uses = []
         for i, (_, t) in enumerate(items):
-            k = budget(len(t), one_in)
-            for a, b in cut(len(t), k + 1):
-                pieces.setdefault(t[a:b], []).append((i, a, k))
-        self.ac = ahocorasick.Automaton()
-        for p, uses in pieces.items():
-            self.ac.add_word(p, (len(p), uses))
-        if pieces:
-            self.ac.make_automaton()
-        self.any = bool(pieces)
-        self.peq = [masks(t) for _, t in items]
-        self.one_in = one_in
-
-    def find(self, text: str):
-        """(index of the item, distance, start, end) of each matched item."""
-        spans: dict[int, set[tuple[int, int]]] = {}
-        for end, (size, uses) in self.ac.iter(text) if self.any and text else ():
-            for i, a, k in uses:
-                begin, n = end + 1 - size - a, len(self.items[i][1])
-                lo, hi = max(0, begin - k), min(len(text), begin + n + k)
-                if hi - lo >= n - k:
-                    spans.setdefault(i, set()).add((lo, hi))
-        for i, held in spans.items():
-            item, best = self.items[i][1], None
-            k = budget(len(item), self.one_in)
-            for lo, hi in sorted(held) if k == 0 else merged(held):
-                if k == 0:
-                    ok = (lo == 0 or text[lo - 1] == " ") and (hi == len(text) or text[hi] == " ") and text[lo:hi] == item
-                    m = (0, lo, hi) if ok else None
-                else:
-                    whole = text.find(item, lo, hi)
-                    m = (0, whole, whole + len(item)) if whole >= 0 else best_match(item, self.peq[i], text, lo, hi, k)
+            if self.budget[i] == 0:
+                self.short.setdefault(t, []).append(i)
+            else:
+                uses += [(i, a, b) for a, b in cut(len(t), self.budget[i] + 1)]
+        self.sizes = sorted({len(t) for t in self.short})
+        self.uses = np.array(uses, np.int64).reshape(-1, 3)
+        self.width = int(min((self.uses[:, 2] - self.uses[:, 1]).min(), WIDTH)) if uses else 0
+        heads = b"".join(items[i][1][a : a + self.width].encode("latin-1") for i, a, _ in uses)
+        keys = _hashes(np.frombuffer(heads, np.uint8), self.width)[:: self.width] if uses else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.uses = keys[order], self.uses[order]
+        bits = min(26, max(12, (8 * len(keys)).bit_length()))
+        self.shift, self.seen = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.seen[self.keys >> self.shift] = True
+        self.masks_of = functools.lru_cache(10_000)(lambda i: masks(items[i][1]))
+
+    def hits(self, buf: np.ndarray):
+        """(place, first, end of the uses) of each place where a piece may begin."""
+        for first in range(0, len(buf) if len(self.keys) else 0, SLAB):
+            h = _hashes(buf[first : first + SLAB + self.width - 1], self.width)
+            at = np.flatnonzero(self.seen[h >> self.shift])
+            lo, hi = (np.searchsorted(self.keys, h[at], side) for side in ("left", "right"))
+            some = lo < hi
+            yield from zip((first + at[some]).tolist(), lo[some].tolist(), hi[some].tolist())
+
+    def short_hits(self, text: str, buf: np.ndarray):
+        """(place, item) of each short item that stands between word borders."""
+        if not self.sizes:
+            return
+        gap = np.concatenate([[True], (buf == 32) | (buf == 10), [True]])  # gap[p]: before place p; gap[p + 1]: at place p
+        starts = np.flatnonzero(gap[:-1])
+        for size in self.sizes:
+            at = starts[: np.searchsorted(starts, len(buf) - size, "right")]
+            for p in at[gap[at + size + 1]].tolist():
+                for i in self.short.get(text[p : p + size], ()):
+                    yield p, i
+
+    def find(self, texts: list[str]):
+        """(index of the text, of the item, distance, start, end) of each matched item of folded texts."""
+        text = "\n".join(texts)  # no folded text holds a line feed, so nothing matches across texts
+        buf = np.frombuffer(text.encode("latin-1"), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        begins = ends - [len(t) for t in texts]
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for p, i in self.short_hits(text, buf):
+            d = int(np.searchsorted(ends, p, "right"))
+            lo = p - int(begins[d])
+            found.setdefault((d, i), (0, lo, lo + len(self.items[i][1])))
+        spans: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        for p, first, end in self.hits(buf):
+            d = int(np.searchsorted(ends, p, "right"))
+            for i, a, b in self.uses[first:end].tolist():
+                item, k = self.items[i][1], self.budget[i]
+                if text.startswith(item[a:b], p):
+                    begin = p - int(begins[d]) - a
+                    lo, hi = max(0, begin - k), min(len(texts[d]), begin + len(item) + k)
+                    if hi - lo >= len(item) - k:
+                        spans.setdefault((d, i), set()).add((lo, hi))
+        for (d, i), held in spans.items():
+            item, k, best = self.items[i][1], self.budget[i], None
+            for lo, hi in merged(held):
+                whole = texts[d].find(item, lo, hi)
+                m = (0, whole, whole + len(item)) if whole >= 0 else best_match(item, self.masks_of(i), texts[d], lo, hi, k)
                 if m and (best is None or m < best):
                     best = m
             if best:
-                yield i, *best
+                found[d, i] = best
+        for (d, i), best in found.items():
+            yield d, i, *best
 
 
 @functools.lru_cache(2)
@@ -149,6 +208,19 @@ def _matcher(items: tuple[tuple[int, str], ...], one_in: int) -> Matcher:
     return Matcher(list(items), one_in)
 
 
+def _folded(texts):
+    """Folded texts in slices of about `PIECE` bytes, or of one longer text: (first index, list)."""
+    first, held, size = 0, [], 0
+    for n, t in enumerate(texts):
+        held.append(folded(t))
+        size += len(held[-1])
+        if size >= PIECE:
+            yield first, held
+            first, held, size = n + 1, [], 0
+    if held:
+        yield first, held
+
+
 def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES):
     """Folded items in blocks of at most `size` bytes (or one longer item), by ascending id, streamed through the driver."""
     held, room = [], size
@@ -175,7 +247,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, one_in: int = ERROR_ONE
         def search(batches, sent=sent):
             m = _matcher(sent.value, one_in)
             for pdf in batches:
-                rows = [(doc, m.items[i][0], d, a, b) for doc, t in zip(pdf.doc_id.astype("Int64"), pdf.text) for i, d, a, b in m.find(folded(t))]
+                ids = pdf.doc_id.astype("Int64")
+                rows = [(ids.iloc[first + j], m.items[i][0], d, a, b) for first, held in _folded(pdf.text) for j, i, d, a, b in m.find(held)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end"]).astype({"doc_id": "Int64"})
 
         found = docs.mapInPandas(search, schema)
@@ -192,7 +265,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, one_in: int = ERROR_ON
         def search(batches, sent=sent):
             m = _matcher(sent.value, one_in)
             for batch in batches:
-                yield batch.filter(pa.array([next(m.find(folded(t)), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+                stays = np.ones(batch.num_rows, bool)
+                for first, held in _folded(batch.column(at).to_pylist()):
+                    stays[[first + j for j, *_ in m.find(held)]] = False
+                yield batch.filter(pa.array(stays))
 
         docs = docs.mapInArrow(search, docs.schema)
     return docs

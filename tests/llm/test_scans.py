@@ -96,6 +96,45 @@ def test_items_come_in_blocks(spark, prose_of):
     assert len(held) > 3 and sorted(i for b in held for i, _ in b) == list(range(30))
 
 
+def test_many_items_need_one_scan(spark, make_docs, prose_of):
+    r = random.Random(3)
+    items = [(i, prose_of(r, 150)) for i in range(6000)]
+    assert sum(len(t) for _, t in items) > 4_000_000
+    items += [(9000, "of"), (9001, "no such words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, prose_of(r, 20) + " " + items[7 * i][1] + " " + prose_of(r, 20)) for i in range(40)]
+    out = op9_decontaminate.contamination(make_docs(docs), bench)
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x.doc_id, x.item_id) for x in out.collect()}
+    own = {(i, 7 * i) for i in range(40)}
+    short = {(i, 9000) for i, t in docs if " of " in f" {op9_decontaminate.folded(t)} "}
+    assert own <= got and got <= own | short and short <= got
+
+
+def test_pieces_at_every_border():
+    """Hits at slab borders, at the ends of texts, and of items that begin alike."""
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).strip()
+    head = letters(60)
+    items = [(i, head + letters(60)) for i in range(5)] + [(5, head), (6, "ab"), (7, "ab cd ef")]
+    m = op9_decontaminate.Matcher(items, 20)
+    slab, op9_decontaminate.SLAB = op9_decontaminate.SLAB, 37
+    try:
+        texts = [items[0][1], "", "ab", letters(400) + " ab " + items[3][1], items[4][1][:-1] + " ab cd ef", "xab abx", head[1:]]
+        got = {(j, i, d) for j, i, d, _, _ in m.find(texts)}
+    finally:
+        op9_decontaminate.SLAB = slab
+    expected = set()
+    for j, t in enumerate(texts):
+        for i, (_, item) in enumerate(items):
+            k = op9_decontaminate.budget(len(item))
+            if k == 0:
+                expected |= {(j, i, 0)} if f" {item} " in f" {t} " else set()
+            elif (d := semi_global(item, t)[0]) <= k:
+                expected.add((j, i, d))
+    assert got == expected and len(got) > 8
+
+
 PATTERNS = {
     "assign": (r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
