@@ -5,12 +5,12 @@ Three machines are compiled from a model file:
 - the normaliser: a blank is read and U+2581 written, any other character is written as read;
   its first arc reads nothing and writes the dummy prefix;
 - the pieces: a trie that reads a piece's characters and writes its id, and the byte machine,
-  which reads a character that is no piece and writes the ids of its bytes;
+  which reads a character that is no piece and writes one label that stands for the ids of its bytes;
 - the acceptor of neighbouring pieces, for byte-pair models: weight zero for two pieces that
   byte-pair merging leaves apart, infinite for others.  Unigram models have none; there the negative scores are
   weights of the pieces' arcs.
 
-Normaliser and pieces are composed once (`compose`).  The composed machine is then composed
+Normaliser, pieces and byte machine are composed once (`compose`).  The composed machine is then composed
 with each input: its arcs over the input's positions are a lattice, and the result is the
 shortest path through it in the tropical semiring (min, +), with the acceptor's weights added between
 neighbouring arcs.  A segmentation all of whose neighbouring pairs are accepted is the merged one,
@@ -141,27 +141,30 @@ class Merges:
                 j += 1
 
 
-def compose(normaliser: dict[str, str], trie: dict) -> tuple[dict, int]:
-    """The machine that reads what the normaliser reads and writes what the pieces write.
+def compose(normaliser: dict[str, str], trie: dict, other: int = -1) -> tuple[dict, int]:
+    """The machine that reads what the normaliser reads and writes what the pieces and the byte machine write.
 
     normaliser: characters that it rewrites (all others pass as they are).  trie: nested maps from
     a character to the next state, None to the id that is written there.  A state of the
-    result is a pair: a map from a character to the next state, and the id, -1 for none.
+    result is a pair: a map from a character to the next state, and the label that is written there, -1 for none.
+    The byte machine is a part of it: a character that begins pieces but is none leads to a state that writes `other`, the
+    label of its bytes, and what has no arc at the start goes along one default arc that writes `other`, too (-1: there are no
+    such arcs).  Returned are the arcs of the start and the label of the default arc.
     """
     read: dict[str, list[str]] = {}
     for c, written in normaliser.items():
         read.setdefault(written, []).append(c)
-    start: tuple[dict, int] = ({}, trie.get(None, -1))
-    todo = [(trie, start[0])]
+    start: dict = {}
+    todo = [(trie, start, other)]
     while todo:
-        state, arcs = todo.pop()
+        state, arcs, unwritten = todo.pop()
         for c, following in state.items():
             if c is not None:
-                target: tuple[dict, int] = ({}, following.get(None, -1))
+                target: tuple[dict, int] = ({}, following.get(None, unwritten))
                 for x in (*([] if c in normaliser else [c]), *read.get(c, ())):
                     arcs[x] = target
-                todo.append((following, target[0]))
-    return start
+                todo.append((following, target[0], -1))
+    return start, other
 
 
 class Transducer:
@@ -193,12 +196,12 @@ class Transducer:
             for c in p:
                 state = state.setdefault(c, {})
             state[None] = k
-        self.machine = compose({" ": BLANK}, trie)
+        self.other = len(self.pieces)  # the label of the byte machine's arcs
+        self.machine = compose({" ": BLANK}, trie, self.other)
         crosses = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.arcs)
         self.units = re.compile("(?s).+" if crosses else f"[ {BLANK}]*[^ {BLANK}]+|[ {BLANK}]+")
         worst = min((s for s, k in zip(self.scores, self.kinds) if k == NORMAL), default=0.0) - 10
-        self.weight = [0.0 if self.kind == BPE else -s for s in self.scores]
-        self.other = 0.0 if self.kind == BPE else -worst  # weight of a character that is no piece
+        self.weight = [0.0 if self.kind == BPE else -s for s in (*self.scores, worst)]  # the last is that of a character that is no piece
         self.merges = Merges(self.arcs, self.scores) if self.kind == BPE else None
         self.accepted: dict[int, dict[int, bool]] = {}
         self.pairs = 0
@@ -216,7 +219,7 @@ class Transducer:
             row = self.accepted[left] = {}
         known = row.get(right)
         if known is None:
-            known = row[right] = self.merges.apart(self.pieces[left], self.pieces[right])
+            known = row[right] = self.other in (left, right) or self.merges.apart(self.pieces[left], self.pieces[right])
             self.pairs += 1
         return known
 
@@ -226,36 +229,31 @@ class Transducer:
         The lattice is made from left to right, only where a path of finite weight arrives.
         """
         n, start, weight, accepted, bpe = len(unit), self.machine[0], self.weight, self.accepted, self.merges is not None
+        otherwise = {}, self.machine[1]
         cost: list[float] = [0.0] + [INF] * n
-        into: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # the arc on the best path to each position: where it begins, its piece
+        into: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # the arc on the best path to each position: where it begins, its label
         for at in range(n):
             here = cost[at]
             if here == INF:
                 continue
             last = into[at][1] if bpe else -1
             near = accepted.get(last) or {}
-            arcs, end, alone = start, at, True
-            for c in unit[at:]:
-                state = arcs.get(c)
-                if state is None:
-                    break
-                arcs, piece = state
+            state, end = start.get(unit[at], otherwise), at
+            while state is not None:
+                arcs, label = state
                 end += 1
-                if piece >= 0:
-                    if end == at + 1:
-                        alone = False
-                    w = here + weight[piece]
+                if label >= 0:
+                    w = here + weight[label]
                     if w < cost[end]:
-                        ok = last < 0 or near.get(piece)
-                        if ok or (ok is None and self.accepts(last, piece)):
-                            cost[end], into[end] = w, (at, piece)
-            if alone and here + self.other < cost[at + 1]:  # a character that is no piece goes through the byte machine
-                cost[at + 1], into[at + 1] = here + self.other, (at, -1)
+                        ok = last < 0 or near.get(label)
+                        if ok or (ok is None and self.accepts(last, label)):
+                            cost[end], into[end] = w, (at, label)
+                state = arcs.get(unit[end]) if arcs and end < n else None
         out: list[list[int]] = []
         while n:
-            at, piece = into[n]
-            if piece >= 0:
-                out.append([piece])
+            at, label = into[n]
+            if label != self.other:
+                out.append([label])
             elif self.bytes:
                 out.append([self.bytes[b] for b in unit[at:n].replace(" ", BLANK).encode("utf-8", "surrogatepass")])
             else:

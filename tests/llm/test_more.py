@@ -169,6 +169,17 @@ def test_machines_are_composed():
     assert blank[1] == 3 and blank[0]["a"][1] == 4 and a[1] == 5 and a[0]["b"] == ({}, 6)
 
 
+def test_byte_arcs_belong_to_the_machine():
+    trie = {"▁": {None: 3, "a": {None: 4}}, "x": {"y": {None: 5}}}
+    arcs, default = op4_pieces.compose({" ": "▁"}, trie, 9)
+    assert default == 9 and arcs["x"][1] == 9 and arcs["x"][0]["y"] == ({}, 5) and arcs[" "][1] == 3 and arcs[" "][0]["a"][1] == 4
+    pytest.importorskip("public_tokenizers")
+    t = op4_pieces.Transducer(open(op4_pieces.default_model(), "rb").read())
+    assert t.machine[1] == t.other == len(t.pieces) and all(label >= 0 for _, label in t.machine[0].values())
+    alone = next(c for c in "\x01\x02𐀀𐀁" if c not in t.arcs)
+    assert t.encode("a" + alone)[-len(alone.encode()) :] == [t.bytes[b] for b in alone.encode()]
+
+
 def test_acceptor_agrees_with_merging():
     pytest.importorskip("public_tokenizers")
     t = op4_pieces.Transducer(open(op4_pieces.default_model(), "rb").read())
