@@ -21,13 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from narrata.operators.graph import cut, shared_folder
 
-SAMPLE, ROUNDS, MOST_CELLS, PART_ROWS, BLOCK = 20_000, 10, 1_024, 16_384, 4_096
+SAMPLE, ROUNDS, MOST_CELLS, PART_ROWS = 20_000, 10, 1_024, 16_384
+#: One task's work in a search: so many rows and queries at most; smaller blocks, but no smaller than LEAST_BLOCK, if there were fewer than LEAST_TASKS.
+BIN_ROWS, BLOCK, LEAST_BLOCK, LEAST_TASKS = 65_536, 32_768, 2_048, 16
 #: An index is rebuilt if it has so many times the rows of its fit, or new rows are so much farther from their cells.
 GROWN, DRIFT = 4, 0.1
 
@@ -170,24 +174,8 @@ def refresh(spark: SparkSession, path: str, rows: DataFrame, dimension: int | No
     return _write_state(index), "appended"
 
 
-def _sent(queries: DataFrame, index: Index, pick) -> DataFrame:
-    """(query, block, unit, cell) for the cells that pick(unit vectors, their rows) marks: a boolean matrix."""
-    centres, low, dimension = index.centres, index.low, index.dimension
-
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf[[v is not None and len(v) == dimension and 0 < np.linalg.norm(v) < np.inf for v in pdf.embedding]]
-            if len(pdf):
-                v = unit(pdf.embedding)
-                q, cell = np.nonzero(pick(v @ centres.T, low, pdf))
-                yield pd.DataFrame({"query": pdf["query"].to_numpy()[q], "block": pdf.block.to_numpy()[q], "unit": list(v[q]), "cell": cell.astype(np.int32)})
-
-    kind = queries.schema["query"].dataType.simpleString()
-    return queries.mapInPandas(run, f"query {kind}, block int, unit array<double>, cell int")
-
-
 def _nearest_cells(n: int):
-    def pick(near, low, pdf):
+    def pick(near, low, worst):
         order = np.argsort(-near, axis=1, kind="stable")[:, :n]
         out = np.zeros(near.shape, bool)
         out[np.arange(len(near))[:, None], order] = True
@@ -196,37 +184,130 @@ def _nearest_cells(n: int):
     return pick
 
 
-def _reachable(near, low, pdf):
+def _reachable(near, low, worst):
     """Cells that may hold a row as good as the worst one found: the angle to a row is at least that to the centre less the cell's radius."""
     angle = np.arccos(np.clip(near, -1, 1)) - np.arccos(np.clip(low, -1, 1))[None, :]
-    return (1 + np.cos(np.maximum(angle, 0))) / 2 + 1e-6 >= pdf.worst.fillna(-1).to_numpy()[:, None]
+    return (1 + np.cos(np.maximum(angle, 0))) / 2 + 1e-6 >= worst[:, None]
+
+
+def _bins(index: Index) -> list[np.ndarray]:
+    """The bin of each part of each cell: parts in order, about BIN_ROWS rows a bin."""
+    n = np.zeros(len(index.centres), np.int64)
+    for r in index.table().groupBy("cell").count().collect():  # at most MOST_CELLS rows
+        n[r.cell] = r["count"]
+    out, at, filled = [], 0, 0
+    for cell, parts in enumerate(index.parts):
+        own = []
+        for _ in range(parts):
+            if filled and filled + n[cell] / parts > BIN_ROWS:
+                at, filled = at + 1, 0
+            own.append(at)
+            filled += n[cell] / parts
+        out.append(np.array(own))
+    return out
+
+
+def _sent(queries: DataFrame, index: Index, pick, bins: list[np.ndarray]) -> DataFrame:
+    """(bin, query, unit, worst) for the bins with a cell that pick(cosines to the centres, low, worst) marks; a query goes once to a bin, whatever the cells."""
+    centres, low, dimension = index.centres, index.low, index.dimension
+    holds = np.zeros((len(centres), bins[-1][-1] + 1), bool)
+    for cell, own in enumerate(bins):
+        holds[cell, own] = True
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[[v is not None and len(v) == dimension and 0 < np.linalg.norm(v) < np.inf for v in pdf.embedding]]
+            for at in range(0, len(pdf), 512):
+                some = pdf.iloc[at : at + 512]
+                v = unit(some.embedding)
+                worst = some.worst.fillna(-1).to_numpy()
+                q, to = np.nonzero(pick(v @ centres.T, low, worst) @ holds)
+                yield pd.DataFrame({"bin": to.astype(np.int32), "query": some["query"].to_numpy()[q], "unit": list(v[q]), "worst": worst[q]})
+
+    kind = queries.schema["query"].dataType.simpleString()
+    return queries.mapInPandas(run, f"bin int, query {kind}, unit array<double>, worst double")
 
 
-def _meet(sent: DataFrame, index: Index, k: int) -> DataFrame:
-    """(query, id, cell, score, rank): the best k rows of the cells that each query is sent to."""
-    parts = F.element_at(F.array(*[F.lit(int(p)) for p in index.parts]), F.col("cell") + 1)
-    sent = cut(sent.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))))
-    cells = [r.cell for r in sent.select("cell").distinct().collect()]  # at most MOST_CELLS
-    rows = index.table(cells).select("id", "cell", "part", F.col("unit").alias("own"))
-    rows = rows.join(sent.select("cell", "part", "block").distinct(), ["cell", "part"]).select("cell", "part", "block", "id", "own")
-    rows = rows.toDF("r_cell", "r_part", "r_block", "id", "own")
-    kinds = [sent.schema["query"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()]
+def _best(v: np.ndarray, thr: np.ndarray, mask: np.ndarray, own: np.ndarray, cell: np.ndarray, order: np.ndarray, k: int, tile: int = 2_048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the best k rows each of a few queries, among rows (in order of their cell) whose cell is in the query's mask.
 
-    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    Only scores that reach `thr`, or the k-th found so far, leave a tile of the product; ties go to the smaller order.
+    """
+    thr, q, j, s, more, n = thr.copy(), *[np.zeros(0, t) for t in (np.int64, np.int64, float)], [], 0
+
+    def merged(q, j, s):
+        q, j, s = (np.concatenate(x) for x in zip((q, j, s), *more))
+        by = np.lexsort((order[j], -s, q))
+        q, j, s = q[by], j[by], s[by]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        np.maximum.at(thr, q[place == k - 1], s[place == k - 1])
+        return q[place < k], j[place < k], s[place < k]
+
+    for at in range(0, len(own), tile):
+        wanted = np.flatnonzero(mask[:, np.unique(cell[at : at + tile])].any(1))
+        if not len(wanted):
+            continue
+        dot = v[wanted] @ own[at : at + tile].T
+        least = 2 * thr[wanted] - 1 - 4e-6  # below what rounds to the score that is needed
+        hit = dot >= least[:, None]
+        crowded = np.flatnonzero(hit.sum(1) > 4 * k)
+        if len(crowded):
+            own_dot = np.where(mask[wanted[crowded]][:, cell[at : at + tile]], dot[crowded], -2)
+            least[crowded] = np.maximum(least[crowded], np.partition(own_dot, dot.shape[1] - k, axis=1)[:, dot.shape[1] - k] - 4e-6)
+            hit[crowded] = own_dot >= least[crowded, None]
+        a, b = np.nonzero(hit)
+        score = np.round((1 + dot[a, b]) / 2, 6)
+        ok = (score >= thr[wanted[a]]) & mask[wanted[a], cell[at + b]]
+        more.append((wanted[a[ok]], at + b[ok], score[ok]))
+        n += ok.sum()
+        if n > len(v) * k // 2:
+            q, j, s = merged(q, j, s)
+            more, n = [], 0
+    return merged(q, j, s)
+
+
+def _meet(asked: DataFrame, index: Index, k: int, pick) -> DataFrame:
+    """(query, id, cell, score, rank): the best k rows of the cells that pick marks for each query.
+
+    Parts of cells are put together in bins, and the queries of a bin are dealt into blocks; one task's work is a block and a
+    bin, of bounded size each, whose product is made tile by tile.  So a query travels once a bin and a row once a block.
+    """
+    bins = _bins(index)
+    sent = _sent(asked, index, pick, bins)
+    n = np.zeros(bins[-1][-1] + 1, np.int64)
+    for r in sent.groupBy("bin").count().collect():  # a row a bin
+        n[r.bin] = r["count"]
+    least = np.minimum(math.ceil(LEAST_TASKS / max(1, (n > 0).sum())), np.ceil(n / LEAST_BLOCK))
+    blocks = F.lit(np.maximum(1, np.maximum(np.ceil(n / BLOCK), least)).astype(int).tolist())
+    sent = sent.withColumn("block", F.pmod(F.xxhash64("query"), F.element_at(blocks, F.col("bin") + 1)).cast("int"))
+    of, first = F.lit(np.concatenate(bins).tolist()), F.lit(np.cumsum([0, *[len(x) for x in bins]]).tolist())
+    cells = [cell for cell, own in enumerate(bins) if n[own].any()]
+    rows = index.table(cells).select(F.element_at(of, F.element_at(first, F.col("cell") + 1) + F.col("part") + 1).cast("int").alias("r_bin"), "id", "cell", F.col("unit").alias("own"))
+    rows = rows.filter(F.element_at(F.lit(n.tolist()), F.col("r_bin") + 1) > 0)
+    rows = rows.select("r_bin", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("r_bin") + 1).cast("int") - 1)).alias("r_block"), "id", "cell", "own")
+    centres, low = index.centres, index.low
+    kinds = [sent.schema["query"].dataType, rows.schema["id"].dataType]
+    out = StructType().add("query", kinds[0]).add("id", kinds[1]).add("cell", "integer").add("score", "double")
+
+    def best(q: pa.Table, r: pa.Table) -> pa.Table:
+        arrow = pa.schema([("query", q.schema.field("query").type), ("id", r.schema.field("id").type), ("cell", pa.int32()), ("score", pa.float64())])
         if not len(q) or not len(r):
-            return pd.DataFrame({"query": [], "id": [], "cell": [], "score": []})
-        r = r.sort_values("id", ignore_index=True)
-        own, ids, out = np.stack(r.own), r.id.to_numpy(), []
-        for at in range(0, len(q), 512):
-            some = q.iloc[at : at + 512]
-            score = np.round((1 + np.stack(some.unit) @ own.T) / 2, 6)
-            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            i = np.repeat(np.arange(len(some)), order.shape[1])
-            j = order.ravel()
-            out.append(pd.DataFrame({"query": some["query"].to_numpy()[i], "id": ids[j], "cell": q.cell.iloc[0], "score": score[i, j]}))
-        return pd.concat(out)
-
-    met = sent.groupBy("cell", "part", "block").cogroup(rows.groupBy("r_cell", "r_part", "r_block")).applyInPandas(best, f"query {kinds[0]}, id {kinds[1]}, cell int, score double")
+            return arrow.empty_table()
+        matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        r = r.sort_by("cell")
+        v, own, cell, worst = matrix(q["unit"]), matrix(r["own"]), r["cell"].to_numpy(), q["worst"].to_numpy()
+        order = np.empty(len(r), np.int64)
+        order[pc.sort_indices(r["id"]).to_numpy()] = np.arange(len(r))
+        near = np.concatenate([(v[at : at + 512] @ centres.T).argmax(1) for at in range(0, len(v), 512)])
+        by, found = np.argsort(near, kind="stable"), []
+        for at in range(0, len(by), 256):
+            some = by[at : at + 256]
+            a, b, s = _best(v[some], worst[some], pick(v[some] @ centres.T, low, worst[some]), own, cell, order, k)
+            found.append((some[a], b, s))
+        a, b, s = (np.concatenate(x) for x in zip(*found))
+        return pa.table([q["query"].take(pa.array(a)), r["id"].take(pa.array(b)), pa.array(cell[b], pa.int32()), pa.array(s)], schema=arrow)
+
+    met = sent.groupBy("bin", "block").cogroup(rows.groupBy("r_bin", "r_block")).applyInArrow(best, out)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -237,13 +318,13 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None)
     With `probes`, of the nearest so many cells.  Without, of all rows: a query meets its nearest cell first, and then
     those cells whose radius lets them hold a row that is as good as the worst of its k so far.
     """
-    blocks = F.pmod(F.xxhash64("query"), F.lit(max(1, math.ceil(queries.count() / BLOCK)))).cast("int")
-    asked = cut(queries.select("query", F.col("embedding").cast("array<double>").alias("embedding"), blocks.alias("block")))
+    asked = cut(queries.select("query", F.col("embedding").cast("array<double>").alias("embedding")))
+    unknown = asked.withColumn("worst", F.lit(None).cast("double"))
     if probes:
-        return _meet(_sent(asked, index, _nearest_cells(probes)), index, k)
-    first = _meet(_sent(asked, index, _nearest_cells(1)), index, k)
-    worst = first.groupBy("query").agg(F.min("score").alias("worst"), F.count("*").alias("n")).filter(F.col("n") == k).drop("n")
-    return _meet(_sent(asked.join(worst, "query", "left"), index, _reachable), index, k)
+        return _meet(unknown, index, k, _nearest_cells(probes))
+    first = _meet(unknown, index, k, _nearest_cells(1))
+    worst = cut(first.groupBy("query").agg(F.min("score").alias("worst"), F.count("*").alias("n")).filter(F.col("n") == k).drop("n"))
+    return _meet(asked.join(worst, "query", "left"), index, k, _reachable)
 
 
 def probes_for(index: Index, k: int, target: float = 0.95, sample: int = 64) -> int:

@@ -102,3 +102,28 @@ def test_empty_index(spark, make):
     index = V.build(make([]))
     assert index.rows == 0 and V.search(index, make([(1, [1.0])]).withColumnRenamed("id", "query"), 3).collect() == []
     assert V.probes_for(index, 3) == 1
+
+
+def test_a_query_travels_once_a_bin(spark, make):
+    rows = clustered(300, 5)
+    index = V.build(make(rows), cells=16)
+    asked = make(rows).withColumnRenamed("id", "query").withColumn("worst", F.lit(None).cast("double"))
+    assert V._sent(asked, index, V._reachable, V._bins(index)).count() == 300
+
+
+def test_bins_blocks_and_tiles_change_nothing(spark, make, monkeypatch):
+    monkeypatch.setattr(V, "BIN_ROWS", 50)
+    monkeypatch.setattr(V, "LEAST_BLOCK", 40)
+    rows = clustered(300, 6) + [(2000 + i, [1.0] + [0.0] * 7) for i in range(40)]
+    index = V.build(make(rows), cells=9, part_rows=20)
+    assert max(b.max() for b in V._bins(index)) > 3
+    got = {}
+    for r in V.search(index, make(rows).withColumnRenamed("id", "query"), 7).collect():
+        got.setdefault(r["query"], []).append((-r.score, r.id))
+    assert {q: sorted(x) for q, x in got.items()} == brute(rows, 7)
+    u = V.unit([v for _, v in rows])
+    order, cell = np.random.default_rng(1).permutation(len(u)), np.arange(len(u)) // 30
+    mask = np.random.default_rng(2).random((len(u), cell.max() + 1)) < 0.8
+    a, b, s = V._best(u, np.full(len(u), -1.0), mask, u, cell, order, 5, tile=64)
+    score = np.where(mask[:, cell], np.round((1 + u @ u.T) / 2, 6), -1)
+    assert {q: sorted(zip(-s[a == q], order[b[a == q]])) for q in range(len(u))} == {q: sorted(zip(-score[q], order))[:5] for q in range(len(u))}
