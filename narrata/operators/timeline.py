@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,29 +95,55 @@ def edge_requests(analyses: DataFrame) -> DataFrame:
     return rows.filter("from_id is not null and to_id is not null and temporal_type is not null").withColumn("weight", certainty_weight(F.col("certainty")))
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+_REQUEST = ("from_id", "to_id", "temporal_type", "certainty", "raw_from", "raw_to", "raw_type", "seq")
+
+
+class _Pair:
     """The requests of one unordered pair in order of arrival, see `_reconciled`."""
-    overlap, during, contains = PREFIX + "overlaps", PREFIX + "during", PREFIX + "contains"
-    way, old, sure = None, None, None  # the pair's one edge
-    refused: dict = {}  # direction -> last refused request
-    clashes = 0
-    for r in pdf.sort_values("seq").itertuples(index=False):
-        asked, new = (r.from_id, r.to_id), r.temporal_type
-        raw = (r.raw_from, r.raw_to)
-        if way == raw and old == during and r.raw_type == contains:
-            clashes += 1
-            refused[raw] = (contains, r.certainty, old, r.seq)
+
+    def __init__(self):
+        self.way, self.old, self.sure = None, None, None  # the pair's one edge
+        self.refused: dict = {}  # direction -> last refused request
+        self.clashes = 0
+
+    def add(self, from_id, to_id, new, certainty, raw_from, raw_to, raw_type, seq):
+        overlap, during, contains = PREFIX + "overlaps", PREFIX + "during", PREFIX + "contains"
+        asked, raw, old = (from_id, to_id), (raw_from, raw_to), self.old
+        if self.way == raw and old == during and raw_type == contains:
+            self.clashes += 1
+            self.refused[raw] = (contains, certainty, old, seq)
         elif old is None or new is None or old == new or (old, new) == (overlap, during):
-            way, old, sure = asked, new, r.certainty
+            self.way, self.old, self.sure = asked, new, certainty
         elif (old, new) == (during, overlap):
-            way, sure = asked, r.certainty
+            self.way, self.sure = asked, certainty
         else:
-            clashes += 1
-            refused[asked] = (new, r.certainty, old, r.seq)
-    out = [(*at, kind, certainty, 0, existing, seq) for at, (kind, certainty, existing, seq) in refused.items()]
-    if way is not None:
-        out.append((*way, old, sure, clashes, None, None))
-    return pd.DataFrame(out, columns=["from_id", "to_id", "temporal_type", "certainty", "ambiguous", "existing_type", "seq"]).astype({"seq": "Int64"})
+            self.clashes += 1
+            self.refused[asked] = (new, certainty, old, seq)
+
+    def rows(self) -> list[tuple]:
+        out = [(*at, kind, certainty, 0, existing, seq) for at, (kind, certainty, existing, seq) in self.refused.items()]
+        return out if self.way is None else [*out, (*self.way, self.old, self.sure, self.clashes, None, None)]
+
+
+def _fold(batches, most: int = 10_000):
+    """Folds rows (a, b and those of _REQUEST) that come pair by pair, in order of arrival; a pair may go on in the next batch, and only its state is held."""
+    at, pair, out, made = None, None, [], None
+    for batch in batches:
+        if made is None:
+            ids = batch.schema.field("from_id").type
+            made = pa.schema([("from_id", ids), ("to_id", ids), ("temporal_type", pa.string()), ("certainty", pa.string()), ("ambiguous", pa.int64()), ("existing_type", pa.string()), ("seq", pa.int64())])
+        for a, b, *request in zip(*(batch[c].to_pylist() for c in ("a", "b", *_REQUEST))):
+            if pair is None or at != (a, b):
+                if pair is not None:
+                    out += pair.rows()
+                at, pair = (a, b), _Pair()
+            pair.add(*request)
+            if len(out) >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), made)], schema=made)
+                out = []
+    if pair is not None:
+        out += pair.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), made)], schema=made)
 
 
 def _reconciled(requests: DataFrame) -> DataFrame:
@@ -126,12 +152,14 @@ def _reconciled(requests: DataFrame) -> DataFrame:
     A pair has one edge.  Types are compared whatever their direction: an equal type or none replaces the
     edge by the incoming one, in its direction; an enclosure beats an overlap and an overlap turns an enclosure
     round but leaves it one; what contradicts is refused, as is `contains` where `during` stands in the same
-    direction.  Of the refused requests of a direction the last stays.
+    direction.  Of the refused requests of a direction the last stays.  Spark sorts the requests by pair and
+    arrival, so that a task folds its pairs in one pass, however many there are and however long they are.
     """
     raw = requests.withColumns({"raw_from": F.col("from_id"), "raw_to": F.col("to_id"), "raw_type": F.concat(F.lit(PREFIX), _base(F.col("temporal_type")))})
-    rows = canonical(raw).withColumn("a", F.least("from_id", "to_id")).withColumn("b", F.greatest("from_id", "to_id"))
+    rows = canonical(raw).withColumn("a", F.least("from_id", "to_id")).withColumn("b", F.greatest("from_id", "to_id")).select("a", "b", *_REQUEST)
     ids = requests.schema["from_id"].dataType.simpleString()
-    return rows.groupBy("a", "b").applyInPandas(_fold, f"from_id {ids}, to_id {ids}, temporal_type string, certainty string, ambiguous long, existing_type string, seq long")
+    order = ["a", "b", F.asc_nulls_last("seq"), "raw_from", "raw_type"]
+    return rows.repartition("a", "b").sortWithinPartitions(*order).mapInArrow(_fold, f"from_id {ids}, to_id {ids}, temporal_type string, certainty string, ambiguous long, existing_type string, seq long")
 
 
 def reconcile(requests: DataFrame) -> DataFrame:

@@ -407,3 +407,23 @@ def test_anchors_of_a_long_text_share_one_index():
         assert hit == (s + 1, "trimmed")
         after = hit[0] + 1
     assert time.process_time() - began < 3
+
+
+def test_requests_of_a_pair_are_folded_over_batches_with_its_state_alone():
+    import pyarrow as pa
+
+    r = random.Random(5)
+    kinds = [L.PREFIX + k for k in ("before", "overlaps", "during")]
+    rows = []
+    for a in range(40):
+        for seq in range(r.choice([1, 3, 90])):
+            ends = (a, a + 1) if r.random() < 0.5 else (a + 1, a)
+            kind = r.choice(kinds)
+            rows.append((a, a + 1, *ends, kind, "Explicit", *ends, r.choice([kind, L.PREFIX + "contains"]), 1000 * a + seq))
+    names = ["a", "b", *L._REQUEST]
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some)], names)
+    read = lambda parts, most: [tuple(x.values()) for out in L._fold(parts, most) for x in out.to_pylist()]
+    whole = [x for a in range(40) for x in read([batch([y for y in rows if y[0] == a])], 10_000)]
+    assert read([batch(rows[at : at + 7]) for at in range(0, len(rows), 7)], 5) == whole
+    assert sum(x[6] is None for x in whole) == 40
+    assert list(L._fold([])) == []
