@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from narrata import corpus
 from narrata.functions import text as T
-from narrata.more_queries import _CHAIN, _books, _chain, _lane_of, _lane_sql
+from narrata.more_queries import _CHAIN, _chain, _lane, _lane_of, _lane_sql
 from narrata.operators import analysis as A
 from narrata.operators import answers as M
 from narrata.operators import consolidate as C
@@ -155,14 +155,12 @@ _CHANGED = """FROM (SELECT * REPLACE (CASE WHEN chapter_id % 10 = 3 AND extracti
 def lane_after_change(spark: SparkSession, folder: str) -> DataFrame:
     """Book individuals kept up after chapters changed: what was touched anew, the rest as it stood; equal to building all anew."""
     chapters = corpus.chapters(spark, folder).select("chapter_id", "book_id")
-    entities, books = _books(spark, folder, "individual")
-    entities = G.cut(entities)
-    own = C.refers_to(entities.join(chapters, "chapter_id"), "book_id").select(F.col("scope").alias("book_id"), F.col("item").alias("id"), F.col("cluster").alias("book_entity"))
-    members = entities.join(own, "id")
+    entities, books, links, _ = C.lane_tables(_lane(spark, folder, "individual"), chapters)
+    members = entities.join(links, "id")
     new = F.concat(F.substring("display_name", 1, 2), F.lit("ix"))
     mentions = corpus.individuals(spark, folder).filter("chapter_id % 10 = 3 and extraction_index % 2 = 0")
     mentions = mentions.withColumn("display_name", F.when(F.col("extraction_index") % 3 == 0, new).otherwise(F.col("display_name"))).withColumn("normalized_name", F.lower("display_name"))
-    fresh = C.chapter_entities(_lane_of(mentions, "individual"))
+    fresh = G.cut(C.chapter_entities(_lane_of(mentions, "individual")))
     changed = chapters.filter("chapter_id % 10 = 3").select("chapter_id")
     kept, rewritten = C.book_entities_after(changed, members, fresh, chapters, books)
     return kept.unionByName(rewritten).select("book_id", "chapter_count", "first_seen_chapter_id", "cluster", "display_name", "normalized_name")

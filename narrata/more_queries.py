@@ -9,6 +9,7 @@ from narrata import corpus, models, schemas
 from narrata.functions import text as T
 from narrata.operators import analysis as A
 from narrata.operators import consolidate as C
+from narrata.operators import graph as G
 from narrata.operators import search as S
 from narrata.operators import segment as X
 from narrata.operators import timeline as L
@@ -52,9 +53,9 @@ def _lane_of(m: DataFrame, lane: str) -> DataFrame:
     )
 
 
-def _books(spark: SparkSession, folder: str, lane: str) -> tuple[DataFrame, DataFrame]:
+def _books(spark: SparkSession, folder: str, lane: str) -> DataFrame:
     entities = C.chapter_entities(_lane(spark, folder, lane), lane)
-    return entities, C.book_entities(entities, corpus.chapters(spark, folder).select("chapter_id", "book_id"), lane)
+    return C.book_entities(G.cut(entities), corpus.chapters(spark, folder).select("chapter_id", "book_id"), lane)
 
 
 def _register_lanes() -> None:
@@ -65,7 +66,7 @@ def _register_lanes() -> None:
             return C.chapter_entities(_lane(spark, folder, lane), lane).select("chapter_id", "mention_count", "cluster", "display_name", "normalized_name", *_ATTRIBUTES[lane])
 
         def book(spark: SparkSession, folder: str, lane=lane) -> DataFrame:
-            return _books(spark, folder, lane)[1].select("book_id", "chapter_count", "first_seen_chapter_id", "cluster", "display_name", "normalized_name", *_ATTRIBUTES[lane])
+            return _books(spark, folder, lane).select("book_id", "chapter_count", "first_seen_chapter_id", "cluster", "display_name", "normalized_name", *_ATTRIBUTES[lane])
 
         chapter.__name__, book.__name__ = f"chapter_lane_{lane}", f"book_lane_{lane}"
         query(_lane_sql(lane) + f" SELECT chapter_id, mention_count, {named} FROM ce")(chapter)
@@ -78,11 +79,15 @@ _CHAIN = _lane_sql("individual") + """, ch AS (SELECT be.book_id, be.cluster AS
   FROM t0 JOIN chapters c ON c.chapter_id = t0.chapter_id JOIN be ON be.book_id = c.book_id AND be.stem = t0.stem)"""
 
 
-def _chain(spark: SparkSession, folder: str, lane: str = "individual") -> DataFrame:
+def _chain(spark: SparkSession, folder: str, lane: str = "individual", firsts: bool = False) -> DataFrame:
+    """The chain of all mentions, or with `firsts` of the first mention that a chapter has of each set of keys."""
     mentions = _lane(spark, folder, lane)
-    entities, books = _books(spark, folder, lane)
     of = corpus.chapters(spark, folder).select("chapter_id", "book_id")
-    return R.entity_chain(mentions, C.refers_to(mentions, "chapter_id"), C.refers_to(entities.join(of, "chapter_id"), "book_id"), books)
+    _, books, links, named = C.lane_tables(mentions, of, lane)
+    mentions = C.resolvable(mentions).withColumn("keys", C.key_set(F.col("keys")))
+    if firsts:
+        mentions = mentions.groupBy("chapter_id", "keys").agg(F.min(F.struct("scene_index", "scene_id", "id")).alias("m")).select("chapter_id", "keys", "m.*")
+    return R.entity_chain(mentions, named, links, books)
 
 
 @query(_CHAIN + " SELECT book_id, book_entity, display_name, first_seen_chapter_id, count(*) AS mention_count, count(DISTINCT chapter_id) AS chapter_count, count(DISTINCT scene_id) AS scene_count FROM ch WHERE normalized_name = 'the' GROUP BY 1, 2, 3, 4")
@@ -103,7 +108,7 @@ def entity_chain_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_CHAIN + " SELECT book_id, book_entity, f.c AS chapter_number, f.i AS scene_index, f.s AS scene_id FROM (SELECT book_id, book_entity, min({'c': chapter_number, 'i': scene_index, 's': scene_id}) AS f FROM ch GROUP BY 1, 2)")
 def entity_chain_first(spark: SparkSession, folder: str) -> DataFrame:
-    return R.chain_first(_chain(spark, folder), corpus.chapters(spark, folder))
+    return R.chain_first(_chain(spark, folder, firsts=True), corpus.chapters(spark, folder))
 
 
 @query("""t0 AS (SELECT chapter_id, normalized_name, extraction_index % 5 > 0 AS named FROM individuals)

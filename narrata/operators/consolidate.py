@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions.text import blank_to_null, name_keys
-from narrata.operators.graph import clusters, cut, min_labels
+from narrata.operators.graph import clusters, cut, min_labels, set_clusters
 
 #: Lanes and the attributes an entity of the lane carries.
 LANES = {
@@ -16,12 +16,6 @@ LANES = {
 MERGE_CONFIDENCE = 0.75
 
 
-def first_value(c: Column, rank: Column) -> Column:
-    """First non-blank value in order of rank."""
-    v = blank_to_null(c)
-    return F.min_by(v, F.when(v.isNotNull(), rank))
-
-
 def most_frequent(c: str) -> Column:
     """The most frequent non-blank value, the smallest of equals."""
     return F.mode(blank_to_null(F.col(c)), True)
@@ -32,19 +26,38 @@ def ordered_distinct(rank: Column, values: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), values.alias("v")))), lambda x: x.v)))
 
 
+def key_set(keys: Column) -> Column:
+    """The keys of a row as a value that equal sets share."""
+    return F.array_sort(F.array_distinct(keys))
+
+
+def _consolidated(mentions: DataFrame, scope: str, lane: str) -> tuple[DataFrame, DataFrame]:
+    """Entities as `consolidate` gives them, with the rank of their representative (first_rank), and (scope, keys, cluster): the entity of each set of keys.
+
+    Rows are aggregated by their keys and aliases before anything else, so what is clustered and joined are sets
+    of names, not mentions, and mentions are read once.
+    """
+    rows = mentions.filter("id is not null and size(keys) > 0").withColumn("keys", key_set(F.col("keys")))
+    valued = {a: blank_to_null(F.col(a)) for a in LANES[lane]}
+    parts = cut(rows.groupBy(F.col(scope).alias("scope"), "keys", "aliases").agg(
+        F.min("id").alias("item"), F.count("*").alias("n"), F.min(F.struct("rank", "id", "display_name", "normalized_name")).alias("first"),
+        *[F.min(F.when(v.isNotNull(), F.struct("rank", "id", v.alias("v")))).alias(a) for a, v in valued.items()],
+    ))
+    sets = cut(set_clusters(cut(parts.groupBy("scope", "keys").agg(F.min("item").alias("rep")))))
+    out = parts.join(sets, ["scope", "keys"]).groupBy("scope", "cluster").agg(
+        F.min("first").alias("first"), ordered_distinct(F.struct("first.rank", "first.id"), F.col("aliases")).alias("aliases"), F.sum("n").alias("mention_count"), *[F.min(a).alias(a) for a in valued],
+    ).select(
+        "scope", "cluster", "first.display_name", "first.normalized_name", "aliases", "mention_count", F.col("first.id").alias("representative_id"), *[F.col(a)["v"].alias(a) for a in valued], F.col("first.rank").alias("first_rank"),
+    )
+    return out, sets
+
+
 def consolidate(mentions: DataFrame, scope: str, lane: str = "individual") -> DataFrame:
-    """Entities of a scope from mentions (scope, id, rank, display_name, normalized_name, aliases, keys, lane attributes).
+    """Entities of a scope from mentions (scope, id: unique in its scope, rank, display_name, normalized_name, aliases, keys, lane attributes).
 
     The representative is the member of the lowest rank; aliases come in rank order.
     """
-    members = clusters(mentions.select(F.col(scope).alias("scope"), F.col("id").alias("item"), "keys"))
-    rows = mentions.join(members, (F.col(scope) == F.col("scope")) & (F.col("id") == F.col("item"))).drop("item")
-    r = F.struct("rank", "id")
-    return rows.groupBy("scope", "cluster").agg(
-        F.min_by("display_name", r).alias("display_name"), F.min_by("normalized_name", r).alias("normalized_name"),
-        ordered_distinct(r, F.col("aliases")).alias("aliases"), F.count("*").alias("mention_count"), F.min_by("id", r).alias("representative_id"),
-        *[first_value(F.col(a), r).alias(a) for a in LANES[lane]],
-    )
+    return _consolidated(mentions, scope, lane)[0].drop("first_rank")
 
 
 def resolvable(mentions: DataFrame) -> DataFrame:
@@ -53,10 +66,24 @@ def resolvable(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("keys", keys).filter(F.size("keys") > 0)
 
 
+def _of_chapters(mentions: DataFrame, lane: str) -> tuple[DataFrame, DataFrame]:
+    out, sets = _consolidated(resolvable(mentions), "chapter_id", lane)
+    name = F.concat_ws("/", F.col("scope").cast("string"), F.col("cluster").cast("string"))
+    return out.drop("first_rank").withColumn("id", name).withColumnRenamed("scope", "chapter_id"), sets.select(F.col("scope").alias("chapter_id"), "keys", name.alias("chapter_entity"))
+
+
+def _of_books(entities: DataFrame, chapters: DataFrame, lane: str) -> tuple[DataFrame, DataFrame]:
+    rank = F.struct(F.col("normalized_name").isNull(), "normalized_name", F.col("display_name").isNull(), "display_name", "chapter_id")
+    rows = resolvable(entities.drop("cluster").join(chapters.select("chapter_id", "book_id"), "chapter_id"))
+    out, sets = _consolidated(rows.withColumn("rank", rank), "book_id", lane)
+    books = out.withColumnsRenamed({"scope": "book_id", "mention_count": "chapter_count"}).withColumn("first_seen_chapter_id", F.col("first_rank")["chapter_id"]).drop("first_rank")
+    links = rows.select("book_id", "id", key_set(F.col("keys")).alias("keys")).join(sets.withColumnsRenamed({"scope": "book_id", "cluster": "book_entity"}), ["book_id", "keys"])
+    return books, links.select("book_id", "id", "book_entity")
+
+
 def chapter_entities(mentions: DataFrame, lane: str = "individual") -> DataFrame:
     """One lane's entities of every chapter, from mentions (chapter_id, id, rank, names, aliases, attributes of the lane)."""
-    out = consolidate(resolvable(mentions), "chapter_id", lane).withColumnRenamed("scope", "chapter_id")
-    return out.withColumn("id", F.concat_ws("/", F.col("chapter_id").cast("string"), F.col("cluster").cast("string")))
+    return _of_chapters(mentions, lane)[0]
 
 
 def book_entities(entities: DataFrame, chapters: DataFrame, lane: str = "individual") -> DataFrame:
@@ -65,11 +92,15 @@ def book_entities(entities: DataFrame, chapters: DataFrame, lane: str = "individ
     Members are in order of name, display name, chapter and id; the first of them names the
     entity, is its representative, and gives the chapter in which it was first seen.
     """
-    rank = F.struct(F.col("normalized_name").isNull(), "normalized_name", F.col("display_name").isNull(), "display_name", "chapter_id")
-    rows = resolvable(entities.drop("cluster").join(chapters.select("chapter_id", "book_id"), "chapter_id")).withColumn("rank", rank)
-    out = consolidate(rows, "book_id", lane)
-    first = rows.select(F.col("id").alias("representative_id"), F.col("chapter_id").alias("first_seen_chapter_id"))
-    return out.withColumnsRenamed({"scope": "book_id", "mention_count": "chapter_count"}).join(first, "representative_id")
+    return _of_books(entities, chapters, lane)[0]
+
+
+def lane_tables(mentions: DataFrame, chapters: DataFrame, lane: str = "individual") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One lane as tables that are made once: chapter entities, book entities, (book_id, id, book_entity) of chapter entities, (chapter_id, keys, chapter_entity) of a mention's keys."""
+    entities, named = _of_chapters(mentions, lane)
+    entities = cut(entities)
+    books, links = _of_books(entities, chapters, lane)
+    return entities, cut(books), cut(links), named
 
 
 def book_entities_after(changed: DataFrame, members: DataFrame, fresh: DataFrame, chapters: DataFrame, books: DataFrame, lane: str = "individual") -> tuple[DataFrame, DataFrame]:

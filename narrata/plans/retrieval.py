@@ -87,16 +87,15 @@ def members_of(book_names: DataFrame, name: str) -> DataFrame:
 
 
 def entity_chain(mentions: DataFrame, chapter_links: DataFrame, book_links: DataFrame, books: DataFrame) -> DataFrame:
-    """Every mention (id, chapter_id, scene_id, scene_index) with its book entity.
+    """Every mention (id, chapter_id, scene_id, scene_index, keys) with its book entity.
 
-    chapter_links: scope (chapter), item (mention), cluster; book_links: scope (book), item (chapter
-    entity id `chapter/cluster`), cluster; books: book_id, cluster, display_name, normalized_name.
+    chapter_links: chapter_id, keys, chapter_entity; book_links: book_id, id (of a chapter entity), book_entity;
+    books: book_id, cluster, display_name, normalized_name.  Entities are joined first, so mentions, by far the most
+    rows, meet them once.
     """
-    up = chapter_links.select(F.col("scope").alias("chapter_id"), F.col("item").alias("id"), F.concat_ws("/", F.col("scope").cast("string"), F.col("cluster").cast("string")).alias("chapter_entity"))
-    over = book_links.select(F.col("scope").alias("book_id"), F.col("item").alias("chapter_entity"), F.col("cluster").alias("book_entity"))
-    named = books.select("book_id", F.col("cluster").alias("book_entity"), F.col("display_name").alias("book_display"), F.col("normalized_name").alias("book_name"), "first_seen_chapter_id")
-    rows = mentions.select("chapter_id", "id", "scene_id", "scene_index").join(up, ["chapter_id", "id"]).join(over, "chapter_entity").join(named, ["book_id", "book_entity"])
-    return rows.withColumnsRenamed({"book_display": "display_name", "book_name": "normalized_name"})
+    named = books.select("book_id", F.col("cluster").alias("book_entity"), "display_name", "normalized_name", "first_seen_chapter_id")
+    entities = chapter_links.join(book_links.withColumnRenamed("id", "chapter_entity"), "chapter_entity").join(named, ["book_id", "book_entity"])
+    return mentions.select("chapter_id", "id", "scene_id", "scene_index", "keys").join(entities, ["chapter_id", "keys"]).drop("keys")
 
 
 def chain_lookup(chain: DataFrame, chapters: DataFrame, name: str, visibility: Visibility | None = None) -> DataFrame:

@@ -441,9 +441,9 @@ def book_individuals(spark: SparkSession, folder: str) -> DataFrame:
         "book_id", F.concat_ws("/", "scope", "cluster").alias("id"), F.col("chapter_number").alias("rank"), "display_name", "normalized_name", "aliases",
         F.array_distinct(F.concat(F.transform("aliases", F.lower), F.array(F.concat(stem, F.lit("*"))))).alias("keys"), "mention_count",
     )
-    out = C.clusters(rows.select(F.col("book_id").alias("scope"), F.col("id").alias("item"), "keys"))
-    joined = rows.join(out, (F.col("book_id") == F.col("scope")) & (F.col("id") == F.col("item")))
-    return joined.groupBy("scope", "cluster").agg(F.min(stem).alias("stem"), F.count("*").alias("chapters"), F.sum("mention_count").alias("mentions")).drop("cluster")
+    parts = G.cut(rows.groupBy(F.col("book_id").alias("scope"), C.key_set(F.col("keys")).alias("keys")).agg(F.min("id").alias("rep"), F.min(stem).alias("stem"), F.count("*").alias("chapters"), F.sum("mention_count").alias("mentions")))
+    joined = parts.join(G.set_clusters(parts.select("scope", "keys", "rep")), ["scope", "keys"])
+    return joined.groupBy("scope", "cluster").agg(F.min("stem").alias("stem"), F.sum("chapters").alias("chapters"), F.sum("mentions").alias("mentions")).drop("cluster")
 
 
 _SAME = """t0 AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND round((1 + list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) / 2, 6) >= 0.68),

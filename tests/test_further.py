@@ -233,3 +233,19 @@ def test_analyses_of_a_model_that_fails_or_babbles(spark):
     assert {k: r.problem for k, r in got.items()} == {"s1": None, "s2": "FAILED", "s3": "UNREADABLE", "s4": "INVALID_NEXT", "s5": "MISSING_PREVIOUS"}
     assert [x.name for x in got["s1"].individuals] == ["Ann", "Bo"] and got["s1"].next_type == "R:temporal.before" and got["s1"].previous_type is None
     assert [x.name for x in got["s4"].individuals] == ["Bo"]
+
+
+def test_entities_of_a_lane_read_their_mentions_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    kind = "chapter_id long, id string, rank int, display_name string, normalized_name string, aliases array<string>"
+    rows = [(c, f"{c}-{i}", i, f"Name {i % 3}", f"name {i % 3}", ["N"] if i % 3 == 0 else []) for c in range(4) for i in range(9)]
+    mentions = spark.createDataFrame(rows, kind).mapInPandas(count, kind)
+    entities, books, links, named = C.lane_tables(mentions, spark.createDataFrame([(c, "b") for c in range(4)], "chapter_id long, book_id string"))
+    assert (entities.count(), books.count(), links.count(), named.count()) == (12, 3, 12, 12)
+    assert seen.value == len(rows)
