@@ -24,10 +24,14 @@ def blank_to_null(c: Column) -> Column:
 
 
 def normalize_name(c: Column) -> Column:
-    """Trim, collapse white space, lower, keep [a-z0-9 ], drop one leading article; blank becomes null."""
+    """Trim, collapse white space, lower, keep [a-z0-9 ], drop one leading article; blank becomes null.
+
+    Most names are one plain word, for which lower case is all there is to do.
+    """
+    plain = c.rlike(r"^[A-Za-z0-9]+\z")
     s = F.lower(F.regexp_replace(strip_controls(c), r"[ \t\n\x0B\f\r]+", " "))
     s = F.regexp_replace(F.regexp_replace(s, "[^a-z0-9 ]", ""), f"^({'|'.join(ARTICLES)}) ", "")
-    return F.when(F.trim(s) != "", s)
+    return F.when(plain, F.lower(c)).when(F.trim(s) != "", s)
 
 
 def slug(c: Column) -> Column:

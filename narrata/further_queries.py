@@ -84,7 +84,8 @@ def _answers(spark: SparkSession, folder: str, **options) -> DataFrame:
     vectors = chunks.select(F.col("chunk_id").alias("item_id"), "embedding")
     asked = b.select("item_id", F.concat(opening, name, F.lit("?!")).alias("question")).join(vectors, "item_id", "left")
     asked = asked.select(F.col("item_id").alias("question_id"), "question", F.when(F.col("item_id") % 17 != 3, F.col("embedding")).alias("embedding"))
-    people, places = _chain(spark, folder), _chain(spark, folder, "location")
+    names = G.cut(Q.routed(asked).select(F.col("name").alias("normalized_name")).filter("normalized_name is not null").distinct())
+    people, places = _chain(spark, folder, names=names), _chain(spark, folder, "location", names)
     out = Q.answers(asked, _chunk_index(spark, folder), chunks, corpus.chapters(spark, folder), people, places, corpus.individuals(spark, folder), visibility=OPEN_READER, **options)
     return out.select("question_id", "route", "status", "rank", "item", "score")
 

@@ -79,31 +79,37 @@ _CHAIN = _lane_sql("individual") + """, ch AS (SELECT be.book_id, be.cluster AS
   FROM t0 JOIN chapters c ON c.chapter_id = t0.chapter_id JOIN be ON be.book_id = c.book_id AND be.stem = t0.stem)"""
 
 
-def _chain(spark: SparkSession, folder: str, lane: str = "individual", firsts: bool = False) -> DataFrame:
-    """The chain of all mentions, or with `firsts` of the first mention that a chapter has of each set of keys."""
+def _chain(spark: SparkSession, folder: str, lane: str = "individual", names: DataFrame | None = None, firsts: bool = False) -> DataFrame:
+    """The chain of all mentions, of those that reach book entities of some names (normalized_name), or with `firsts` of the first mention that a chapter has of each set of keys."""
     mentions = _lane(spark, folder, lane)
     of = corpus.chapters(spark, folder).select("chapter_id", "book_id")
+    keyed = C.resolvable(mentions).withColumn("keys", C.key_set(F.col("keys")))
+    if names is not None:
+        return R.chain_of(keyed, C.named_members(mentions, of, names, lane))
     _, books, links, named = C.lane_tables(mentions, of, lane)
-    mentions = C.resolvable(mentions).withColumn("keys", C.key_set(F.col("keys")))
     if firsts:
-        mentions = mentions.groupBy("chapter_id", "keys").agg(F.min(F.struct("scene_index", "scene_id", "id")).alias("m")).select("chapter_id", "keys", "m.*")
-    return R.entity_chain(mentions, named, links, books)
+        keyed = keyed.groupBy("chapter_id", "keys").agg(F.min(F.struct("scene_index", "scene_id", "id")).alias("m")).select("chapter_id", "keys", "m.*")
+    return R.entity_chain(keyed, named, links, books)
+
+
+def _chain_named(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    return _chain(spark, folder, names=spark.range(1).select(F.explode(F.array(*[T.normalize_name(F.lit(n)) for n in names])).alias("normalized_name")))
 
 
 @query(_CHAIN + " SELECT book_id, book_entity, display_name, first_seen_chapter_id, count(*) AS mention_count, count(DISTINCT chapter_id) AS chapter_count, count(DISTINCT scene_id) AS scene_count FROM ch WHERE normalized_name = 'the' GROUP BY 1, 2, 3, 4")
 def entity_chain_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """A name's book entities, with all mentions that reach them through chapter entities."""
-    return R.chain_lookup(_chain(spark, folder), corpus.chapters(spark, folder), "The")
+    return R.chain_lookup(_chain_named(spark, folder, "The"), corpus.chapters(spark, folder), "The")
 
 
 @query(_CHAIN + " SELECT DISTINCT book_id, book_entity, chapter_id, scene_id, scene_index, chapter_number FROM ch WHERE normalized_name = 'the' ORDER BY book_id, chapter_number, scene_index, book_entity LIMIT 20")
 def entity_chain_scenes(spark: SparkSession, folder: str) -> DataFrame:
-    return R.chain_scenes(_chain(spark, folder), corpus.chapters(spark, folder), "the").select("book_id", "book_entity", "chapter_id", "scene_id", "scene_index", "chapter_number")
+    return R.chain_scenes(_chain_named(spark, folder, "the"), corpus.chapters(spark, folder), "the").select("book_id", "book_entity", "chapter_id", "scene_id", "scene_index", "chapter_number")
 
 
 @query(_CHAIN + " SELECT DISTINCT a.chapter_id, a.scene_id, a.scene_index FROM ch a JOIN ch b USING (scene_id) WHERE a.normalized_name = 'the' AND b.normalized_name = 'of'")
 def entity_chain_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return R.chain_co_occurrence(_chain(spark, folder), "The", "OF")
+    return R.chain_co_occurrence(_chain_named(spark, folder, "The", "OF"), "The", "OF")
 
 
 @query(_CHAIN + " SELECT book_id, book_entity, f.c AS chapter_number, f.i AS scene_index, f.s AS scene_id FROM (SELECT book_id, book_entity, min({'c': chapter_number, 'i': scene_index, 's': scene_id}) AS f FROM ch GROUP BY 1, 2)")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions.text import blank_to_null, name_keys
-from narrata.operators.graph import clusters, cut, min_labels, set_clusters
+from narrata.operators.graph import clusters, cut, hubs_within, min_labels, set_clusters, settled
 
 #: Lanes and the attributes an entity of the lane carries.
 LANES = {
@@ -31,25 +31,28 @@ def key_set(keys: Column) -> Column:
     return F.array_sort(F.array_distinct(keys))
 
 
-def _consolidated(mentions: DataFrame, scope: str, lane: str) -> tuple[DataFrame, DataFrame]:
-    """Entities as `consolidate` gives them, with the rank of their representative (first_rank), and (scope, keys, cluster): the entity of each set of keys.
+def _consolidated(mentions: DataFrame, scope: str, lane: str, local: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Entities as `consolidate` gives them, with the rank of their representative (first_rank), and (scope, keys, cluster): the entity of each set of keys, with repeats.
 
     Rows are aggregated by their keys and aliases before anything else, so what is clustered and joined are sets
-    of names, not mentions, and mentions are read once.
+    of names, not mentions, and mentions are read once.  With `local` (scopes that are one row of the input, as chapters are)
+    mentions are dealt by scope once, and hubs of keys are found where they lie.
     """
-    rows = mentions.filter("id is not null and size(keys) > 0").withColumn("keys", key_set(F.col("keys")))
+    rows = mentions.filter("id is not null and size(keys) > 0").withColumnRenamed(scope, "scope").withColumn("keys", key_set(F.col("keys")))
     valued = {a: blank_to_null(F.col(a)) for a in LANES[lane]}
-    parts = cut(rows.groupBy(F.col(scope).alias("scope"), "keys", "aliases").agg(
-        F.min("id").alias("item"), F.count("*").alias("n"), F.min(F.struct("rank", "id", "display_name", "normalized_name")).alias("first"),
-        *[F.min(F.when(v.isNotNull(), F.struct("rank", "id", v.alias("v")))).alias(a) for a, v in valued.items()],
-    ))
-    sets = cut(set_clusters(cut(parts.groupBy("scope", "keys").agg(F.min("item").alias("rep")))))
-    out = parts.join(sets, ["scope", "keys"]).groupBy("scope", "cluster").agg(
+    rows = rows.select("scope", "keys", "aliases", "id", F.struct("rank", "id", "display_name", "normalized_name").alias("first"), *[F.when(v.isNotNull(), F.struct("rank", "id", v.alias("v"))).alias(a) for a, v in valued.items()])
+    parts = (rows.repartition("scope") if local else rows).groupBy("scope", "keys", "aliases").agg(F.min("id").alias("item"), F.count("*").alias("n"), F.min("first").alias("first"), *[F.min(a).alias(a) for a in valued])
+    if local:
+        parts = settled(cut(hubs_within(parts)))
+    else:
+        parts = cut(parts)
+        parts = parts.join(set_clusters(cut(parts.groupBy("scope", "keys").agg(F.min("item").alias("rep")))), ["scope", "keys"])
+    out = parts.groupBy("scope", "cluster").agg(
         F.min("first").alias("first"), ordered_distinct(F.struct("first.rank", "first.id"), F.col("aliases")).alias("aliases"), F.sum("n").alias("mention_count"), *[F.min(a).alias(a) for a in valued],
     ).select(
         "scope", "cluster", "first.display_name", "first.normalized_name", "aliases", "mention_count", F.col("first.id").alias("representative_id"), *[F.col(a)["v"].alias(a) for a in valued], F.col("first.rank").alias("first_rank"),
     )
-    return out, sets
+    return out, parts.select("scope", "keys", "cluster")
 
 
 def consolidate(mentions: DataFrame, scope: str, lane: str = "individual") -> DataFrame:
@@ -67,18 +70,18 @@ def resolvable(mentions: DataFrame) -> DataFrame:
 
 
 def _of_chapters(mentions: DataFrame, lane: str) -> tuple[DataFrame, DataFrame]:
-    out, sets = _consolidated(resolvable(mentions), "chapter_id", lane)
+    out, sets = _consolidated(resolvable(mentions), "chapter_id", lane, local=True)
     name = F.concat_ws("/", F.col("scope").cast("string"), F.col("cluster").cast("string"))
     return out.drop("first_rank").withColumn("id", name).withColumnRenamed("scope", "chapter_id"), sets.select(F.col("scope").alias("chapter_id"), "keys", name.alias("chapter_entity"))
 
 
-def _of_books(entities: DataFrame, chapters: DataFrame, lane: str) -> tuple[DataFrame, DataFrame]:
+def _of_books(entities: DataFrame, chapters: DataFrame, lane: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Book entities, (book_id, id, keys) of the chapter entities and (book_id, keys, book_entity), so that each may be cut down before they meet."""
     rank = F.struct(F.col("normalized_name").isNull(), "normalized_name", F.col("display_name").isNull(), "display_name", "chapter_id")
     rows = resolvable(entities.drop("cluster").join(chapters.select("chapter_id", "book_id"), "chapter_id"))
     out, sets = _consolidated(rows.withColumn("rank", rank), "book_id", lane)
     books = out.withColumnsRenamed({"scope": "book_id", "mention_count": "chapter_count"}).withColumn("first_seen_chapter_id", F.col("first_rank")["chapter_id"]).drop("first_rank")
-    links = rows.select("book_id", "id", key_set(F.col("keys")).alias("keys")).join(sets.withColumnsRenamed({"scope": "book_id", "cluster": "book_entity"}), ["book_id", "keys"])
-    return books, links.select("book_id", "id", "book_entity")
+    return books, rows.select("book_id", "id", key_set(F.col("keys")).alias("keys")), sets.distinct().withColumnsRenamed({"scope": "book_id", "cluster": "book_entity"})
 
 
 def chapter_entities(mentions: DataFrame, lane: str = "individual") -> DataFrame:
@@ -99,8 +102,21 @@ def lane_tables(mentions: DataFrame, chapters: DataFrame, lane: str = "individua
     """One lane as tables that are made once: chapter entities, book entities, (book_id, id, book_entity) of chapter entities, (chapter_id, keys, chapter_entity) of a mention's keys."""
     entities, named = _of_chapters(mentions, lane)
     entities = cut(entities)
-    books, links = _of_books(entities, chapters, lane)
-    return entities, cut(books), cut(links), named
+    books, members, sets = _of_books(entities, chapters, lane)
+    return entities, cut(books), cut(members.join(sets, ["book_id", "keys"]).select("book_id", "id", "book_entity")), named.distinct()
+
+
+def named_members(mentions: DataFrame, chapters: DataFrame, names: DataFrame, lane: str = "individual") -> DataFrame:
+    """(chapter_id, keys, chapter_entity, book_id, book_entity, display_name, normalized_name, first_seen_chapter_id): the sets of keys by which mentions reach the book entities of some names (normalized_name), a table.
+
+    The names are asked of the books first, and what they leave is followed down, so nothing is linked that no name reaches.
+    """
+    entities, named = _of_chapters(mentions, lane)
+    books, members, sets = _of_books(cut(entities), chapters, lane)
+    books = books.join(names.select("normalized_name").distinct(), "normalized_name", "left_semi")
+    asked = cut(books.select("book_id", F.col("cluster").alias("book_entity"), "display_name", "normalized_name", "first_seen_chapter_id"))
+    reached = cut(members.join(cut(sets.join(asked, ["book_id", "book_entity"])), ["book_id", "keys"]).drop("keys").withColumnRenamed("id", "chapter_entity"))
+    return cut(named.join(reached, "chapter_entity").distinct())
 
 
 def book_entities_after(changed: DataFrame, members: DataFrame, fresh: DataFrame, chapters: DataFrame, books: DataFrame, lane: str = "individual") -> tuple[DataFrame, DataFrame]:

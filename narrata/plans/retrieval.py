@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from narrata.functions.text import intent, location_tag, mentions_name, normalize_name, snippet, subject
 from narrata.operators.filters import Filters, SeriesProgress, Visibility, apply_filters, visible
+from narrata.operators.graph import cut
 from narrata.operators.search import fuse, ranked, rerank, semantic_search
 
 BRANCH = 20
@@ -98,6 +99,12 @@ def entity_chain(mentions: DataFrame, chapter_links: DataFrame, book_links: Data
     return mentions.select("chapter_id", "id", "scene_id", "scene_index", "keys").join(entities, ["chapter_id", "keys"]).drop("keys")
 
 
+def chain_of(mentions: DataFrame, members: DataFrame) -> DataFrame:
+    """The chain of the mentions that some sets of keys (`consolidate.named_members`) take in; mentions of other keys go before anything is joined by chapter."""
+    some = mentions.select("chapter_id", "id", "scene_id", "scene_index", "keys").join(cut(members.select("keys").distinct()), "keys", "left_semi")
+    return some.join(members, ["chapter_id", "keys"]).drop("keys")
+
+
 def chain_lookup(chain: DataFrame, chapters: DataFrame, name: str, visibility: Visibility | None = None) -> DataFrame:
     """One row for each book entity of that name: chapters, scenes and mentions that a reader may see, and where it is seen first."""
     seen = chapters.filter(visible(visibility)).select("chapter_id")

@@ -10,11 +10,13 @@ from narrata import models
 from narrata.operators import analysis as A
 from narrata.operators import answers as M
 from narrata.operators import consolidate as C
+from narrata.operators import graph as G
 from narrata.operators import index as V
 from narrata.operators import names as N
 from narrata.operators import phrases as H
 from narrata.operators import search as S
 from narrata.plans import questions as Q
+from narrata.plans import retrieval as R
 from narrata.sources.catalog import CatalogSource
 from narrata.streaming import timers
 
@@ -249,3 +251,45 @@ def test_entities_of_a_lane_read_their_mentions_once(spark):
     entities, books, links, named = C.lane_tables(mentions, spark.createDataFrame([(c, "b") for c in range(4)], "chapter_id long, book_id string"))
     assert (entities.count(), books.count(), links.count(), named.count()) == (12, 3, 12, 12)
     assert seen.value == len(rows)
+
+
+def test_components_of_one_hub_need_no_rounds_and_others_are_whole(spark, monkeypatch):
+    rounds = []
+    labels = G.min_labels
+    monkeypatch.setattr(G, "min_labels", lambda *a, **k: rounds.append(1) or labels(*a, **k))
+
+    def entities(rows):
+        kind = "chapter_id long, id string, rank int, display_name string, normalized_name string, aliases array<string>"
+        made = C.chapter_entities(spark.createDataFrame(rows, kind))
+        return {(r.chapter_id, r.cluster): (r.mention_count, sorted(r.aliases)) for r in made.collect()}
+
+    stars = [(c, f"{c}-{i:02}", i, n, n, [n[:2]]) for c in (1, 2) for i, n in enumerate(["abel", "abba", "cain", "ab", "cab", "cain"])]
+    expected = {(c, f"{c}-{i}"): v for c in (1, 2) for i, v in (("00", (3, ["ab"])), ("02", (3, ["ca"])))}
+    assert entities(stars) == expected and not rounds
+
+    r = random.Random(5)
+    rows = [(c, f"{c}-{i:03}", i, n, n, r.choices([f"k{j}" for j in range(25)], k=r.randint(0, 3))) for c in range(6) for i, n in enumerate(r.choices([f"n{j}" for j in range(30)], k=25))]
+    found = {}
+    for c in range(6):
+        left = [(x[1], {x[3], *x[5]}) for x in rows if x[0] == c]
+        while left:
+            ids, keys = {left[0][0]}, set(left[0][1])
+            while more := [x for x in left if x[0] not in ids and x[1] & keys]:
+                ids |= {x[0] for x in more}
+                keys |= set().union(*(x[1] for x in more))
+            found[(c, min(ids))] = (len(ids), sorted({a for x in rows if x[1] in ids for a in x[5]}))
+            left = [x for x in left if x[0] not in ids]
+    assert entities(rows) == found and rounds and any(n > 2 for n, _ in found.values()) and len(found) > 12
+
+
+def test_members_of_names_are_the_chain_of_those_names(spark):
+    r = random.Random(6)
+    kind = "chapter_id long, id string, rank int, scene_id string, scene_index int, display_name string, normalized_name string, aliases array<string>"
+    rows = [(c, f"{c}-{i:02}", i, f"s{i // 3}", i // 3, n, n.lower(), [n[:2]]) for c in range(9) for i, n in enumerate(r.choices(["The", "Them", "Thor", "Of", "Offa", "Ann", "Bo"], k=12))]
+    mentions, chapters = spark.createDataFrame(rows, kind), spark.createDataFrame([(c, f"b{c % 3}") for c in range(9)], "chapter_id long, book_id string")
+    keyed = C.resolvable(mentions).withColumn("keys", C.key_set(F.col("keys")))
+    _, books, links, named = C.lane_tables(mentions, chapters)
+    columns = ["chapter_id", "id", "scene_id", "book_id", "book_entity", "normalized_name", "first_seen_chapter_id"]
+    whole = R.entity_chain(keyed, named, links, books).filter("normalized_name in ('the', 'ann')").select(columns)
+    some = R.chain_of(keyed, C.named_members(mentions, chapters, spark.createDataFrame([("the",), ("ann",), ("ann",), ("nobody",)], "normalized_name string"))).select(columns)
+    assert Counter(map(tuple, some.collect())) == Counter(map(tuple, whole.collect())) and some.count() > 20
