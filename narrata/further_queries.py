@@ -122,7 +122,7 @@ def known_name_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Every place of every known name of one to four words (what scenes open with) in all scenes."""
     scenes = corpus.scenes(spark, folder)
     ws, n = N.words(F.col("text")), (1 + (F.col("chapter_id") + F.col("scene_index")) % 4).cast("int")
-    names = scenes.select(ws.alias("ws"), n.alias("n")).filter("size(ws) >= n").select(F.array_join(F.slice("ws", F.lit(1), F.col("n")), " ").alias("name")).distinct()
+    names = scenes.select(ws.alias("ws"), n.alias("n")).filter("size(ws) >= n").select(F.array_join(F.slice("ws", F.lit(1), F.col("n")), " ").alias("name"))
     return N.name_hits(scenes.select(F.col("scene_id").alias("item"), "text"), names)
 
 

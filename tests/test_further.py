@@ -293,3 +293,24 @@ def test_members_of_names_are_the_chain_of_those_names(spark):
     whole = R.entity_chain(keyed, named, links, books).filter("normalized_name in ('the', 'ann')").select(columns)
     some = R.chain_of(keyed, C.named_members(mentions, chapters, spark.createDataFrame([("the",), ("ann",), ("ann",), ("nobody",)], "normalized_name string"))).select(columns)
     assert Counter(map(tuple, some.collect())) == Counter(map(tuple, whole.collect())) and some.count() > 20
+
+
+def test_name_hits_shuffle_only_what_the_map_lets_through(spark, monkeypatch):
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(r.choices(vocabulary, k=r.randint(0, 60)))) for i in range(80)]
+    names = [" ".join(r.choices(vocabulary[:20], k=r.choice([1, 1, 2, 4]))) for _ in range(60)]
+    df, known = spark.createDataFrame(texts, "item int, text string"), spark.createDataFrame([(n,) for n in names + names[:25]], "name string")
+    expected = Counter()
+    for item, text in texts:
+        ws = text.split()
+        expected.update((item, n, i, i + n.count(" ")) for n in set(names) for i in range(len(ws)) if " ".join(ws[i : i + n.count(" ") + 1]) == n)
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    out = N.name_hits(df, known)
+    assert Counter(map(tuple, out.collect())) == expected and len(expected) > 200 and "Exchange" not in plan(out)
+    monkeypatch.setattr(N, "WORDS", 50)
+    monkeypatch.setattr(N, "MAP_BITS", 8)  # names beyond those held, and windows that the map lets through without cause
+    for held in (0, 30):
+        monkeypatch.setattr(N, "HELD", held)
+        out = N.name_hits(df, known)
+        assert Counter(map(tuple, out.collect())) == expected and "Join" in plan(out)
