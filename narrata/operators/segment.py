@@ -183,25 +183,29 @@ def locate(text: str | Placed, anchor: str, after: int = 0, before: int | None =
     if at >= 0:
         return at, "exact"
     words = anchor.split()
-    m = re.compile(r"\s+".join(map(re.escape, words))).search(text, after, before)
+    there = all(text.find(w, after, before) >= 0 for w in reversed(words))  # without all words no spacing helps, and most anchors need no pattern
+    m = re.compile(r"\s+".join(map(re.escape, words))).search(text, after, before) if there else None
     if m:
         return m.start(), "spacing"
     hit = index.beginning(words, after, before) if len(words) > 5 else None
     if hit is not None:
         return hit, "trimmed"
     size, best = len(anchor), None
-    spots: set[int] = set()  # with at most 3 edits one of 4 pieces stands unchanged, at most 3 places off
-    for i in range(4):
-        a, b = size * i // 4, size * (i + 1) // 4
+    most = max(d for d in range(4) if 1 - d / size >= 0.85)
+    spots: set[int] = set()  # with at most `most` edits one of so many pieces and one stands unchanged; insertions and deletions are as many, so it is off by half of the edits
+    for i in range(most + 1 if most else 0):  # without an edit it would have been found as it is
+        a, b = size * i // (most + 1), size * (i + 1) // (most + 1)
         hit = text.find(anchor[a:b], after, before)
-        while a < b and hit >= 0:
-            spots.update(range(hit - a - 3, hit - a + 4))
+        while hit >= 0:
+            spots.update(range(hit - a - most // 2, hit - a + most // 2 + 1))
             hit = text.find(anchor[a:b], hit + 1, before)
     within = distances_to(anchor)
     for at in sorted(x for x in spots if after <= x <= before - size):
-        d = within(text[at : at + size], 3)
-        if d is not None and 1 - d / size >= 0.85 and (best is None or d < best[0]):
+        d = within(text[at : at + size], most if best is None else best[0] - 1)
+        if d is not None:
             best = (d, at)
+            if d == 1:  # the first of the least
+                break
     return (best[1], "fuzzy") if best else None
 
 

@@ -15,6 +15,7 @@ from narrata.operators import index as V
 from narrata.operators import names as N
 from narrata.operators import phrases as H
 from narrata.operators import search as S
+from narrata.operators import segment as X
 from narrata.plans import questions as Q
 from narrata.plans import retrieval as R
 from narrata.sources.catalog import CatalogSource
@@ -314,3 +315,16 @@ def test_name_hits_shuffle_only_what_the_map_lets_through(spark, monkeypatch):
         monkeypatch.setattr(N, "HELD", held)
         out = N.name_hits(df, known)
         assert Counter(map(tuple, out.collect())) == expected and "Join" in plan(out)
+
+
+def test_fuzzy_anchors_measure_few_distances(monkeypatch):
+    asked, made = [], X.distances_to
+    monkeypatch.setattr(X, "distances_to", lambda a: lambda b, most: asked.append(b) or made(a)(b, most))
+    r = random.Random(8)
+    text = " ".join(r.choices(["that", "this", "those", "these", "then"], k=4000))
+    assert X.locate(text, "thatzz") is None and not asked  # too short for an edit
+    assert X.locate(text, "thatzzzzz") is None and len(asked) <= text.count("that")  # one edit, so one of two halves, in its place
+    at = text.index("those these", 9000)
+    for wrong in (text[at : at + 30][:7] + "#" + text[at + 8 : at + 30], text[at : at + 12] + "#" + text[at + 12 : at + 21] + text[at + 22 : at + 30]):
+        spots = [(d, i) for i in range(len(text) - 29) if (d := made(wrong)(text[i : i + 30], 3)) is not None]
+        assert X.locate(text, wrong) == (min(spots)[1], "fuzzy")
